@@ -9,28 +9,12 @@ before and joined back after.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_LENGTH = 4
 
 
-def substrings(name: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``name`` having one of ``lengths``."""
-    usable = F.filter(lengths, lambda n: n <= F.length(name))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                usable,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(name) - n + 1),
-                    lambda i: F.substring(name, i, n),
-                ),
-            )
-        )
-    )
-
-
 def contained(
     longer: DataFrame, long_col: str, shorter: DataFrame, short_col: str, min_length: int = MIN_LENGTH
 ) -> DataFrame:
@@ -41,7 +25,10 @@ def contained(
     lo = longer.select(F.col(long_col)).where(F.length(long_col) >= min_length).distinct()
     sh = shorter.select(F.col(short_col)).where(F.length(short_col) >= min_length).distinct()
     lengths = sh.agg(F.sort_array(F.collect_set(F.length(short_col)))).scalar()
-    parts = lo.select(long_col, F.explode(substrings(F.col(long_col), lengths)).alias(short_col))
+    sized = lo.select(long_col, F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length(long_col))
+    starts = F.sequence(F.lit(1), F.length(long_col) - F.col("_n") + 1)
+    cuts = F.transform(starts, lambda i: F.substring(F.col(long_col), i, F.col("_n")))
+    parts = sized.select(long_col, F.explode(F.array_distinct(cuts)).alias(short_col))
     return parts.join(sh, short_col).select(long_col, short_col)
 
 

@@ -105,7 +105,7 @@ def national_number(c: Column, mode: str = "strict", country: str = "91") -> Col
 
 def segments(c: Column, pattern: str = SEGMENTS) -> Column:
     """Trimmed non-empty parts of a multi-valued text."""
-    return F.filter(F.transform(F.split(c, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def dedupe_segments(c: Column, pattern: str = SEGMENTS, joiner: str = JOINER) -> Column:
