@@ -29,11 +29,8 @@ def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Colum
     )
 
 
-def chunked(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """Add ``_chunk`` (null for keys small enough for one task)."""
-    hot = (
+def _sizes(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int) -> DataFrame:
+    return (
         df.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("_n"),
@@ -41,11 +38,22 @@ def chunked(
             F.max(order).cast("double").alias("_hi"),
         )
         .where(F.col("_n") > rows_per_chunk)
-        .select(
-            *[F.col(k).alias(f"_r_{k}") for k in keys],
-            "_lo",
-            ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows_per_chunk)).alias("_step"),
-        )
+    )
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> bool:
+    """One count per key (only the key is read) that stops at the first hot key."""
+    return not _sizes(df, keys, order, rows_per_chunk).isEmpty()
+
+
+def chunked(
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Add ``_chunk`` (null for keys small enough for one task)."""
+    hot = _sizes(df, keys, order, rows_per_chunk).select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys],
+        "_lo",
+        ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows_per_chunk)).alias("_step"),
     )
     return (
         df.join(F.broadcast(hot), _same_keys(df, hot, keys), "left")
@@ -63,61 +71,71 @@ def carry(
     last: dict[str, Column] | None = None,
     lag: dict[str, Column] | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Running state per key in the order of ``order`` (first column numeric).
 
     ``number`` names a 1-based row number; ``sums`` are running totals up to and
     including the row; ``last`` the last non-null value up to and including the
     row; ``lag`` the value of the row before.
+
+    ``hot`` says whether some key needs chunks; by default it is looked up.
+    Without hot keys this is one plain window.  With them the chunked rows are
+    checkpointed once, as both the summaries and the rows read them.
     """
     sums, last, lag = sums or {}, last or {}, lag or {}
-    base = df
-    for out, value in {**sums, **last, **lag}.items():
-        base = base.withColumn(f"_v_{out}", value)
-    base = chunked(base, keys, order[0], rows_per_chunk)
+    if hot is None:
+        hot = has_hot_key(df, keys, order[0], rows_per_chunk)
+    made = {number, *sums, *last, *lag}
+    kept = [c for c in df.columns if c not in made]
+    base = df.withColumns({f"_v_{out}": v for out, v in {**sums, **last, **lag}.items()}) if sums or last or lag else df
+    parts = [*keys]
+    if hot:
+        from rosterloom.session import durable
+
+        base = durable(chunked(base, keys, order[0], rows_per_chunk))
+        parts.append("_chunk")
 
+    inside = W.partitionBy(*parts).orderBy(*order)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    local = {"_l_row": F.row_number().over(inside)}
+    local |= {f"_l_{o}": F.sum(f"_v_{o}").over(upto) for o in sums}
+    local |= {f"_l_{o}": F.last(f"_v_{o}", ignorenulls=True).over(upto) for o in last}
+    local |= {f"_l_{o}": F.lag(f"_v_{o}").over(inside) for o in lag}
+    rows = base.select("*", *[e.alias(n) for n, e in local.items()])
+    if not hot:
+        out = [F.col("_l_row").cast("bigint").alias(number)] if number else []
+        out += [F.coalesce(f"_l_{o}", F.lit(0)).alias(o) for o in sums]
+        out += [F.col(f"_l_{o}").alias(o) for o in (*last, *lag)]
+        return rows.select(*kept, *out)
+
+    brought_in = _brought(base, keys, order, sums, last, lag)
+    rows = rows.join(F.broadcast(brought_in), _same_keys(rows, brought_in, parts), "left")
+    out = [(F.col("_l_row") + F.coalesce("_b_rows", F.lit(0))).cast("bigint").alias(number)] if number else []
+    out += [(F.coalesce(f"_l_{o}", F.lit(0)) + F.coalesce(f"_b_{o}", F.lit(0))).alias(o) for o in sums]
+    out += [F.coalesce(f"_l_{o}", f"_b_{o}").alias(o) for o in last]
+    out += [F.when(F.col("_l_row") == 1, F.col(f"_b_{o}")).otherwise(F.col(f"_l_{o}")).alias(o) for o in lag]
+    return rows.select(*kept, *out)
+
+
+def _brought(base: DataFrame, keys, order, sums, last, lag) -> DataFrame:
+    """State that each chunk of a hot key takes over from the chunks before it."""
     position = F.struct(*[F.col(o) for o in order])
-    summary_aggs = [F.count(F.lit(1)).alias("_rows")]
-    for out in sums:
-        summary_aggs.append(F.sum(f"_v_{out}").alias(f"_s_{out}"))
-    for out in last:
-        seen = F.when(F.col(f"_v_{out}").isNotNull(), position)
-        summary_aggs.append(F.max_by(F.col(f"_v_{out}"), seen).alias(f"_s_{out}"))
-    for out in lag:
-        held = F.max_by(F.struct(F.col(f"_v_{out}")), position)
-        summary_aggs.append(held[f"_v_{out}"].alias(f"_s_{out}"))
-
-    chunks = base.where(F.col("_chunk").isNotNull()).groupBy(*keys, "_chunk").agg(*summary_aggs)
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs += [F.sum(f"_v_{o}").alias(f"_s_{o}") for o in sums]
+    for o in last:
+        seen = F.when(F.col(f"_v_{o}").isNotNull(), position)
+        aggs.append(F.max_by(F.col(f"_v_{o}"), seen).alias(f"_s_{o}"))
+    for o in lag:
+        aggs.append(F.max_by(F.struct(F.col(f"_v_{o}")), position)[f"_v_{o}"].alias(f"_s_{o}"))
+    chunks = base.where(F.col("_chunk").isNotNull()).groupBy(*keys, "_chunk").agg(*aggs)
     step = W.partitionBy(*keys).orderBy("_chunk")
-    brought = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_b_rows")]
-    brought += [F.sum(f"_s_{o}").over(before).alias(f"_b_{o}") for o in sums]
-    brought += [F.last(f"_s_{o}", ignorenulls=True).over(before).alias(f"_b_{o}") for o in last]
-    brought += [F.lag(f"_s_{o}").over(step).alias(f"_b_{o}") for o in lag]
-    names = [*keys, "_chunk"]
-    brought_in = chunks.select(*[F.col(n).alias(f"_r_{n}") for n in names], *brought)
-
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    local = [F.row_number().over(inside).alias("_l_row")]
-    local += [F.sum(f"_v_{o}").over(upto).alias(f"_l_{o}") for o in sums]
-    local += [F.last(f"_v_{o}", ignorenulls=True).over(upto).alias(f"_l_{o}") for o in last]
-    local += [F.lag(f"_v_{o}").over(inside).alias(f"_l_{o}") for o in lag]
-    rows = base.select("*", *local)
-    rows = rows.join(F.broadcast(brought_in), _same_keys(rows, brought_in, names), "left")
-
-    results = []
-    if number:
-        results.append((F.col("_l_row") + F.coalesce("_b_rows", F.lit(0))).cast("bigint").alias(number))
-    results += [
-        (F.coalesce(f"_l_{o}", F.lit(0)) + F.coalesce(f"_b_{o}", F.lit(0))).alias(o) for o in sums
-    ]
-    results += [F.coalesce(f"_l_{o}", f"_b_{o}").alias(o) for o in last]
-    results += [
-        F.when(F.col("_l_row") == 1, F.col(f"_b_{o}")).otherwise(F.col(f"_l_{o}")).alias(o) for o in lag
-    ]
-    made = {number, *sums, *last, *lag}
-    return rows.select(*[c for c in df.columns if c not in made], *results)
+    before = step.rowsBetween(W.unboundedPreceding, -1)
+    out = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_b_rows")]
+    out += [F.sum(f"_s_{o}").over(before).alias(f"_b_{o}") for o in sums]
+    out += [F.last(f"_s_{o}", ignorenulls=True).over(before).alias(f"_b_{o}") for o in last]
+    out += [F.lag(f"_s_{o}").over(step).alias(f"_b_{o}") for o in lag]
+    return chunks.select(*[F.col(n).alias(f"_r_{n}") for n in (*keys, "_chunk")], *out)
 
 
 def numbered_by_range(
