@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 NEAR = 2  # edits covered by deletion variants
 GRAM = 2
@@ -25,7 +26,7 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-matching-blocks ratio, for callers that need it instead of edits."""
     from difflib import SequenceMatcher
@@ -125,8 +126,10 @@ def nearest(
     for edits in range(NEAR + 1):
         got = _best(_meet(left, nb, block, edits), block, threshold)
         found = got if found is None else found.unionByName(got)
-        # with r edits and a longer name, one more edit is always worse
-        settled = got.where(F.length("a_name") > edits * (edits + 1))
+        # all names within these edits were seen; beyond, a longer name only gets worse
+        settled = got.where(
+            (F.levenshtein("a_name", "b_name") <= edits) & (F.length("a_name") > edits * (edits + 1))
+        )
         left = left.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti")
     found = found.unionByName(_best(_far(left, nb, block, threshold), block, threshold))
     order = F.struct(-F.col("similarity"), F.col("b_name"))
