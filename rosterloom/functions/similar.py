@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from rosterloom.session import durable
+
 NEAR = 2  # edits covered by deletion variants
 GRAM = 2
 
@@ -124,7 +126,8 @@ def nearest(
     found = None
     left = na
     for edits in range(NEAR + 1):
-        got = _best(_meet(left, nb, block, edits), block, threshold)
+        # checkpointed: each round is read for the result and to shrink the next
+        got = durable(_best(_meet(left, nb, block, edits), block, threshold))
         found = got if found is None else found.unionByName(got)
         # all names within these edits were seen; beyond, a longer name only gets worse
         settled = got.where(
