@@ -138,6 +138,17 @@ def _brought(base: DataFrame, keys, order, sums, last, lag) -> DataFrame:
     return chunks.select(*[F.col(n).alias(f"_r_{n}") for n in (*keys, "_chunk")], *out)
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], unique: str, salts: int = 64) -> DataFrame:
+    """Equi join on keys with few distinct values, such as a status.
+
+    Every key of ``big`` is spread over ``salts`` tasks by its unique column; the
+    rows of ``small`` (rules, lists) are repeated once per salt.
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(salts)))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def numbered_by_range(
     df: DataFrame, section: Sequence[str], order: Sequence[str], out: str
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
+from rosterloom.functions.skew import salted_join
 
 from .standardize import to_contact_rows
 
@@ -107,17 +108,17 @@ def resolve_list(rules: DataFrame, people: DataFrame, orgs: DataFrame, heads: Da
         ).alias("held"),
     )
     by_org = who.join(scope, "org_id").where(F.array_contains(F.col("statuses"), F.col("status")))
-    by_status = who.join(open_lists, "status")
+    by_status = salted_join(who, open_lists, ["status"], "person_id")
     cols = ["list_id", "person_id", "held", "wanted"]
     filtered = by_org.select(*cols).unionByName(by_status.select(*cols)).where(
         (F.size("wanted") == 0) | F.arrays_overlap("held", "wanted")
     ).select("list_id", "person_id")
 
-    alone = active_roles.where("person_id IS NULL").select("head_id", "org_id", F.lit("ADMINISTRATIVE_HEAD").alias("role"))
+    alone = active_roles.where("person_id IS NULL").select("head_id", "org_id", F.col("role_category").alias("role"))
     scoped_heads = alone.join(scope, "org_id").where(F.array_contains("wanted", "ADMINISTRATIVE_HEAD")).select("list_id", "head_id")
     # lists without organization rules take every standalone holder of the role
     open_wanted = lists.where("n_org_types = 0").select("list_id", F.explode("wanted").alias("role"))
-    open_heads = alone.join(open_wanted, "role").select("list_id", "head_id")
+    open_heads = salted_join(alone, open_wanted, ["role"], "head_id").select("list_id", "head_id")
 
     out = typed("EXCLUDE_EMPLOYEE", "person_id")
     into = typed("INCLUDE_EMPLOYEE", "person_id").join(people.select("person_id"), "person_id", "left_semi").select("list_id", "person_id")
