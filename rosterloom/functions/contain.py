@@ -9,7 +9,7 @@ before and joined back after.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_LENGTH = 4
@@ -32,30 +32,49 @@ def contained(
     return parts.join(sh, short_col).select(long_col, short_col)
 
 
+# a text is words and the breaks between them
+BREAKS = r"[^\p{L}\p{N}]+"
+
+
+def _longest(words: Column) -> Column:
+    by_length = F.array_sort(words, lambda x, y: F.length(y) - F.length(x))
+    return F.get(F.filter(by_length, lambda w: w != ""), F.lit(0))
+
+
 def terms_in_texts(
     texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str
 ) -> DataFrame:
     """(``id_col``, ``term_col``) where the text contains the term, ignoring case.
 
-    Long texts are not cut into substrings.  A text that contains a term has a
-    word which contains the term's longest word, so terms are first matched with
-    the vocabulary, then with the texts holding such a word, and only those
-    candidates are read in full.
+    Long texts are not cut into substrings.  Every term has an anchor: its longest
+    inner word, which any text containing the term holds as a whole word, or, if it
+    has none, its longest word, which such a text holds inside a word.  A term
+    without any word is looked up in the same way among the breaks between words.
+    Only texts with an anchor are read in full.
     """
-    breaks = r"[^\p{L}\p{N}]+"
     t = terms.select(term_col, F.lower(term_col).alias("_term")).where(F.length(term_col) > 0).distinct()
-    words = F.split("_term", breaks)
-    longest = F.element_at(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1)
-    t = t.withColumn("_anchor", longest)
-    postings = texts.select(
-        F.col(id_col), F.explode(F.array_distinct(F.split(F.lower(text_col), breaks))).alias("_word")
-    ).where(F.col("_word") != "")
-    vocabulary = postings.select("_word").distinct()
-    near = contained(vocabulary, "_word", t, "_anchor", min_length=1)
-    candidates = postings.join(near, "_word").select(id_col, "_anchor").distinct().join(t, "_anchor")
-    whole = texts.select(id_col, F.lower(text_col).alias("_text"))
-    return (
-        whole.join(candidates, id_col)
-        .where(F.col("_text").contains(F.col("_term")))
-        .select(id_col, term_col)
+    words = F.split("_term", BREAKS)
+    inner = _longest(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+    t = t.withColumns({"_inner": inner, "_outer": _longest(words)})
+    t = t.select(
+        term_col, "_term", F.coalesce("_inner", "_outer", "_term").alias("_anchor"),
+        F.when(F.col("_inner").isNotNull(), "inner").when(F.col("_outer").isNotNull(), "outer").otherwise("break").alias("_kind"),
     )
+    found = None
+    # the kinds that occur are looked up in the small term table first
+    for kind in sorted(r["_kind"] for r in t.select("_kind").distinct().collect()):
+        some = t.where(F.col("_kind") == kind)
+        low = F.lower(text_col)
+        pieces = F.regexp_extract_all(low, F.lit(f"({BREAKS})"), F.lit(1)) if kind == "break" else F.split(low, BREAKS)
+        postings = texts.select(F.col(id_col), F.explode(F.array_distinct(pieces)).alias("_piece"))
+        if kind == "inner":
+            near = some.select(F.col("_anchor").alias("_piece"), "_anchor").distinct()
+        else:
+            near = contained(postings.select("_piece"), "_piece", some, "_anchor", min_length=1)
+        hits = postings.join(near, "_piece").select(id_col, "_anchor").distinct().join(some, "_anchor")
+        hits = hits.select(id_col, term_col, "_term")
+        found = hits if found is None else found.unionByName(hits)
+    whole = texts.select(id_col, F.lower(text_col).alias("_text"))
+    if found is None:
+        return texts.select(id_col, F.lit(None).cast("string").alias(term_col)).where(F.lit(False))
+    return whole.join(found, id_col).where(F.col("_text").contains(F.col("_term"))).select(id_col, term_col)

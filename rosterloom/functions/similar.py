@@ -100,7 +100,12 @@ def _far(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float) ->
     )
     ga = _rare_grams(la, "a_name", block, counts, threshold)
     gb = _rare_grams(lb, "b_name", block, counts, threshold)
-    return ga.join(gb, [*block, "_g"]).select(*block, "a_name", "b_name").distinct()
+    gap = F.abs(F.length("a_name") - F.length("b_name"))
+    longest = F.greatest(F.length("a_name"), F.length("b_name"))
+    return (
+        ga.join(gb, [*block, "_g"]).where(gap <= longest * (1 - threshold) + 1e-9)
+        .select(*block, "a_name", "b_name").distinct()
+    )
 
 
 def similar_pairs(

@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and separators the results depend on.
-BLANKS = r"[\s\x{00A0}\x{200B}\x{FEFF}]+"
+BLANK = r"[\s\x{00A0}\x{200B}\x{FEFF}]"
+# every run of blanks but a single space, which needs no change
+BLANK_RUNS = rf" {BLANK}+|[\t\n\x0B\f\r\x{{00A0}}\x{{200B}}\x{{FEFF}}]{BLANK}*"
 PHONE_RUN = r"[0-9]{5,}"
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 SERIAL = r"^[0-9]+(\.[0-9]+)*\.?\s*"
@@ -21,7 +23,7 @@ DASHES = ("‐", "‑", "‒", "–", "—", "−")
 
 def clean(c: Column) -> Column:
     """Collapse whitespace (with no-break and zero-width blanks) and trim."""
-    return F.trim(F.regexp_replace(c, BLANKS, " "))
+    return F.trim(F.regexp_replace(c, BLANK_RUNS, " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -78,8 +80,17 @@ def phone_set(*cols: Column, min_digits: int = 5) -> Column:
 
 
 def email_set(*cols: Column) -> Column:
-    joined = F.lower(F.concat_ws(" ", *cols))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(joined, F.lit(f"({EMAIL})"), F.lit(1))))
+    return F.array_sort(F.array_distinct(emails_in(F.lower(F.concat_ws(" ", *cols)))))
+
+
+def emails_in(c: Column) -> Column:
+    """All addresses of a text, in order; the pattern only runs where an "@" is."""
+    found = F.regexp_extract_all(c, F.lit(f"({EMAIL})"), F.lit(1))
+    return F.when(c.contains("@"), found).otherwise(F.array().cast("array<string>"))
+
+
+def has_email(c: Column) -> Column:
+    return c.contains("@") & c.rlike(EMAIL)
 
 
 def digits(c: Column) -> Column:

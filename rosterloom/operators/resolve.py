@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterloom.functions.contain import MIN_LENGTH, contained, terms_in_texts
 from rosterloom.functions.similar import nearest
 from rosterloom.functions.skew import carry
-from rosterloom.functions.text import EMAIL, PHONE_RUN, clean, folded, is_blank
+from rosterloom.functions.text import EMAIL, PHONE_RUN, clean, emails_in, folded, has_email, is_blank
 
 
 def match_exact(a: DataFrame, a_key: str, dictionary: DataFrame, d_id: str, d_key: str) -> DataFrame:
@@ -150,11 +150,11 @@ def relocate_by_content(rows: DataFrame, key: str, phone: str, email: str, cells
 
     ``cells`` has (station, cell).
     """
-    misfit = F.when(F.col(phone).rlike(EMAIL), F.lower(F.regexp_extract(phone, EMAIL, 0))).when(
+    misfit = F.when(has_email(F.col(phone)), F.lower(F.regexp_extract(phone, EMAIL, 0))).when(
         F.col(email).rlike(PHONE_RUN) & ~F.col(email).contains("@"), F.regexp_extract(email, PHONE_RUN, 0)
     )
     shifted = rows.withColumn("anchor", misfit).where(F.col("anchor").isNotNull())
-    email_hits = F.regexp_extract_all(F.lower("cell"), F.lit(f"({EMAIL})"), F.lit(1))
+    email_hits = emails_in(F.lower("cell"))
     phone_hits = F.regexp_extract_all("cell", F.lit(f"({PHONE_RUN})"), F.lit(1))
     anchors = cells.select("station", F.explode(F.array_union(email_hits, phone_hits)).alias("anchor"))
     places = anchors.groupBy("anchor").agg(F.min("station").alias("_lo"), F.max("station").alias("_hi"))

@@ -107,11 +107,11 @@ def segment_sizes(numbered: DataFrame, doc: str) -> DataFrame:
 
 def drop_noise(lines: DataFrame, line: str, junk: Sequence[str], headers: Sequence[str] = ()) -> DataFrame:
     """Keep content lines: no blanks, separators, header words or listed slogans."""
-    text = tx.clean(F.col(line))
-    noise = tx.is_blank(F.col(line)) | text.rlike(SEPARATOR_LINE) | tx.contains_any(text, junk)
-    if headers:
-        noise = noise | F.lower(text).isin(list(headers))
-    return lines.where(~noise)
+    text = F.lower(tx.clean(F.col(line)))
+    slogan = F.exists(F.array(*[F.lit(w.lower()) for w in junk]), lambda w: F.col("_t").contains(w)) if junk else F.lit(False)
+    noise = F.col("_t").rlike(SEPARATOR_LINE) | slogan | F.col("_t").isin(["", *headers])
+    # the flag keeps the cleaned text one column instead of one copy per test
+    return lines.withColumn("_t", text).withColumn("_noise", noise).where(~F.col("_noise")).drop("_t", "_noise")
 
 
 def address_like(c: Column) -> Column:

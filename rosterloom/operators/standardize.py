@@ -90,7 +90,9 @@ def split_phones(df: DataFrame, key: str, col: str, default_type: str) -> DataFr
     Text after "Fax" is fax; "Extn"/"Extension" is spelled one way; commas,
     semicolons, slashes and "or" separate numbers; parts without a digit drop.
     """
-    value = F.regexp_replace(tx.clean(F.col(col)), tx.EMAIL, " ")
+    # a value without a digit yields no number
+    df = df.where(F.col(col).rlike("[0-9]")).withColumn("_v", tx.clean(F.col(col)))
+    value = F.when(F.col("_v").contains("@"), F.regexp_replace("_v", tx.EMAIL, " ")).otherwise(F.col("_v"))
     value = F.regexp_replace(value, r"(?i)\b(Extension|Extn?)\b\.?\s*", "Extn. ")
     by_type = F.split(value, r"(?i)\bFax(?:\s*No\.?)?\s*:?")
     pieces = df.select(key, F.posexplode(by_type).alias("part_no", "part"))
@@ -119,16 +121,15 @@ def dedupe_segments(df: DataFrame, key: str, col: str) -> Standardized:
 
 def classify_cells(df: DataFrame, arr: str) -> DataFrame:
     """Split a row's cells by content into ``emails``, ``phones`` and ``others``."""
-    cells = F.filter(F.transform(arr, tx.clean), lambda x: x != "")
-    email = lambda x: x.rlike(tx.EMAIL)
-    phone = lambda x: ~x.rlike(tx.EMAIL) & x.rlike(tx.PHONE_RUN)
-    return df.withColumns(
-        {
-            "emails": F.array_distinct(F.filter(cells, email)),
-            "phones": F.array_distinct(F.filter(cells, phone)),
-            "others": F.array_distinct(F.filter(cells, lambda x: ~email(x) & ~phone(x))),
-        }
+    def kind(x: Column) -> Column:
+        return F.when(tx.has_email(x), "emails").when(x.rlike(tx.PHONE_RUN), "phones").otherwise("others")
+
+    cells = F.array_distinct(F.filter(F.transform(arr, tx.clean), lambda x: x != ""))
+    tagged = df.withColumn("_cells", cells).withColumn(
+        "_cells", F.transform("_cells", lambda x: F.struct(kind(x).alias("kind"), x.alias("text")))
     )
+    of = lambda name: F.transform(F.filter("_cells", lambda x: x["kind"] == name), lambda x: x["text"])
+    return tagged.withColumns({name: of(name) for name in ("emails", "phones", "others")}).drop("_cells")
 
 
 # Technical abbreviations kept in capitals, and ordinary words that
