@@ -101,7 +101,7 @@ def apply_merge(parents: DataFrame, children: DataFrame, merges: DataFrame, key:
     gifts = lost.groupBy(F.col("winner").alias(key)).agg(*[donor(c) for c in fill])
     kept = parents.join(usable.select(F.col("loser").alias(key)), key, "left_anti").join(gifts, key, "left")
     refused = merges.select(F.col("loser").alias(key)).distinct().withColumn("refused", F.lit(True))
-    filled = [F.when(tx.is_blank(F.col(c)), F.col(f"_{c}.{c}")).otherwise(F.col(c)).alias(c) for c in fill]
+    filled = [F.when(tx.is_blank(F.col(c)), F.coalesce(f"_{c}.{c}", c)).otherwise(F.col(c)).alias(c) for c in fill]
     rest = [c for c in parents.columns if c not in fill]
     new_parents = kept.join(refused, key, "left").select(
         *rest, *filled, F.coalesce("refused", F.lit(False)).alias("refused")

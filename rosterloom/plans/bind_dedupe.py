@@ -83,7 +83,7 @@ MERGE_CTE = f"""WITH m AS ({MERGES}), p AS ({PARENTS}), u AS (SELECT * FROM m WH
 @query(
     "f7_apply_merge_parents",
     MERGE_CTE
-    + """ SELECT p.org_id, p.org_name, CASE WHEN trim(p.state) = '' THEN (SELECT min_by(l.state, l.org_id) FROM p l JOIN u ON u.loser = l.org_id WHERE u.winner = p.org_id AND trim(l.state) <> '') ELSE p.state END AS state,
+    + """ SELECT p.org_id, p.org_name, CASE WHEN trim(p.state) = '' THEN COALESCE((SELECT min_by(l.state, l.org_id) FROM p l JOIN u ON u.loser = l.org_id WHERE u.winner = p.org_id AND trim(l.state) <> ''), p.state) ELSE p.state END AS state,
           p.org_id IN (SELECT loser FROM m) AS refused FROM p WHERE p.org_id NOT IN (SELECT loser FROM u)""",
 )
 def f7_parents(t):

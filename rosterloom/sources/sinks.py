@@ -78,7 +78,7 @@ def upsert_fill(
 ) -> DataFrame:
     """Merge by key: fill blanks of ``fill``, overwrite ``force``, say what happened."""
     pick = {
-        **{c: F.when(is_blank(F.col(f"t.{c}")), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")) for c in fill},
+        **{c: F.when(is_blank(F.col(f"t.{c}")), F.coalesce(f"s.{c}", f"t.{c}")).otherwise(F.col(f"t.{c}")) for c in fill},
         **{c: F.coalesce(F.col(f"s.{c}"), F.col(f"t.{c}")) for c in force},
     }
     changed = F.lit(False)
