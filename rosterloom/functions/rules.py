@@ -64,25 +64,28 @@ class Tiers:
     groups: Sequence[Sequence[str]] = field(default_factory=tuple)
 
     def phrases(self) -> list[tuple[int, str]]:
-        flat = [(i, p) for i, g in enumerate(self.groups) for p in g]
+        """(tier, phrase), longest first; equal lengths keep tier order."""
+        flat = [(i, p.lower()) for i, g in enumerate(self.groups) for p in g]
         return sorted(flat, key=lambda t: -len(t[1]))
 
     @property
     def unranked(self) -> int:
         return len(self.groups)
 
+    def _position(self, c: Column) -> Column:
+        # One pass: the longest phrase starting at each word, then the best of them.
+        phrases = [p for _, p in self.phrases()]
+        pattern = rf"\b(?=({'|'.join(_escaped(p) for p in phrases)})\b)"
+        found = F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(1))
+        listed = F.array(*[F.lit(p) for p in phrases])
+        return F.array_min(F.transform(found, lambda m: F.array_position(listed, m))).cast("int")
+
     def rank(self, c: Column) -> Column:
-        return self._first(c, lambda tier, phrase: tier, self.unranked).cast("int")
+        tiers = F.array(*[F.lit(i) for i, _ in self.phrases()])
+        return F.coalesce(F.get(tiers, self._position(c) - 1), F.lit(self.unranked)).cast("int")
 
     def phrase(self, c: Column) -> Column:
-        return self._first(c, lambda tier, phrase: phrase, None)
-
-    def _first(self, c: Column, pick, default) -> Column:
-        # Longest phrase first; the sort is stable, so equal lengths keep tier order.
-        out = F.when(F.lit(False), F.lit(default))
-        for tier, phrase in self.phrases():
-            out = out.when(F.lower(c).rlike(rf"\b{_escaped(phrase)}\b"), F.lit(pick(tier, phrase)))
-        return out.otherwise(F.lit(default))
+        return F.get(F.array(*[F.lit(p) for _, p in self.phrases()]), self._position(c) - 1)
 
 
 def _escaped(phrase: str) -> str:

@@ -56,7 +56,8 @@ def variants(name: Column, edits: int) -> Column:
 
 
 def _names(df: DataFrame, block: Sequence[str], col: str, out: str) -> DataFrame:
-    return df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct()
+    # checkpointed: every round below reads the distinct names again
+    return durable(df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct())
 
 
 def _meet(a: DataFrame, b: DataFrame, block: Sequence[str], edits: int) -> DataFrame:

@@ -135,12 +135,30 @@ def _issue(df: DataFrame, check: str, table: str, row: Column, message: Column |
     )
 
 
+def _row_issues(df: DataFrame, table: str, row: Column, tests: Sequence[tuple[Column, str, Column | str]]) -> DataFrame:
+    """All row-level checks of a table in one pass over it."""
+    cells = [
+        F.when(
+            test,
+            F.struct(
+                F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), row.cast("string").alias("row_ref"),
+                (F.lit(message) if isinstance(message, str) else message).alias("message"),
+            ),
+        )
+        for test, check, message in tests
+    ]
+    return df.select(F.inline(F.array_compact(F.array(*cells))))
+
+
 def integrity(tables: Mapping[str, tuple[DataFrame, str, str]], fks: Sequence[ForeignKey]) -> DataFrame:
     """Gate over tables given as name -> (rows, id column, name column)."""
     parts = []
     for table, (df, key, name) in tables.items():
-        parts.append(_issue(df.where(F.col(key).isNull()), "missing id", table, F.lit(None), F.coalesce(F.col(name), F.lit(""))))
-        parts.append(_issue(df.where(tx.is_blank(F.col(name))), "blank name", table, F.col(key), "name is blank"))
+        tests = [
+            (F.col(key).isNull(), "missing id", F.coalesce(F.col(name), F.lit(""))),
+            (tx.is_blank(F.col(name)), "blank name", "name is blank"),
+        ]
+        parts.append(_row_issues(df, table, F.col(key), tests))
         dup = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         parts.append(_issue(dup, "duplicate id", table, F.col(key), F.concat(F.col("n").cast("string"), F.lit(" rows"))))
     for fk in fks:
@@ -198,8 +216,9 @@ def audit_lists(members: DataFrame, rules: DataFrame, people: DataFrame) -> Data
     )
     parts = [
         _issue(dup, "duplicate member", "members", ref, F.concat(F.col("n").cast("string"), F.lit(" times"))),
-        _issue(j.where(F.col("_p").isNull()), "broken reference", "members", ref, "no such person"),
-        _issue(j.where(_bad_email("email")), "bad email", "members", ref, F.col("email")),
+        _row_issues(j, "members", ref, [
+            (F.col("_p").isNull(), "broken reference", "no such person"), (_bad_email("email"), "bad email", F.col("email")),
+        ]),
         _issue(rules.where((filled != 1) | ~expected), "malformed rule", "rules", F.col("rule_id"), F.coalesce("filter_type", F.lit(""))),
     ]
     for name, df in (("members", members), ("rules", rules)):
@@ -211,17 +230,19 @@ def audit_roles(heads: DataFrame, people: DataFrame) -> DataFrame:
     """Repeated roles, broken links, bad or missing emails, roles without identity."""
     p = people.select("person_id", F.col("email").alias("p_email"), F.lit(True).alias("_p"))
     j = heads.join(p, "person_id", "left")
-    linked, own = j.where(F.col("person_id").isNotNull()), heads.where(F.col("person_id").isNull())
-    found = linked.where(F.col("_p").isNotNull())
+    linked, found = F.col("person_id").isNotNull(), F.col("_p").isNotNull()
+    no_identity = tx.is_blank(F.col("name")) & tx.is_blank(F.col("email"))
     dup = heads.groupBy("org_id", "role_title").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dup_ref = F.concat_ws("/", F.col("org_id").cast("string"), "role_title")
     parts = [
         _issue(dup, "possible duplicate", "heads", dup_ref, F.concat(F.col("n").cast("string"), F.lit(" rows"))),
-        _issue(linked.where(F.col("_p").isNull()), "broken reference", "heads", F.col("head_id"), "no such person"),
-        _issue(found.where(_bad_email("p_email")), "bad email", "heads", F.col("head_id"), F.col("p_email")),
-        _issue(found.where(tx.is_blank(F.col("p_email"))), "missing email", "heads", F.col("head_id"), "linked person has no email"),
-        _issue(own.where(_bad_email("email")), "bad email", "heads", F.col("head_id"), F.col("email")),
-        _issue(own.where(tx.is_blank(F.col("name")) & tx.is_blank(F.col("email"))), "missing identity", "heads", F.col("head_id"), "no name or email"),
+        _row_issues(j, "heads", F.col("head_id"), [
+            (linked & ~found, "broken reference", "no such person"),
+            (linked & found & _bad_email("p_email"), "bad email", F.col("p_email")),
+            (linked & found & tx.is_blank(F.col("p_email")), "missing email", "linked person has no email"),
+            (~linked & _bad_email("email"), "bad email", F.col("email")),
+            (~linked & no_identity, "missing identity", "no name or email"),
+        ]),
         _issue(heads.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), "no data", "heads", F.lit(None), "table is empty"),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -246,21 +267,23 @@ class OneOf:
 
 def check_invariants(df: DataFrame, key: str, rules: Sequence[Unique | Domain | OneOf]) -> DataFrame:
     """Violations (rule, row_ref, n) of uniqueness, value domains, at-least-one-of."""
-    parts = []
+    parts, cells = [], []
     for r in rules:
         if isinstance(r, Unique):
             rows = df.where(r.where) if r.where else df
             bad = rows.groupBy(*r.columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             name = f"unique({', '.join(r.columns)})" + (f" where {r.where}" if r.where else "")
             ref = F.concat_ws("/", *[F.col(c).cast("string") for c in r.columns])
+            parts.append(bad.select(F.lit(name).alias("rule"), ref.alias("row_ref"), "n"))
         elif isinstance(r, Domain):
-            bad = df.where(F.col(r.column).isNotNull() & ~F.col(r.column).isin(list(r.values))).withColumn("n", F.lit(1))
-            name, ref = f"domain({r.column})", F.col(key).cast("string")
+            c = F.col(r.column)
+            cells.append(F.when(c.isNotNull() & ~c.isin(list(r.values)), F.lit(f"domain({r.column})")))
         else:
             none = reduce(lambda a, b: a & b, [tx.is_blank(F.col(c).cast("string")) for c in r.columns])
-            bad = df.where(none).withColumn("n", F.lit(1))
-            name, ref = f"one of({', '.join(r.columns)})", F.col(key).cast("string")
-        parts.append(bad.select(F.lit(name).alias("rule"), ref.alias("row_ref"), F.col("n").cast("bigint").alias("n")))
+            cells.append(F.when(none, F.lit(f"one of({', '.join(r.columns)})")))
+    if cells:  # all row-level rules in one pass
+        broken = df.select(F.explode(F.array_compact(F.array(*cells))).alias("rule"), F.col(key).cast("string").alias("row_ref"))
+        parts.append(broken.withColumn("n", F.lit(1).cast("bigint")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -269,8 +269,8 @@ def recon_summary(total: DataFrame, findings: DataFrame, incorrect: Sequence[str
         F.count_if(kind.isin(list(missing))).alias("missing"),
         F.count_if(kind.isin(list(manual))).alias("manual"),
     )
-    n = total.agg(F.count(F.lit(1)).alias("total"), F.count_if("is_confident").alias("confident"))
-    one = counts.withColumns({"total": n.select("total").scalar(), "confident": n.select("confident").scalar()})
+    n = total.agg(F.struct(F.count(F.lit(1)).alias("total"), F.count_if("is_confident").alias("confident"))).scalar()
+    one = counts.withColumn("_n", n).select("*", "_n.total", "_n.confident").drop("_n")
     one = one.withColumn("correct", F.greatest(F.expr("total - incorrect - missing - manual"), F.lit(0)))
     pct = lambda part, whole, empty: F.when(F.expr(whole) == 0, F.lit(empty)).otherwise(
         F.round(100.0 * F.expr(part) / F.nullif(F.expr(whole), F.lit(0)), 2)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterloom.functions.contain import MIN_LENGTH, contained, terms_in_texts
 from rosterloom.functions.similar import nearest
 from rosterloom.functions.skew import carry
+from rosterloom.session import durable
 from rosterloom.functions.text import EMAIL, PHONE_RUN, clean, emails_in, folded, has_email, is_blank
 
 
@@ -23,7 +24,9 @@ def match_contains(keys: DataFrame, key: str, dictionary: DataFrame, d_id: str,
     """Distinct keys with the dictionary name of closest length that contains the
     key or is contained in it (both at least four characters); ties to the
     smallest id."""
-    names = dictionary.groupBy(F.col(d_key).alias("_name")).agg(F.min(d_id).alias(d_id))
+    # both distinct sides are read several times: settle them once
+    keys = durable(keys.select(key).distinct())
+    names = durable(dictionary.groupBy(F.col(d_key).alias("_name")).agg(F.min(d_id).alias(d_id)))
     inside = contained(keys, key, names, "_name")
     around = contained(names, "_name", keys, key).select(key, "_name")
     pairs = inside.unionByName(around).join(names, "_name")
@@ -36,7 +39,7 @@ def match_station(
     a: DataFrame, key: str, children: DataFrame, parents: DataFrame, d_id: str, d_key: str
 ) -> DataFrame:
     """Organization of a free-text station, with the tier that settled it."""
-    keys = a.select(key).distinct()
+    keys = durable(a.select(key).distinct())
     tiers = []
     for tier, (kind, names) in enumerate(
         (("exact", children), ("exact", parents), ("contains", children), ("contains", parents)), 1
