@@ -8,9 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and separators the results depend on.
-BLANK = r"[\s\x{00A0}\x{200B}\x{FEFF}]"
-# every run of blanks but a single space, which needs no change
-BLANK_RUNS = rf" {BLANK}+|[\t\n\x0B\f\r\x{{00A0}}\x{{200B}}\x{{FEFF}}]{BLANK}*"
+BLANKS = "\t\n\x0b\f\r\u00a0\u200b\ufeff"
 PHONE_RUN = r"[0-9]{5,}"
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 SERIAL = r"^[0-9]+(\.[0-9]+)*\.?\s*"
@@ -23,7 +21,9 @@ DASHES = ("‐", "‑", "‒", "–", "—", "−")
 
 def clean(c: Column) -> Column:
     """Collapse whitespace (with no-break and zero-width blanks) and trim."""
-    return F.trim(F.regexp_replace(c, BLANK_RUNS, " "))
+    spaced = F.translate(c, BLANKS, " " * len(BLANKS))
+    # the pattern only runs where blanks touch
+    return F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
 
 
 def blank_to_null(c: Column) -> Column:
