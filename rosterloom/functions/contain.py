@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.session import spread
+
 MIN_LENGTH = 4
 
 
@@ -25,7 +27,7 @@ def contained(
     lo = longer.select(F.col(long_col)).where(F.length(long_col) >= min_length).distinct()
     sh = shorter.select(F.col(short_col)).where(F.length(short_col) >= min_length).distinct()
     lengths = sh.agg(F.sort_array(F.collect_set(F.length(short_col)))).scalar()
-    sized = lo.select(long_col, F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length(long_col))
+    sized = spread(lo, long_col).select(long_col, F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length(long_col))
     starts = F.sequence(F.lit(1), F.length(long_col) - F.col("_n") + 1)
     cuts = F.transform(starts, lambda i: F.substring(F.col(long_col), i, F.col("_n")))
     parts = sized.select(long_col, F.explode(F.array_distinct(cuts)).alias(short_col))
@@ -60,21 +62,26 @@ def terms_in_texts(
         term_col, "_term", F.coalesce("_inner", "_outer", "_term").alias("_anchor"),
         F.when(F.col("_inner").isNotNull(), "inner").when(F.col("_outer").isNotNull(), "outer").otherwise("break").alias("_kind"),
     )
-    found = None
     # the kinds that occur are looked up in the small term table first
-    for kind in sorted(r["_kind"] for r in t.select("_kind").distinct().collect()):
-        some = t.where(F.col("_kind") == kind)
-        low = F.lower(text_col)
-        pieces = F.regexp_extract_all(low, F.lit(f"({BREAKS})"), F.lit(1)) if kind == "break" else F.split(low, BREAKS)
+    kinds = {r["_kind"] for r in t.select("_kind").distinct().collect()}
+    low = F.lower(text_col)
+    found = None
+    for group, pieces in (
+        (("inner", "outer"), F.split(low, BREAKS)),
+        (("break",), F.regexp_extract_all(low, F.lit(f"({BREAKS})"), F.lit(1))),
+    ):
+        if not kinds & set(group):
+            continue
+        some = t.where(F.col("_kind").isin(list(group)))
         postings = texts.select(F.col(id_col), F.explode(F.array_distinct(pieces)).alias("_piece"))
-        if kind == "inner":
-            near = some.select(F.col("_anchor").alias("_piece"), "_anchor").distinct()
-        else:
-            near = contained(postings.select("_piece"), "_piece", some, "_anchor", min_length=1)
-        hits = postings.join(near, "_piece").select(id_col, "_anchor").distinct().join(some, "_anchor")
+        near = some.where("_kind = 'inner'").select(F.col("_anchor").alias("_piece"), "_anchor")
+        if kinds & set(group) - {"inner"}:
+            loose = some.where("_kind <> 'inner'")
+            near = near.unionByName(contained(postings.select("_piece"), "_piece", loose, "_anchor", min_length=1))
+        hits = postings.join(near.distinct(), "_piece").select(id_col, "_anchor").distinct().join(some, "_anchor")
         hits = hits.select(id_col, term_col, "_term")
         found = hits if found is None else found.unionByName(hits)
     whole = texts.select(id_col, F.lower(text_col).alias("_text"))
     if found is None:
         return texts.select(id_col, F.lit(None).cast("string").alias(term_col)).where(F.lit(False))
-    return whole.join(found, id_col).where(F.col("_text").contains(F.col("_term"))).select(id_col, term_col)
+    return whole.join(found.distinct(), id_col).where(F.col("_text").contains(F.col("_term"))).select(id_col, term_col)

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from rosterloom.session import durable
+from rosterloom.session import durable, spread
 
 NEAR = 2  # edits covered by deletion variants
 GRAM = 2
@@ -57,7 +57,7 @@ def variants(name: Column, edits: int) -> Column:
 
 def _names(df: DataFrame, block: Sequence[str], col: str, out: str) -> DataFrame:
     # checkpointed: every round below reads the distinct names again
-    return durable(df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct())
+    return durable(spread(df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct(), *block, out))
 
 
 def _meet(a: DataFrame, b: DataFrame, block: Sequence[str], edits: int) -> DataFrame:

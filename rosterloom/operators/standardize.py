@@ -47,9 +47,12 @@ def standardize(
 ) -> Standardized:
     """Replace columns by expressions over the old ones."""
     why = {c: reason if isinstance(reason, str) else reason[c] for c in new}
-    log = change_log(df, key, [(c, F.col(c), e, why[c]) for c, e in new.items()])
+    # the new value is a column of its own, so each test reads it instead of computing it
+    both = df.withColumns({f"_new_{c}": e for c, e in new.items()})
+    rows = both.select(*[F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in df.columns])
+    log = change_log(both, key, [(c, F.col(c), F.col(f"_new_{c}"), why[c]) for c in new])
     counts = log.groupBy("field", "reason").agg(F.count(F.lit(1)).alias("n_changes"))
-    return Standardized(df.withColumns(dict(new)), log, counts)
+    return Standardized(rows, log, counts)
 
 
 def clean_text(df: DataFrame, key: str, cols: Sequence[str]) -> Standardized:
