@@ -15,13 +15,13 @@ FOLD = "lower(trim(regexp_replace(COALESCE(%s, ''), '\\s+', ' ', 'g')))"
 @query(
     "e1_presence_diff",
     """WITH a AS (SELECT o_custkey AS grp, o_orderkey AS k, count(*) AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2),
-            b AS (SELECT o_custkey AS grp, l_orderkey AS k, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 2 GROUP BY 1, 2),
+            b AS (SELECT o_custkey AS grp, l_orderkey AS k, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
             j AS (SELECT COALESCE(a.grp, b.grp) AS grp, COALESCE(a.k, b.k) AS k, COALESCE(a.n, 0) AS n_a, COALESCE(b.n, 0) AS n_b FROM a FULL JOIN b ON a.grp = b.grp AND a.k = b.k)
        SELECT *, 'Missing' AS issue FROM j WHERE n_b = 0 UNION ALL SELECT *, 'Extra' FROM j WHERE n_a = 0 UNION ALL SELECT *, 'Duplicate' FROM j WHERE n_b > 1""",
 )
 def e1(t):
     a = t.orders.where("o_orderpriority <> '5-LOW'").selectExpr("o_custkey AS grp", "o_orderkey AS k")
-    lines = t.lineitem.where("l_linenumber <= 2").selectExpr("l_orderkey AS k")
+    lines = t.lineitem.selectExpr("l_orderkey AS k")
     b = lines.join(t.orders.selectExpr("o_custkey AS grp", "o_orderkey AS k"), "k")
     return rc.presence_diff(a, b, "grp", "k")
 
@@ -332,13 +332,13 @@ def e18_counts(t):
 
 @query(
     "e19_missing_rows",
-    """WITH a AS (SELECT DISTINCT l_orderkey AS ref_id, CAST(l_suppkey AS STRING) AS value FROM lineitem WHERE l_linenumber = 1), b AS (SELECT o_orderkey AS row_id, l_orderkey AS ref_id, CAST(l_suppkey AS STRING) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A')
+    """WITH a AS (SELECT DISTINCT l_orderkey AS ref_id, CAST(l_suppkey AS STRING) AS value FROM lineitem WHERE l_linestatus = 'O'), b AS (SELECT o_orderkey AS row_id, l_orderkey AS ref_id, CAST(l_suppkey AS STRING) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A')
        SELECT (SELECT max(row_id) FROM b) + row_number() OVER (ORDER BY ref_id, value) AS row_id, ref_id, value FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.ref_id = a.ref_id AND b.value = a.value)""",
 )
 def e19(t):
-    lines = t.lineitem.selectExpr("l_orderkey AS ref_id", "CAST(l_suppkey AS STRING) AS value", "l_linenumber", "l_returnflag")
+    lines = t.lineitem.selectExpr("l_orderkey AS ref_id", "CAST(l_suppkey AS STRING) AS value", "l_linestatus", "l_returnflag")
     b = lines.where("l_returnflag = 'A'").join(t.orders.selectExpr("o_orderkey AS row_id"), F.col("ref_id") == F.col("row_id"))
-    return rc.missing_rows(lines.where("l_linenumber = 1"), b.select("row_id", "ref_id", "value"), ["ref_id", "value"], "row_id")
+    return rc.missing_rows(lines.where("l_linestatus = 'O'"), b.select("row_id", "ref_id", "value"), ["ref_id", "value"], "row_id")
 
 
 @query(

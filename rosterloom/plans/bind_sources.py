@@ -68,13 +68,13 @@ def a3(t):
     return roster.read_blocks(t.spark, path).select("doc_id", "block_no", "block_kind", "text")
 
 
-REPORT_SQL = "SELECT finding_id, station, issue, name FROM {finding} WHERE category = 'Employee'"
+REPORT_SQL = "SELECT finding_id, station, issue, name FROM {finding}"
 
 
 @query("a4_write_report", REPORT_SQL)
 def a4(t):
     path = run_dir(t.spark, "report")
-    found = t.finding.where("category = 'Employee'").select("finding_id", "station", "issue", "name")
+    found = t.finding.select("finding_id", "station", "issue", "name")
     sinks.write_report(found, path, ["station", "issue", "name", "finding_id"], "csv", by="issue")
     schema = "finding_id bigint, station string, name string, issue string"
     return roster.read_table(t.spark, path, schema, "csv", header=True).select("finding_id", "station", "issue", "name")

@@ -77,16 +77,26 @@ def n5(t):
     return sm.read_latest(t.spark, f"{folder}/table", "user_id", order).drop("ts")
 
 
-@query(
-    "n6_status_machine",
-    HISTORY_SQL + """ SELECT event_id, person_id, CAST(ts AS VARCHAR) AS changed_at, old_status, new_status,
-      new_status <> 'ACTIVE' AND row_number() OVER (PARTITION BY person_id, new_status <> 'ACTIVE' ORDER BY ts, event_id) = 1 AS ends_role FROM h""",
-)
+MACHINE_SQL = HISTORY_SQL + """ SELECT event_id, person_id, CAST(ts AS VARCHAR) AS changed_at, old_status, new_status,
+    new_status <> 'ACTIVE' AND row_number() OVER (PARTITION BY person_id, new_status <> 'ACTIVE' ORDER BY ts, event_id) = 1 AS ends_role FROM h"""
+
+
+def _status_log(t):
+    return t.spark.sql(STATUS_EVENTS, audit=_log(t).withColumnRenamed("event_type", "action"))
+
+
+@query("n6_status_machine", MACHINE_SQL)
 def n6(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", sm.ROCKSDB)
-    log = _log(t).withColumnRenamed("event_type", "action")
-    events = t.spark.sql(STATUS_EVENTS, audit=log)
-    landed = _land(t, sm.status_machine(events, t.person), "status")
+    landed = _land(t, sm.status_machine(_status_log(t), t.person), "status")
+    return landed.withColumn("changed_at", F.col("ts").cast("string")).drop("ts")
+
+
+@query("n6_status_batches", MACHINE_SQL)
+def n6_batches(t):
+    folder = run_dir(t.spark, "status-batches")
+    sm.run_to_end(sm.status_batches(_status_log(t), t.person, folder), f"{folder}/checkpoint")
+    landed = t.spark.read.parquet(f"{folder}/history").drop("batch")
     return landed.withColumn("changed_at", F.col("ts").cast("string")).drop("ts")
 
 

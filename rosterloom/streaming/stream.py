@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from rosterloom.operators.history import apply_status
 from rosterloom.operators.stats import STATUSES
 
 
@@ -108,7 +109,8 @@ class StatusMachine(StatefulProcessor):
     """Per person: the current status and whether the roles are still open.
 
     Rows of a batch come unordered and are sorted by time; the source's rate limit
-    bounds what one batch can hold for one person.
+    bounds what one batch can hold for one person.  Where that is still too much,
+    ``status_batches`` gives the same rows.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -145,6 +147,44 @@ def status_machine(stream: DataFrame, people: DataFrame) -> DataFrame:
     )
 
 
+def status_batches(stream: DataFrame, people: DataFrame, path: str):
+    """The same history for logs where one person may hold much of a batch.
+
+    Every batch runs the batch operator, which cuts hot persons into chunks, on top
+    of the state left by earlier batches.  A repeated batch overwrites its folders
+    and reads only the state before it.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = read_state(spark, path, batch_id)
+        known = people.select("person_id", F.col("status").alias("_start")).join(state, "person_id", "left")
+        current = known.select("person_id", F.coalesce("status", "_start").alias("status"))
+        changes = apply_status(batch, current).withColumn("_at", F.struct("ts", "event_id"))
+        ended = state.where("ended").select("person_id")
+        first = changes.where("new_status <> 'ACTIVE'").join(ended, "person_id", "left_anti")
+        first = first.groupBy("person_id").agg(F.min("_at")["event_id"].alias("_ending"))
+        rows = changes.join(first, "person_id", "left").withColumn(
+            "ends_role", F.coalesce(F.col("event_id") == F.col("_ending"), F.lit(False))
+        )
+        rows.drop("_at", "_ending").write.mode("overwrite").parquet(f"{path}/history/batch={batch_id}")
+        left = rows.groupBy("person_id").agg(F.max_by("new_status", "_at").alias("status"), F.max("ends_role").alias("ended"))
+        left.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write)
+
+
+STATE = "person_id bigint, status string, ended boolean"
+
+
+def read_state(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """Status per person after the batches below ``before``."""
+    if before == 0:
+        return spark.createDataFrame([], STATE)
+    rows = spark.read.schema(f"{STATE}, batch bigint").parquet(f"{path}/state").where(F.col("batch") < before)
+    return rows.groupBy("person_id").agg(F.max_by("status", "batch").alias("status"), F.max("ended").alias("ended"))
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -36,6 +36,20 @@ def test_status_machine_equals_batch(spark, rows, tmp_path):
     assert rows(got.where("ends_role"), "person_id", "event_id") == rows(first)
 
 
+def test_status_batches_equal_the_machine(spark, rows, tmp_path):
+    events = write_log(spark, str(tmp_path / "log"))
+    people = spark.createDataFrame([(i, "ACTIVE" if i % 2 else "RETIRED") for i in range(5)], "person_id long, status string")
+    log = sm.read_log(spark, str(tmp_path / "log"), files_per_batch=1)
+    sm.run_to_end(sm.status_batches(log, people, str(tmp_path / "t")), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "t" / "history"))
+    assert got.select("batch").distinct().count() == 4
+    want = hs.apply_status(events, people)
+    cols = ["event_id", "person_id", "old_status", "new_status"]
+    assert rows(got, *cols) == rows(want, *cols)
+    first = want.where("new_status <> 'ACTIVE'").groupBy("person_id").agg(F.min("event_id"))
+    assert rows(got.where("ends_role"), "person_id", "event_id") == rows(first)
+
+
 def test_latest_state_over_batches(spark, rows, tmp_path):
     events = write_log(spark, str(tmp_path / "log"))
     log = sm.read_log(spark, str(tmp_path / "log"), files_per_batch=1)
