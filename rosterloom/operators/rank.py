@@ -1,7 +1,7 @@
 """Ranking, ordering and top-k listings.
 
-"Best row per organization" is a min over a struct, not a window: it combines on
-the map side, so an organization with a third of all people costs no more.
+"Best row per organization" is an aggregate, not a window: it combines on the map
+side, so an organization with a third of all people costs no more.
 """
 
 from __future__ import annotations
@@ -65,15 +65,14 @@ def resolve_heads(
     Only ACTIVE people count; a flagged person wins, then the best title, then
     the lowest id.  Excluded organizations have no head.
     """
-    live = people.where((F.col("status") == "ACTIVE") & F.col("org_id").isNotNull())
-    rank = tiers.rank(F.col("title"))
-    choice = F.struct(
-        F.when(F.col("flagged"), 0).otherwise(1).alias("unflagged"),
-        F.when(F.col("flagged"), 0).otherwise(rank).alias("priority"),
-        F.col("person_id"),
-        rank.alias("title_rank"),
+    live = people.where((F.col("status") == "ACTIVE") & F.col("org_id").isNotNull()).select(
+        "org_id", "person_id", F.when(F.col("flagged"), 0).otherwise(1).alias("unflagged"), tiers.rank(F.col("title")).alias("title_rank")
     )
-    best = live.groupBy("org_id").agg(F.min(choice).alias("best"))
+    # lowest id per rank first: a plain hash aggregate that leaves a few rows per organization
+    firsts = live.groupBy("org_id", "unflagged", "title_rank").agg(F.min("person_id").alias("person_id"))
+    priority = F.when(F.col("unflagged") == 1, F.col("title_rank")).otherwise(0)
+    choice = F.struct("unflagged", priority.alias("priority"), "person_id", "title_rank")
+    best = firsts.groupBy("org_id").agg(F.min(choice).alias("best"))
     if respect_exclusion:
         best = best.join(orgs.where(F.col("head_excluded")), "org_id", "left_anti")
     return best.select("org_id", "best.person_id", "best.title_rank")
@@ -90,11 +89,10 @@ def resolve_heads_scored(
     for points, words in tiers:
         for word in words:
             score = score.when(low.contains(word), points)
-    scored = people.withColumn("score", score.otherwise(0)).where("score > 0")
-    best = F.max(F.struct("score", (-F.col("person_id")).alias("neg_id"))).alias("best")
-    return scored.groupBy("org_id").agg(best).select(
-        "org_id", (-F.col("best.neg_id")).alias("person_id"), "best.score"
-    )
+    scored = people.select("org_id", "person_id", score.otherwise(0).alias("score")).where("score > 0")
+    firsts = scored.groupBy("org_id", "score").agg(F.min("person_id").alias("person_id"))
+    best = firsts.groupBy("org_id").agg(F.max("score").alias("score"), F.max_by("person_id", "score").alias("person_id"))
+    return best.select("org_id", "person_id", "score")
 
 
 def pinned_order(col: str, pins: Sequence[str]) -> list[Column]:
