@@ -9,9 +9,11 @@ follows how many names really are alike, not how many share a block or a prefix.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from pyspark.sql.types import DoubleType
 
 from rosterloom.session import durable, spread
 
+# the one Python function travels by value, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NEAR = 2  # edits covered by deletion variants
 GRAM = 2
 

@@ -6,10 +6,12 @@ Each function takes a streaming DataFrame with an event time of type TIMESTAMP.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -102,6 +104,9 @@ def land_stream(stream: DataFrame, path: str):
     return stream.writeStream.foreachBatch(write)
 
 
+# the processor travels by value, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HISTORY = "event_id bigint, person_id bigint, ts timestamp, old_status string, new_status string, ends_role boolean"
 
 
