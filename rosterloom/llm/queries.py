@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterloom.llm import mixing
+from rosterloom.llm import mixing, simhash
 
-QUERIES = {"op9_mix_sources": mixing.op9_mix_sources}
+QUERIES = {"op3_simhash": simhash.op3_simhash, "op9_mix_sources": mixing.op9_mix_sources}
 ORACLES = {"op9_mix_sources": mixing.OP9_SQL}
