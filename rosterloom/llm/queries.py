@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterloom.llm import mixing, simhash
+from rosterloom.llm import bpe, mixing, simhash, token_counts
 
-QUERIES = {"op3_simhash": simhash.op3_simhash, "op9_mix_sources": mixing.op9_mix_sources}
+QUERIES = {"op4_token_counts": token_counts.op4_token_counts, "op5_byte_bpe": bpe.op5_byte_bpe, "op3_simhash": simhash.op3_simhash, "op9_mix_sources": mixing.op9_mix_sources}
 ORACLES = {"op9_mix_sources": mixing.OP9_SQL}

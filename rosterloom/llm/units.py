@@ -1,0 +1,75 @@
+"""Texts cut at spaces into units that can be encoded one by one, with a bounded memory of units.
+
+A byte-level pattern that takes an optional space before letters, digits or signs always begins a new
+match at a space that a non-space follows.  So a text is encoded unit by unit, a unit being what
+stands between two spaces, and units seen before are looked up.  A unit that is empty or begins with
+white space depends on its neighbours; one that holds a character above ``SAFE``, or the
+text of a special token, may be cut differently by the library.  Each of these raises
+``InContext`` and its whole text is handed to the slow, exact way.
+"""
+
+from __future__ import annotations
+
+import re
+
+from rosterloom.llm.common import by_value
+
+by_value(__name__)
+
+# Code points on whose class (letter, digit, space) all libraries agree, that NFC leaves alone and whose
+# lower case is one letter below U+02B0: below U+0230 without U+001C-U+001F (space or not) and U+0130.
+SAFE = "\\x00-\\x1b\\x20-\\u012f\\u0131-\\u022f"
+UNITS = 400_000  # units a worker remembers; it forgets all when there are more
+
+
+class InContext(Exception):
+    """The unit's encoding depends on the text around it."""
+
+
+class Units(dict):
+    """unit -> value; ``make(unit)`` is asked for unknown ones.
+
+    With ``in_context`` a unit that is empty or begins with white space is refused.
+    """
+
+    def __init__(self, make, specials=(), in_context=True, limit=UNITS):
+        import re
+
+        super().__init__()
+        self.make, self.limit = make, limit
+        edges = [r"\A\s", r"\A\Z"] if in_context else []
+        self.unsafe = re.compile("|".join([f"[^{SAFE}]", *edges, *map(re.escape, specials)])).search
+
+    def __missing__(self, unit):
+        if self.unsafe(unit):
+            raise InContext(unit)
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[unit] = self.make(unit)
+        return value
+
+    def absent(self, units: set) -> set:
+        """The units not yet known; when they would not fit, all others are forgotten first."""
+        new = units.difference(self)
+        if len(self) + len(new) <= self.limit:
+            return new
+        self.clear()
+        return units
+
+
+def class_pattern(pattern: str) -> re.Pattern:
+    r"""``pattern`` for the standard module, with \p{L}, \p{N} and \s spelled out for ``SAFE`` and the lower case of it."""
+    import re
+
+    import regex
+
+    safe = [c for c in map(chr, range(0x2B0)) if c >= "\u0230" or re.match(f"[{SAFE}]", c)]
+    spelled = {k: "".join(f"\\u{ord(c):04x}" for c in safe if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    not_space = f"[^{spelled[r'\s']}]"
+    out = pattern.replace(r"(?!\S)", f"(?!{not_space})")
+    for k, chars in spelled.items():
+        # inside a class the characters stand bare, outside they make one
+        out = re.sub(r"\[([^\]]*)\]", lambda m: "[" + m[1].replace(k, chars) + "]", out)
+    for k, chars in spelled.items():
+        out = out.replace(k, f"[{chars}]")
+    return re.compile(out)
