@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import by_value, table, whole, worker_store
-from rosterloom.llm.units import InContext, Units, class_pattern
+from rosterloom.llm.pretokens import PreTokens, parts_of
 
 by_value(__name__)
 
 NO_RANK = 1 << 30
 SHORT = 64  # bytes; longer pre-tokens have a tree of their own
-TOGETHER = 1 << 21  # characters of text whose unknown pre-tokens are encoded together
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -205,42 +204,28 @@ def encode_tokens(tokens: Iterable[bytes], ranks: Ranks) -> dict[bytes, bytes]:
 
 
 class Encoder:
-    """Encodes texts; ids are little-endian unsigned 32-bit integers.
-
-    ``units`` maps what stands between two spaces to the ids of it and the space before it.
-    """
+    """Encodes texts; ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: list[bytes], pattern: str):
         import regex
 
-        self.ranks = Ranks(vocabulary)
-        self.cut_any, self.cut = regex.compile(pattern).findall, class_pattern(pattern).findall
-        self.units = Units(lambda unit: self.alone(self.cut(" " + unit)))
-
-    def alone(self, pre_tokens: list[str]) -> bytes:
-        ranks = self.ranks
-        return b"".join([ranks.alone.get(b) or encode_long(b, ranks) for b in map(str.encode, pre_tokens)])
-
-    def prepare(self, texts: list[str]) -> None:
-        """Encode the unknown units of all texts together."""
-        seen = set()
-        for t in texts:
-            seen.update(t.split(" ")[1:])
-        cuts = {u: [p.encode() for p in self.cut(" " + u)] for u in self.units.absent(seen) if not self.units.unsafe(u)}
-        tokens = set()
-        for pieces in cuts.values():
-            tokens.update(pieces)
-        known = encode_tokens(tokens, self.ranks)
-        self.units.update({u: b"".join(map(known.__getitem__, pieces)) for u, pieces in cuts.items()})
-
-    def encode(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        try:
-            if head and self.units.unsafe(head):
-                raise InContext(head)
-            return self.alone(self.cut(head)) + b"".join(map(self.units.__getitem__, rest))
-        except InContext:
-            return self.alone(self.cut_any(text))
+        self.ranks, self.cut_any = Ranks(vocabulary), regex.compile(pattern).findall
+        self.pre_tokens = PreTokens(pattern, self.encode_many)
+
+    def encode_many(self, pre_tokens: Iterable[str]) -> dict[str, bytes]:
+        coded = {p: p.encode() for p in pre_tokens}
+        ids = encode_tokens(coded.values(), self.ranks)
+        return {p: ids[b] for p, b in coded.items()}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cuts = self.pre_tokens.cut(texts)
+        ids_of = self.pre_tokens.known.__getitem__
+        return [b"".join(map(ids_of, words)) if words is not None else self.alone(t) for t, words in zip(texts, cuts)]
+
+    def alone(self, text: str) -> bytes:
+        words = self.cut_any(text)
+        ids = self.encode_many(set(words))
+        return b"".join(map(ids.__getitem__, words))
 
 
 def decode(ids, vocabulary: list[bytes]) -> bytes:
@@ -263,28 +248,19 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         encoder, decimals = store[path]
         vocabulary = encoder.ranks.vocabulary
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            at = 0
-            while at < len(texts):
-                part, chars = at, 0
-                while at < len(texts) and (at == part or chars < TOGETHER):
-                    chars += len(texts[at])
-                    at += 1
-                encoder.prepare(texts[part:at])
-                n, coded, digests, decoded = [], [], [], []
-                for t in texts[part:at]:
-                    raw = encoder.encode(t)
+            n, coded, digests, decoded = [], [], [], []
+            for texts in parts_of(batch["text"].to_pylist()):
+                for raw in encoder.encode(texts):
                     ids = np.frombuffer(raw, dtype="<u4").tolist()
                     n.append(len(ids))
                     digests.append(hashlib.sha256(b",".join(map(decimals.__getitem__, ids))).hexdigest())
                     decoded.append(hashlib.sha256(decode(ids, vocabulary)).hexdigest())
                     if keep_ids:
                         coded.append(raw)
-                columns = [batch["id"].slice(part, at - part), pa.array(n, pa.int64()), pa.array(digests), pa.array(decoded)]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    columns, names = [*columns, pa.array(coded, pa.binary())], [*names, "ids"]
-                yield pa.record_batch(columns, names=names)
+            columns, names = [batch["id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                columns, names = [*columns, pa.array(coded, pa.binary())], [*names, "ids"]
+            yield pa.record_batch(columns, names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
