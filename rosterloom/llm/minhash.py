@@ -355,3 +355,45 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# Exact: pairs meet on one of a set's rarest shingles (a set of n can miss at most 15 % of n), then full sets are compared.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+                                   WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                                   ELSE list_transform(range(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS g
+        FROM w)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), f AS (
+    SELECT g, count(*) AS df FROM s GROUP BY g
+), r AS (
+    SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.df, s.g) AS place
+    FROM s JOIN f USING (g) JOIN n USING (doc_id)
+), c AS (
+    SELECT DISTINCT a.doc_id AS a, b.doc_id AS b
+    FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id
+    WHERE a.place <= a.n - (85 * a.n + 99) // 100 + 1 AND b.place <= b.n - (85 * b.n + 99) // 100 + 1
+      AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), shared AS (
+    SELECT c.a, c.b, count(*) AS k FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY c.a, c.b
+), link AS (
+    SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)
+), either AS (
+    SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+    SELECT a AS doc_id, a AS other FROM either
+    UNION
+    SELECT reach.doc_id, either.b FROM reach JOIN either ON either.a = reach.other
+), comp AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.component_id, w.doc_id) AS component_id,
+       w.doc_id = coalesce(comp.component_id, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""

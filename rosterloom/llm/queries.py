@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from rosterloom.llm import bpe, itq, licenses, minhash, mixing, quality, simhash, token_counts, token_files, toxicity
 
-QUERIES = {"op6_embedding_dedup": itq.op6_embedding_dedup, "op7_licenses": licenses.op7_licenses, "op10_minhash": minhash.op10_minhash, "op2_quality": quality.op2_quality, "op8_toxicity": toxicity.op8_toxicity, "op1_token_files": token_files.op1_token_files, "op4_token_counts": token_counts.op4_token_counts, "op5_byte_bpe": bpe.op5_byte_bpe, "op3_simhash": simhash.op3_simhash, "op9_mix_sources": mixing.op9_mix_sources}
-ORACLES = {"op9_mix_sources": mixing.OP9_SQL}
+QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
+    "op2_quality": quality.op2_quality,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_embedding_dedup": itq.op6_embedding_dedup,
+    "op7_licenses": licenses.op7_licenses,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_minhash": minhash.op10_minhash,
+    "pipeline": corpus_pipeline.run,
+}
+
+ORACLES = {
+    "op9_mix_sources": mixing.OP9_SQL,
+    "op10_minhash": minhash.OP10_SQL,
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
