@@ -366,7 +366,7 @@ WITH RECURSIVE w AS (
     SELECT DISTINCT doc_id, g FROM (
         SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
                                    WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
-                                   ELSE list_transform(range(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS g
+                                   ELSE [words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] for i in range(1, len(words) - 1)] END) AS g
         FROM w)
 ), n AS (
     SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
