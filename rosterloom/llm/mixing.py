@@ -111,27 +111,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     )
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, id_col: str = "doc_id") -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents themselves, whole, as often as the mix takes them (nearest whole number of times).
 
     Only the document on which a source's budget ends can differ from the word count.
     A document without words follows its place in the order.  Texts are not shuffled by key.
     """
     key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    plan = mix_plan(landed(sized(docs, id_col), "mix-sizes"), weights, share, max_epochs)
-    plan = plan.select(F.col("source").alias("_m_source"), *[F.col(c).alias(f"_m_{c}") for c in ("epochs", "cut_key", "cut_take", "cut_words")])
+    plan = mix_plan(landed(sized(docs, id_col, source_col=source_col), "mix-sizes"), weights, share, max_epochs)
+    plan = plan.withColumnRenamed("source", "plan_source")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col(source_col).alias("source"))
     extra = (
-        F.when(F.col("_m_cut_key").isNull() | (F.col("_m_key") > F.col("_m_cut_key")), 0)
-        .when(F.col("_m_key") < F.col("_m_cut_key"), 1)
-        .otherwise(F.when(2 * F.col("_m_cut_take") >= F.col("_m_cut_words"), 1).otherwise(0))
-    )
-    times = (F.col("_m_epochs") + extra).cast("int")
-    return (
-        docs.withColumn("_m_key", key)
-        .join(plan, F.col("source").eqNullSafe(F.col("_m_source")))
-        .withColumn("_m_copy", F.explode(F.array_repeat(F.lit(0), times)))
-        .select(*[docs[c] for c in docs.columns])
+        F.when(F.col("cut_key").isNull() | (F.col("key") > F.col("cut_key")), 0)
+        .when(F.col("key") < F.col("cut_key"), 1)
+        .otherwise(F.when(2 * F.col("cut_take") >= F.col("cut_words"), 1).otherwise(0))
     )
+    times = (F.col("epochs") + extra).cast("int")
+    repeated = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select("row", F.explode(F.array_repeat(F.lit(0), times)))
+    return repeated.select("row.*")
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
