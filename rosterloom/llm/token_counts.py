@@ -12,27 +12,20 @@ whole; rows that repeat an id have a result each; further columns are kept out o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import by_value, table, whole, worker_store
-from rosterloom.llm.units import InContext, Units, class_pattern
+from rosterloom.llm.pretokens import PreTokens, bytes_of_signs, parts_of
 
 by_value(__name__)
 
 LIMIT = 2048
 
 
-def bytes_of_signs() -> dict[str, int]:
-    """The byte that each sign of a byte-level vocabulary stands for: printable ones stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def proven_whole(tokenizer) -> set[str]:
     """Vocabulary strings that alone encode as their one token."""
     end, signs = tokenizer.model.end_of_word_suffix or "", bytes_of_signs()
@@ -54,7 +47,7 @@ def split_pattern(tokenizer) -> str:
 
 
 class Counter:
-    """Counts the tokens of a text like the tokenizer does."""
+    """Counts the tokens of texts like the tokenizer does."""
 
     def __init__(self, tokenizer_json: str, proven: set[str]):
         import os
@@ -62,23 +55,20 @@ class Counter:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cut = class_pattern(split_pattern(self.tokenizer)).findall
-        self.proven = proven
+        self.tokenizer, self.proven = Tokenizer.from_str(tokenizer_json), proven
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.units = Units(self.count_unit, specials, in_context=False)
-
-    def merged(self, pre_token: str) -> int:
-        return len(self.tokenizer.encode(pre_token, add_special_tokens=False).ids)
+        self.pre_tokens = PreTokens(split_pattern(self.tokenizer), self.count_many, specials, lower=True)
 
-    def count_unit(self, unit: str) -> int:
-        return sum(1 if p in self.proven else self.merged(p) for p in self.cut(unit.lower()))
+    def count_many(self, pre_tokens: Iterable[str]) -> dict[str, int]:
+        """One for proven pre-tokens; the rest is merged by the library."""
+        rest = [p for p in pre_tokens if p not in self.proven]
+        merged = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        return dict.fromkeys(pre_tokens, 1) | {p: len(e) for p, e in zip(rest, merged)}
 
-    def count(self, text: str) -> int:
-        try:
-            return sum(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
-        except InContext:
-            return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+    def count(self, texts: list[str]) -> list[int]:
+        cuts = self.pre_tokens.cut(texts)
+        count_of = self.pre_tokens.known.__getitem__
+        return [sum(map(count_of, words)) if words is not None else len(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0]) for t, words in zip(texts, cuts)]
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -95,7 +85,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             store[path] = Counter(*shared.value)
         counter = store[path]
         for batch in batches:
-            n = [counter.count(t) for t in batch["text"].to_pylist()]
+            n = [n for texts in parts_of(batch["text"].to_pylist()) for n in counter.count(texts)]
             yield pa.record_batch([batch["id"], batch["n_bytes"], pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(whole(text_col)).cast("bigint").alias("n_bytes"), whole(text_col).alias("text"))
