@@ -1,14 +1,10 @@
 """Ordered (window-like) work that survives one key holding a third of all rows.
 
-A plain window sends every row of a key to one task.  Here each key with more
-than ``rows_per_chunk`` rows is cut into consecutive chunks along its numeric
-order column; the window runs per (key, chunk) and a small per-chunk summary
-carries the state of earlier chunks forward.  The cut uses only count, min and
-max per key, so a recomputed task always sees the same chunks.
-
-Both broadcast sides have a proven bound: only keys above ``rows_per_chunk``
-rows are in them, so they hold at most 1 (hot keys) and 2 (their chunks) rows
-per ``rows_per_chunk`` input rows.
+A plain window sends every row of a key to one task.  Here the rows are range-partitioned by
+(key, order), so a large key is cut by position into as many ranges as it fills, whatever the
+type or spread of its order.  The window runs inside each range, and the last row of a range hands
+what it has seen of its key on to the later ranges, where it is added to the rows of
+that key.  All of it is one lazy plan over one scan; the results do not depend on where the cuts fall.
 """
 
 from __future__ import annotations
@@ -20,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_CHUNK = 2_000_000
-
 
 def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(
@@ -29,39 +23,6 @@ def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Colum
     )
 
 
-def _sizes(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int) -> DataFrame:
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(order).cast("double").alias("_lo"),
-            F.max(order).cast("double").alias("_hi"),
-        )
-        .where(F.col("_n") > rows_per_chunk)
-    )
-
-
-def has_hot_key(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> bool:
-    """One count per key (only the key is read) that stops at the first hot key."""
-    return not _sizes(df, keys, order, rows_per_chunk).isEmpty()
-
-
-def chunked(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """Add ``_chunk`` (null for keys small enough for one task)."""
-    hot = _sizes(df, keys, order, rows_per_chunk).select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        "_lo",
-        ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows_per_chunk)).alias("_step"),
-    )
-    return (
-        df.join(F.broadcast(hot), _same_keys(df, hot, keys), "left")
-        .withColumn("_chunk", F.floor((F.col(order).cast("double") - F.col("_lo")) / F.col("_step")))
-        .drop("_lo", "_step", *[f"_r_{k}" for k in keys])
-    )
-
-
 def carry(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,72 +31,65 @@ def carry(
     sums: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None,
     lag: dict[str, Column] | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    hot: bool | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Running state per key in the order of ``order`` (first column numeric).
+    """Running state per key in the order of ``order`` (nulls first, as in a window).
 
     ``number`` names a 1-based row number; ``sums`` are running totals up to and
     including the row; ``last`` the last non-null value up to and including the
-    row; ``lag`` the value of the row before.
+    row; ``lag`` the value of the row before.  Rows that are equal in keys and order
+    stay in one range, so ``order`` should end in a unique column.
 
-    ``hot`` says whether some key needs chunks; by default it is looked up.
-    Without hot keys this is one plain window.  With them the chunked rows are
-    checkpointed once, as both the summaries and the rows read them.
+    ``ranges`` (default: the shuffle partitions) is the number of ranges.  A range hands at most one
+    row to each later one, so these rows number less than half its square.
     """
     sums, last, lag = sums or {}, last or {}, lag or {}
-    if hot is None:
-        hot = has_hot_key(df, keys, order[0], rows_per_chunk)
     made = {number, *sums, *last, *lag}
     kept = [c for c in df.columns if c not in made]
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = df.withColumns({f"_v_{out}": v for out, v in {**sums, **last, **lag}.items()}) if sums or last or lag else df
-    parts = [*keys]
-    if hot:
-        from rosterloom.session import durable
+    cut = base.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id())
 
-        base = durable(chunked(base, keys, order[0], rows_per_chunk))
-        parts.append("_chunk")
-
-    inside = W.partitionBy(*parts).orderBy(*order)
+    inside = W.partitionBy("_range", *keys).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    local = {"_l_row": F.row_number().over(inside)}
+    local = {"_l_row": F.row_number().over(inside).cast("bigint")}
     local |= {f"_l_{o}": F.sum(f"_v_{o}").over(upto) for o in sums}
     local |= {f"_l_{o}": F.last(f"_v_{o}", ignorenulls=True).over(upto) for o in last}
     local |= {f"_l_{o}": F.lag(f"_v_{o}").over(inside) for o in lag}
-    rows = base.select("*", *[e.alias(n) for n, e in local.items()])
-    if not hot:
-        out = [F.col("_l_row").cast("bigint").alias(number)] if number else []
-        out += [F.coalesce(f"_l_{o}", F.lit(0)).alias(o) for o in sums]
-        out += [F.col(f"_l_{o}").alias(o) for o in (*last, *lag)]
-        return rows.select(*kept, *out)
-
-    brought_in = _brought(base, keys, order, sums, last, lag)
-    rows = rows.join(F.broadcast(brought_in), _same_keys(rows, brought_in, parts), "left")
+    ends = F.lead(F.lit(True)).over(W.partitionBy("_range").orderBy(*keys, *order)).isNull()
+    rows = cut.select("*", *[e.alias(name) for name, e in local.items()], ends.alias("_ends"))
+
+    # the row itself, and for the end of a range the state it hands on
+    state = F.struct(
+        F.col("_range").alias("from"),
+        F.col("_l_row").alias("rows"),
+        *[F.col(f"_l_{o}").alias(f"s_{o}") for o in (*sums, *last)],
+        *[F.col(f"_v_{o}").alias(f"s_{o}") for o in lag],
+    )
+    row = F.struct(*kept, *local)
+    own = F.array(F.struct(F.col("_range").alias("_at"), row.alias("_row"), F.when(F.lit(False), state).alias("_state")))
+    later = F.transform(
+        F.sequence(F.col("_range") + 1, F.lit(n - 1)),
+        lambda t: F.struct(t.alias("_at"), F.when(F.lit(False), row).alias("_row"), state.alias("_state")),
+    )
+    handed = F.when(F.col("_ends") & (F.col("_range") < n - 1), F.concat(own, later)).otherwise(own)
+    handed = rows.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(handed).alias("_e"))
+    handed = handed.select(*[f"_k_{k}" for k in keys], "_e.*")
+
+    group = W.partitionBy("_at", *[f"_k_{k}" for k in keys])
+    brought = {"_b_rows": F.sum("_state.rows").over(group)}
+    brought |= {f"_b_{o}": F.sum(f"_state.s_{o}").over(group) for o in sums}
+    seen = lambda o: F.when(F.col(f"_state.s_{o}").isNotNull(), F.col("_state.from"))
+    brought |= {f"_b_{o}": F.max_by(F.col(f"_state.s_{o}"), seen(o)).over(group) for o in last}
+    brought |= {f"_b_{o}": F.max_by(F.struct(f"_state.s_{o}"), F.col("_state.from")).over(group)[f"s_{o}"] for o in lag}
+    got = handed.select("_row", *[e.alias(name) for name, e in brought.items()]).where(F.col("_row").isNotNull())
+    got = got.select("_row.*", *brought)
+
     out = [(F.col("_l_row") + F.coalesce("_b_rows", F.lit(0))).cast("bigint").alias(number)] if number else []
     out += [(F.coalesce(f"_l_{o}", F.lit(0)) + F.coalesce(f"_b_{o}", F.lit(0))).alias(o) for o in sums]
     out += [F.coalesce(f"_l_{o}", f"_b_{o}").alias(o) for o in last]
     out += [F.when(F.col("_l_row") == 1, F.col(f"_b_{o}")).otherwise(F.col(f"_l_{o}")).alias(o) for o in lag]
-    return rows.select(*kept, *out)
-
-
-def _brought(base: DataFrame, keys, order, sums, last, lag) -> DataFrame:
-    """State that each chunk of a hot key takes over from the chunks before it."""
-    position = F.struct(*[F.col(o) for o in order])
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.sum(f"_v_{o}").alias(f"_s_{o}") for o in sums]
-    for o in last:
-        seen = F.when(F.col(f"_v_{o}").isNotNull(), position)
-        aggs.append(F.max_by(F.col(f"_v_{o}"), seen).alias(f"_s_{o}"))
-    for o in lag:
-        aggs.append(F.max_by(F.struct(F.col(f"_v_{o}")), position)[f"_v_{o}"].alias(f"_s_{o}"))
-    chunks = base.where(F.col("_chunk").isNotNull()).groupBy(*keys, "_chunk").agg(*aggs)
-    step = W.partitionBy(*keys).orderBy("_chunk")
-    before = step.rowsBetween(W.unboundedPreceding, -1)
-    out = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_b_rows")]
-    out += [F.sum(f"_s_{o}").over(before).alias(f"_b_{o}") for o in sums]
-    out += [F.last(f"_s_{o}", ignorenulls=True).over(before).alias(f"_b_{o}") for o in last]
-    out += [F.lag(f"_s_{o}").over(step).alias(f"_b_{o}") for o in lag]
-    return chunks.select(*[F.col(n).alias(f"_r_{n}") for n in (*keys, "_chunk")], *out)
+    return got.select(*kept, *out)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], unique: str, salts: int = 64) -> DataFrame:

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.functions.skew import ROWS_PER_CHUNK, carry
+from rosterloom.functions.skew import carry
 
 from .stats import STATUSES
 
 
 def apply_status(
-    events: DataFrame, people: DataFrame, statuses: Sequence[str] = STATUSES, rows_per_chunk: int = ROWS_PER_CHUNK
+    events: DataFrame, people: DataFrame, statuses: Sequence[str] = STATUSES, ranges: int | None = None
 ) -> DataFrame:
     """Status history (event_id, person_id, ts, old_status, new_status).
 
@@ -23,7 +23,7 @@ def apply_status(
     valid = events.where(F.col("new_status").isin(list(statuses))).withColumn(
         "_us", F.unix_micros(F.col("ts").cast("timestamp"))
     )
-    seen = carry(valid, ["person_id"], ["_us", "event_id"], lag={"_before": F.col("new_status")}, rows_per_chunk=rows_per_chunk)
+    seen = carry(valid, ["person_id"], ["_us", "event_id"], lag={"_before": F.col("new_status")}, ranges=ranges)
     start = people.select("person_id", F.col("status").alias("_start"))
     old = F.coalesce("_before", "_start")
     return (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
 from rosterloom.functions.contain import contained
-from rosterloom.functions.skew import ROWS_PER_CHUNK, carry, has_hot_key
+from rosterloom.functions.skew import carry
 
 # Fixed values.
 NUMBERED_TITLE = r"^[0-9]+(\.[0-9]+)*\.\s*[A-Za-z]"
@@ -23,9 +23,9 @@ ADDRESS_WORDS = ("road no", "plot no", "sector ", "flat ", "survey", "pin code",
 SEPARATOR_LINE = r"^[\s\-_=*.#~|]+$"
 
 
-def fill_heading(blocks: DataFrame, doc: str, order: str, is_heading: Column, text: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def fill_heading(blocks: DataFrame, doc: str, order: str, is_heading: Column, text: str, ranges: int | None = None) -> DataFrame:
     """Add ``heading``: the text of the last heading up to the row."""
-    return carry(blocks, [doc], [order], last={"heading": F.when(is_heading, F.col(text))}, rows_per_chunk=rows_per_chunk)
+    return carry(blocks, [doc], [order], last={"heading": F.when(is_heading, F.col(text))}, ranges=ranges)
 
 
 def fill_levels(blocks: DataFrame, doc: str, order: str, is_section: Column, is_heading: Column, text: str) -> DataFrame:
@@ -71,9 +71,8 @@ def mark_sections(rows: DataFrame, doc: str, order: str, cells: str, names: Data
         .withColumn("_known", F.lit(True))
     )
 
-    hot = has_hot_key(rows, [doc], order)
-    rows = carry(rows, [doc], [order], number="_no", hot=hot).withColumn("_back", -F.col("_no"))
-    rows = carry(rows, [doc], ["_back"], last={"_next_header": F.when(header, F.col("_no"))}, hot=hot)
+    rows = carry(rows, [doc], [order], number="_no").withColumn("_back", -F.col("_no"))
+    rows = carry(rows, [doc], ["_back"], last={"_next_header": F.when(header, F.col("_no"))})
     rows = rows.join(known, "_key", "left")
     confirmed = F.coalesce((F.col("_next_header") - F.col("_no")) <= 2, F.lit(False)) & F.coalesce("_known", F.lit(False))
     kind = (

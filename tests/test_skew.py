@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rosterloom.functions.skew import carry, has_hot_key, numbered_by_range, salted_join
+from rosterloom.functions.skew import carry, numbered_by_range, salted_join
 from rosterloom.operators import history as hs
 from rosterloom.operators import segment as sg
 
@@ -33,18 +33,43 @@ def expected(df):
     )
 
 
-@pytest.mark.parametrize("size", [7, 50, 10_000])
-def test_carry_equals_window(data, rows, size):
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_carry_equals_window(data, rows, ranges):
     got = carry(
         data, ["k"], ["pos", "id"], number="no", sums={"total": F.col("flag").cast("bigint")},
-        last={"seen": F.col("v")}, lag={"before": F.col("v")}, rows_per_chunk=size,
+        last={"seen": F.col("v")}, lag={"before": F.col("v")}, ranges=ranges,
     )
     assert rows(got, "id", "no", "total", "seen", "before") == rows(expected(data))
 
 
-def test_has_hot_key(data):
-    assert has_hot_key(data, ["k"], "pos", 100)
-    assert not has_hot_key(data, ["k"], "pos", 1000)
+ORDERS = {
+    "null": "CASE WHEN id % 5 > 0 THEN pos END",
+    "tied": "id % 3",
+    "negative": "pos - 9000",
+    "descending": "-pos",
+    "clustered": "CASE WHEN id % 50 = 0 THEN pos * 1000000 ELSE pos % 7 END",
+    "text": "'t' || CAST(pos % 1000 AS STRING)",
+}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+def test_carry_of_any_order(data, rows, kind):
+    df = data.withColumn("pos", F.expr(ORDERS[kind]))
+    got = carry(df, ["k"], ["pos", "id"], number="no", sums={"total": F.col("flag").cast("bigint")}, last={"seen": F.col("v")}, lag={"before": F.col("v")}, ranges=17)
+    assert rows(got, "id", "no", "total", "seen", "before") == rows(expected(df))
+
+
+def test_carry_cuts_by_position(spark):
+    """One far value does not leave a hot key in one range, and nothing runs before the result is asked for."""
+    df = spark.createDataFrame([("hot", i if i else 10**15) for i in range(5000)], "k string, pos long").repartition(6)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = carry(df, ["k"], ["pos"], number="no", ranges=20)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 1 and "Join" not in plan
+    sizes = [r["count"] for r in df.repartitionByRange(20, "k", "pos").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 2 * 5000 / 20
+    assert got.agg(F.count_distinct("no"), F.max("no")).head() == (5000, 5000)
 
 
 def test_numbered_by_range(data, rows):
@@ -66,7 +91,7 @@ def test_fill_heading_over_chunks(spark, rows):
         "doc string, no long, h boolean, text string",
     )
     one = sg.fill_heading(blocks, "doc", "no", F.col("h"), "text")
-    cut = sg.fill_heading(blocks, "doc", "no", F.col("h"), "text", rows_per_chunk=8)
+    cut = sg.fill_heading(blocks, "doc", "no", F.col("h"), "text", ranges=8)
     assert rows(cut, "doc", "no", "heading") == rows(one, "doc", "no", "heading")
     assert ("e", 1, None) in rows(cut, "doc", "no", "heading")
 
@@ -79,5 +104,5 @@ def test_apply_status_over_chunks(spark, rows):
     ).withColumn("ts", F.timestamp_micros("us"))
     people = spark.createDataFrame([(0, "ACTIVE"), (1, "RETIRED")], "person_id long, status string")
     one = hs.apply_status(events, people)
-    cut = hs.apply_status(events, people, rows_per_chunk=9)
+    cut = hs.apply_status(events, people, ranges=9)
     assert rows(cut, "event_id", "old_status", "new_status") == rows(one, "event_id", "old_status", "new_status")
