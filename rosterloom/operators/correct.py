@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
+from rosterloom.functions.joins import join_on
 from rosterloom.functions.skew import numbered_by_range
 
 from .reconcile import _first_rows, wrong_group
@@ -26,7 +27,7 @@ def propose(a: DataFrame, b: DataFrame, keys: Sequence[str], b_id: str, order: s
     that differs, or an email where B holds several, is left to a person.
     """
     cols = [title, phone, email]
-    j = _first_rows(a, keys, order, cols, "a").join(_first_rows(b, keys, order, [*cols, b_id], "b"), list(keys), "full")
+    j = join_on(_first_rows(a, keys, order, cols, "a"), _first_rows(b, keys, order, [*cols, b_id], "b"), keys, "left")
     j = j.where(F.col("in_a").isNotNull())
     both = F.col("in_b").isNotNull()
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
+from rosterloom.functions.joins import join_on
 from rosterloom.functions.rules import Rule, first_match
 from rosterloom.functions.similar import nearest
 
@@ -59,7 +60,7 @@ def exact_dups(df: DataFrame, evidence: Sequence[str], id_col: str) -> DataFrame
 def near_dups(df: DataFrame, deleted: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     """Survivors that still share name and group: different evidence, for review."""
     left = df.join(deleted.select(id_col), id_col, "left_anti")
-    return left.join(dup_keys(left, keys), list(keys))
+    return join_on(left, dup_keys(left, keys), keys)
 
 
 def orphan_dups(df: DataFrame, key: str, ref: str, id_col: str) -> DataFrame:
@@ -129,12 +130,12 @@ def backfill(
         F.min(F.nullif(tx.folded(F.col(title)), F.lit(""))).alias("_t_lo"),
         F.max(F.nullif(tx.folded(F.col(title)), F.lit(""))).alias("_t_hi"),
     )
-    exact = need.join(donors, [block, "_k"]).withColumn("is_exact", F.lit(True))
-    rest = need.join(donors, [block, "_k"], "left_anti").where(F.length("_k") >= 4)
-    close = nearest(rest, "_k", have, "_k", [block], threshold).select(block, F.col("a_name").alias("_k"), F.col("b_name").alias("_bk"))
-    fuzzy = rest.join(close, [block, "_k"]).join(
-        donors.withColumnRenamed("_k", "_bk"), [block, "_bk"]
-    ).withColumn("is_exact", F.lit(False)).drop("_bk")
+    exact = join_on(need, donors, [block, "_k"]).withColumn("is_exact", F.lit(True))
+    rest = join_on(need, donors, [block, "_k"], "left_anti").where(F.length("_k") >= 4)
+    in_block = F.struct(block).alias(block)  # a struct of null equals another one
+    close = nearest(rest.select(in_block, "_k"), "_k", have.select(in_block, "_k"), "_k", [block], threshold)
+    close = close.select(f"{block}.{block}", F.col("a_name").alias("_k"), F.col("b_name").alias("_bk"))
+    fuzzy = join_on(join_on(rest, close, [block, "_k"]), donors.withColumnRenamed("_k", "_bk"), [block, "_bk"]).withColumn("is_exact", F.lit(False)).drop("_bk")
     both = exact.unionByName(fuzzy)
     t = tx.folded(F.col(title))
     conflict = (t != "") & ((F.col("_t_lo") != t) | (F.col("_t_hi") != t))

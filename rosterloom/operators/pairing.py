@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.functions.joins import join_on
 from rosterloom.functions.skew import carry
 from rosterloom.session import durable
 
@@ -23,7 +24,7 @@ def pair_by_occurrence(
     """n-th left row of a key with its n-th right row: (keys, left_id, right_id)."""
     l = carry(left.select(*keys, left_id), keys, [left_id], number="_n")
     r = carry(right.select(*keys, right_id), keys, [right_id], number="_n")
-    return l.join(r, [*keys, "_n"]).drop("_n")
+    return join_on(l, r, [*keys, "_n"]).drop("_n")
 
 
 def assign_names(edges: DataFrame, block: Sequence[str], a_counts: DataFrame, b_counts: DataFrame) -> DataFrame:

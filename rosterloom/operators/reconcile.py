@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
 from rosterloom.functions.contain import contained
+from rosterloom.functions.joins import join_on
 from rosterloom.functions.rules import Rule, first_match
 from rosterloom.functions.similar import similar_pairs
 from rosterloom.functions.skew import numbered_by_range
@@ -56,13 +57,13 @@ def set_values(a: DataFrame, b: DataFrame, keys: Sequence[str], sets: dict[str,
 def set_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], sets: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Fields whose value sets differ, for keys on both sides (sets united over
     repeated rows): shared, only-in-A and only-in-B counts."""
-    shared = a.select(*keys).distinct().join(b.select(*keys).distinct(), list(keys), "left_semi")
+    shared = join_on(a.select(*keys).distinct(), b.select(*keys).distinct(), keys, "left_semi")
     counts = set_values(a, b, keys, sets).groupBy(*keys, "field").agg(
         F.count_if(F.col("in_a") & F.col("in_b")).alias("n_shared"),
         F.count_if(F.col("in_a") & ~F.col("in_b")).alias("n_a_only"),
         F.count_if(~F.col("in_a") & F.col("in_b")).alias("n_b_only"),
     )
-    return counts.where("n_a_only + n_b_only > 0").join(shared, list(keys), "left_semi")
+    return join_on(counts.where("n_a_only + n_b_only > 0"), shared, keys, "left_semi")
 
 
 def perfect_groups(groups: DataFrame, findings: DataFrame, group: str) -> DataFrame:
@@ -115,7 +116,7 @@ def field_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], order: str, fiel
     no such column.  Repeated keys use their smallest ``order`` on both sides.
     """
     names = [f.name for f in fields]
-    j = _first_rows(a, keys, order, names, "a").join(_first_rows(b, keys, order, names, "b"), list(keys), "full")
+    j = join_on(_first_rows(a, keys, order, names, "a"), _first_rows(b, keys, order, names, "b"), keys, "full")
     cells = []
     for f in fields:
         bv = F.col(f"b_{f.name}").cast("string")
@@ -143,7 +144,7 @@ def compare_entities(
     Comparable fields must be filled in A; blank in B is its own issue.
     """
     used = [c for c in (title, phone, email) if c]
-    j = _first_rows(a, keys, order, used, "a").join(_first_rows(b, keys, order, used, "b"), list(keys), "full")
+    j = join_on(_first_rows(a, keys, order, used, "a"), _first_rows(b, keys, order, used, "b"), keys, "full")
     both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
     row = lambda test, issue, cur, exp: F.when(
         test, F.struct(F.lit(issue).alias("issue"), cur.alias("current"), exp.alias("expected"))
@@ -167,7 +168,7 @@ def compare_entities(
 def wrong_group(a: DataFrame, b: DataFrame, group: str, name: str, b_id: str) -> DataFrame:
     """B rows with no A row of their name in the same group: where A has the name."""
     ka = a.select(group, tx.folded(F.col(name)).alias("_k")).distinct()
-    rest = b.withColumn("_k", tx.folded(F.col(name))).join(ka, [group, "_k"], "left_anti")
+    rest = join_on(b.withColumn("_k", tx.folded(F.col(name))), ka, [group, "_k"], "left_anti")
     where = ka.groupBy("_k").agg(F.count(F.lit(1)).alias("n_groups"), F.min(group).alias("_only"))
     n = F.coalesce("n_groups", F.lit(0))
     status = F.when(n == 0, "not_found").when(n == 1, "wrong_group").otherwise("ambiguous")
@@ -383,7 +384,7 @@ def one_sided_counts(diff: DataFrame) -> DataFrame:
 
 def missing_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     """Values in A but not in B, as rows to add under the next ids."""
-    fresh = a.select(*keys).distinct().join(b, list(keys), "left_anti")
+    fresh = join_on(a.select(*keys).distinct(), b.select(*keys).distinct(), keys, "left_anti")
     top = b.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
     numbered = numbered_by_range(fresh, [], list(keys), "_no")
     return numbered.select((top + F.col("_no")).cast("bigint").alias(id_col), *keys)
@@ -396,7 +397,7 @@ def verified_reassign(a: DataFrame, b: DataFrame, name: str, station: str, b_id:
     spots = a.select(key.alias("_k"), F.col(station).alias("_s")).distinct()
     only = spots.groupBy("_k").agg(F.count(F.lit(1)).alias("n_stations"), F.min("_s").alias("_to"))
     held = b.select(key.alias("_k"), F.col(station).alias("_to")).distinct().withColumn("_held", F.lit(True))
-    j = b.withColumn("_k", key).join(only, "_k", "left").join(held, ["_k", "_to"], "left")
+    j = join_on(b.withColumn("_k", key).join(only, "_k", "left"), held, ["_k", "_to"], "left")
     n = F.coalesce("n_stations", F.lit(0))
     status = (
         F.when(n == 0, "review: not in source")

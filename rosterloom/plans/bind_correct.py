@@ -9,7 +9,7 @@ from .bind_reconcile import ENTITY_SQL, FOLD, WRONG_SQL
 from .tables import query
 
 PROPOSE_SQL = ENTITY_SQL.split(", j AS (")[0] + ", j AS (SELECT a.org_id, a.k, b.person_id AS row_id, " + ENTITY_SQL.split(", j AS (SELECT a.org_id, a.k, ")[1].split(",\n      i AS (")[0] + """,
-    pr AS (SELECT a.org_id, a.k, CAST(NULL AS BIGINT) AS row_id, '(record)' AS field, 'insert' AS action, NULL AS old_value, NULL AS new_value, 'High' AS confidence FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.org_id = a.org_id AND b.k = a.k)
+    pr AS (SELECT a.org_id, a.k, CAST(NULL AS BIGINT) AS row_id, '(record)' AS field, 'insert' AS action, NULL AS old_value, NULL AS new_value, 'High' AS confidence FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.org_id IS NOT DISTINCT FROM a.org_id AND b.k = a.k)
       UNION ALL SELECT org_id, k, row_id, 'title', 'update', tb, ta, 'High' FROM j WHERE lower(ta) <> lower(tb)
       UNION ALL SELECT org_id, k, row_id, 'mobile', 'fill', NULL, pa, 'High' FROM j WHERE pa <> '' AND pb = '' UNION ALL SELECT org_id, k, row_id, 'mobile', 'manual', pb, pa, 'Low' FROM j WHERE pa <> '' AND pb <> '' AND pa <> pb
       UNION ALL SELECT org_id, k, row_id, 'email', 'fill', NULL, ea, 'High' FROM j WHERE ea <> '' AND eb = ''
@@ -33,7 +33,7 @@ REMAP_A = """SELECT CASE WHEN title = 'Liaison' THEN 1000 + org_id % 5 ELSE org_
 @query(
     "m2_propose_remap",
     f"""WITH a AS (SELECT DISTINCT org_id, {FOLD % 'person_name'} AS k FROM ({REMAP_A})), w AS (SELECT k, count(*) AS n, min(org_id) AS o FROM a GROUP BY 1), b AS (SELECT *, {FOLD % 'person_name'} AS k FROM {{src_b}}),
-         x AS (SELECT b.person_id, w.o, t.parent_id FROM b JOIN w ON w.k = b.k AND w.n = 1 JOIN {{org}} t ON t.org_id = w.o WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.org_id = b.org_id AND a.k = b.k))
+         x AS (SELECT b.person_id, w.o, t.parent_id FROM b JOIN w ON w.k = b.k AND w.n = 1 JOIN {{org}} t ON t.org_id = w.o WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.org_id IS NOT DISTINCT FROM b.org_id AND a.k = b.k))
         SELECT person_id AS row_id, 'child_id' AS field, CASE WHEN parent_id IS NOT NULL THEN CAST(o AS VARCHAR) END AS new_value FROM x UNION ALL SELECT person_id, 'parent_id', CAST(COALESCE(parent_id, o) AS VARCHAR) FROM x""",
 )
 def m2(t):

@@ -108,10 +108,10 @@ def f8(t):
     return dd.dup_span(t.place, ["label", "station"], "place_id")
 
 
-FILL_A = """SELECT person_id, org_id, CASE WHEN balance < 2000 THEN person_name WHEN balance < 5000 THEN replace(person_name, 'tomer', 'tmoer') ELSE 'Mr. ' || person_name END AS person_name,
-    CASE WHEN balance > 7000 THEN 'Director' ELSE title END AS title, CASE WHEN dept = 'BUILDING' THEN NULL ELSE mobile END AS mobile, '' AS office FROM {person} WHERE dept IN ('BUILDING', 'HOUSEHOLD')"""
-FILL_B = """SELECT person_id + 1000000 AS dup_id, org_id, person_name, title, mobile, office FROM {person} WHERE balance < 8000
-    UNION ALL SELECT person_id + 2000000, org_id, person_name, title, mobile, office FROM {person} WHERE balance BETWEEN 1000 AND 1500"""
+FILL_A = """SELECT person_id, CASE WHEN person_id % 17 <> 0 THEN org_id END AS org_id, CASE WHEN balance < 2000 THEN person_name WHEN balance < 5000 THEN replace(person_name, 'tomer', 'tmoer') ELSE 'Mr. ' || person_name END AS person_name,
+    CASE WHEN balance > 7000 THEN 'Director' ELSE title END AS title, CASE WHEN dept = 'BUILDING' THEN NULL ELSE mobile END AS mobile, '' AS office FROM {person}"""
+FILL_B = """SELECT person_id + 1000000 AS dup_id, CASE WHEN person_id % 17 <> 0 THEN org_id END AS org_id, person_name, title, mobile, office FROM {person}
+    UNION ALL SELECT person_id + 2000000, CASE WHEN person_id % 17 <> 0 THEN org_id END, person_name, title, mobile, office FROM {person} WHERE balance BETWEEN 1000 AND 1500"""
 PKEY = "trim(regexp_replace(regexp_replace(replace(lower(person_name), '&', ' and '), '\\b(shri|smt|mr|mrs|ms|dr)\\b\\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -119,9 +119,9 @@ PKEY = "trim(regexp_replace(regexp_replace(replace(lower(person_name), '&', ' an
     "f9_backfill",
     f"""WITH a AS (SELECT *, {PKEY} AS k FROM ({FILL_A})), b AS (SELECT *, {PKEY} AS k FROM ({FILL_B})),
          d AS (SELECT org_id, k, min(dup_id) AS donor_id, count(*) AS n, min(lower(title)) AS lo, max(lower(title)) AS hi FROM b GROUP BY 1, 2),
-         ex AS (SELECT a.*, d.donor_id, n, lo, hi, TRUE AS is_exact FROM a JOIN d ON d.org_id = a.org_id AND d.k = a.k),
+         ex AS (SELECT a.*, d.donor_id, n, lo, hi, TRUE AS is_exact FROM a JOIN d ON d.org_id IS NOT DISTINCT FROM a.org_id AND d.k = a.k),
          cand AS (SELECT a.*, d.donor_id, n, lo, hi, row_number() OVER (PARTITION BY a.person_id ORDER BY 1 - levenshtein(a.k, d.k) / greatest(length(a.k), length(d.k)) DESC, d.k) AS rn
-            FROM a JOIN d ON d.org_id = a.org_id WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.org_id = a.org_id AND e.k = a.k) AND 1 - levenshtein(a.k, d.k) / greatest(length(a.k), length(d.k)) >= 0.82),
+            FROM a JOIN d ON d.org_id IS NOT DISTINCT FROM a.org_id WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.org_id IS NOT DISTINCT FROM a.org_id AND e.k = a.k) AND 1 - levenshtein(a.k, d.k) / greatest(length(a.k), length(d.k)) >= 0.82),
          x AS (SELECT person_id, org_id, title, mobile, office, donor_id, n, lo, hi, is_exact FROM ex UNION ALL SELECT person_id, org_id, title, mobile, office, donor_id, n, lo, hi, FALSE FROM cand WHERE rn = 1),
          y AS (SELECT x.*, CASE WHEN is_exact AND n = 1 AND lo = lower(x.title) AND hi = lower(x.title) THEN 'HIGH' ELSE 'NEEDS_REVIEW' END AS confidence, b.mobile AS bm, b.office AS bo FROM x JOIN b ON b.dup_id = x.donor_id)
         SELECT person_id, org_id, donor_id, confidence, is_exact, 'mobile' AS field, bm AS proposed_value FROM y WHERE trim(COALESCE(mobile, '')) = '' AND trim(COALESCE(bm, '')) <> ''

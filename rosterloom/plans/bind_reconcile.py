@@ -83,12 +83,12 @@ FIELD_DIFF_SQL = (
     FIELD_SQL
     + ", d AS ("
     + " UNION ALL ".join(
-        f"""SELECT a.org_id, a.k, '{f}' AS field, a.{f} AS a_value, b.{f} AS b_value, CASE WHEN {_match(kind, 'a.' + f, 'b.' + f)} THEN 'yes' ELSE 'no' END AS match FROM a JOIN b ON a.org_id = b.org_id AND a.k = b.k"""
+        f"""SELECT a.org_id, a.k, '{f}' AS field, a.{f} AS a_value, b.{f} AS b_value, CASE WHEN {_match(kind, 'a.' + f, 'b.' + f)} THEN 'yes' ELSE 'no' END AS match FROM a JOIN b ON a.org_id IS NOT DISTINCT FROM b.org_id AND a.k = b.k"""
         for f, kind in (("title", "text"), ("mobile", "phone"), ("email", "email"))
     )
-    + """ UNION ALL SELECT a.org_id, a.k, 'region', NULL, 'r' || CAST(b.org_id AS STRING), 'not_comparable' FROM a JOIN b ON a.org_id = b.org_id AND a.k = b.k
-         UNION ALL SELECT org_id, k, '(record)', NULL, NULL, 'a_only' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.org_id = a.org_id AND b.k = a.k)
-         UNION ALL SELECT org_id, k, '(record)', NULL, NULL, 'b_only' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.org_id = a.org_id AND b.k = a.k))"""
+    + """ UNION ALL SELECT a.org_id, a.k, 'region', NULL, 'r' || CAST(b.org_id AS STRING), 'not_comparable' FROM a JOIN b ON a.org_id IS NOT DISTINCT FROM b.org_id AND a.k = b.k
+         UNION ALL SELECT org_id, k, '(record)', NULL, NULL, 'a_only' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.org_id IS NOT DISTINCT FROM a.org_id AND b.k = a.k)
+         UNION ALL SELECT org_id, k, '(record)', NULL, NULL, 'b_only' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.org_id IS NOT DISTINCT FROM a.org_id AND b.k = a.k))"""
 )
 
 
@@ -134,12 +134,12 @@ def _set(fn, col):
 ENTITY_SQL = (
     FIELD_SQL
     + f""", j AS (SELECT a.org_id, a.k, a.title AS ta, b.title AS tb, {_set('phone', 'a.mobile')} AS pa, {_set('phone', 'b.mobile')} AS pb, {_set('email', 'a.email')} AS ea, {_set('email', 'b.email')} AS eb
-          FROM a JOIN b ON a.org_id = b.org_id AND a.k = b.k),
+          FROM a JOIN b ON a.org_id IS NOT DISTINCT FROM b.org_id AND a.k = b.k),
       i AS (SELECT org_id, k, 'title' AS issue, tb AS current, ta AS expected FROM j WHERE lower(ta) <> lower(tb) AND trim(ta) <> '' AND trim(tb) <> ''
         UNION ALL SELECT org_id, k, 'phone', pb, pa FROM j WHERE pa <> '' AND pb <> '' AND pa <> pb UNION ALL SELECT org_id, k, 'phone_blank', pb, pa FROM j WHERE pa <> '' AND pb = ''
         UNION ALL SELECT org_id, k, 'email', eb, ea FROM j WHERE ea <> '' AND eb <> '' AND ea <> eb UNION ALL SELECT org_id, k, 'email_blank', eb, ea FROM j WHERE ea <> '' AND eb = ''
-        UNION ALL SELECT org_id, k, 'missing', NULL, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.org_id = a.org_id AND b.k = a.k)
-        UNION ALL SELECT org_id, k, 'extra', NULL, NULL FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.org_id = a.org_id AND b.k = a.k))"""
+        UNION ALL SELECT org_id, k, 'missing', NULL, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.org_id IS NOT DISTINCT FROM a.org_id AND b.k = a.k)
+        UNION ALL SELECT org_id, k, 'extra', NULL, NULL FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.org_id IS NOT DISTINCT FROM a.org_id AND b.k = a.k))"""
 )
 
 
@@ -165,7 +165,7 @@ WRONG_SQL = f"""WITH a AS (SELECT DISTINCT org_id, {FOLD % 'person_name'} AS k F
     w AS (SELECT k, count(*) AS n, min(org_id) AS o FROM a GROUP BY 1),
     b AS (SELECT *, {FOLD % 'person_name'} AS k FROM {{src_b}})
     SELECT b.person_id, b.person_name, b.org_id AS current_group, CASE WHEN w.n = 1 THEN w.o END AS expected_group, CASE WHEN w.n IS NULL THEN 'not_found' WHEN w.n = 1 THEN 'wrong_group' ELSE 'ambiguous' END AS status
-    FROM b LEFT JOIN w ON w.k = b.k WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.org_id = b.org_id AND a.k = b.k)"""
+    FROM b LEFT JOIN w ON w.k = b.k WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.org_id IS NOT DISTINCT FROM b.org_id AND a.k = b.k)"""
 
 
 def _wrong_group(t):
@@ -320,7 +320,7 @@ def e18(t):
     return _batches(t)
 
 
-@query("e18_batch_sample", BATCH_SQL + " SELECT * FROM p WHERE batch = 'update mobile' ORDER BY org_id, k LIMIT 20")
+@query("e18_batch_sample", BATCH_SQL + " SELECT * FROM p WHERE batch = 'update mobile' ORDER BY org_id NULLS FIRST, k LIMIT 20")
 def e18_sample(t):
     return rc.batch_sample(_batches(t), "update mobile", ["org_id", "k"])
 
@@ -332,11 +332,11 @@ def e18_counts(t):
 
 @query(
     "e19_missing_rows",
-    """WITH a AS (SELECT DISTINCT l_orderkey AS ref_id, CAST(l_suppkey AS STRING) AS value FROM lineitem WHERE l_linestatus = 'O'), b AS (SELECT o_orderkey AS row_id, l_orderkey AS ref_id, CAST(l_suppkey AS STRING) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A')
-       SELECT (SELECT max(row_id) FROM b) + row_number() OVER (ORDER BY ref_id, value) AS row_id, ref_id, value FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.ref_id = a.ref_id AND b.value = a.value)""",
+    """WITH a AS (SELECT DISTINCT l_orderkey AS ref_id, CASE WHEN l_suppkey % 9 > 0 THEN CAST(l_suppkey AS STRING) END AS value FROM lineitem WHERE l_linestatus = 'O'), b AS (SELECT o_orderkey AS row_id, l_orderkey AS ref_id, CASE WHEN l_suppkey % 9 > 0 THEN CAST(l_suppkey AS STRING) END AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A')
+       SELECT (SELECT max(row_id) FROM b) + row_number() OVER (ORDER BY ref_id, value NULLS FIRST) AS row_id, ref_id, value FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.ref_id = a.ref_id AND b.value IS NOT DISTINCT FROM a.value)""",
 )
 def e19(t):
-    lines = t.lineitem.selectExpr("l_orderkey AS ref_id", "CAST(l_suppkey AS STRING) AS value", "l_linestatus", "l_returnflag")
+    lines = t.lineitem.selectExpr("l_orderkey AS ref_id", "CASE WHEN l_suppkey % 9 > 0 THEN CAST(l_suppkey AS STRING) END AS value", "l_linestatus", "l_returnflag")
     b = lines.where("l_returnflag = 'A'").join(t.orders.selectExpr("o_orderkey AS row_id"), F.col("ref_id") == F.col("row_id"))
     return rc.missing_rows(lines.where("l_linestatus = 'O'"), b.select("row_id", "ref_id", "value"), ["ref_id", "value"], "row_id")
 
@@ -346,8 +346,8 @@ def e19(t):
     f"""WITH a AS (SELECT DISTINCT org_id AS station, {FOLD % 'person_name'} AS k FROM {{src_a}} UNION SELECT DISTINCT (org_id + 3) % 25, {FOLD % 'person_name'} FROM {{src_a}} WHERE title = 'General Manager'),
          b AS (SELECT *, {FOLD % 'person_name'} AS k FROM {{src_b}} UNION ALL SELECT *, {FOLD % 'person_name'} AS k FROM (SELECT person_id + 700000000 AS person_id, (org_id + 2) % 25 AS org_id, person_name, title, mobile, email FROM {{src_b}} WHERE title = 'Manager')),
          w AS (SELECT k, count(*) AS n, min(station) AS s FROM a GROUP BY 1)
-        SELECT person_id, org_id AS from_station, CASE WHEN st = 'reassign' THEN s END AS to_station, st AS status FROM (SELECT b.person_id, b.org_id, w.s, CASE WHEN w.n IS NULL THEN 'review: not in source' WHEN w.n > 1 THEN 'review: several stations' WHEN w.s = b.org_id THEN 'in place'
-          WHEN EXISTS (SELECT 1 FROM b x WHERE x.k = b.k AND x.org_id = w.s) THEN 'review: already held' ELSE 'reassign' END AS st FROM b LEFT JOIN w ON w.k = b.k)""",
+        SELECT person_id, org_id AS from_station, CASE WHEN st = 'reassign' THEN s END AS to_station, st AS status FROM (SELECT b.person_id, b.org_id, w.s, CASE WHEN w.n IS NULL THEN 'review: not in source' WHEN w.n > 1 THEN 'review: several stations' WHEN w.s IS NOT DISTINCT FROM b.org_id THEN 'in place'
+          WHEN EXISTS (SELECT 1 FROM b x WHERE x.k = b.k AND x.org_id IS NOT DISTINCT FROM w.s) THEN 'review: already held' ELSE 'reassign' END AS st FROM b LEFT JOIN w ON w.k = b.k)""",
 )
 def e20(t):
     a = t.src_a.select("org_id", "person_name").union(

@@ -86,12 +86,12 @@ VIEWS: dict[str, str] = {
     """,
     # reconciliation sources over people: A is the document, B the store
     "src_a": """
-        SELECT person_id, org_id, lower(person_name) AS person_name, title, mobile, email FROM {person}
+        SELECT person_id, CASE WHEN person_id % 13 <> 0 THEN org_id END AS org_id, lower(person_name) AS person_name, title, mobile, email FROM {person}
         WHERE dept <> 'FURNITURE'
     """,
     "src_b": """
         SELECT person_id,
-               CASE WHEN balance BETWEEN 7000 AND 7400 THEN (org_id + 1) % 25 ELSE org_id END AS org_id,
+               CASE WHEN person_id % 13 = 0 THEN NULL WHEN balance BETWEEN 7000 AND 7400 THEN (org_id + 1) % 25 ELSE org_id END AS org_id,
                CASE WHEN balance BETWEEN 5000 AND 5500 THEN upper(person_name) ELSE person_name END AS person_name,
                CASE WHEN balance BETWEEN 1000 AND 2000 THEN 'Manager' ELSE title END AS title,
                CASE WHEN balance BETWEEN 2000 AND 2500 THEN NULL
@@ -103,7 +103,7 @@ VIEWS: dict[str, str] = {
                     WHEN balance BETWEEN 4500 AND 4700 THEN 'x' || email || ', old' || email ELSE email END AS email
         FROM {person} WHERE balance >= 0
         UNION ALL
-        SELECT person_id + 100000000, org_id, person_name, CASE WHEN balance < 6150 THEN title ELSE 'Advisor' END, mobile, email
+        SELECT person_id + 100000000, CASE WHEN person_id % 13 <> 0 THEN org_id END, person_name, CASE WHEN balance < 6150 THEN title ELSE 'Advisor' END, mobile, email
         FROM {person} WHERE balance BETWEEN 6000 AND 6300
     """,
     # findings of a presence comparison by station
