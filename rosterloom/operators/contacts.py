@@ -223,10 +223,22 @@ def fold_overrides(log: DataFrame, order: Sequence[str]) -> DataFrame:
     return log.groupBy("list_id", "person_id").agg(F.max_by("action", F.struct(*order)).alias("action"))
 
 
-def link_sizes(addresses: DataFrame, by: str, limit: int = 1800) -> DataFrame:
-    """Length of each list's joined addresses, and whether a mail link can hold it."""
+def percent_encoded(c: Column) -> Column:
+    """Percent-encoding of a link: letters, digits, ``_.-~/`` stay, a space is ``%20``."""
+    out = F.url_encode(c)
+    for form, link in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(form), F.lit(link))
+    return out
+
+
+def link_sizes(addresses: DataFrame, by: str, limit: int = 1800, subject: str | None = None) -> DataFrame:
+    """Length of each list's mail link (scheme, encoded addresses and commas, subject), and whether a mail client takes it."""
+    fixed = F.lit(len("mailto:"))
+    if subject:
+        fixed = fixed + len("?subject=") + F.length(percent_encoded(F.lit(subject)))
+    n = F.count(F.lit(1))
     return (
         addresses.groupBy(by)
-        .agg(F.count(F.lit(1)).alias("n_addresses"), (F.sum(F.length("email")) + F.count(F.lit(1)) - 1).cast("bigint").alias("link_length"))
+        .agg(n.alias("n_addresses"), (F.sum(F.length(percent_encoded(F.col("email")))) + 3 * (n - 1) + F.max(fixed)).cast("bigint").alias("link_length"))
         .withColumn("fits", F.col("link_length") <= limit)
     )

@@ -179,12 +179,13 @@ def hierarchy_check(rows: DataFrame, key: str, child: str, parent: str, tree: Da
     )
 
 
-def gate(issues: DataFrame, severity: Mapping[str, str], keep: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts per check with severity, first messages per check, one verdict row)."""
+def gate(issues: DataFrame, severity: Mapping[str, str], keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts per check with severity and hidden messages, the first ``keep`` messages per check, one verdict row)."""
     sev = F.lit("WARNING")
     for check, level in severity.items():
         sev = F.when(F.col("check_name") == check, F.lit(level)).otherwise(sev)
     counts = issues.groupBy("check_name").agg(F.count(F.lit(1)).alias("n_issues")).withColumn("severity", sev)
+    counts = counts.withColumn("n_hidden", F.greatest(F.col("n_issues") - keep, F.lit(0)).cast("bigint"))
     first = W.partitionBy("check_name").orderBy("table_name", "row_ref", "message")
     shown = issues.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= keep)
     verdict = counts.agg(
@@ -270,7 +271,7 @@ def check_invariants(df: DataFrame, key: str, rules: Sequence[Unique | Domain |
     parts, cells = [], []
     for r in rules:
         if isinstance(r, Unique):
-            rows = df.where(r.where) if r.where else df
+            rows = (df.where(r.where) if r.where else df).na.drop(subset=list(r.columns))  # as in SQL, null keys do not repeat
             bad = rows.groupBy(*r.columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             name = f"unique({', '.join(r.columns)})" + (f" where {r.where}" if r.where else "")
             ref = F.concat_ws("/", *[F.col(c).cast("string") for c in r.columns])

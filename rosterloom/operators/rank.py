@@ -102,8 +102,8 @@ def pinned_order(col: str, pins: Sequence[str]) -> list[Column]:
     return [pin, F.when(pin > len(pins), F.lower(col))]
 
 
-def heads_first(people: DataFrame, heads: DataFrame, n: int = 200) -> DataFrame:
-    """First ``n`` people of the listing: heads, then organization, name, id."""
+def heads_first(people: DataFrame, heads: DataFrame, n: int) -> DataFrame:
+    """First ``n`` people of the listing (its page size): heads, then organization, name, id."""
     marks = heads.select("person_id", F.lit(True).alias("is_head"))
     return (
         people.join(marks, "person_id", "left")

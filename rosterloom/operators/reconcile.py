@@ -373,7 +373,7 @@ def proposal_batches(diff: DataFrame, keys: Sequence[str], fields: Sequence[str]
     )
 
 
-def batch_sample(batches: DataFrame, batch: str, order: Sequence[str], n: int = 20) -> DataFrame:
+def batch_sample(batches: DataFrame, batch: str, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` proposals of a batch, for review."""
     return batches.where(F.col("batch") == batch).orderBy(*order).limit(n)
 

@@ -50,19 +50,27 @@ def _place_kind(places: DataFrame) -> DataFrame:
     ).withColumn("kind", F.when(F.col("kind") == "person", "other").otherwise(F.col("kind")))
 
 
-def browse_keyword(orgs: DataFrame, people: DataFrame, places: DataFrame, heads: DataFrame, q: str, cap: int = 200) -> DataFrame:
+def browse_keyword(orgs: DataFrame, people: DataFrame, places: DataFrame, heads: DataFrame, q: str, cap: int | None = None) -> DataFrame:
     """Grouped result rows (org_id, section, record_id, record_name).
 
     Organizations whose name matches bring their children; key people are listed if
-    in that subtree or matching, heads first and capped; places are split by kind.
-    Children without any content keep an empty row.
+    in that subtree or matching; places are split by kind.  Children without any
+    content keep an empty row.  With a ``cap`` only so many people are listed, heads
+    first, and a row of the section ``people left out`` holds the number of the others.
     """
     matched = orgs.where(text_match(q, ["org_name"])).select("org_id")
     subtree = expand_children(orgs, matched)
     inside = subtree.withColumn("_in", F.lit(True))
     listed = _listing(people.where("is_kmp AND status = 'ACTIVE'"), orgs).join(inside, "org_id", "left")
     listed = listed.where(F.col("_in").isNotNull() | text_match(q, PERSON_COLS, "email"))
-    shown = heads_first(listed, heads, cap).select(
+    hidden = None
+    if cap is not None:
+        hidden = listed.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select(
+            F.lit(None).cast("bigint").alias("org_id"), F.lit("people left out").alias("section"),
+            (F.col("n") - cap).cast("bigint").alias("record_id"), F.lit(None).cast("string").alias("record_name"),
+        )
+        listed = heads_first(listed, heads, cap)
+    shown = listed.select(
         "org_id", F.lit("person").alias("section"), F.col("person_id").alias("record_id"), F.col("person_name").alias("record_name")
     )
     spots = places.join(inside, "org_id", "left").where(F.col("_in").isNotNull() | text_match(q, ["label", "phone"], "email"))
@@ -75,7 +83,8 @@ def browse_keyword(orgs: DataFrame, people: DataFrame, places: DataFrame, heads:
     empty = children.join(grouped, "org_id", "left_anti").select(
         "org_id", F.lit("empty").alias("section"), F.lit(None).cast("bigint").alias("record_id"), F.lit(None).cast("string").alias("record_name")
     )
-    return content.unionByName(empty)
+    rows = content.unionByName(empty)
+    return rows if hidden is None else rows.unionByName(hidden)
 
 
 def browse_category(orgs: DataFrame, people: DataFrame, places: DataFrame, category: str, pins: Sequence[str]) -> DataFrame:

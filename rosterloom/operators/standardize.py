@@ -135,16 +135,41 @@ def classify_cells(df: DataFrame, arr: str) -> DataFrame:
     return tagged.withColumns({name: of(name) for name in ("emails", "phones", "others")}).drop("_cells")
 
 
-# Technical abbreviations kept in capitals, and ordinary words that
-# are title-cased although short and in capitals.  Callers pass longer lists.
+# Technical abbreviations kept in capitals.  Names of companies are passed by the caller.
 ABBREVIATIONS = (
-    "AIS GIS HVDC HVAC SCADA SLDC RLDC NLDC STATCOM FACTS SVC OLTC EHV HV LV MW MVAR KVAR DC AC UPS RTU "
-    "PLCC PMU DCB VCB SF6 CT PT CVT ABT DSM MVA IPP"
-).split()
+    "AIS", "GIS", "HVDC", "HVAC", "SCADA", "SLDC", "RLDC", "NLDC", "WRLDC", "NRLDC", "ERLDC",
+    "SRLDC", "NERLDC", "CTU", "ISTS", "STATCOM", "FACTS", "SVC", "OLTC", "EHV", "HV", "LV",
+    "MW", "MVAR", "KVAR", "DC", "AC", "UPS", "RTU", "PLCC", "PMU", "DCB", "VCB", "SF6",
+    "CT", "PT", "CVT", "ABT", "DSM", "RLNG", "IPP", "MVA",
+)
+# Ordinary words that are title-cased although short and in capitals.
+# Names of places and companies are passed by the caller.
 ORDINARY_WORDS = (
-    "control room rooms station stations switchyard switch yard region main new old state phase project "
-    "power plant load office company limited and of for the at in on to a an with by red small"
-).split()
+    "control", "room", "rooms", "station", "stations", "switchyard", "switch", "yard",
+    "region", "regions", "western", "eastern", "northern", "southern", "central", "other",
+    "main", "new", "old", "state", "phase", "project", "projects", "mega", "atomic",
+    "nuclear", "thermal", "hydro", "hydel", "solar", "wind", "energy", "power", "plant",
+    "plants", "load", "despatch", "dispatch", "network", "operation", "operations",
+    "maintenance", "commercial", "technical", "communication", "communications",
+    "scheduling", "backup", "office", "law", "department", "corporation", "company",
+    "companies", "limited", "private", "transmission", "distribution", "generation",
+    "generator", "generators", "generating", "connected", "buyers", "board", "committee",
+    "regulatory", "development", "accounting", "port", "ports", "special", "economic",
+    "zone", "holding", "service", "services", "trust", "group", "steel", "cement", "cements",
+    "health", "care", "medical", "hospital", "hospitals", "research", "centre", "center",
+    "institute", "facility", "campus", "floor", "address", "engineer", "engineers",
+    "manager", "managers", "chief", "general", "deputy", "assistant", "senior", "executive",
+    "additional", "joint", "principal", "officer", "officers", "director", "directors",
+    "head", "secretary", "president", "vice", "associate", "important", "vendors", "hotline",
+    "hotlines", "nos", "directory", "nodal", "provider", "providers", "charge",
+    "incharge", "substation", "blood", "bank", "fire", "police", "disaster",
+    "management", "emergency", "contact", "numbers", "grid", "controller",
+    "and", "of", "for", "the", "at", "in", "on", "to", "a", "an", "with", "by",
+    "cyber", "junior", "system", "data", "red",
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten",
+    "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "sixty", "seventy",
+    "eighty", "ninety", "hundred",
+)
 
 
 def _cased(word: Column, abbreviations: Sequence[str], words: Sequence[str]) -> Column:

@@ -187,7 +187,8 @@ def j10(t):
 @query(
     "j11_link_sizes",
     """WITH d AS (SELECT org_id, lower(trim(email)) AS k, min_by(trim(email), person_id) AS email FROM {person} WHERE trim(COALESCE(email, '')) <> '' GROUP BY 1, 2)
-       SELECT org_id, count(*) AS n_addresses, CAST(sum(length(email)) + count(*) - 1 AS BIGINT) AS link_length, sum(length(email)) + count(*) - 1 <= 1800 AS fits FROM d GROUP BY 1""",
+       , l AS (SELECT org_id, count(*) AS n, length('mailto:' || replace(url_encode(string_agg(email, ',')), '%2F', '/') || '?subject=' || url_encode('Notice to all')) AS len FROM d GROUP BY 1)
+       SELECT org_id, n AS n_addresses, len AS link_length, len <= 1800 AS fits FROM l""",
 )
 def j11(t):
-    return ct.link_sizes(ct.dedupe_addresses(t.person, "email", "person_id", ["org_id"]), "org_id")
+    return ct.link_sizes(ct.dedupe_addresses(t.person, "email", "person_id", ["org_id"]), "org_id", subject="Notice to all")

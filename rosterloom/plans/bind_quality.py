@@ -128,9 +128,9 @@ SEV = {"missing id": "ERROR", "duplicate id": "ERROR", "unknown parent": "ERROR"
 SEV_SQL = "CASE WHEN check_name IN ('missing id', 'duplicate id', 'unknown parent') THEN 'ERROR' ELSE 'WARNING' END"
 
 
-@query("g10_gate_counts", f"WITH i AS ({INTEGRITY_SQL}) SELECT check_name, count(*) AS n_issues, {SEV_SQL} AS severity FROM i GROUP BY 1")
+@query("g10_gate_counts", f"WITH i AS ({INTEGRITY_SQL}) SELECT check_name, count(*) AS n_issues, {SEV_SQL} AS severity, greatest(count(*) - 50, 0) AS n_hidden FROM i GROUP BY 1")
 def g10_counts(t):
-    return ql.gate(_integrity(t), SEV)[0]
+    return ql.gate(_integrity(t), SEV, keep=50)[0]
 
 
 @query(
@@ -138,7 +138,7 @@ def g10_counts(t):
     f"""WITH i AS ({INTEGRITY_SQL}) SELECT check_name, table_name, row_ref, message, rank FROM (SELECT *, row_number() OVER (PARTITION BY check_name ORDER BY table_name, row_ref NULLS FIRST, message) AS rank FROM i) WHERE rank <= 50""",
 )
 def g10_messages(t):
-    return ql.gate(_integrity(t), SEV)[1].withColumn("rank", F.col("rank").cast("bigint"))
+    return ql.gate(_integrity(t), SEV, keep=50)[1].withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -146,7 +146,7 @@ def g10_messages(t):
     f"""WITH i AS ({INTEGRITY_SQL}), c AS (SELECT {SEV_SQL} AS s FROM i) SELECT count_if(s = 'ERROR') AS n_errors, count_if(s = 'WARNING') AS n_warnings, count_if(s = 'ERROR') = 0 AS passed FROM c""",
 )
 def g10_verdict(t):
-    return ql.gate(_integrity(t), SEV)[2]
+    return ql.gate(_integrity(t), SEV, keep=50)[2]
 
 
 MEMBERS = "SELECT org_id % 7 AS list_id, CASE WHEN balance BETWEEN 9000 AND 9050 THEN person_id + 9000000 ELSE person_id END AS person_id FROM {person} UNION ALL SELECT org_id % 7, person_id FROM {person} WHERE balance < -800"
@@ -195,7 +195,7 @@ INVARIANTS = [
 
 @query(
     "g12_check_invariants",
-    """WITH r AS (SELECT *, CASE WHEN status = 'APPROVED' THEN requested_title END AS requested_note FROM {request}) SELECT 'unique(person_id, field_name) where status = ''PENDING''' AS rule, concat_ws('/', CAST(person_id AS VARCHAR), field_name) AS row_ref, count(*) AS n FROM r WHERE status = 'PENDING' GROUP BY person_id, field_name HAVING count(*) > 1
+    """WITH r AS (SELECT *, CASE WHEN status = 'APPROVED' THEN requested_title END AS requested_note FROM {request}) SELECT 'unique(person_id, field_name) where status = ''PENDING''' AS rule, concat_ws('/', CAST(person_id AS VARCHAR), field_name) AS row_ref, count(*) AS n FROM r WHERE status = 'PENDING' AND person_id IS NOT NULL AND field_name IS NOT NULL GROUP BY person_id, field_name HAVING count(*) > 1
        UNION ALL SELECT 'unique(request_id)', CAST(request_id AS VARCHAR), count(*) FROM r GROUP BY request_id HAVING count(*) > 1 UNION ALL SELECT 'domain(status)', CAST(request_id AS VARCHAR), 1 FROM r WHERE status NOT IN ('APPROVED', 'PENDING')
        UNION ALL SELECT 'one of(field_name, requested_note)', CAST(request_id AS VARCHAR), 1 FROM r WHERE field_name IS NULL AND requested_note IS NULL""",
 )

@@ -97,7 +97,7 @@ def i4(t):
 )
 def i5(t):
     people = t.person.join(t.org.select("org_id", "org_name"), "org_id")
-    listed = rank.heads_first(people, rank.resolve_heads(t.person, t.org))
+    listed = rank.heads_first(people, rank.resolve_heads(t.person, t.org), n=200)
     return listed.select("person_id", "person_name", "org_name", "is_head")
 
 

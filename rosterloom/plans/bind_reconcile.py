@@ -322,7 +322,7 @@ def e18(t):
 
 @query("e18_batch_sample", BATCH_SQL + " SELECT * FROM p WHERE batch = 'update mobile' ORDER BY org_id NULLS FIRST, k LIMIT 20")
 def e18_sample(t):
-    return rc.batch_sample(_batches(t), "update mobile", ["org_id", "k"])
+    return rc.batch_sample(_batches(t), "update mobile", ["org_id", "k"], n=20)
 
 
 @query("e18_one_sided_counts", FIELD_DIFF_SQL + " SELECT match, count(*) AS n_records FROM d WHERE match IN ('a_only', 'b_only') GROUP BY 1")

@@ -40,8 +40,8 @@ def k2(t):
 
 def _browse(q):
     return f"""WITH m AS (SELECT org_id FROM {{org}} WHERE {_any(['org_name'], q)}), s AS (SELECT org_id FROM m UNION SELECT org_id FROM {{org}} WHERE parent_id IN (SELECT org_id FROM m)),
-      p AS (SELECT l.*, l.person_id IN (SELECT person_id FROM ({HEADS_SQL})) AS is_head FROM {LISTING} l WHERE is_kmp AND status = 'ACTIVE' AND (org_id IN (SELECT org_id FROM s) OR {_any(PERSON, q)})),
-      shown AS (SELECT org_id, 'person' AS section, person_id AS record_id, person_name AS record_name FROM (SELECT * FROM p ORDER BY is_head DESC, org_name, person_name, person_id LIMIT 200)),
+      p AS (SELECT l.* FROM {LISTING} l WHERE is_kmp AND status = 'ACTIVE' AND (org_id IN (SELECT org_id FROM s) OR {_any(PERSON, q)})),
+      shown AS (SELECT org_id, 'person' AS section, person_id AS record_id, person_name AS record_name FROM p),
       pl AS (SELECT org_id, CASE WHEN contains(lower(category), 'control room') THEN 'control_room' WHEN contains(lower(category), 'switchyard') THEN 'switchyard' ELSE 'other' END AS section, place_id, label FROM {{place}}
              WHERE org_id IN (SELECT org_id FROM s) OR {_any(['label', 'phone'], q)}),
       c AS (SELECT * FROM shown UNION ALL SELECT * FROM pl)

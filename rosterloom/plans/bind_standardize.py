@@ -138,11 +138,11 @@ def b9(t):
     return st.classify_cells(rows, "cells").select("doc_id", *sizes)
 
 
-_AB = ", ".join(f"'{a}'" for a in st.ABBREVIATIONS)
-_ABS = ", ".join(f"'{a}S'" for a in st.ABBREVIATIONS)
-_WORDS = ", ".join(f"'{w}'" for w in st.ORDINARY_WORDS)
+# what the words of the labels below have to become, stated apart from the operator's lists
+_AB, _ABS = "'GIS', 'SLDC', 'MW'", "'RLDCS'"
+_WORDS = "'chief', 'deputy', 'head', 'general', 'grid', 'and', 'red', 'new', 'old'"
 LABEL_IN = """CASE WHEN p_size < 10 THEN upper(p_name) || ' 400-KV GIS' WHEN p_size < 20 THEN 'sldc-' || p_name || '  2ND rldcs'
-    WHEN p_size < 30 THEN 'S/S ' || upper(p_type) || ' ' || p_brand ELSE p_name || ' 66kv O&M (mw)' END"""
+    WHEN p_size < 30 THEN 'S/S ' || upper(p_type) || ' ' || p_brand WHEN p_size < 34 THEN 'CHIEF ENGINEER AGM' WHEN p_size < 38 THEN 'DEPUTY HEAD (CIVIL) AND CEO' WHEN p_size < 42 THEN 'GENERAL MANAGER - GRID' ELSE p_name || ' 66kv O&M (mw)' END"""
 
 
 @query(

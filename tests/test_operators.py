@@ -13,6 +13,7 @@ from rosterloom.operators import quality as ql
 from rosterloom.operators import rank
 from rosterloom.operators import reconcile as rc
 from rosterloom.operators import resolve as rs
+from rosterloom.operators import search
 from rosterloom.operators import segment as sg
 from rosterloom.operators import standardize as st
 from rosterloom.sources import roster, sinks
@@ -238,7 +239,7 @@ def test_dedupe_addresses_and_links(spark, rows):
     df = spark.createDataFrame([(1, "L", " A@x.org"), (2, "L", "a@X.org"), (3, "L", ""), (4, "L", None), (5, "L", "b@x.org")], "id long, l string, email string")
     out = ct.dedupe_addresses(df, "email", "id", ["l"])
     assert rows(out, "email") == [("A@x.org",), ("b@x.org",)]
-    assert rows(ct.link_sizes(out, "l", 14)) == [("L", 2, 15, False)]
+    assert rows(ct.link_sizes(out, "l", 24)) == [("L", 2, 28, False)]  # mailto:A%40x.org%2Cb%40x.org
 
 
 def test_gate_and_completeness(spark, rows):
@@ -281,3 +282,41 @@ def test_triage_first_rule_wins(spark, rows):
     df = spark.createDataFrame([(1, "ring"), (2, "hot ring"), (3, None)], "id long, name string")
     rules = [rc.Triage(Rule("False Positive", "name", contains=("hot",)), "High"), rc.Triage(Rule("Warning", "name", contains=("ring",)), "Medium")]
     assert rows(rc.triage(df, rules), "id", "triage_class", "confidence") == [(1, "Warning", "Medium"), (2, "False Positive", "High"), (3, "Warning", "Low")]
+
+
+def test_default_label_words(spark):
+    """General words are known without any list from the caller; unknown short capitals stay."""
+    got = [
+        spark.range(1).select(st.label_case(F.lit(x), True)).head()[0]
+        for x in ("CHIEF ENGINEER", "DEPUTY HEAD (LAW)", "GENERAL MANAGER - GRID", "CEO AND AGM", "RLDCS 2ND PHASE", "HVDC 400KV")
+    ]
+    assert got == ["Chief Engineer", "Deputy Head (Law)", "General Manager - Grid", "CEO And AGM", "RLDCs 2nd Phase", "HVDC 400 kV"]
+
+
+def test_mail_link_is_encoded(spark):
+    from urllib.parse import quote
+
+    lists = {1: ["a@b.org", "c d~e*f/g+h@x.org"], 2: [f"person{i}@list.org" for i in range(112)]}
+    df = spark.createDataFrame([(k, m) for k, v in lists.items() for m in v], "list_id int, email string")
+    for subject in (None, "To all: 50%"):
+        want = {k: len("mailto:" + quote(",".join(v)) + ("?subject=" + quote(subject) if subject else "")) for k, v in lists.items()}
+        got = ct.link_sizes(df, "list_id", subject=subject).collect()
+        assert {r["list_id"]: r["link_length"] for r in got} == want and {r["list_id"]: r["fits"] for r in got} == {1: True, 2: False}
+
+
+def test_nulls_do_not_repeat(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "x")], "id long, code string")
+    got = ql.check_invariants(df, "id", [ql.Unique(["code"])]).collect()
+    assert [(r["row_ref"], r["n"]) for r in got] == [("x", 2)]
+
+
+def test_capped_browsing_says_so(spark):
+    orgs = spark.createDataFrame([(1, "North", None, "c", "s", False)], "org_id long, org_name string, parent_id long, category string, state string, head_excluded boolean")
+    people = spark.createDataFrame([(i, f"p{i}", 1, "Head", "ACTIVE", True, None, None, None, None) for i in range(5)],
+        "person_id long, person_name string, org_id long, title string, status string, is_kmp boolean, mobile string, office string, email string, dept string")
+    places = spark.createDataFrame([], "place_id long, label string, phone string, email string, category string, org_id long")
+    heads = spark.createDataFrame([(3,)], "person_id long")
+    whole = search.browse_keyword(orgs, people, places, heads, "north").collect()
+    cut = search.browse_keyword(orgs, people, places, heads, "north", cap=2).collect()
+    assert sorted(r["record_id"] for r in whole) == [0, 1, 2, 3, 4]
+    assert {(r["section"], r["record_id"]) for r in cut} == {("person", 3), ("person", 0), ("people left out", 3)}
