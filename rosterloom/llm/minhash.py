@@ -2,19 +2,21 @@
 
 1. Every document is reduced to its set of word shingles (64-bit hashes), a digest of the set and a
    MinHash signature.  Documents with one digest are a class; only classes go on.
-2. Signatures meet in buckets by bands.  Buckets with the same members are one bucket.
+2. Signatures meet in buckets by bands.  Of buckets with the same members only the one of the first
+   band stays, and a pair counts only in the first band in which it agrees.
 3. In a bucket, signatures are compared ``BATCH`` places at a time.  After n places with m matches
    and a uniform prior, the similarity is at least t with probability P(Bin(n + 1, t) <= m);
    a pair is dropped as soon as that is below ``miss``.
-4. Of the survivors a bucket hands over a spanning forest, most alike first, and some
-   more; these are verified on their full sets, and verified links join classes into components.
-   Later rounds only look at pairs between components, with four times as many survivors
-   each time, until every survivor has either been verified or lies inside one component.
-   So a large group of near copies costs about one verified link per member, and no link
-   between components is lost.
+4. Of the survivors a bucket hands over a spanning forest, most alike first; these links are verified on
+   the full sets and join classes into components.
+5. Survivors between different components are left.  Their members are given their full sets, and
+   each pair is verified in its bucket's task, which again hands over a spanning forest only.
+
+So a large group of near copies costs about one verified link per member and bucket, pairs are never
+written out, and no link between components is lost.
 
 Buckets above ``BLOCK`` members are cut into blocks; first pairs inside a block are compared, then
-members outside the bucket's largest component with all blocks.  No task holds a bucket whole.
+members outside the bucket's largest component with all blocks.  A task holds two blocks at a time.
 
 Defined cases: a null text is an empty one; texts without words have an empty set and link with nothing; texts
 with fewer words than a shingle have the whole sequence as their only shingle; equal sets are linked
@@ -41,7 +43,7 @@ by_value(__name__)
 BANDS, ROWS = 24, 6
 BATCH = 16
 MISS = 1e-6
-BLOCK = 512
+BLOCK = 256
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -105,8 +107,8 @@ def least_matches(threshold: float, places: int, miss: float) -> list[int]:
     return out
 
 
-def survivors(left, right, same: bool, apart, needed: list[int]):
-    """(i, j, matches) of the pairs of rows that no batch drops; ``apart(i, j)`` says which pairs count."""
+def survivors(left, right, same: bool, apart, needed: list[int], band: int):
+    """(i, j, matches) of the pairs of rows that no batch drops and whose first common band this is; ``apart(i, j)`` says which pairs count."""
     import numpy as np
 
     found = []
@@ -123,15 +125,16 @@ def survivors(left, right, same: bool, apart, needed: list[int]):
             m = m + (left[i, places] == right[j, places]).sum(axis=1)
             keep = m >= needed[k]
             i, j, m = i[keep], j[keep], m[keep]
-        found.append((i, j, m))
+        agree = (left[i] == right[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
+        keep = agree[:, band] & ~agree[:, :band].any(axis=1)
+        found.append((i[keep], j[keep], m[keep]))
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
 
 
-def chosen(a, b, matches, labels_a, labels_b, budget: int):
-    """Places of a spanning forest over the labels, most alike first, and of the most alike others up to ``budget``."""
+def forest(a, b, matches, labels: list):
+    """Places of the links of a spanning forest over the labels, most alike first."""
     import numpy as np
 
-    order = np.lexsort((b, a, -matches))
     parent: dict = {}
 
     def top(x):
@@ -140,15 +143,13 @@ def chosen(a, b, matches, labels_a, labels_b, budget: int):
             x = parent[x]
         return x
 
-    forest, rest = [], []
-    for k in order.tolist():
-        x, y = top(labels_a[k]), top(labels_b[k])
+    out = []
+    for k in np.lexsort((b, a, -matches)).tolist():
+        x, y = top(labels[a[k]]), top(labels[b[k]])
         if x != y:
             parent[x] = y
-            forest.append(k)
-        elif len(rest) < budget:
-            rest.append(k)
-    return np.array(forest + rest[: max(0, budget - len(forest))], dtype=np.int64)
+            out.append(k)
+    return out
 
 
 def shingled(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -193,15 +194,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, n, cls): members of every bucket of two or more; of buckets with the same members only one."""
+    """(band, bucket, n, cls): members of every bucket of two or more; of buckets with the same members that of the first band."""
     width = 4 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(BANDS)])
-    rows = classes.select("cls", F.explode(keys).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("sig", 1 + b * width, width)).alias("bucket")) for b in range(BANDS)])
+    rows = classes.select("cls", F.explode(keys).alias("k")).select("k.band", "k.bucket", "cls")
+    sizes = rows.groupBy("band", "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")
     )
-    one = sizes.where(F.col("n") > 1).groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    return rows.join(one, "bucket").select("bucket", "n", "cls")
+    one = sizes.where(F.col("n") > 1).groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", "n")
+    return rows.join(one, ["band", "bucket"]).select("band", "bucket", "n", "cls")
 
 
 def grouped(members: DataFrame, first_round: bool) -> DataFrame:
@@ -215,75 +216,118 @@ def grouped(members: DataFrame, first_round: bool) -> DataFrame:
     rows = members.withColumn("_k", k).withColumn("_b", F.pmod(F.xxhash64("cls"), F.col("_k")).cast("int"))
     if first_round:
         return rows.withColumns({"_i": F.col("_b"), "_j": F.col("_b")}).drop("_k")
-    per_label = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_c"))
-    most = per_label.groupBy("bucket").agg(F.max(F.struct("_c", "label"))["label"].alias("_most"), F.count(F.lit(1)).alias("_labels"))
-    rows = rows.join(most.where(F.col("_labels") > 1).drop("_labels"), "bucket")
-    minor = rows.where(F.col("label") != F.col("_most")).select("bucket", F.col("_b").alias("_o")).distinct()
-    major = rows.where(F.col("label") == F.col("_most")).join(minor, "bucket")
+    bucket = ["band", "bucket"]
+    per_label = rows.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("_c"))
+    most = per_label.groupBy(*bucket).agg(F.max(F.struct("_c", "label"))["label"].alias("_most"), F.count(F.lit(1)).alias("_labels"))
+    rows = rows.join(most.where(F.col("_labels") > 1).drop("_labels"), bucket)
+    minor = rows.where(F.col("label") != F.col("_most")).select(*bucket, F.col("_b").alias("_o")).distinct()
+    major = rows.where(F.col("label") == F.col("_most")).join(minor, bucket)
     other = rows.where(F.col("label") != F.col("_most")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     both = major.select(*other.columns).union(other)
     return both.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).drop("_k", "_o", "_most")
 
 
-def compared(members: DataFrame, threshold: float, miss: float, factor: int) -> DataFrame:
-    """Survivors of every group: (a, b, more); more: the group has others that it did not hand over."""
-    needed = least_matches(threshold, BANDS * ROWS, miss)
+KEYS = ["band", "bucket", "_i", "_j"]
 
-    def group(rows: list[pa.RecordBatch]):
-        import numpy as np
-        import pyarrow as pa
 
-        t = pa.Table.from_batches(rows).combine_chunks()
-        cls = np.array(t["cls"].to_pylist(), dtype=object)
-        label = np.unique(np.array([x.hex() for x in t["label"].to_pylist()]), return_inverse=True)[1]
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u4").reshape(len(cls), -1)
-        if t["_i"][0].as_py() == t["_j"][0].as_py():
-            left = right = np.arange(len(cls))
-        else:
-            block = t["_b"].to_numpy()
-            left, right = np.flatnonzero(block == t["_i"][0].as_py()), np.flatnonzero(block == t["_j"][0].as_py())
-        i, j, m = survivors(sig[left], sig[right], left is right, lambda i, j: label[left[i]] != label[right[j]], needed)
-        a, b = left[i], right[j]
-        picked = chosen(a, b, m, label[a].tolist(), label[b].tolist(), factor * len(cls))
-        return cls[a[picked]].tolist(), cls[b[picked]].tolist(), len(picked) < len(a)
+def by_group(members: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
+    """``work`` on the rows of every group, none of which is much larger than two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
 
-        held, key = [], None
-        out = [[], [], []]
-
-        def flush():
-            if sum(b.num_rows for b in held) > 1:
-                a, b, more = group(held)
-                out[0] += a
-                out[1] += b
-                out[2] += [more] * len(a)
-
-        def batch_of(rows):
-            return pa.record_batch([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.bool_())], names=["a", "b", "more"])
-
+        held, last = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "_i", "_j")], axis=1)
+            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in KEYS], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for x, y in zip(cuts, cuts[1:]):
                 here = tuple(keys[x].tolist())
-                if here != key:
-                    flush()
-                    held, key = [], here
+                if here != last:
+                    if sum(b.num_rows for b in held) > 1:
+                        yield from work(pa.Table.from_batches(held).combine_chunks())
+                    held, last = [], here
                 held.append(batch.slice(x, y - x))
-            if len(out[0]) > 10_000:
-                yield batch_of(out)
-                out = [[], [], []]
-        flush()
-        yield batch_of(out)
+        if sum(b.num_rows for b in held) > 1:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = members.repartition(shuffle_partitions(members.sparkSession), *KEYS).sortWithinPartitions(*KEYS)
+    return dealt.select(*KEYS, "_b", "cls", "label", "sig", *columns).mapInArrow(run, schema)
+
+
+def surviving(t, needed: list[int]):
+    """(a, b, matches): places of the pairs of a group with different labels that survive, and the label codes."""
+    import numpy as np
+
+    label = np.unique(np.array([x.hex() for x in t["label"].to_pylist()]), return_inverse=True)[1]
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u4").reshape(len(label), -1)
+    i, j, block = t["_i"][0].as_py(), t["_j"][0].as_py(), t["_b"].to_numpy()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b, m = survivors(sig[left], sig[right], i == j, lambda a, b: label[left[a]] != label[right[b]], needed, t["band"][0].as_py())
+    return left[a], right[b], m, label.tolist()
+
+
+def links_of(t, a, b) -> pa.RecordBatch:
+    import pyarrow as pa
+
+    cls = t["cls"].combine_chunks()
+    return pa.record_batch([cls.take(pa.array(x)).cast(pa.binary()) for x in (a, b)], names=["a", "b"])
+
 
-    spark = members.sparkSession
-    dealt = members.repartition(shuffle_partitions(spark), "bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j")
-    return dealt.select("bucket", "_i", "_j", "_b", "cls", "label", "sig").mapInArrow(run, "a binary, b binary, more boolean")
+def likely_links(members: DataFrame, needed: list[int]) -> DataFrame:
+    """Of every group a spanning forest of the survivors."""
+
+    def work(t):
+        a, b, m, label = surviving(t, needed)
+        if len(a):
+            picked = forest(a, b, m, label)
+            yield links_of(t, a[picked], b[picked])
+
+    return by_group(members, [], "a binary, b binary", work)
+
+
+def undecided(members: DataFrame, needed: list[int]) -> DataFrame:
+    """The members that have a survivor with another label in their group."""
+
+    def work(t):
+        import numpy as np
+
+        a, b, _, _ = surviving(t, needed)
+        if len(a):
+            yield from t.drop_columns(["sig"]).take(pa.array(np.unique(np.concatenate([a, b])))).to_batches()
+
+    return by_group(members, [], "band int, bucket bigint, _i int, _j int, _b int, cls binary, label binary", work)
+
+
+def exact_links(members: DataFrame, needed: list[int], percent: int) -> DataFrame:
+    """Of every group a spanning forest of the survivors whose full sets (``shingles``) are alike enough."""
+
+    def work(t):
+        import numpy as np
+
+        a, b, m, label = surviving(t, needed)
+        sets = t["shingles"].combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy())
+        values, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        starts, mark = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(values), dtype=bool)
+        order = np.argsort(a, kind="stable")
+        good = []
+        for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+            if not len(part):
+                continue
+            i, others = a[part[0]], b[part]
+            mark[ids[starts[i] : starts[i + 1]]] = True
+            both = np.array([np.count_nonzero(mark[ids[starts[j] : starts[j + 1]]]) for j in others])
+            mark[ids[starts[i] : starts[i + 1]]] = False
+            good.append(part[100 * both >= percent * (sizes[i] + sizes[others] - both)])
+        good = np.concatenate([np.zeros(0, np.int64), *good])
+        if len(good):
+            picked = good[forest(a[good], b[good], m[good], label)]
+            yield links_of(t, a[picked], b[picked])
+
+    return by_group(members, ["shingles"], "a binary, b binary", work)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,47 +343,36 @@ def near_duplicates(
     docs: DataFrame, width: int = 3, percent: int = 85, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links), kept."""
+    needed = least_matches(percent / 100, BANDS * ROWS, miss)
     signed = landed(shingled(docs, width, id_col, text_col), "signatures")
     classes = landed(
         signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig")), "classes"
     )
     members = landed(buckets(classes), "buckets")
-    large = not members.where(F.col("n") > BLOCK).isEmpty()
-    sets, tried, links, roots, turn = None, None, None, None, 0
-    while not members.isEmpty():
-        rows = members.withColumn("label", F.col("cls"))
-        if roots is not None:
-            rows = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
-        rows = grouped(rows, turn == 0).join(classes.select("cls", "sig"), "cls")
-        pairs = landed(compared(rows, percent / 100, miss, 4**turn).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
-        fresh = pairs.select("a", "b")
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        wanted = fresh.select(F.col("a").alias("cls")).union(fresh.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
+    signatures = classes.select("cls", "sig")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = landed(wanted.join(classes.select("cls", "first_id"), "cls"), "wanted")
-        if not wanted.isEmpty():
-            more_sets = landed(full_sets(docs, small(wanted), width, id_col, text_col), "sets")
-            sets = more_sets if sets is None else sets.union(more_sets)
-        if sets is None:
-            break  # no pair survived
-        new = landed(verified(fresh, sets, percent), "verified")
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b")).distinct()
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            roots = landed(components(links), "roots")
-        unseen = not pairs.where("more").isEmpty() or (large and turn == 0)
-        turn += 1
-        if not unseen:
-            break
+        return landed(full_sets(docs, small(wanted), width, id_col, text_col), "sets")
+
+    first = grouped(members.withColumn("label", F.col("cls")), True).join(signatures, "cls")
+    likely = landed(likely_links(first, needed).distinct(), "likely")
+    sets = sets_of(likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct())
+    links = landed(verified(likely, sets, percent), "verified")
+    roots = components(links)
+
+    labelled = members.join(roots.select(F.col("node").alias("cls"), F.col("root")), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
+    left = landed(undecided(grouped(labelled, False).join(signatures, "cls"), needed), "undecided")
+    if not left.isEmpty():
+        more = sets_of(left.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti"))
+        left = left.join(signatures, "cls").join(sets.union(more), "cls")
+        late = landed(exact_links(left, needed, percent), "late-links")
+        if not late.isEmpty():
+            roots = components(links.union(late))
     named = classes.select("cls", "first_id")
-    if roots is None:
-        named = named.withColumnRenamed("first_id", "component_id")
-    else:
-        placed = named.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
-        least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        named = placed.join(least, "root").select("cls", "component_id")
+    placed = named.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = placed.join(least, "root").select("cls", "component_id")
     out = signed.select("id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
