@@ -18,16 +18,20 @@ by_value(__name__)
 # Code points on whose class (letter, digit, space) all libraries agree, that NFC leaves alone and whose
 # lower case is one letter below U+02B0: below U+0230 without U+001C-U+001F (space or not) and U+0130.
 SAFE = "\\x00-\\x1b\\x20-\\u012f\\u0131-\\u022f"
-REMEMBERED = 600_000  # pre-tokens a worker remembers; it forgets all when there would be more
+REMEMBERED = 450_000  # pre-tokens in a generation; a worker remembers the current and the last one
 
 
 class PreTokens:
-    """``known`` maps pre-tokens to what ``encode_many`` gives for them."""
+    """``known`` maps pre-tokens to what ``encode_many`` gives for them.
+
+    When it is full a new generation begins; pre-tokens of the last one that occur again move on to it.
+    """
 
     def __init__(self, pattern: str, encode_many: Callable[[Iterable[str]], dict], specials: Iterable[str] = (), lower: bool = False, limit: int = REMEMBERED):
         import re
 
         self.known: dict = {}
+        self.older: dict = {}
         self.find, self.encode_many, self.lower, self.limit = class_pattern(pattern).findall, encode_many, lower, limit
         self.unsafe = re.compile("|".join([f"[^{SAFE}]", *map(re.escape, specials)])).search
 
@@ -40,8 +44,11 @@ class PreTokens:
                 seen.update(words)
         new = seen.difference(self.known)
         if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = seen
+            self.older, self.known, new = self.known, {}, seen
+        if self.older:
+            again = new & self.older.keys()
+            self.known.update({w: self.older[w] for w in again})
+            new = new - again
         if new:
             self.known.update(self.encode_many(new))
         return cuts
