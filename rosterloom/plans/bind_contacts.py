@@ -77,8 +77,7 @@ LIST_RULES = """
     UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'ROLE', NULL, NULL, NULL, 'KMP', NULL, NULL FROM {supplier} WHERE s_acctbal BETWEEN 100 AND 600 OR s_acctbal > 9000
     UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'ROLE', NULL, NULL, NULL, 'ADMINISTRATIVE_HEAD', NULL, NULL FROM {supplier} WHERE s_acctbal BETWEEN 5000 AND 6500 OR s_acctbal BETWEEN 300 AND 600
     UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'ROLE', NULL, NULL, NULL, 'UTILITY_HEAD', NULL, NULL FROM {supplier} WHERE s_acctbal BETWEEN 2000 AND 2600
-    UNION ALL SELECT DISTINCT CAST(l_suppkey AS BIGINT), 'EXCLUDE_EMPLOYEE', NULL, NULL, NULL, NULL, NULL, CAST(o_custkey AS BIGINT) FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_quantity = 50
-    UNION ALL SELECT DISTINCT CAST(l_suppkey AS BIGINT), 'INCLUDE_EMPLOYEE', NULL, NULL, NULL, NULL, NULL, CAST(o_custkey AS BIGINT) FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_quantity >= 49 AND l_linenumber < 3"""
+    UNION ALL SELECT DISTINCT CAST(l_suppkey AS BIGINT), CASE WHEN l_quantity = 50 THEN 'EXCLUDE_EMPLOYEE' ELSE 'INCLUDE_EMPLOYEE' END, NULL, NULL, NULL, NULL, NULL, CAST(o_custkey AS BIGINT) FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey"""
 
 MEMBERS_SQL = f"""
     WITH r AS ({LIST_RULES}), l AS (SELECT DISTINCT list_id FROM r), hd AS (SELECT person_id FROM ({HEADS_SQL})),

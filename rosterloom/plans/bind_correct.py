@@ -75,7 +75,7 @@ def m3_problems(t):
 
 
 PROPOSALS = """SELECT person_id AS proposal_id, CASE WHEN balance > 8500 THEN 'nowhere' ELSE 'nation_' || CAST(org_id AS STRING) END AS org_name, CASE WHEN balance BETWEEN 8000 AND 8500 THEN 'Nobody' ELSE person_name END AS person_name,
-    '022-' || CAST(person_id AS STRING) AS new_value FROM {person} WHERE dept IN ('BUILDING', 'MACHINERY')"""
+    '022-' || CAST(person_id AS STRING) AS new_value FROM {person}"""
 TWINS = "SELECT person_id, org_id, person_name, office FROM {person} UNION ALL SELECT person_id + 100000000, org_id, person_name, office FROM {person} WHERE balance BETWEEN 100 AND 200"
 GUARD_SQL = f"""WITH p AS ({PROPOSALS}), w AS ({TWINS}), h AS (SELECT org_id, lower(person_name) AS k, count(*) AS n, min(person_id) AS person_id, min(office) AS v FROM w GROUP BY 1, 2),
     j AS (SELECT p.*, o.org_id, h.n, h.person_id, CASE WHEN o.org_id IS NULL THEN 'organization not found' WHEN h.n IS NULL THEN 'person not found' WHEN h.n > 1 THEN 'several people'

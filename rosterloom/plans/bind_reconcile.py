@@ -265,7 +265,7 @@ def e13(t):
     )
 
 
-MOVES = "SELECT finding_id, station, issue, name || CAST(finding_id % 300 AS STRING) AS name FROM {finding} WHERE category = 'Employee'"
+MOVES = "SELECT finding_id, station, issue, name || CAST(finding_id % 300 AS STRING) AS name FROM {finding}"
 
 
 @query(

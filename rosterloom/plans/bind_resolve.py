@@ -16,11 +16,11 @@ def _label_key():
 
 @query(
     "d1_match_exact",
-    f"""WITH a AS (SELECT place_id, {STRIP} AS key FROM {{place}}), d AS (SELECT label AS key, min(place_id) AS dict_id FROM {{place}} WHERE org_id < 3 GROUP BY 1)
+    f"""WITH a AS (SELECT place_id, {STRIP} AS key FROM {{place}}), d AS (SELECT label AS key, min(place_id) AS dict_id FROM {{place}} GROUP BY 1)
         SELECT place_id, a.key, dict_id FROM a LEFT JOIN d ON d.key = a.key""",
 )
 def d1(t):
-    words = t.place.where("org_id < 3").selectExpr("label", "place_id AS dict_id")
+    words = t.place.selectExpr("label", "place_id AS dict_id")
     return rs.match_exact(t.place.select("place_id", _label_key().alias("key")), "key", words, "dict_id", "label")
 
 
@@ -98,12 +98,12 @@ def d4(t):
 
 @query(
     "d4_longest_name_in_documents",
-    """WITH d AS (SELECT DISTINCT split_part(text, ',', 1) AS name FROM benchmark WHERE split_part(text, ',', 1) <> '' UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part)
+    """WITH d AS (SELECT DISTINCT text AS name FROM benchmark WHERE text <> '' UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part)
        SELECT doc_id, name FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) rn
          FROM documents JOIN d ON contains(lower(text), lower(name))) WHERE rn = 1""",
 )
 def d4_documents(t):
-    names = t.benchmark.select(F.split_part("text", F.lit(","), F.lit(1)).alias("name")).where("name <> ''")
+    names = t.benchmark.select(F.col("text").alias("name")).where("name <> ''")
     names = names.union(t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
     return rs.longest_name_in(t.documents, "text", names, "name", id_col="doc_id")
 
@@ -210,7 +210,7 @@ def d11(t):
     return rs.pair_occurrences(a, b, "person_id", "title", "order_id", "partner_id", F.col("o_totalprice") > 400000)
 
 
-FUZZY_A = "SELECT person_id, org_id, CASE WHEN balance < 3000 THEN replace(person_name, '0', 'O') WHEN balance < 6000 THEN replace(person_name, 'tomer', 'tmoer') ELSE substr(person_name, 2) END AS person_name FROM {person} WHERE dept = 'BUILDING'"
+FUZZY_A = "SELECT person_id, org_id, CASE WHEN balance < 3000 THEN replace(person_name, '0', 'O') WHEN balance < 6000 THEN replace(person_name, 'tomer', 'tmoer') ELSE substr(person_name, 2) END AS person_name FROM {person}"
 
 
 @query(

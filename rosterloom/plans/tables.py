@@ -82,7 +82,7 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS head_id, CAST(l_linenumber AS BIGINT) AS seat,
                'Assistant ' || CAST(l_linenumber AS STRING) || '-' || CAST(l_suppkey AS STRING) AS name,
                'pa' || CAST(l_linenumber AS STRING) || '.' || CAST(l_suppkey AS STRING) || '@heads.example.org' AS email
-        FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 45
+        FROM {lineitem}
     """,
     # reconciliation sources over people: A is the document, B the store
     "src_a": """
