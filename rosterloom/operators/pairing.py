@@ -4,6 +4,9 @@ Equal keys pair by occurrence number.  Unequal ones are paired name by name in
 rounds: an edge is taken when it is the best of both its names, with as many
 copies as both sides have left.  The best remaining edge is always such an edge,
 so every round makes progress and the result equals taking edges best first.
+Edges of one score are ordered by a hash of their names: in name order all names of one
+side would want the same partner and a round would settle one pair, in hash
+order it settles a share of them.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ def pair_by_occurrence(
 def assign_names(edges: DataFrame, block: Sequence[str], a_counts: DataFrame, b_counts: DataFrame) -> DataFrame:
     """Greedy assignment of copies along (block, a_name, b_name, score), low score first.
 
-    Counts are (block, name, n).  Returns (block, a_name, b_name, score, a_from,
+    Equal scores go by ``md5(a_name, U+0001, b_name)``, then by name.  Counts are (block, name, n).  Returns (block, a_name, b_name, score, a_from,
     b_from, n): copies a_from+1.. of a_name go with copies b_from+1.. of b_name.
     """
     ca = a_counts.select(*block, F.col("name").alias("a_name"), F.col("n").alias("a_left"), F.lit(0).cast("bigint").alias("a_used"))
@@ -38,9 +41,10 @@ def assign_names(edges: DataFrame, block: Sequence[str], a_counts: DataFrame, b_
     open_edges = durable(edges.join(ca, [*block, "a_name"]).join(cb, [*block, "b_name"]))
     taken = None
     while True:
-        rank = F.struct("score", "a_name", "b_name")
-        best_a = open_edges.groupBy(*block, "a_name").agg(F.min(rank).alias("best")).select(*block, "best.*")
-        best_b = open_edges.groupBy(*block, "b_name").agg(F.min(rank).alias("best")).select(*block, "best.*")
+        tie = F.md5(F.concat("a_name", F.lit("\u0001"), "b_name"))
+        rank = F.struct("score", tie.alias("tie"), "a_name", "b_name")
+        best_a = open_edges.groupBy(*block, "a_name").agg(F.min(rank).alias("best")).select(*block, "best.*").drop("tie")
+        best_b = open_edges.groupBy(*block, "b_name").agg(F.min(rank).alias("best")).select(*block, "best.*").drop("tie")
         both = [*block, "a_name", "b_name", "score"]
         mutual = best_a.join(best_b, both, "left_semi")
         now = durable(

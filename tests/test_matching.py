@@ -1,6 +1,7 @@
 """Containment, similarity and pairing against brute force."""
 
 import itertools
+import hashlib
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions.contain import contained, terms_in_texts
 from rosterloom.functions.similar import matcher_ratio, nearest, similar_pairs
+from rosterloom.operators import pairing
 from rosterloom.operators import reconcile as rc
 from rosterloom.operators import resolve as rs
 
@@ -101,9 +103,10 @@ def test_match_contains_prefers_close_length(spark, rows):
 
 def greedy(missing, extra, score):
     """Best-first one-to-one assignment of rows."""
-    pairs = sorted((s, mn, en, m, e) for m, mn in missing for e, en in extra if (s := score(mn, en)) is not None)
+    tie = lambda a, b: hashlib.md5(f"{a}\x01{b}".encode()).hexdigest()
+    pairs = sorted((s, tie(mn, en), mn, en, m, e) for m, mn in missing for e, en in extra if (s := score(mn, en)) is not None)
     used, out = set(), []
-    for s, _, _, m, e in pairs:
+    for *_, m, e in pairs:
         if ("m", m) not in used and ("e", e) not in used:
             used |= {("m", m), ("e", e)}
             out.append((m, e))
@@ -135,6 +138,19 @@ def test_suggest_place_moves_equals_best_first(spark):
     assert {r.missing_id: r.extra_id for r in got} == {m: want.get(m) for m, _ in side("Missing")}
 
 
+def test_equal_scores_take_few_rounds(spark, monkeypatch):
+    """Rounds do not grow with the number of equally good names."""
+    calls = []
+    real = pairing.durable
+    monkeypatch.setattr(pairing, "durable", lambda df: calls.append(1) or real(df))
+    n = 150
+    edges = spark.sql(f"SELECT 1L AS _b, 'a' || x.id AS a_name, 'b' || y.id AS b_name, 0.0D AS score FROM range({n}) x, range({n}) y")
+    names = lambda side: spark.sql(f"SELECT 1L AS _b, '{side}' || id AS name, 1L AS n FROM range({n})")
+    got = pairing.assign_names(edges, ["_b"], names("a"), names("b")).collect()
+    assert len(got) == len({r["a_name"] for r in got}) == len({r["b_name"] for r in got}) == n
+    assert (len(calls) - 1) / 2 <= 15
+
+
 def test_pair_artifacts_one_partner_each(spark, rows):
     data = [
         (1, "Beta", "Control Room", "Missing", "Main - Room"), (2, "Beta", "Control Room", "Extra", "MAIN room"),
