@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.functions.skew import carry
@@ -88,6 +91,66 @@ def publish_snapshot(rows: DataFrame, path: str, version: str) -> DataFrame:
     return snapshot_counts(rows.sparkSession.read.parquet(target), version)
 
 
+VERSION_RECORD = "version string, year int, month int, remarks string, generated_by bigint, generated_at timestamp, n_rows bigint, n_orgs bigint, status string"
+AUDIT_RECORD = "record string, action string, field string, old_value string, new_value string, reason string, actor bigint, at timestamp"
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An append-only table; empty before the first record."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def _append(spark: SparkSession, path: str, schema: str, record: Sequence) -> None:
+    spark.createDataFrame([tuple(record)], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def version_records(spark: SparkSession, path: str) -> DataFrame:
+    """The latest record of every version: a deleted version keeps its number and its record."""
+    stored = _stored(spark, f"{path}/versions", VERSION_RECORD)
+    deleted = stored.where("status = 'DELETED'").select("version", F.lit(True).alias("_gone")).distinct()
+    status = F.when(F.col("_gone"), "DELETED").otherwise(F.col("status"))
+    return stored.where("status <> 'DELETED'").join(deleted, "version", "left").withColumn("status", status).drop("_gone")
+
+
+def version_audit(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, f"{path}/audit", AUDIT_RECORD)
+
+
+def publish_version(
+    rows: DataFrame, path: str, year: int, month: int, at: datetime, actor: int | None = None, remarks: str | None = None,
+    regenerate: bool = False,
+) -> str:
+    """Publish the rows as the month's version, with a version record and an audit record; returns its number.
+
+    A month that has a version is refused unless ``regenerate`` asks for its next
+    revision; no earlier version is touched.  The numbers read are those of one month.
+    """
+    spark = rows.sparkSession
+    known = {r["version"]: r["status"] for r in version_records(spark, path).where((F.col("year") == year) & (F.col("month") == month)).collect()}
+    if not regenerate and any(s != "DELETED" for s in known.values()):
+        raise ValueError(f"{year}.{month:02d} has a version; ask for its next revision")
+    base = f"{year}.{month:02d}"
+    revisions = (base if n == 1 else f"{base}.{n}" for n in count(1))
+    version = next(v for v in revisions if v not in known)
+    publish_snapshot(rows, f"{path}/rows", version)
+    sums = spark.read.parquet(f"{path}/rows/version={version}").agg(F.count(F.lit(1)), F.count_distinct("org_name")).head()
+    _append(spark, f"{path}/versions", VERSION_RECORD, (version, year, month, remarks, actor, at, *sums, "GENERATED"))
+    _append(spark, f"{path}/audit", AUDIT_RECORD, (version, "REGENERATE" if regenerate else "GENERATE", "version_number", None, version, remarks, actor, at))
+    return version
+
+
+def delete_version(spark: SparkSession, path: str, version: str, at: datetime, actor: int | None = None) -> None:
+    """Mark a version as deleted, with an audit record; its rows stay for the record."""
+    found = version_records(spark, path).where((F.col("version") == version) & (F.col("status") != "DELETED")).head()
+    if found is None:
+        raise ValueError(f"no version {version}")
+    _append(spark, f"{path}/versions", VERSION_RECORD, (*found[:-1], "DELETED"))
+    _append(spark, f"{path}/audit", AUDIT_RECORD, (version, "DELETE", "version_number", version, None, None, actor, at))
+
+
 def snapshot_diff(v1: DataFrame, v2: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Rows added, removed or changed from one version to the next."""
     a = v1.select(*keys, F.struct(*cols).alias("_a"))

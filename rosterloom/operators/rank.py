@@ -114,7 +114,7 @@ def heads_first(people: DataFrame, heads: DataFrame, n: int) -> DataFrame:
 
 
 def suggest(
-    kinds: Sequence[tuple[DataFrame, str, str, int]], term: str, total: int = 10
+    kinds: Sequence[tuple[DataFrame, str, str, int]], term: str, total: int
 ) -> DataFrame:
     """Autocomplete over (table, column, kind, cap) in order.
 

@@ -166,7 +166,7 @@ def token_index(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def search_tokens(index: DataFrame, id_col: str, words: Sequence[str], n: int = 20) -> DataFrame:
+def search_tokens(index: DataFrame, id_col: str, words: Sequence[str], n: int) -> DataFrame:
     """Rows with most of the words, then most hits, then lowest id; first ``n``."""
     found = index.where(F.col("token").isin([w.lower() for w in words]))
     return (

@@ -1,5 +1,7 @@
 """Bindings: history, versions and audit."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from rosterloom.operators import history as hs
@@ -82,6 +84,37 @@ def m12(t):
     return hs.publish_snapshot(rows, run_dir(t.spark, "snapshots"), "2024.05")
 
 
+AT = datetime(2024, 5, 31, 12)
+
+
+def _versions(t):
+    rows, path = directory_rows(t.org, t.person, t.place, resolve_heads(t.person, t.org)), run_dir(t.spark, "versions")
+    first = hs.publish_version(rows, path, 2024, 5, AT, actor=7, remarks="monthly")
+    hs.publish_version(rows.where("org_name <> 'NATION_3'"), path, 2024, 5, AT, actor=7, regenerate=True)
+    hs.publish_version(rows, path, 2024, 6, AT)
+    hs.delete_version(t.spark, path, first, AT, actor=8)
+    return path
+
+
+@query(
+    "m12_version_records",
+    f"""WITH d AS ({DIRECTORY_SQL}), a AS (SELECT count(*) AS n_rows, count(DISTINCT org_name) AS n_orgs FROM d), b AS (SELECT count(*) AS n_rows, count(DISTINCT org_name) AS n_orgs FROM d WHERE org_name <> 'NATION_3')
+        SELECT '2024.05' AS version, 5 AS month, 'monthly' AS remarks, n_rows, n_orgs, 'DELETED' AS status FROM a UNION ALL SELECT '2024.05.2', 5, NULL, n_rows, n_orgs, 'GENERATED' FROM b UNION ALL SELECT '2024.06', 6, NULL, n_rows, n_orgs, 'GENERATED' FROM a""",
+)
+def m12_records(t):
+    return hs.version_records(t.spark, _versions(t)).select("version", "month", "remarks", "n_rows", "n_orgs", "status")
+
+
+@query(
+    "m12_version_audit",
+    f"""WITH d AS (SELECT count(*) AS n FROM ({DIRECTORY_SQL})), x AS (SELECT '2024.05' AS record, 'GENERATE' AS action, NULL AS old_value, '2024.05' AS new_value, 7 AS actor UNION ALL SELECT '2024.05.2', 'REGENERATE', NULL, '2024.05.2', 7
+          UNION ALL SELECT '2024.06', 'GENERATE', NULL, '2024.06', NULL UNION ALL SELECT '2024.05', 'DELETE', '2024.05', NULL, 8)
+        SELECT record, action, old_value, new_value, CAST(actor AS BIGINT) AS actor FROM x, d WHERE n > 0""",
+)
+def m12_audit(t):
+    return hs.version_audit(t.spark, _versions(t)).select("record", "action", "old_value", "new_value", "actor")
+
+
 V1 = "SELECT request_id, person_id, status, new_value FROM {request} WHERE field_name <> 'address'"
 V2 = "SELECT request_id, person_id, CASE WHEN person_id < 100 THEN 'CLOSED' ELSE status END AS status, new_value FROM {request} WHERE status <> 'REJECTED'"
 

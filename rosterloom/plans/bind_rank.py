@@ -116,7 +116,7 @@ _SUGGEST = (("part", "p_name", "place", 6), ("nation", "n_name", "organization",
 )
 def i6(t):
     kinds = [(getattr(t, table), col, kind, cap) for table, col, kind, cap in _SUGGEST]
-    return rank.suggest(kinds, "R").withColumn("tier", F.col("tier").cast("bigint"))
+    return rank.suggest(kinds, "R", total=10).withColumn("tier", F.col("tier").cast("bigint"))
 
 
 @query(

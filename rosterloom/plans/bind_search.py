@@ -125,7 +125,7 @@ def k9_index(t):
 )
 def k9_search(t):
     index = se.token_index(t.documents, "doc_id", ["text", "source"])
-    return se.search_tokens(index, "doc_id", ["The", "and", "src4"])
+    return se.search_tokens(index, "doc_id", ["The", "and", "src4"], n=20)
 
 
 @query("k9_search_text", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license') OR contains(lower(lang), 'license') ORDER BY doc_id LIMIT 20")

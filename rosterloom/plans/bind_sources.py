@@ -147,6 +147,21 @@ def a8(t):
     return sinks.run_record(t.src_b, t.src_a, "person_id", ["title", "email"], "people")
 
 
+@query(
+    "a8_run_table",
+    """SELECT 'people' AS run_name, count_if(b.person_id IS NULL) AS inserted,
+              count_if(b.person_id IS NOT NULL AND (a.title IS DISTINCT FROM b.title OR a.email IS DISTINCT FROM b.email)) AS updated,
+              count_if(b.person_id IS NOT NULL AND NOT (a.title IS DISTINCT FROM b.title OR a.email IS DISTINCT FROM b.email)) AS skipped, 'APPLIED' AS status
+       FROM {src_a} a LEFT JOIN {src_b} b ON a.person_id = b.person_id
+       UNION ALL SELECT 'people again', 0, 0, count(*), 'NO CHANGE' FROM {src_a}""",
+)
+def a8_table(t):
+    path = run_dir(t.spark, "runs")
+    sinks.record_run(sinks.run_record(t.src_b, t.src_a, "person_id", ["title", "email"], "people"), path)
+    sinks.record_run(sinks.run_record(t.src_a, t.src_a, "person_id", ["title", "email"], "people again"), path)
+    return t.spark.read.parquet(path)
+
+
 DIM_SQL = "SELECT min(place_id) AS dim_id, station || ' ' || label AS name FROM {place} WHERE category = 'Switchyard' GROUP BY 2"
 
 

@@ -52,6 +52,11 @@ def run_record(target: DataFrame, source: DataFrame, key: str, cols: Sequence[st
     )
 
 
+def record_run(record: DataFrame, path: str) -> None:
+    """Append a run's record to the table of runs."""
+    record.write.mode("append").parquet(path)
+
+
 def upsert_dim(dim: DataFrame, names: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Dimension with the missing names appended under the next ids, in name order."""
     fresh = (
