@@ -43,7 +43,7 @@ by_value(__name__)
 BANDS, ROWS = 24, 6
 BATCH = 16
 MISS = 1e-6
-BLOCK = 256
+BLOCK = 1024
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -289,16 +289,16 @@ def likely_links(members: DataFrame, needed: list[int]) -> DataFrame:
 
 
 def undecided(members: DataFrame, needed: list[int]) -> DataFrame:
-    """The members that have a survivor with another label in their group."""
+    """The members, with their signatures, that have a survivor with another label in their group."""
 
     def work(t):
         import numpy as np
 
         a, b, _, _ = surviving(t, needed)
         if len(a):
-            yield from t.drop_columns(["sig"]).take(pa.array(np.unique(np.concatenate([a, b])))).to_batches()
+            yield from t.take(pa.array(np.unique(np.concatenate([a, b])))).to_batches()
 
-    return by_group(members, [], "band int, bucket bigint, _i int, _j int, _b int, cls binary, label binary", work)
+    return by_group(members, [], "band int, bucket bigint, _i int, _j int, _b int, cls binary, label binary, sig binary", work)
 
 
 def exact_links(members: DataFrame, needed: list[int], percent: int) -> DataFrame:
@@ -365,7 +365,7 @@ def near_duplicates(
     left = landed(undecided(grouped(labelled, False).join(signatures, "cls"), needed), "undecided")
     if not left.isEmpty():
         more = sets_of(left.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti"))
-        left = left.join(signatures, "cls").join(sets.union(more), "cls")
+        left = left.join(sets.union(more), "cls")
         late = landed(exact_links(left, needed, percent), "late-links")
         if not late.isEmpty():
             roots = components(links.union(late))
