@@ -20,8 +20,20 @@ def _log(t):
     return sm.read_log(t.spark, f"{t.path}/events.parquet")
 
 
-def _land(t, result, label):
-    folder = run_dir(t.spark, label)
+def _grown(t, run, ranges=4):
+    """Let the log grow by a range of time and ``run`` the stream to its end, again and again; the last result."""
+    folder, time = run_dir(t.spark, "log"), F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = t.events.agg(F.percentile_approx(time, [i / ranges for i in range(1, ranges)])).head()[0] or []
+    out = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        some = t.events.where((time > low) if low is not None else F.lit(True)).where((time <= high) if high is not None else F.lit(True))
+        some.write.mode("append").parquet(folder)
+        out = run(sm.read_log(t.spark, folder))
+    return out
+
+
+def _land(t, result, label, folder=None):
+    folder = folder or run_dir(t.spark, label)
     return sm.land(result, f"{folder}/table", f"{folder}/state")
 
 
@@ -72,30 +84,35 @@ def n4(t):
 )
 def n5(t):
     folder, order = run_dir(t.spark, "latest"), ["ts", "event_id"]
-    writer = sm.latest_state(_log(t).select("user_id", "ts", "event_id", "event_type", "value"), f"{folder}/table", "user_id", order)
-    sm.run_to_end(writer, f"{folder}/state")
-    return sm.read_latest(t.spark, f"{folder}/table", "user_id", order).drop("ts")
+
+    def run(log):
+        rows = log.select("user_id", "ts", "event_id", "event_type", "value")
+        sm.run_to_end(sm.latest_state(rows, f"{folder}/table", "user_id", order, fold=3), f"{folder}/state")
+
+    _grown(t, run)
+    return sm.read_latest(t.spark, f"{folder}/table", "user_id", order, fold=3).drop("ts")
 
 
 MACHINE_SQL = HISTORY_SQL + """ SELECT event_id, person_id, CAST(ts AS VARCHAR) AS changed_at, old_status, new_status,
     new_status <> 'ACTIVE' AND row_number() OVER (PARTITION BY person_id, new_status <> 'ACTIVE' ORDER BY ts, event_id) = 1 AS ends_role FROM h"""
 
 
-def _status_log(t):
-    return t.spark.sql(STATUS_EVENTS, audit=_log(t).withColumnRenamed("event_type", "action"))
+def _status_log(t, log):
+    return t.spark.sql(STATUS_EVENTS, audit=log.withColumnRenamed("event_type", "action"))
 
 
 @query("n6_status_machine", MACHINE_SQL)
 def n6(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", sm.ROCKSDB)
-    landed = _land(t, sm.status_machine(_status_log(t), t.person), "status")
+    folder = run_dir(t.spark, "status")
+    landed = _grown(t, lambda log: _land(t, sm.status_machine(_status_log(t, log), t.person), "status", folder))
     return landed.withColumn("changed_at", F.col("ts").cast("string")).drop("ts")
 
 
 @query("n6_status_batches", MACHINE_SQL)
 def n6_batches(t):
     folder = run_dir(t.spark, "status-batches")
-    sm.run_to_end(sm.status_batches(_status_log(t), t.person, folder), f"{folder}/checkpoint")
+    _grown(t, lambda log: sm.run_to_end(sm.status_batches(_status_log(t, log), t.person, folder, fold=3), f"{folder}/checkpoint"))
     landed = t.spark.read.parquet(f"{folder}/history").drop("batch")
     return landed.withColumn("changed_at", F.col("ts").cast("string")).drop("ts")
 

@@ -68,26 +68,49 @@ def latest_of(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     )
 
 
-def latest_state(stream: DataFrame, path: str, key: str, order: Sequence[str]):
+FOLD = 16  # batches between two folded tables
+
+
+def _write_batch(rows: DataFrame, path: str, batch_id: int, fold: int, folded) -> None:
+    """Write a batch's rows under its number; every ``fold`` batches also one table of all so far.
+
+    A repeated batch overwrites its own folders and reads only what is before it.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
+    if (batch_id + 1) % fold == 0:
+        so_far = _batches_before(rows.sparkSession, path, rows.schema, batch_id + 1, fold, batch_id - fold)
+        folded(so_far).select(*rows.columns).write.mode("overwrite").parquet(f"{path}/folded/upto={batch_id}")
+
+
+def _batches_before(spark: SparkSession, path: str, schema: StructType, before: int, fold: int, upto: int | None = None) -> DataFrame:
+    """Rows of the last folded table and of the at most ``fold`` batches after it, below ``before``, with their ``batch``."""
+    upto = before // fold * fold - 1 if upto is None else upto
+    out = spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("bigint"))
+    if upto >= 0:
+        out = out.unionByName(spark.read.schema(schema).parquet(f"{path}/folded/upto={upto}").withColumn("batch", F.lit(upto).cast("bigint")))
+    for b in range(upto + 1, before):
+        out = out.unionByName(spark.read.schema(schema).parquet(f"{path}/batches/batch={b}").withColumn("batch", F.lit(b).cast("bigint")))
+    return out
+
+
+def latest_state(stream: DataFrame, path: str, key: str, order: Sequence[str], fold: int = FOLD):
     """Query that keeps the latest row per key in a table.
 
-    Every batch writes only its own latest rows under its number, so a repeated
-    batch overwrites itself; ``read_latest`` folds the batches.
+    Every batch writes its own latest rows; every ``fold`` batches they are folded into one
+    table, so a reader opens one table and at most ``fold`` batches however long the stream runs.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_of(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _write_batch(latest_of(batch, key, order), path, batch_id, fold, lambda rows: latest_of(rows.drop("batch"), key, order))
 
     return stream.writeStream.foreachBatch(write)
 
 
-def read_latest(spark: SparkSession, path: str, key: str, order: Sequence[str]) -> DataFrame:
-    return latest_of(spark.read.parquet(path).drop("batch"), key, order)
-
-
-def compact_latest(spark: SparkSession, path: str, target: str, key: str, order: Sequence[str]) -> None:
-    """Fold the batch folders into one table, for long-running streams."""
-    read_latest(spark, path, key, order).write.mode("errorifexists").parquet(target)
+def read_latest(spark: SparkSession, path: str, key: str, order: Sequence[str], fold: int = FOLD) -> DataFrame:
+    """The latest row per key after all batches written."""
+    batches = spark.read.parquet(f"{path}/batches")
+    n = batches.agg(F.max("batch")).head()[0] + 1  # from the folders' names
+    return latest_of(_batches_before(spark, path, batches.drop("batch").schema, n, fold).drop("batch"), key, order)
 
 
 def land_stream(stream: DataFrame, path: str):
@@ -152,17 +175,17 @@ def status_machine(stream: DataFrame, people: DataFrame) -> DataFrame:
     )
 
 
-def status_batches(stream: DataFrame, people: DataFrame, path: str):
+def status_batches(stream: DataFrame, people: DataFrame, path: str, fold: int = FOLD):
     """The same history for logs where one person may hold much of a batch.
 
-    Every batch runs the batch operator, which cuts hot persons into chunks, on top
-    of the state left by earlier batches.  A repeated batch overwrites its folders
-    and reads only the state before it.
+    Every batch runs the batch operator, which cuts hot persons by range, on top of
+    the state left by earlier batches, folded every ``fold`` of them.  A repeated
+    batch overwrites its folders and reads only the state before it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = read_state(spark, path, batch_id)
+        state = read_state(spark, path, batch_id, fold)
         known = people.select("person_id", F.col("status").alias("_start")).join(state, "person_id", "left")
         current = known.select("person_id", F.coalesce("status", "_start").alias("status"))
         changes = apply_status(batch, current).withColumn("_at", F.struct("ts", "event_id"))
@@ -174,7 +197,7 @@ def status_batches(stream: DataFrame, people: DataFrame, path: str):
         )
         rows.drop("_at", "_ending").write.mode("overwrite").parquet(f"{path}/history/batch={batch_id}")
         left = rows.groupBy("person_id").agg(F.max_by("new_status", "_at").alias("status"), F.max("ends_role").alias("ended"))
-        left.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        _write_batch(left, f"{path}/state", batch_id, fold, _fold_state)
 
     return stream.writeStream.foreachBatch(write)
 
@@ -182,14 +205,16 @@ def status_batches(stream: DataFrame, people: DataFrame, path: str):
 STATE = "person_id bigint, status string, ended boolean"
 
 
-def read_state(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Status per person after the batches below ``before``."""
-    if before == 0:
-        return spark.createDataFrame([], STATE)
-    rows = spark.read.schema(f"{STATE}, batch bigint").parquet(f"{path}/state").where(F.col("batch") < before)
+def _fold_state(rows: DataFrame) -> DataFrame:
     return rows.groupBy("person_id").agg(F.max_by("status", "batch").alias("status"), F.max("ended").alias("ended"))
 
 
+def read_state(spark: SparkSession, path: str, before: int, fold: int = FOLD) -> DataFrame:
+    """Status per person after the batches below ``before``."""
+    schema = spark.createDataFrame([], STATE).schema
+    return _fold_state(_batches_before(spark, f"{path}/state", schema, before, fold))
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.operators import history as hs
@@ -36,11 +37,12 @@ def test_status_machine_equals_batch(spark, rows, tmp_path):
     assert rows(got.where("ends_role"), "person_id", "event_id") == rows(first)
 
 
-def test_status_batches_equal_the_machine(spark, rows, tmp_path):
+@pytest.mark.parametrize("fold", [2, 16])
+def test_status_batches_equal_the_machine(spark, rows, tmp_path, fold):
     events = write_log(spark, str(tmp_path / "log"))
     people = spark.createDataFrame([(i, "ACTIVE" if i % 2 else "RETIRED") for i in range(5)], "person_id long, status string")
     log = sm.read_log(spark, str(tmp_path / "log"), files_per_batch=1)
-    sm.run_to_end(sm.status_batches(log, people, str(tmp_path / "t")), str(tmp_path / "state"))
+    sm.run_to_end(sm.status_batches(log, people, str(tmp_path / "t"), fold), str(tmp_path / "state"))
     got = spark.read.parquet(str(tmp_path / "t" / "history"))
     assert got.select("batch").distinct().count() == 4
     want = hs.apply_status(events, people)
@@ -50,15 +52,17 @@ def test_status_batches_equal_the_machine(spark, rows, tmp_path):
     assert rows(got.where("ends_role"), "person_id", "event_id") == rows(first)
 
 
-def test_latest_state_over_batches(spark, rows, tmp_path):
-    events = write_log(spark, str(tmp_path / "log"))
+@pytest.mark.parametrize("fold", [1, 2, 3, 16])
+def test_latest_state_over_batches(spark, rows, tmp_path, fold):
+    events = write_log(spark, str(tmp_path / "log"), files=7, n=119)
     log = sm.read_log(spark, str(tmp_path / "log"), files_per_batch=1)
-    sm.run_to_end(sm.latest_state(log, str(tmp_path / "t"), "person_id", ["ts", "event_id"]), str(tmp_path / "state"))
-    got = sm.read_latest(spark, str(tmp_path / "t"), "person_id", ["ts", "event_id"])
-    want = sm.latest_of(events, "person_id", ["ts", "event_id"])
+    order = ["ts", "event_id"]
+    sm.run_to_end(sm.latest_state(log, str(tmp_path / "t"), "person_id", order, fold), str(tmp_path / "state"))
+    got = sm.read_latest(spark, str(tmp_path / "t"), "person_id", order, fold)
+    want = sm.latest_of(events, "person_id", order)
     assert rows(got, "person_id", "event_id") == rows(want, "person_id", "event_id")
-    sm.compact_latest(spark, str(tmp_path / "t"), str(tmp_path / "c"), "person_id", ["ts", "event_id"])
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 5
+    assert (tmp_path / "t" / "folded").exists() == (fold < 16)
+    assert len(got.inputFiles()) <= (fold + 1) * 4  # a reader never opens all batches once they are folded
 
 
 def test_dedupe_and_windows(spark, tmp_path):
