@@ -22,7 +22,8 @@ Defined cases: a null text is an empty one; texts without words have an empty se
 with fewer words than a shingle have the whole sequence as their only shingle; equal sets are linked
 whatever their ids; a null id is never the smallest of its component unless all are null; rows
 that repeat an id are looked at each by its own text; an empty table gives no rows; further columns are not
-looked at.  A pair at the threshold misses all bands with probability (1 - t ** ROWS) ** BANDS.
+looked at.  A pair at the threshold t misses all bands with probability (1 - t ** rows) ** bands, which
+``banding`` holds below ``BAND_MISS``.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ from rosterloom.llm.pretokens import parts_of
 
 by_value(__name__)
 
-BANDS, ROWS = 24, 6
+PLACES = 144
+BAND_MISS = 1e-4
 BATCH = 16
 MISS = 1e-6
 BLOCK = 1024
@@ -91,6 +93,15 @@ def signature(shingles, factors, offsets):
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss a pair at the threshold seldom enough."""
+    for rows in range(12, 0, -1):
+        bands = PLACES // rows
+        if (1 - threshold**rows) ** bands <= BAND_MISS:
+            return bands, rows
+    return PLACES, 1
+
+
 def least_matches(threshold: float, places: int, miss: float) -> list[int]:
     """For each count of places that is a multiple of ``BATCH``: the matches below which a pair is dropped."""
     from math import comb
@@ -107,7 +118,7 @@ def least_matches(threshold: float, places: int, miss: float) -> list[int]:
     return out
 
 
-def survivors(left, right, same: bool, apart, needed: list[int], band: int):
+def survivors(left, right, same: bool, apart, needed: list[int], band: int, rows: int):
     """(i, j, matches) of the pairs of rows that no batch drops and whose first common band this is; ``apart(i, j)`` says which pairs count."""
     import numpy as np
 
@@ -125,7 +136,8 @@ def survivors(left, right, same: bool, apart, needed: list[int], band: int):
             m = m + (left[i, places] == right[j, places]).sum(axis=1)
             keep = m >= needed[k]
             i, j, m = i[keep], j[keep], m[keep]
-        agree = (left[i] == right[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
+        upto = (band + 1) * rows
+        agree = (left[i, :upto] == right[j, :upto]).reshape(len(i), band + 1, rows).all(axis=2)
         keep = agree[:, band] & ~agree[:, :band].any(axis=1)
         found.append((i[keep], j[keep], m[keep]))
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
@@ -154,10 +166,8 @@ def forest(a, b, matches, labels: list):
 
 def shingled(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: id, n_shingles, cls (digest of the set, null if it is empty), sig."""
-    places = BANDS * ROWS
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, offsets = multipliers(places)
+        factors, offsets = multipliers(PLACES)
         for batch in batches:
             n, cls, sig = [], [], []
             for text in batch["text"].to_pylist():
@@ -193,16 +203,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
     return sets.dropDuplicates(["cls"])
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(band, bucket, n, cls): members of every bucket of two or more; of buckets with the same members that of the first band."""
-    width = 4 * ROWS
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("sig", 1 + b * width, width)).alias("bucket")) for b in range(BANDS)])
-    rows = classes.select("cls", F.explode(keys).alias("k")).select("k.band", "k.bucket", "cls")
-    sizes = rows.groupBy("band", "bucket").agg(
+    width = 4 * rows
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("sig", 1 + b * width, width)).alias("bucket")) for b in range(bands)])
+    members = classes.select("cls", F.explode(keys).alias("k")).select("k.band", "k.bucket", "cls")
+    sizes = members.groupBy("band", "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")
     )
     one = sizes.where(F.col("n") > 1).groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", "n")
-    return rows.join(one, ["band", "bucket"]).select("band", "bucket", "n", "cls")
+    return members.join(one, ["band", "bucket"]).select("band", "bucket", "n", "cls")
 
 
 def grouped(members: DataFrame, first_round: bool) -> DataFrame:
@@ -257,7 +267,7 @@ def by_group(members: DataFrame, columns: list[str], schema: str, work) -> DataF
     return dealt.select(*KEYS, "_b", "cls", "label", "sig", *columns).mapInArrow(run, schema)
 
 
-def surviving(t, needed: list[int]):
+def surviving(t, needed: list[int], rows: int):
     """(a, b, matches): places of the pairs of a group with different labels that survive, and the label codes."""
     import numpy as np
 
@@ -265,7 +275,7 @@ def surviving(t, needed: list[int]):
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u4").reshape(len(label), -1)
     i, j, block = t["_i"][0].as_py(), t["_j"][0].as_py(), t["_b"].to_numpy()
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a, b, m = survivors(sig[left], sig[right], i == j, lambda a, b: label[left[a]] != label[right[b]], needed, t["band"][0].as_py())
+    a, b, m = survivors(sig[left], sig[right], i == j, lambda a, b: label[left[a]] != label[right[b]], needed, t["band"][0].as_py(), rows)
     return left[a], right[b], m, label.tolist()
 
 
@@ -276,11 +286,11 @@ def links_of(t, a, b) -> pa.RecordBatch:
     return pa.record_batch([cls.take(pa.array(x)).cast(pa.binary()) for x in (a, b)], names=["a", "b"])
 
 
-def likely_links(members: DataFrame, needed: list[int]) -> DataFrame:
+def likely_links(members: DataFrame, needed: list[int], rows: int) -> DataFrame:
     """Of every group a spanning forest of the survivors."""
 
     def work(t):
-        a, b, m, label = surviving(t, needed)
+        a, b, m, label = surviving(t, needed, rows)
         if len(a):
             picked = forest(a, b, m, label)
             yield links_of(t, a[picked], b[picked])
@@ -288,26 +298,26 @@ def likely_links(members: DataFrame, needed: list[int]) -> DataFrame:
     return by_group(members, [], "a binary, b binary", work)
 
 
-def undecided(members: DataFrame, needed: list[int]) -> DataFrame:
+def undecided(members: DataFrame, needed: list[int], rows: int) -> DataFrame:
     """The members, with their signatures, that have a survivor with another label in their group."""
 
     def work(t):
         import numpy as np
 
-        a, b, _, _ = surviving(t, needed)
+        a, b, _, _ = surviving(t, needed, rows)
         if len(a):
             yield from t.take(pa.array(np.unique(np.concatenate([a, b])))).to_batches()
 
     return by_group(members, [], "band int, bucket bigint, _i int, _j int, _b int, cls binary, label binary, sig binary", work)
 
 
-def exact_links(members: DataFrame, needed: list[int], percent: int) -> DataFrame:
+def exact_links(members: DataFrame, needed: list[int], rows: int, percent: int) -> DataFrame:
     """Of every group a spanning forest of the survivors whose full sets (``shingles``) are alike enough."""
 
     def work(t):
         import numpy as np
 
-        a, b, m, label = surviving(t, needed)
+        a, b, m, label = surviving(t, needed, rows)
         sets = t["shingles"].combine_chunks()
         sizes = np.diff(sets.offsets.to_numpy())
         values, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
@@ -343,12 +353,13 @@ def near_duplicates(
     docs: DataFrame, width: int = 3, percent: int = 85, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links), kept."""
-    needed = least_matches(percent / 100, BANDS * ROWS, miss)
+    needed = least_matches(percent / 100, PLACES, miss)
+    bands, rows = banding(percent / 100)
     signed = landed(shingled(docs, width, id_col, text_col), "signatures")
     classes = landed(
         signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig")), "classes"
     )
-    members = landed(buckets(classes), "buckets")
+    members = landed(buckets(classes, bands, rows), "buckets")
     signatures = classes.select("cls", "sig")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -356,17 +367,17 @@ def near_duplicates(
         return landed(full_sets(docs, small(wanted), width, id_col, text_col), "sets")
 
     first = grouped(members.withColumn("label", F.col("cls")), True).join(signatures, "cls")
-    likely = landed(likely_links(first, needed).distinct(), "likely")
+    likely = landed(likely_links(first, needed, rows).distinct(), "likely")
     sets = sets_of(likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct())
     links = landed(verified(likely, sets, percent), "verified")
     roots = components(links)
 
     labelled = members.join(roots.select(F.col("node").alias("cls"), F.col("root")), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
-    left = landed(undecided(grouped(labelled, False).join(signatures, "cls"), needed), "undecided")
+    left = landed(undecided(grouped(labelled, False).join(signatures, "cls"), needed, rows), "undecided")
     if not left.isEmpty():
         more = sets_of(left.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti"))
         left = left.join(sets.union(more), "cls")
-        late = landed(exact_links(left, needed, percent), "late-links")
+        late = landed(exact_links(left, needed, rows, percent), "late-links")
         if not late.isEmpty():
             roots = components(links.union(late))
     named = classes.select("cls", "first_id")

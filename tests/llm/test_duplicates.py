@@ -84,6 +84,28 @@ def test_least_matches_bound_the_miss():
         assert m / n < t
 
 
+def test_banding():
+    for t in (0.5, 0.8, 0.85, 0.95):
+        bands, rows = minhash.banding(t)
+        assert bands * rows <= minhash.PLACES and (1 - t**rows) ** bands <= minhash.BAND_MISS
+    assert minhash.banding(0.85) == (24, 6) and minhash.banding(0.8) == (28, 5)
+
+
+@pytest.mark.parametrize("width, percent", [(5, 80), (2, 60)])
+def test_other_widths_and_thresholds(spark, width, percent):
+    base = prose(31, 150)
+    texts = [edited(base, *range(0, 7 * (i % 9), 7)) for i in range(27)] + [prose(200 + i, 90) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, width, percent).collect()}
+    sets = [shingles(t, width) for t in texts]
+    label = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_one_of_each(odd, empty):
     kept = minhash.one_of_each(odd)
     assert kept.schema == odd.schema and minhash.one_of_each(empty).count() == 0
