@@ -125,6 +125,19 @@ def similar_pairs(
     )
 
 
+def ratio_pairs(
+    a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float
+) -> DataFrame:
+    """Every distinct pair of names in a block whose longest-matching-blocks ratio is at least ``threshold``.
+
+    A ratio t leaves 1 - t of both lengths together unmatched, which is at most that many
+    edits, or 2 (1 - t) of the longer name: the pairs of edit similarity 2 t - 1 are
+    complete, and only they are read by the ratio.  ``threshold`` must be above 0.5.
+    """
+    near = similar_pairs(a, a_col, b, b_col, block, 2 * threshold - 1).drop("similarity")
+    return near.withColumn("similarity", matcher_ratio("a_name", "b_name")).where(F.col("similarity") >= threshold)
+
+
 def nearest(
     a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from rosterloom.functions import text as tx
 from rosterloom.functions.contain import contained
 from rosterloom.functions.joins import join_on
 from rosterloom.functions.rules import Rule, first_match
-from rosterloom.functions.similar import similar_pairs
+from rosterloom.functions.similar import ratio_pairs, similar_pairs
 from rosterloom.functions.skew import numbered_by_range
 
 from . import pairing
@@ -202,14 +202,17 @@ def pair_artifacts(findings: DataFrame, generic: Sequence[str] = ("control room"
     )
 
 
-def pair_fuzzy(findings: DataFrame, threshold: float = 0.88, min_length: int = 4) -> DataFrame:
+def pair_fuzzy(findings: DataFrame, threshold: float = 0.88, min_length: int = 4, blocks: bool = False) -> DataFrame:
     """Pair remaining Missing and Extra findings of a (station, category) whose
-    labels are nearly equal, best first, one partner each."""
+    labels are nearly equal, best first, one partner each.
+
+    Likeness is by edits, or with ``blocks`` by longest matching blocks.
+    """
     block = ["station", "category"]
     f = findings.withColumn("_k", tx.match_key(F.col("name"))).where(F.length("_k") >= min_length)
     missing = f.where("issue = 'Missing'").withColumnRenamed("finding_id", "missing_id")
     extra = f.where("issue = 'Extra'").withColumnRenamed("finding_id", "extra_id")
-    edges = similar_pairs(missing, "_k", extra, "_k", block, threshold)
+    edges = (ratio_pairs if blocks else similar_pairs)(missing, "_k", extra, "_k", block, threshold)
     edges = edges.select(*block, "a_name", "b_name", pairing.score_of(F.col("similarity")).alias("score"))
     assigned = pairing.assign_names(
         edges, block, pairing.name_counts(missing, block, "_k"), pairing.name_counts(extra, block, "_k")

@@ -11,7 +11,7 @@ from rosterloom.functions.contain import MIN_LENGTH, contained, terms_in_texts
 from rosterloom.functions.similar import nearest
 from rosterloom.functions.skew import carry
 from rosterloom.session import durable
-from rosterloom.functions.text import EMAIL, PHONE_RUN, clean, emails_in, folded, has_email, is_blank
+from rosterloom.functions.text import EMAIL, PHONE_RUN, clean, emails_in, folded, has_email
 
 
 def match_exact(a: DataFrame, a_key: str, dictionary: DataFrame, d_id: str, d_key: str) -> DataFrame:
@@ -247,7 +247,3 @@ def rollup_parent(df: DataFrame, tree: DataFrame) -> DataFrame:
     return per_org.join(up, "org_id").groupBy("top_id").agg(
         F.sum("n").cast("bigint").alias("n_records"), F.count(F.lit(1)).alias("n_orgs")
     )
-
-
-def blank_to_missing(c: str) -> Column:
-    return F.when(is_blank(F.col(c)), F.lit(None)).otherwise(F.col(c))

@@ -1,14 +1,14 @@
 """Containment, similarity and pairing against brute force."""
 
-import itertools
 import hashlib
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.functions.contain import contained, terms_in_texts
-from rosterloom.functions.similar import matcher_ratio, nearest, similar_pairs
+from rosterloom.functions.similar import matcher_ratio, nearest, ratio_pairs, similar_pairs
 from rosterloom.operators import pairing
 from rosterloom.operators import reconcile as rc
 from rosterloom.operators import resolve as rs
@@ -125,6 +125,16 @@ def test_pair_fuzzy_equals_best_first(spark):
     assert len({m for m, _ in got}) == len(got) == len({e for _, e in got})
 
 
+@pytest.mark.parametrize("threshold", [0.75, 0.88])
+def test_ratio_pairs_are_complete(sides, threshold):
+    from difflib import SequenceMatcher
+
+    a, b, da, db = sides
+    got = {(r.g, r.a_name, r.b_name) for r in ratio_pairs(da, "x", db, "y", ["g"], threshold).collect()}
+    want = {(g, x, y) for (g, x), (h, y) in itertools.product(a, b) if g == h and SequenceMatcher(None, x, y).ratio() >= threshold}
+    assert got == want
+
+
 def test_suggest_place_moves_equals_best_first(spark):
     rng = random.Random(9)
     names = ["Alpha", "Alpha North", "Alpha North Yard", "Beta", "Beta 2", "Gamma", "1. Gamma"]
