@@ -155,7 +155,16 @@ def numbered(df: DataFrame, section: Sequence[str], order: Sequence[str], out: s
     return numbered_by_range(df, section, order, out)
 
 
-def page(df: DataFrame, order: Sequence[str | Column], k: int, n: int) -> DataFrame:
-    """Page ``k`` (1-based) of ``n`` rows, with the total row count on each row."""
+def page(df: DataFrame, order: Sequence[str | Column], k: int, n: int, shallow: int = 100_000) -> DataFrame:
+    """Page ``k`` (1-based) of ``n`` rows, with the total row count on each row.
+
+    A page that ends within ``shallow`` rows is a distributed top-k.  For a deeper one the rows are
+    numbered by range, so that no task is handed all rows before it.  ``order`` should end in
+    a unique column; then both give the same rows.
+    """
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.orderBy(*order).offset((k - 1) * n).limit(n).withColumn("total_rows", total)
+    if k * n <= shallow:
+        rows = df.orderBy(*order).offset((k - 1) * n).limit(n)
+    else:
+        rows = numbered_by_range(df, [], order, "_no").where(F.col("_no").between((k - 1) * n + 1, k * n)).drop("_no")
+    return rows.withColumn("total_rows", total)

@@ -320,3 +320,11 @@ def test_capped_browsing_says_so(spark):
     cut = search.browse_keyword(orgs, people, places, heads, "north", cap=2).collect()
     assert sorted(r["record_id"] for r in whole) == [0, 1, 2, 3, 4]
     assert {(r["section"], r["record_id"]) for r in cut} == {("person", 3), ("person", 0), ("people left out", 3)}
+
+
+def test_deep_pages_equal_shallow_ones(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("id"), (F.col("id") % 5).alias("group")).repartition(6)
+    order = [F.desc("group"), "id"]
+    for k in (1, 3, 12, 13):
+        shallow, deep = (sorted(map(str, rank.page(df, order, k, 40, shallow=s).collect())) for s in (10**6, 0))
+        assert shallow == deep and len(deep) == (40 if k < 13 else 20)
