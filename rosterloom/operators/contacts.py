@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
-from rosterloom.functions.skew import salted_join
+from rosterloom.functions.skew import carry, salted_join
 
 from .standardize import to_contact_rows
 
@@ -107,7 +107,7 @@ def resolve_list(rules: DataFrame, people: DataFrame, orgs: DataFrame, heads: Da
             F.when(F.col("is_kmp"), F.array(F.lit("KMP"))).otherwise(F.array().cast("array<string>")),
         ).alias("held"),
     )
-    by_org = who.join(scope, "org_id").where(F.array_contains(F.col("statuses"), F.col("status")))
+    by_org = salted_join(who, scope, ["org_id"], "person_id", salts=16).where(F.array_contains(F.col("statuses"), F.col("status")))
     by_status = salted_join(who, open_lists, ["status"], "person_id")
     cols = ["list_id", "person_id", "held", "wanted"]
     filtered = by_org.select(*cols).unionByName(by_status.select(*cols)).where(
@@ -191,11 +191,25 @@ SUMMARY_PARTS = (
 )
 
 
-def rule_summary(rules: DataFrame, value: Column) -> DataFrame:
-    """One readable line per list; manual changes are counted.
+def rule_parts(rules: DataFrame, value: Column) -> DataFrame:
+    """The parts of the lists' summaries as rows (list_id, rank, label, position, value), values in their order."""
+    label, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for i, (kind, name) in enumerate(SUMMARY_PARTS):
+        label = F.when(F.col("filter_type") == kind, F.lit(name)).otherwise(label)
+        rank = F.when(F.col("filter_type") == kind, F.lit(i)).otherwise(rank)
+    named = rules.select("list_id", rank.alias("rank"), label.alias("label"), value.alias("value"))
+    named = named.where(F.col("rank").isNotNull() & F.col("value").isNotNull()).distinct()
+    return carry(named, ["list_id", "rank"], ["value"], number="position").select("list_id", "rank", "label", "position", "value")
+
+
+def rule_summary(rules: DataFrame, value: Column, lists: DataFrame | None = None) -> DataFrame:
+    """One readable line per list (of ``lists``, if given); manual changes are counted.
 
-    The text names every distinct value, so it is as long as its rules.
+    The text names every distinct value, so it is as long as its rules; ``rule_parts``
+    gives the same as rows.
     """
+    if lists is not None:
+        rules = rules.join(lists.select("list_id").distinct(), "list_id", "left_semi")
     label = F.lit(None).cast("string")
     rank = F.lit(None).cast("int")
     for i, (kind, name) in enumerate(SUMMARY_PARTS):

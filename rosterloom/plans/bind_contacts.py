@@ -101,8 +101,8 @@ def _rules(t):
     return durable(t.spark.sql(LIST_RULES, supplier=t.supplier, lineitem=t.lineitem, orders=t.orders))
 
 
-def _members(t):
-    return ct.resolve_list(_rules(t), t.person, t.org, _heads(t), _head_ids(t))
+def _members(t, heads=None):
+    return ct.resolve_list(_rules(t), t.person, t.org, _heads(t) if heads is None else heads, durable(_head_ids(t)))
 
 
 @query("j2_resolve_list", MEMBERS_SQL + " SELECT * FROM m")
@@ -141,7 +141,8 @@ def j5(t):
        GROUP BY 1 HAVING count(DISTINCT nullif(lower(trim(c.email)), '')) > 0""",
 )
 def j6(t):
-    return ct.list_cards(_members(t), to_contact_rows(t.person, _heads(t), t.place))
+    heads = durable(_heads(t))  # both the members and their contacts read them
+    return ct.list_cards(_members(t, heads), to_contact_rows(t.person, heads, t.place))
 
 
 @query(
@@ -171,6 +172,17 @@ def j9(t):
     return ct.rule_summary(_rules(t), F.coalesce(F.col("org_id").cast("string"), "category", "state", "role", "status"))
 
 
+@query(
+    "j9_rule_parts",
+    f"""WITH r AS ({LIST_RULES}), v AS (SELECT DISTINCT list_id, CASE filter_type WHEN 'ORGANIZATION' THEN 0 WHEN 'ORGANIZATION_CATEGORY' THEN 1 WHEN 'ORGANIZATION_SUBCATEGORY' THEN 2 WHEN 'ROLE' THEN 3 WHEN 'STATUS' THEN 4 END AS rank,
+            CASE filter_type WHEN 'ORGANIZATION' THEN 'Organization' WHEN 'ORGANIZATION_CATEGORY' THEN 'Category' WHEN 'ORGANIZATION_SUBCATEGORY' THEN 'Subcategory' WHEN 'ROLE' THEN 'Role' WHEN 'STATUS' THEN 'Status' END AS label,
+            COALESCE(CAST(org_id AS VARCHAR), category, state, role, status) AS value FROM r WHERE filter_type NOT IN ('INCLUDE_EMPLOYEE', 'EXCLUDE_EMPLOYEE'))
+        SELECT list_id, rank, label, row_number() OVER (PARTITION BY list_id, rank ORDER BY value) AS position, value FROM v""",
+)
+def j9_parts(t):
+    return ct.rule_parts(_rules(t), F.coalesce(F.col("org_id").cast("string"), "category", "state", "role", "status"))
+
+
 @query(
     "j10_fold_overrides",
     """SELECT list_id, person_id, action FROM (SELECT CAST(floor(value) AS BIGINT) % 9 AS list_id, user_id AS person_id, CASE WHEN event_type IN ('click', 'view') THEN 'include' ELSE 'exclude' END AS action,
