@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import by_value, table, whole, worker_store
-from rosterloom.llm.pretokens import PreTokens, parts_of
+from rosterloom.llm.pretokens import PreTokens, text_parts
 
 by_value(__name__)
 
@@ -248,8 +248,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         encoder, decimals = store[path]
         vocabulary = encoder.ranks.vocabulary
         for batch in batches:
-            n, coded, digests, decoded = [], [], [], []
-            for texts in parts_of(batch["text"].to_pylist()):
+            for start, texts in text_parts(batch["text"]):
+                n, coded, digests, decoded = [], [], [], []
                 for raw in encoder.encode(texts):
                     ids = np.frombuffer(raw, dtype="<u4").tolist()
                     n.append(len(ids))
@@ -257,10 +257,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     decoded.append(hashlib.sha256(decode(ids, vocabulary)).hexdigest())
                     if keep_ids:
                         coded.append(raw)
-            columns, names = [batch["id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns, names = [*columns, pa.array(coded, pa.binary())], [*names, "ids"]
-            yield pa.record_batch(columns, names=names)
+                columns = [batch["id"].slice(start, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    columns, names = [*columns, pa.array(coded, pa.binary())], [*names, "ids"]
+                yield pa.record_batch(columns, names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -20,11 +20,17 @@ def by_value(module: str) -> None:
 
 
 def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker; functions shipped by value lose their globals."""
+    """A dict that the Python worker keeps from task to task (functions shipped by value lose their globals).
+
+    A worker keeps one: asking for another name forgets the dict of the operator before.
+    """
     import sys
     import types
 
-    return sys.modules.setdefault("_corpus_worker_store", types.ModuleType("_corpus_worker_store")).__dict__.setdefault(name, {})
+    kept = sys.modules.setdefault("_corpus_worker_store", types.ModuleType("_corpus_worker_store"))
+    if getattr(kept, "name", None) != name:
+        kept.name, kept.store = name, {}
+    return kept.store
 
 
 by_value(__name__)

@@ -8,11 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.common import by_value, whole
+from rosterloom.llm.common import by_value, whole, worker_store
+from rosterloom.llm.pretokens import text_parts
 
 by_value(__name__)
 
 FOLDS = 5
+RUN = 1 << 19  # bytes of text scored together
 SAMPLE_BYTES = 1 << 20  # labelled texts above this size are not learned from
 
 
@@ -51,11 +53,10 @@ def fitted(train: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> by
 
 def scored(docs: DataFrame, score: Callable[[list[str]], list[float]], threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, held_out, score, predicted (1 from ``threshold`` on)."""
-    from rosterloom.llm.pretokens import parts_of
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("labelled")  # what an operator before has kept is let go
         for b in batches:
-            values = [v for texts in parts_of(b["text"].to_pylist(), 1 << 20) for v in score(texts)]
+            values = [v for _, texts in text_parts(b["text"], RUN) for v in score(texts)]
             yield pa.record_batch([b["id"], b["held_out"], pa.array(values, pa.float64())], names=["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), whole(text_col).alias("text"))
@@ -66,11 +67,9 @@ def scored(docs: DataFrame, score: Callable[[list[str]], list[float]], threshold
 
 def kept_documents(docs: DataFrame, score: Callable[[list[str]], list[float]], keep: Callable[[float], bool], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole and with all their columns, whose text's score is one to keep."""
-    from rosterloom.llm.pretokens import parts_of
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("labelled")  # what an operator before has kept is let go
         for b in batches:
-            texts = [t or "" for t in b[text_col].to_pylist()]
-            yield b.filter(pa.array([keep(v) for part in parts_of(texts, 1 << 20) for v in score(part)], pa.bool_()))
+            yield b.filter(pa.array([keep(v) for _, texts in text_parts(b[text_col], RUN) for v in score(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

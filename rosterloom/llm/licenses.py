@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import by_value, table, whole
+from rosterloom.llm.pretokens import text_parts
 from rosterloom.llm.toxicity import word_table
 
 by_value(__name__)
@@ -174,8 +175,9 @@ def word_frequencies(docs: DataFrame, words: set[bytes], text_col: str = "text")
         found, n = Counter(), 0
         for batch in batches:
             n += batch.num_rows
-            for text in batch["text"].to_pylist():
-                found.update(words.intersection(words_of(text)))
+            for _, texts in text_parts(batch["text"]):
+                for text in texts:
+                    found.update(words.intersection(words_of(text)))
         yield pa.record_batch([pa.array([b"", *found], pa.binary()), pa.array([n, *found.values()], pa.int64())], names=["word", "n"])
 
     counted = docs.select(whole(text_col).alias("text")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -192,7 +194,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in range(7)]
-            for text in batch["text"].to_pylist():
+            for text in (t for _, texts in text_parts(batch["text"]) for t in texts):
                 words = words_of(text)
                 places, held = index.scan(words)
                 starts = [s for s, _ in places]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.llm.common import by_value, landed, shuffle_partitions, small, table, whole
 from rosterloom.llm.components import components
-from rosterloom.llm.pretokens import parts_of
+from rosterloom.llm.pretokens import text_parts
 
 by_value(__name__)
 
@@ -170,11 +170,12 @@ def shingled(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
         factors, offsets = multipliers(PLACES)
         for batch in batches:
             n, cls, sig = [], [], []
-            for text in batch["text"].to_pylist():
-                s = shingle_set(text, width)
-                n.append(len(s))
-                cls.append(digest_of(s))
-                sig.append(signature(s, factors, offsets).tobytes() if len(s) else None)
+            for _, texts in text_parts(batch["text"]):
+                for text in texts:
+                    s = shingle_set(text, width)
+                    n.append(len(s))
+                    cls.append(digest_of(s))
+                    sig.append(signature(s, factors, offsets).tobytes() if len(s) else None)
             yield pa.record_batch([batch["id"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n_shingles", "cls", "sig"])
 
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
@@ -188,11 +189,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
         import numpy as np
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                texts = batch["text"].slice(at, 256).to_pylist()
+            for at, texts in text_parts(batch["text"]):
                 sets = [shingle_set(t, width) for t in texts]
                 cls = [digest_of(s) for s in sets]
-                sets = [s if c == w else s[:0] for s, c, w in zip(sets, cls, batch["cls"].slice(at, 256).to_pylist())]
+                sets = [s if c == w else s[:0] for s, c, w in zip(sets, cls, batch["cls"].slice(at, len(texts)).to_pylist())]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.record_batch([pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "shingles"])

@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+
 from rosterloom.llm.common import by_value
 
 by_value(__name__)
@@ -18,7 +20,7 @@ by_value(__name__)
 # Code points on whose class (letter, digit, space) all libraries agree, that NFC leaves alone and whose
 # lower case is one letter below U+02B0: below U+0230 without U+001C-U+001F (space or not) and U+0130.
 SAFE = "\\x00-\\x1b\\x20-\\u012f\\u0131-\\u022f"
-REMEMBERED = 450_000  # pre-tokens in a generation; a worker remembers the current and the last one
+REMEMBERED = 300_000  # pre-tokens in a generation; a worker remembers the current and the last one
 
 
 class PreTokens:
@@ -54,16 +56,20 @@ class PreTokens:
         return cuts
 
 
-def parts_of(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters; a longer text is a run of its own."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > chars:
-            yield texts[start:i]
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield texts[start:]
+def text_parts(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+    """(start, texts) of runs of about ``size`` bytes, so that only one run at a time is made Python strings.
+
+    A null is an empty text; a text above the size is a run of its own.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+        yield start, [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 def class_pattern(pattern: str) -> re.Pattern:

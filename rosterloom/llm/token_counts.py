@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import by_value, table, whole, worker_store
-from rosterloom.llm.pretokens import PreTokens, bytes_of_signs, parts_of
+from rosterloom.llm.pretokens import PreTokens, bytes_of_signs, text_parts
 
 by_value(__name__)
 
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             store[path] = Counter(*shared.value)
         counter = store[path]
         for batch in batches:
-            n = [n for texts in parts_of(batch["text"].to_pylist()) for n in counter.count(texts)]
+            n = [n for _, texts in text_parts(batch["text"]) for n in counter.count(texts)]
             yield pa.record_batch([batch["id"], batch["n_bytes"], pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(whole(text_col)).cast("bigint").alias("n_bytes"), whole(text_col).alias("text"))

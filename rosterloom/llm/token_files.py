@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import by_value, landed, table, whole, worker_store
-from rosterloom.llm.pretokens import PreTokens, bytes_of_signs, parts_of
+from rosterloom.llm.pretokens import PreTokens, bytes_of_signs, text_parts
 from rosterloom.session import run_dir
 
 by_value(__name__)
@@ -231,7 +231,7 @@ def write_token_files(
         try:
             for rows in batches:
                 places = []
-                for texts in parts_of(rows["text"].to_pylist()):
+                for _, texts in text_parts(rows["text"]):
                     for ids in encoder.encode(texts):
                         if writer is None or writer.tokens >= file_tokens:
                             if writer is not None:
