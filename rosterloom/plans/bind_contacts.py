@@ -145,6 +145,20 @@ def j6(t):
     return ct.list_cards(_members(t, heads), to_contact_rows(t.person, heads, t.place))
 
 
+@query(
+    "j11_list_links",
+    MEMBERS_SQL + f""", c AS ({CONTACTS_SQL}), adr AS (SELECT DISTINCT m.list_id, lower(trim(c.email)) AS k FROM m JOIN c ON c.record_type = m.record_type AND c.record_id = m.record_id WHERE trim(COALESCE(c.email, '')) <> ''),
+       ln AS (SELECT list_id, count(*) AS n, length('mailto:' || replace(url_encode(string_agg(k, ',')), '%2F', '/')) AS len FROM adr GROUP BY 1)
+       SELECT list_id, n AS n_addresses, len AS link_length, len <= 1800 AS fits FROM ln""",
+)
+def j11_lists(t):
+    """From rules to mail links: members, their contacts, one address each, link lengths."""
+    heads = durable(_heads(t))
+    contacts = to_contact_rows(t.person, heads, t.place)
+    rows = _members(t, heads).join(contacts, ["record_type", "record_id"])
+    return ct.link_sizes(ct.dedupe_addresses(rows, "email", "record_id", ["list_id"]), "list_id")
+
+
 @query(
     "j7_role_contacts",
     f"""SELECT head_id, 'official' AS kind, name, email FROM ({IDENTITY_SQL}) WHERE role_category = 'ADMINISTRATIVE_HEAD' AND status = 'ACTIVE' AND (person_id IS NULL OR person_status = 'ACTIVE')
