@@ -6,6 +6,7 @@ State runs along the rows of a document (last heading, running section number);
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,18 @@ from rosterloom.functions.skew import carry
 NUMBERED_TITLE = r"^[0-9]+(\.[0-9]+)*\.\s*[A-Za-z]"
 NAME_HEADERS = ("name",)
 TITLE_HEADERS = ("designation", "title")
-ADDRESS_WORDS = ("road no", "plot no", "sector ", "flat ", "survey", "pin code", "address")
+# General signs of an address line.  Names of places, buildings and roads are passed by the caller.
+ADDRESS_WORDS = (
+    "p.o.", "p.o ", "dist.", "dist:", " dist ", "pin :", "pin code",
+    "village", "sector", "floor",
+    "ph no", "fax no", "email:",
+    "opp ", "near ", "plot no",
+    "substation compound",
+    "road no", "road,", "nagar,", "nagar.",
+    "pincode",
+    "mob:", "mob :",
+    "po:", "po :", "p.o:",
+)
 SEPARATOR_LINE = r"^[\s\-_=*.#~|]+$"
 
 
@@ -113,15 +125,27 @@ def drop_noise(lines: DataFrame, line: str, junk: Sequence[str], headers: Sequen
     return lines.withColumn("_t", text).withColumn("_noise", noise).where(~F.col("_noise")).drop("_t", "_noise")
 
 
-def address_like(c: Column) -> Column:
-    """A line that reads as an address: an address word, a six-digit code, two commas."""
-    commas = F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))
-    return tx.contains_any(c, ADDRESS_WORDS) | c.rlike(r"\b[0-9]{6}\b") | (commas >= 2)
+def address_like(c: Column, words: Sequence[str] = ADDRESS_WORDS, places: Sequence[str] = ()) -> Column:
+    """A line that reads as an address.
 
-
-def capture_paragraph(numbered: DataFrame, doc: str, order: str, text: str, is_table: Column) -> DataFrame:
+    It is a line of digits only (a code or a number), holds an address word or a six-digit
+    code, names a place followed by a dash and a code, or ends in a place; the last does
+    not count in a line with an abbreviation of three capitals or more, which names an organization.
+    """
+    out = F.trim(c).rlike(r"^[0-9][0-9\s]{4,9}$") | tx.contains_any(c, words) | c.rlike(r"\b[0-9]{6}\b")
+    if places:
+        named = r"(?i)\b(" + "|".join(re.escape(p) for p in places) + ")"
+        out = out | c.rlike(named + r"\s*[-–]\s*[0-9]{3}")
+        out = out | (c.rlike(named + r"\s*[,.]?\s*$") & ~c.rlike(r"\b[A-Z]{3,}\b"))
+    return out
+
+
+def capture_paragraph(
+    numbered: DataFrame, doc: str, order: str, text: str, is_table: Column,
+    words: Sequence[str] = ADDRESS_WORDS, places: Sequence[str] = (),
+) -> DataFrame:
     """Per segment, the first address-like free paragraph before its table."""
-    free = ~is_table & ~F.col("is_break") & address_like(F.col(text))
+    free = ~is_table & ~F.col("is_break") & address_like(F.col(text), words, places)
     per = numbered.groupBy(doc, "segment_no").agg(
         F.min(F.when(free, F.struct(F.col(order).alias("at"), F.col(text).alias("text")))).alias("_c"),
         F.min(F.when(is_table, F.col(order))).alias("_table"),

@@ -86,14 +86,19 @@ def c5(t):
 @query(
     "c6_capture_paragraph",
     f"""WITH s AS ({SEGMENTED}), c AS (SELECT doc_id, segment_no, min(CASE WHEN row_kind = 'header' THEN row_no END) AS tbl,
-          min(CASE WHEN row_kind <> 'header' AND NOT is_break AND (regexp_matches(text, '\\b[0-9]{{6}}\\b') OR length(text) - length(replace(text, ',', '')) >= 2
-               OR contains(lower(text), 'road no') OR contains(lower(text), 'plot no') OR contains(lower(text), 'sector ') OR contains(lower(text), 'flat ') OR contains(lower(text), 'survey')
-               OR contains(lower(text), 'pin code') OR contains(lower(text), 'address')) THEN row_no END) AS cand FROM s GROUP BY 1, 2)
+          min(CASE WHEN row_kind <> 'header' AND NOT is_break AND (regexp_matches(text, '\\b[0-9]{{6}}\\b') OR regexp_matches(trim(text), '^[0-9][0-9\\s]{{4,9}}$')
+               OR regexp_matches(lower(text), '\\b(main|of|the)\\s*[-–]\\s*[0-9]{{3}}') OR (regexp_matches(lower(text), '\\b(main|of|the)\\s*[,.]?\\s*$') AND NOT regexp_matches(text, '\\b[A-Z]{{3,}}\\b'))
+               OR contains(lower(text), 'p.o.') OR contains(lower(text), 'p.o ') OR contains(lower(text), 'dist.') OR contains(lower(text), 'dist:') OR contains(lower(text), ' dist ')
+               OR contains(lower(text), 'pin :') OR contains(lower(text), 'pin code') OR contains(lower(text), 'village') OR contains(lower(text), 'sector') OR contains(lower(text), 'floor')
+               OR contains(lower(text), 'ph no') OR contains(lower(text), 'fax no') OR contains(lower(text), 'email:') OR contains(lower(text), 'opp ') OR contains(lower(text), 'near ')
+               OR contains(lower(text), 'plot no') OR contains(lower(text), 'substation compound') OR contains(lower(text), 'road no') OR contains(lower(text), 'road,') OR contains(lower(text), 'nagar,')
+               OR contains(lower(text), 'nagar.') OR contains(lower(text), 'pincode') OR contains(lower(text), 'mob:') OR contains(lower(text), 'mob :') OR contains(lower(text), 'po:')
+               OR contains(lower(text), 'po :') OR contains(lower(text), 'p.o:')) THEN row_no END) AS cand FROM s GROUP BY 1, 2)
         SELECT c.doc_id, CAST(c.segment_no AS BIGINT) AS segment_no, md5(CASE WHEN tbl IS NULL OR cand < tbl THEN s.text END) AS address_md5 FROM c LEFT JOIN s ON s.doc_id = c.doc_id AND s.row_no = c.cand""",
 )
 def c6(t):
     rows = sg.segments(_marked(t), "doc_id", "row_no")
-    found = sg.capture_paragraph(rows, "doc_id", "row_no", "text", F.col("row_kind") == "header")
+    found = sg.capture_paragraph(rows, "doc_id", "row_no", "text", F.col("row_kind") == "header", places=["main", "of", "the"])
     return found.select("doc_id", "segment_no", F.md5("address").alias("address_md5"))
 
 

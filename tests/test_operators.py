@@ -328,3 +328,15 @@ def test_deep_pages_equal_shallow_ones(spark):
     for k in (1, 3, 12, 13):
         shallow, deep = (sorted(map(str, rank.page(df, order, k, 40, shallow=s).collect())) for s in (10**6, 0))
         assert shallow == deep and len(deep) == (40 if k < 13 else 20)
+
+
+def test_address_lines(spark):
+    places = ["Springfield", "New Delta"]
+    lines = {
+        "492 013": True, "4920": False, "Office of 492013": True, "12th Floor, East Wing": True, "Kumar, Clerk, Room": False,
+        "Main Street, springfield.": True, "GRIDCO, Springfield": False, "GRIDCO, New Delta - 492 001": True, "Springfield Control Room": False, "": False,
+    }
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = {r["t"]: r["a"] for r in df.select("t", sg.address_like(F.col("t"), places=places).alias("a")).collect()}
+    assert got == lines
+    assert not df.where(sg.address_like(F.col("t"), words=["nowhere"])).where("t LIKE '%Floor%'").count()
