@@ -10,7 +10,7 @@ from conftest_llm import texts_of
 from tokenizers import Tokenizer
 
 from rosterloom.llm import bpe, token_counts, token_files
-from rosterloom.llm.pretokens import PreTokens
+from rosterloom.llm.pretokens import PreTokens, text_parts
 
 POOL = [chr(c) for c in range(0x250)] + list("日本語ΣİЖ́ 😀")
 
@@ -152,6 +152,18 @@ def test_op1_empty(empty, tmp_path):
     assert token_files.with_start(token_files.read_documents(index, folder), index).count() == 0
 
 
+def test_text_parts():
+    import pyarrow as pa
+
+    texts = ["ab", None, "c" * 50, "", "dé", "f" * 9, "g"]
+    for size in (1, 3, 10, 1000):
+        parts = list(text_parts(pa.array(["x", *texts]).slice(1), size))
+        assert [t for _, p in parts for t in p] == [t or "" for t in texts]
+        assert [s for s, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
+        assert all(len(p) == 1 or sum(len(t.encode()) for t in p) <= size for _, p in parts)
+    assert list(text_parts(pa.array([], pa.string()))) == []
+
+
 def test_unsafe_texts_are_left_to_the_library():
     p = PreTokens(r"\p{L}+|\p{N}", lambda words: {w: 1 for w in words}, ["<s>"])
     assert p.cut(["ab1", "日", "a<s>", "\x1c", ""]) == [["ab", "1"], None, None, None, []]
