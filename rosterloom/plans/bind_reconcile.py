@@ -198,9 +198,29 @@ NEAR = """SELECT CAST(p_partkey AS BIGINT) AS finding_id, p_brand AS station, 'C
     CASE WHEN p_size < 20 THEN p_name || ' bay ' || CAST(p_size AS STRING) WHEN p_size < 40 THEN replace(p_name, 'e', 'a') || ' bay ' || CAST(p_size - 15 AS STRING) ELSE p_name || ' bay line' END AS name FROM {part}"""
 
 
-@query("e9_pair_fuzzy")
+# Best-first assignment along the edges ed (blk, a_name, b_name, score), one edge a step, of the copies in
+# am and be (blk, name, id); pr holds the pairs of rows.
+GREEDY_SQL = """ca AS (SELECT blk, name, count(*) AS n FROM am GROUP BY 1, 2), cb AS (SELECT blk, name, count(*) AS n FROM be GROUP BY 1, 2),
+    e AS (SELECT ed.*, ca.n AS na, cb.n AS nb, row_number() OVER (PARTITION BY ed.blk ORDER BY score, md5(a_name || chr(1) || b_name), a_name, b_name) AS i
+      FROM ed JOIN ca ON ca.blk = ed.blk AND ca.name = a_name JOIN cb ON cb.blk = ed.blk AND cb.name = b_name),
+    g AS (SELECT DISTINCT blk, CAST(0 AS BIGINT) AS i, CAST(MAP {} AS MAP(VARCHAR, BIGINT)) AS ua, CAST(MAP {} AS MAP(VARCHAR, BIGINT)) AS ub, CAST(NULL AS VARCHAR) AS a_name, CAST(NULL AS VARCHAR) AS b_name,
+        CAST(0 AS BIGINT) AS fa, CAST(0 AS BIGINT) AS fb, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS score FROM e
+      UNION ALL SELECT blk, i, map_concat(ua, MAP([a_name], [fa + k])), map_concat(ub, MAP([b_name], [fb + k])), a_name, b_name, fa, fb, k, score FROM (
+        SELECT *, greatest(0, least(na - fa, nb - fb)) AS k FROM (SELECT e.blk, e.i, g.ua, g.ub, e.a_name, e.b_name, e.score, e.na, e.nb, COALESCE(g.ua[e.a_name], 0) AS fa, COALESCE(g.ub[e.b_name], 0) AS fb
+          FROM g JOIN e ON e.blk = g.blk AND e.i = g.i + 1))),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY blk, name ORDER BY id) AS rn FROM am), rb AS (SELECT *, row_number() OVER (PARTITION BY blk, name ORDER BY id) AS rn FROM be),
+    pr AS (SELECT ra.id AS missing_id, rb.id AS extra_id, g.score FROM g JOIN ra ON ra.blk = g.blk AND ra.name = g.a_name AND ra.rn > g.fa AND ra.rn <= g.fa + g.k
+      JOIN rb ON rb.blk = g.blk AND rb.name = g.b_name AND rb.rn = ra.rn - g.fa + g.fb)"""
+
+
+@query(
+    "e9_pair_fuzzy",
+    f"""WITH RECURSIVE f AS (SELECT finding_id AS id, issue, station || '|' || category AS blk, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS name FROM ({NEAR})),
+    am AS (SELECT * FROM f WHERE issue = 'Missing' AND length(name) >= 4), be AS (SELECT * FROM f WHERE issue = 'Extra' AND length(name) >= 4),
+    ed AS (SELECT * FROM (SELECT DISTINCT am.blk, am.name AS a_name, be.name AS b_name, 1 - (1 - levenshtein(am.name, be.name) / greatest(length(am.name), length(be.name))) AS score FROM am JOIN be ON be.blk = am.blk) WHERE 1 - score >= 0.88),
+    {GREEDY_SQL} SELECT missing_id, extra_id, round(1 - score, 4) AS similarity FROM pr""",
+)
 def e9(t):
-    """Iterative best-first pairing; checked against brute force in the tests."""
     return rc.pair_fuzzy(t.spark.sql(NEAR, part=t.part))
 
 
@@ -291,9 +311,14 @@ def e15(t):
     return rc.suggest_merges(t.place, "org_id", "label", "station")
 
 
-@query("e16_suggest_place_moves")
+@query(
+    "e16_suggest_place_moves",
+    f"""WITH RECURSIVE f AS (SELECT finding_id AS id, issue, category AS blk, station || ' ' || left(name, 1) AS station, lower(station || ' ' || left(name, 1)) AS name FROM {{finding}} WHERE category = 'Control Room'),
+    am AS (SELECT * FROM f WHERE issue = 'Missing'), be AS (SELECT * FROM f WHERE issue = 'Extra'),
+    ed AS (SELECT DISTINCT am.blk, am.name AS a_name, be.name AS b_name, CAST(abs(length(am.name) - length(be.name)) AS DOUBLE) AS score FROM am JOIN be ON contains(am.name, be.name) OR contains(be.name, am.name)),
+    {GREEDY_SQL} SELECT am.id AS missing_id, am.station, pr.extra_id, 'LOW' AS confidence FROM am LEFT JOIN pr ON pr.missing_id = am.id""",
+)
 def e16(t):
-    """Best-first pairing by name overlap; checked against brute force in the tests."""
     places = t.finding.withColumn("station", F.concat_ws(" ", "station", F.substring("name", 1, 1)))
     return rc.suggest_place_moves(places, "Control Room")
 
