@@ -35,11 +35,11 @@ class PreTokens:
         self.known: dict = {}
         self.older: dict = {}
         self.find, self.encode_many, self.lower, self.limit = class_pattern(pattern).findall, encode_many, lower, limit
-        self.unsafe = re.compile("|".join([f"[^{SAFE}]", *map(re.escape, specials)])).search
+        self.odd, self.specials = re.compile(f"[^{SAFE}]").search, tuple(specials)
 
     def cut(self, texts: list[str]) -> list[list[str] | None]:
         """The pre-tokens of each text, all of them known afterwards; None for texts that cannot be cut here."""
-        cuts = [None if self.unsafe(t) else self.find(t.lower() if self.lower else t) for t in texts]
+        cuts = [None if self.odd(t) or any(s in t for s in self.specials) else self.find(t.lower() if self.lower else t) for t in texts]
         seen = set()
         for words in cuts:
             if words is not None:

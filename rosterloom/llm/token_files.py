@@ -37,6 +37,7 @@ by_value(__name__)
 SEQUENCE = 2048
 BATCH = 64
 FILE_TOKENS = 1 << 24
+REMEMBERED = 500_000  # pre-tokens in a generation
 # the pattern of byte-level pre-tokenizers that have none of their own
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,7 +55,7 @@ class LibraryEncoder:
         self.signs = str.maketrans({b: sign for sign, b in bytes_of_signs().items()})
         self.line_end = self.tokenizer.token_to_id("\n".translate(self.signs))
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pre_tokens = PreTokens(PATTERN, self.encode_many, specials)
+        self.pre_tokens = PreTokens(PATTERN, self.encode_many, specials, limit=REMEMBERED)
 
     def encode_many(self, pre_tokens: Iterable[str]) -> dict[str, bytes]:
         """Give unknown pre-tokens to the library together, a line each.
@@ -154,18 +155,20 @@ class TokenReader:
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
         self.batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
-        self.last = (-1, None)
+        self.last = (-1, None, None)
 
     def _batch(self, b: int):
+        """Ids (a view into the file) and mask of batch b."""
         if self.last[0] != b:
-            self.last = (b, self.file.get_batch(b))
-        return self.last[1]
+            batch = self.file.get_batch(b)
+            self.last = (b, batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False))
+        return self.last[1:]
 
     def sequence(self, k: int):
         """Ids and mask of sequence k; the ids are a view into the file."""
-        batch, row = self._batch(k // self.batch), k % self.batch
+        row = k % self.batch
         at = slice(row * self.length, (row + 1) * self.length)
-        return [batch.column(c).flatten()[at].to_numpy(zero_copy_only=c == 0) for c in (0, 1)]
+        return [column[at] for column in self._batch(k // self.batch)]
 
     def tokens(self, offset: int, n: int):
         """Ids of a run of n tokens."""
@@ -174,11 +177,11 @@ class TokenReader:
         whole_batch, parts = self.batch * self.length, []
         while n:
             b, at = divmod(offset, whole_batch)
-            batch = self._batch(b)
+            ids, mask = self._batch(b)
             take = min(n, whole_batch - at)
-            if not np.asarray(batch.column(1).flatten()[at : at + take].to_numpy(zero_copy_only=False)).all():
+            if len(ids) < at + take or not mask[at : at + take].all():
                 raise ValueError("the run reaches into the padding")
-            parts.append(batch.column(0).flatten()[at : at + take].to_numpy())
+            parts.append(ids[at : at + take])
             offset, n = offset + take, n - take
         return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
 
