@@ -25,10 +25,10 @@ from rosterloom.llm.labelled import fitted, kept_documents, sample, scored
 
 by_value(__name__)
 
-SAMPLE = 12_000  # labelled documents learned from, at most
+SAMPLE = 16_000  # labelled documents learned from, at most
 BITS = 22
 EPOCHS = 12
-ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
+ALPHA, BETA, L1, L2 = 6.0, 1.0, 4.0, 0.0
 REJECT = 0.5
 
 
