@@ -38,6 +38,7 @@ SEQUENCE = 2048
 BATCH = 64
 FILE_TOKENS = 1 << 24
 REMEMBERED = 500_000  # pre-tokens in a generation
+LINES = 500  # pre-tokens given to the library in one text
 # the pattern of byte-level pre-tokenizers that have none of their own
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -72,14 +73,15 @@ class LibraryEncoder:
                 out[p] = np.array(ids, dtype=self.kind).tobytes()
             else:
                 words.append(p)
-        if words:
-            lines = "\n".join(words) + "\n."
-            ids = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, dtype=self.kind)
+        some = [words[at : at + LINES] for at in range(0, len(words), LINES)]
+        encoded = self.tokenizer.encode_batch_fast(["\n".join(part) + "\n." for part in some], add_special_tokens=False)
+        for part, e in zip(some, encoded):
+            ids = np.array(e.ids, dtype=self.kind)
             ends = (np.flatnonzero(ids == self.line_end) * ids.itemsize).tolist()
-            if len(ends) != len(words):
+            if len(ends) != len(part):
                 raise ValueError("line breaks do not stand alone in this vocabulary")
             raw, width = ids.tobytes(), ids.itemsize
-            out.update({p: raw[a:b] for p, a, b in zip(words, [0, *[e + width for e in ends]], ends)})
+            out.update(zip(part, [raw[a:b] for a, b in zip([0, *[x + width for x in ends]], ends)]))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
