@@ -31,7 +31,8 @@ from rosterloom.llm.common import landed, table, whole
 
 BITS = 64
 LANES = 16  # bits i, i + 16, i + 32, i + 48 share a long
-RUN = 1 << 14  # terms whose weights (3 at most) add up in 16 bits
+RUN_BITS = 13
+RUN = 1 << RUN_BITS  # terms whose weights (3 at most) add up in 15 bits: the top field of a long holds its sign
 FIELD = 0x0001000100010001
 HALF = 0x0000FFFF0000FFFF
 
@@ -39,8 +40,8 @@ HALF = 0x0000FFFF0000FFFF
 def votes(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Per ``keys``: the weight for each bit as ``v0`` .. ``v31`` (two bits in each) and the ``total`` weight.
 
-    Rows that share their keys are added up.  An empty word (the text begins or ends with
-    space, or is empty) has no weight, but keeps the row.
+    Every row has keys of its own: the fields hold the weights of one text.  An empty word (the
+    text begins or ends with space, or is empty) has no weight, but keeps the row.
     """
     words = rows.select(*keys, F.split(F.lower(F.col(text)), r"[\x00-\x20]+").alias("_a"))
     words = words.select(*keys, "_a", F.slice("_a", F.lit(2), F.size("_a")).alias("_b"))
@@ -48,7 +49,7 @@ def votes(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     length = F.length(F.col("_t._a"))
     weight = F.when(length >= 8, 3).when(length >= 4, 2).when(length >= 1, 1).otherwise(0).cast("bigint")
     single = single.select(
-        *keys, F.shiftright("_pos", 14).alias("_run"), F.xxhash64(F.col("_t._a"), F.col("_t._b")).alias("_h"), weight.alias("_w")
+        *keys, F.shiftright("_pos", RUN_BITS).alias("_run"), F.xxhash64(F.col("_t._a"), F.col("_t._b")).alias("_h"), weight.alias("_w")
     )
     lanes = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(FIELD)) * F.col("_w")).alias(f"l{i}") for i in range(LANES)]
     runs = single.groupBy(*keys, "_run").agg(F.sum("_w").alias("_w"), *lanes)
@@ -154,8 +155,9 @@ def fingerprint_documents(
     both = texts.select("key", "tie", "number", F.explode(F.array(
         F.struct(F.lit("").alias("sha"), F.col("text").alias("t")),
         F.struct(F.sha2("edited", 256).alias("sha"), F.col("edited").alias("t")),
-    )).alias("x")).select("key", "tie", "number", "x.sha", "x.t")
-    prints = votes(both, ["key", "tie", "number", "sha"], "t").select("number", "sha", signs().alias("fp"))
+    )).alias("x")).select("key", "tie", "number", "x.sha", "x.t", F.monotonically_increasing_id().alias("copy"))
+    # rows that repeat id and text vote each by itself: their sums would outgrow the fields
+    prints = votes(both, ["key", "tie", "number", "sha", "copy"], "t").select("number", "sha", signs().alias("fp"))
     own, edited = F.when(F.col("sha") == "", F.col("fp")), F.when(F.col("sha") != "", F.col("fp"))
     prints = landed(prints.groupBy("number").agg(F.max(own).alias("fp"), F.max(edited).alias("edited_fp"), F.max("sha").alias("edited_sha256")), "prints")
 

@@ -207,6 +207,26 @@ def test_simhash_votes_by_hand(spark):
         assert got[k] == sum(1 << i for i in range(64) if total[i] > 0)
 
 
+def by_hand(spark, text):
+    """The fingerprint of a text by 64 plain sums."""
+    words, total = text.split(" "), np.zeros(64)
+    terms = Counter(zip(words, [*words[1:], None]))
+    df = spark.createDataFrame([(a, b, n) for (a, b), n in terms.items()], "a string, b string, n int")
+    for r in df.select("a", "n", F.xxhash64("a", "b").alias("h")).collect():
+        bits = np.array([(r["h"] >> i) & 1 for i in range(64)])
+        total += r["n"] * (2 * bits - 1) * (3 if len(r["a"]) >= 8 else 2 if len(r["a"]) >= 4 else 1)
+    return f"{sum(1 << i for i in range(64) if total[i] > 0):016x}"
+
+
+@pytest.mark.parametrize("words, copies", [(["elephant"] * 40_000, 1), (["bear"] * 40_000, 1), (["elephant", "crocodile"] * 1_500, 40)])
+def test_simhash_repetitive(spark, words, copies):
+    """A run of equal terms and rows that repeat id and text do not outgrow the packed sums."""
+    text = " ".join(words)
+    df = spark.createDataFrame([(5, text)] * copies, "doc_id bigint, text string")
+    got = simhash.fingerprint_documents(df).collect()
+    assert len(got) == copies and {r["fingerprint"] for r in got} == {by_hand(spark, text)}
+
+
 @pytest.mark.parametrize("radius, blocks", [(3, 6), (2, 4), (5, 8)])
 def test_block_tables_find_all(spark, radius, blocks):
     rng = np.random.default_rng(2)
