@@ -4,7 +4,7 @@ Every stage works on all rows that the one before kept and is written to the sha
 before the next begins, so a lost executor repeats part of one stage at most.
 
 Defined cases are those of the operators.  The first three stages keep rows as they are, with all their
-columns; documents that repeat an id are judged one by one and stay or go together as duplicates; mixing
+columns; documents that repeat an id or have none are judged one by one, also as duplicates; mixing
 repeats rows whose source is short of its target; an empty table passes through all stages.
 """
 

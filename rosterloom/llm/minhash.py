@@ -390,11 +390,25 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose id is not the smallest of its component.  Only the ids to drop are moved."""
-    groups = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col)
-    dropped = landed(groups.where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
+    """The rows of ``docs`` without all but one of each component, in the order of id (null last), text's hash and row.
+
+    Rows are told apart by their numbers in a landed copy, not by ids, so rows that repeat an id or have none
+    are decided one by one: copies leave one row, other texts stay.  Only the numbers of the rows to drop are moved.
+    """
+    row = "_row"
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row = f"_{row}"
+    copy = landed(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(copy, width, percent, id_col=row, text_col=text_col)
+    later = landed(groups.where(~F.col("kept")).select(F.col(row).alias("row"), F.col("component_id").alias("component")), "later")
+    several = later.union(later.select(F.col("component").alias("row"), "component").distinct())
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("tie"), F.col(row).alias("row"))
+    order = copy.select(F.col(row).alias("row"), place.alias("place"))
+    several = landed(several.join(order, "row").select("component", "place"), "several")
+    first = several.groupBy("component").agg(F.min("place").alias("place")).select("place.row")
+    dropped = landed(several.select("place.row").join(first, "row", "left_anti"), "dropped")
     gone = small(dropped)
-    return docs.join(gone, docs[id_col] == gone["_dropped"], "left_anti")
+    return copy.join(gone, copy[row] == gone["row"], "left_anti").drop(row)
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:

@@ -113,6 +113,22 @@ def test_one_of_each(odd, empty):
     assert 7 not in ids and ids[6] >= 1 and ids[0] == ids[1] == ids[None] == 1
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_one_of_each_decides_per_row(spark, parts):
+    """Repeated rows, copies without an id, and an id that a near copy shares with a clean text."""
+    a, b, c, d, e = (prose(300 + i, 120) for i in range(5))
+    rows = [(3, a, 0), (7, edited(a, 4), 1), (7, b, 2)]
+    rows += [(9, c, 3)] * 4 + [(None, d, 4)] * 3 + [(None, e, 5), (12, edited(e, 60), 6), (12, e, 7)]
+    rows += [(None, None, 8), (None, None, 8), (20, "", 9), (20, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row int").repartition(parts)
+    kept = minhash.one_of_each(docs)
+    assert kept.schema == docs.schema
+    got = Counter(map(tuple, kept.collect()))
+    one = [r for r in got if r[0] == 12]
+    assert len(one) == 1 and one[0] in [(12, edited(e, 60), 6), (12, e, 7)]
+    assert got == Counter([(3, a, 0), (7, b, 2), (9, c, 3), (None, d, 4), one[0], (None, None, 8), (None, None, 8), (20, "", 9), (20, "", 9)])
+
+
 def test_components(spark):
     long = [(i, i + 1) for i in range(0, 300, 2)] + [(i, i + 1) for i in range(1, 200, 2)]
     hub = [(1000, 1001 + i) for i in range(200)]
