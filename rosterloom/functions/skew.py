@@ -1,10 +1,11 @@
 """Ordered (window-like) work that survives one key holding a third of all rows.
 
-A plain window sends every row of a key to one task.  Here the rows are range-partitioned by
-(key, order), so a large key is cut by position into as many ranges as it fills, whatever the
-type or spread of its order.  The window runs inside each range, and the last row of a range hands
-what it has seen of its key on to the later ranges, where it is added to the rows of
-that key.  All of it is one lazy plan over one scan; the results do not depend on where the cuts fall.
+A plain window sends every row of a key to one task.  ``carry`` first learns from a sample which
+keys fill more than one piece and where, by position, to cut them, whatever the type or spread of their
+order.  It then is a two-level prefix scan: one exchange by (key, piece) and a window inside each
+piece, while the rows of the cut keys alone are summarised to one row per piece; the summaries are
+scanned and what the pieces before (or after) hold is brought to the rows of a piece.  A
+piece is told by the values of a row alone, so the results do not depend on the sample.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+PIECE_ROWS = 1_000_000  # a key is left whole up to this many rows
+SAMPLED = 60  # sampled rows per piece
+
 
 def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(
@@ -23,6 +27,32 @@ def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Colum
     )
 
 
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int, least: int) -> DataFrame | None:
+    """(key copies, ``_cuts``): where the keys that hold more than a piece are cut; None if there are none.
+
+    Reads keys and order twice, without a shuffle: once to count, once to sample.  The sample has about
+    ``SAMPLED`` rows a piece, so it grows with the number of pieces, not with the rows.
+    """
+    slim = df.select(*keys, *[c for c in order if c not in keys])
+    rows = slim.count()
+    piece = max(rows / pieces, least)
+    if rows <= piece:
+        return None
+    sample = slim if rows <= SAMPLED * pieces else slim.where(F.rand(7) < SAMPLED / piece)
+    share = min(1.0, SAMPLED / piece) if sample is not slim else 1.0
+    step = max(1, round(piece * share))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    found = (
+        sample.select("*", place.alias("_place"))
+        .where((F.col("_place") > 1) & ((F.col("_place") - 1) % step == 0))
+        .select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.struct(*order).alias("_cut"))
+        .groupBy(*[f"_r_{k}" for k in keys])
+        .agg(F.array_sort(F.collect_set("_cut")).alias("_cuts"))
+    )
+    got = found.collect()
+    return df.sparkSession.createDataFrame(got, found.schema) if got else None
+
+
 def carry(
     df: DataFrame,
     keys: Sequence[str],
@@ -31,63 +61,70 @@ def carry(
     sums: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None,
     lag: dict[str, Column] | None = None,
+    following: dict[str, Column] | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
     """Running state per key in the order of ``order`` (nulls first, as in a window).
 
     ``number`` names a 1-based row number; ``sums`` are running totals up to and
     including the row; ``last`` the last non-null value up to and including the
-    row; ``lag`` the value of the row before.  Rows that are equal in keys and order
-    stay in one range, so ``order`` should end in a unique column.
+    row; ``lag`` the value of the row before; ``following`` the first non-null value from the
+    row on.  Rows that are equal in keys and order stay in one piece, so ``order`` should end in
+    a unique column.  All states of a call share one cut and one exchange; without keys
+    all rows are one key.
 
-    ``ranges`` (default: the shuffle partitions) is the number of ranges.  A range hands at most one
-    row to each later one, so these rows number less than half its square.
+    ``ranges`` is the number of pieces that all rows make; by default the shuffle partitions, with at least
+    ``PIECE_ROWS`` rows a piece.  Pieces of cut keys, their summaries and their state rows are at most as many.
     """
-    sums, last, lag = sums or {}, last or {}, lag or {}
-    made = {number, *sums, *last, *lag}
-    kept = [c for c in df.columns if c not in made]
+    sums, last, lag, following = sums or {}, last or {}, lag or {}, following or {}
+    values = {**sums, **last, **lag, **following}
+    kept = [c for c in df.columns if c != number and c not in values]
+    base = df.withColumns({f"_v_{out}": v for out, v in values.items()}) if values else df
+    if not keys:
+        base, keys = base.withColumn("_all", F.lit(0)), ["_all"]
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = df.withColumns({f"_v_{out}": v for out, v in {**sums, **last, **lag}.items()}) if sums or last or lag else df
-    cut = base.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id())
-
-    inside = W.partitionBy("_range", *keys).orderBy(*order)
-    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    cuts = _cuts(base, keys, order, n, 1 if ranges else PIECE_ROWS)
+    whole = [*keys, "_piece"] if cuts is not None else [*keys]
+    if cuts is not None:
+        place = F.struct(*order)
+        piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0)).alias("_piece")
+        copies = [f"_r_{k}" for k in keys]
+        cut_rows = base.join(F.broadcast(cuts), _same_keys(base, cuts, keys)).select(*base.columns, piece)
+        base = base.join(F.broadcast(cuts), _same_keys(base, cuts, keys), "left").select(*base.columns, piece)
+
+    inside = W.partitionBy(*whole).orderBy(*order)
+    upto, onward = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(0, W.unboundedFollowing)
     local = {"_l_row": F.row_number().over(inside).cast("bigint")}
-    local |= {f"_l_{o}": F.sum(f"_v_{o}").over(upto) for o in sums}
-    local |= {f"_l_{o}": F.last(f"_v_{o}", ignorenulls=True).over(upto) for o in last}
-    local |= {f"_l_{o}": F.lag(f"_v_{o}").over(inside) for o in lag}
-    ends = F.lead(F.lit(True)).over(W.partitionBy("_range").orderBy(*keys, *order)).isNull()
-    rows = cut.select("*", *[e.alias(name) for name, e in local.items()], ends.alias("_ends"))
-
-    # the row itself, and for the end of a range the state it hands on
-    state = F.struct(
-        F.col("_range").alias("from"),
-        F.col("_l_row").alias("rows"),
-        *[F.col(f"_l_{o}").alias(f"s_{o}") for o in (*sums, *last)],
-        *[F.col(f"_v_{o}").alias(f"s_{o}") for o in lag],
-    )
-    row = F.struct(*kept, *local)
-    own = F.array(F.struct(F.col("_range").alias("_at"), row.alias("_row"), F.when(F.lit(False), state).alias("_state")))
-    later = F.transform(
-        F.sequence(F.col("_range") + 1, F.lit(n - 1)),
-        lambda t: F.struct(t.alias("_at"), F.when(F.lit(False), row).alias("_row"), state.alias("_state")),
-    )
-    handed = F.when(F.col("_ends") & (F.col("_range") < n - 1), F.concat(own, later)).otherwise(own)
-    handed = rows.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(handed).alias("_e"))
-    handed = handed.select(*[f"_k_{k}" for k in keys], "_e.*")
-
-    group = W.partitionBy("_at", *[f"_k_{k}" for k in keys])
-    brought = {"_b_rows": F.sum("_state.rows").over(group)}
-    brought |= {f"_b_{o}": F.sum(f"_state.s_{o}").over(group) for o in sums}
-    seen = lambda o: F.when(F.col(f"_state.s_{o}").isNotNull(), F.col("_state.from"))
-    brought |= {f"_b_{o}": F.max_by(F.col(f"_state.s_{o}"), seen(o)).over(group) for o in last}
-    brought |= {f"_b_{o}": F.max_by(F.struct(f"_state.s_{o}"), F.col("_state.from")).over(group)[f"s_{o}"] for o in lag}
-    got = handed.select("_row", *[e.alias(name) for name, e in brought.items()]).where(F.col("_row").isNotNull())
-    got = got.select("_row.*", *brought)
-
-    out = [(F.col("_l_row") + F.coalesce("_b_rows", F.lit(0))).cast("bigint").alias(number)] if number else []
+    local |= {o: F.sum(f"_v_{o}").over(upto) for o in sums}
+    local |= {o: F.last(f"_v_{o}", ignorenulls=True).over(upto) for o in last}
+    local |= {o: F.lag(f"_v_{o}").over(inside) for o in lag}
+    local |= {o: F.first(f"_v_{o}", ignorenulls=True).over(onward) for o in following}
+    rows = base.select(*whole, *[c for c in kept if c not in whole], *[e.alias(f"_l_{o}" if o in values else o) for o, e in local.items()])
+    if cuts is None:
+        out = [F.col("_l_row").alias(number)] if number else []
+        out += [F.coalesce(f"_l_{o}", F.lit(0)).alias(o) for o in sums]
+        return rows.select(*kept, *out, *[F.col(f"_l_{o}").alias(o) for o in (*last, *lag, *following)])
+
+    # one row per piece of a cut key: what it holds, then what the pieces before and after it hold
+    some = lambda o: F.when(F.col(f"_v_{o}").isNotNull(), place)
+    held = [F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_v_{o}").alias(f"_h_{o}") for o in sums]]
+    held += [F.max_by(f"_v_{o}", some(o)).alias(f"_h_{o}") for o in last]
+    held += [F.max_by(F.struct(f"_v_{o}"), place).alias(f"_h_{o}") for o in lag]
+    held += [F.min_by(f"_v_{o}", some(o)).alias(f"_h_{o}") for o in following]
+    summary = cut_rows.groupBy(*whole).agg(*held)
+    along = W.partitionBy(*keys).orderBy("_piece")
+    before, after = along.rowsBetween(W.unboundedPreceding, -1), along.rowsBetween(1, W.unboundedFollowing)
+    brought = {"_b_row": F.sum("_rows").over(before)}
+    brought |= {f"_b_{o}": F.sum(f"_h_{o}").over(before) for o in sums}
+    brought |= {f"_b_{o}": F.last(f"_h_{o}", ignorenulls=True).over(before) for o in last}
+    brought |= {f"_b_{o}": F.lag(f"_h_{o}").over(along)[f"_v_{o}"] for o in lag}
+    brought |= {f"_b_{o}": F.first(f"_h_{o}", ignorenulls=True).over(after) for o in following}
+    state = summary.select(*[F.col(c).alias(f"_r_{c}") for c in whole], *[e.alias(o) for o, e in brought.items()])
+    got = rows.join(F.broadcast(state), _same_keys(rows, state, whole), "left").drop(*copies, "_r__piece")
+
+    out = [(F.col("_l_row") + F.coalesce("_b_row", F.lit(0))).cast("bigint").alias(number)] if number else []
     out += [(F.coalesce(f"_l_{o}", F.lit(0)) + F.coalesce(f"_b_{o}", F.lit(0))).alias(o) for o in sums]
-    out += [F.coalesce(f"_l_{o}", f"_b_{o}").alias(o) for o in last]
+    out += [F.coalesce(f"_l_{o}", f"_b_{o}").alias(o) for o in (*last, *following)]
     out += [F.when(F.col("_l_row") == 1, F.col(f"_b_{o}")).otherwise(F.col(f"_l_{o}")).alias(o) for o in lag]
     return got.select(*kept, *out)
 

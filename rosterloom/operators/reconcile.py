@@ -18,6 +18,7 @@ from rosterloom.functions.joins import join_on
 from rosterloom.functions.rules import Rule, first_match
 from rosterloom.functions.similar import ratio_pairs, similar_pairs
 from rosterloom.functions.skew import numbered_by_range
+from rosterloom.session import durable
 
 from . import pairing
 
@@ -188,12 +189,13 @@ def pair_artifacts(findings: DataFrame, generic: Sequence[str] = ("control room"
     f = f.withColumn("_key", tx.match_key(F.col("name"))).withColumn(
         "_own", tx.match_key(tx.strip_serial(F.col("name"))) == tx.match_key(F.col("station"))
     )
+    f = durable(f.select("finding_id", "station", "category", "issue", "_key", "_own"))  # slim, read by every step below
     missing = f.where("issue = 'Missing'").withColumnRenamed("finding_id", "missing_id")
     extra = f.where("issue = 'Extra'").withColumnRenamed("finding_id", "extra_id")
     named = (F.col("_key") != "")
-    equal = pairing.pair_by_occurrence(
+    equal = durable(pairing.pair_by_occurrence(
         missing.where(named), extra.where(named), ["station", "category", "_key"], "missing_id", "extra_id"
-    )
+    ))
     rest_m = missing.join(equal, "missing_id", "left_anti").where(F.col("_key").isin(list(generic)) & (F.col("category") == "Control Room"))
     rest_e = extra.join(equal, "extra_id", "left_anti").where(F.col("_own"))
     own = pairing.pair_by_occurrence(rest_m, rest_e, ["station", "category"], "missing_id", "extra_id")

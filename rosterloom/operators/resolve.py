@@ -174,7 +174,8 @@ def pair_occurrences(a: DataFrame, b: DataFrame, key: str, title: str, a_id: str
     an = carry(a.select(key, title, a_id), [key], [a_id], number="_n")
     bn = carry(b.select(key, title, b_id, has_contact.alias("_c")), [key], [b_id], number="_n")
     bn = carry(bn, [key, title], [b_id], number="_tn")
-    a_count = a.groupBy(key).agg(F.count(F.lit(1)).alias("_ca"))
+    an, bn = durable(an), durable(bn)  # read by several steps below
+    a_count = an.groupBy(key).agg(F.count(F.lit(1)).alias("_ca"))
     b_stat = bn.groupBy(key).agg(
         F.count(F.lit(1)).alias("_cb"), F.min(b_id).alias("_b_first"),
         F.count_if("_c").alias("_cc"), F.min(F.when(F.col("_c"), F.col(b_id))).alias("_b_contact"),

@@ -83,8 +83,9 @@ def mark_sections(rows: DataFrame, doc: str, order: str, cells: str, names: Data
         .withColumn("_known", F.lit(True))
     )
 
-    rows = carry(rows, [doc], [order], number="_no").withColumn("_back", -F.col("_no"))
-    rows = carry(rows, [doc], ["_back"], last={"_next_header": F.when(header, F.col("_no"))})
+    # both windows run in the document's own partition: one exchange unless a document is cut
+    rows = carry(rows, [doc], [order], number="_no")
+    rows = carry(rows, [doc], ["_no"], following={"_next_header": F.when(header, F.col("_no"))})
     rows = rows.join(known, "_key", "left")
     confirmed = F.coalesce((F.col("_next_header") - F.col("_no")) <= 2, F.lit(False)) & F.coalesce("_known", F.lit(False))
     kind = (
@@ -97,7 +98,7 @@ def mark_sections(rows: DataFrame, doc: str, order: str, cells: str, names: Data
     )
     out = rows.withColumn("row_kind", kind).withColumn("is_break", F.col("row_kind").isin("title", "banner"))
     return out.withColumn("section_title", F.when(F.col("is_break"), tx.strip_serial(first))).drop(
-        "_cells", "_no", "_back", "_next_header", "_key", "_known"
+        "_cells", "_no", "_next_header", "_key", "_known"
     )
 
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = 8, shuffle: int = 8) -> SparkSession:
     spark = (
@@ -35,9 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    named = tempfile.mkdtemp(prefix="rosterloom-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    # a static setting cannot be put into a running session, so the folder is kept here, by application
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="rosterloom-")
+    return _local_folders[app]
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

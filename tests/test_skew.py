@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rosterloom.functions.skew import carry, numbered_by_range, salted_join
+from rosterloom.functions.skew import _cuts, carry, numbered_by_range, salted_join
 from rosterloom.operators import history as hs
 from rosterloom.operators import segment as sg
 
@@ -60,16 +60,36 @@ def test_carry_of_any_order(data, rows, kind):
 
 
 def test_carry_cuts_by_position(spark):
-    """One far value does not leave a hot key in one range, and nothing runs before the result is asked for."""
-    df = spark.createDataFrame([("hot", i if i else 10**15) for i in range(5000)], "k string, pos long").repartition(6)
-    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    """One far value does not leave a hot key in one piece; an exchange per cut; state rows linear in pieces."""
+    df = spark.createDataFrame([("hot", i if i else 10**15) for i in range(5000)] + [(f"k{i}", i) for i in range(50)], "k string, pos long").repartition(6)
+    cuts = _cuts(df, ["k"], ["pos"], 20, 1).collect()
+    assert [c["_r_k"] for c in cuts] == ["hot"] and 15 <= len(cuts[0]["_cuts"]) <= 25
+    at = [c["pos"] for c in cuts[0]["_cuts"]]
+    assert max(b - a for a, b in zip([0, *at], [*at, 5000])) <= 3 * 5050 / 20
     got = carry(df, ["k"], ["pos"], number="no", ranges=20)
-    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("LogicalRDD") <= 1 and "Join" not in plan
-    sizes = [r["count"] for r in df.repartitionByRange(20, "k", "pos").groupBy(F.spark_partition_id()).count().collect()]
-    assert len(sizes) >= 15 and max(sizes) <= 2 * 5000 / 20
-    assert got.agg(F.count_distinct("no"), F.max("no")).head() == (5000, 5000)
+    assert got.where("k = 'hot'").agg(F.count_distinct("no"), F.max("no")).head() == (5000, 5000)
+    assert _cuts(df, ["k"], ["pos"], 1, 1) is None
+
+
+def test_carry_of_small_keys_is_one_exchange(data):
+    got = carry(data, ["k"], ["pos", "id"], number="no", last={"seen": F.col("v")}, following={"next": F.col("v")})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 9, 60])
+def test_following_equals_window(data, rows, ranges):
+    w = W.partitionBy("k").orderBy("pos", "id").rowsBetween(0, W.unboundedFollowing)
+    wanted = rows(data.select("id", F.first("v", ignorenulls=True).over(w).alias("next")))
+    assert rows(carry(data, ["k"], ["pos", "id"], following={"next": F.col("v")}, ranges=ranges), "id", "next") == wanted
+
+
+@pytest.mark.parametrize("ranges", [None, 13])
+def test_carry_without_keys_and_of_nothing(data, rows, ranges):
+    got = carry(data, [], ["pos", "id"], number="no", sums={"total": F.col("id")}, ranges=ranges)
+    w = W.orderBy("pos", "id")
+    assert rows(got, "id", "no", "total") == rows(data.select("id", F.row_number().over(w).cast("bigint").alias("no"), F.sum("id").over(w.rowsBetween(W.unboundedPreceding, 0))))
+    assert carry(data.where("false"), ["k"], ["pos"], number="no", ranges=ranges).count() == 0
 
 
 def test_numbered_by_range(data, rows):
