@@ -62,6 +62,7 @@ def carry(
     last: dict[str, Column] | None = None,
     lag: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
+    xors: dict[str, Column] | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
     """Running state per key in the order of ``order`` (nulls first, as in a window).
@@ -69,21 +70,21 @@ def carry(
     ``number`` names a 1-based row number; ``sums`` are running totals up to and
     including the row; ``last`` the last non-null value up to and including the
     row; ``lag`` the value of the row before; ``following`` the first non-null value from the
-    row on.  Rows that are equal in keys and order stay in one piece, so ``order`` should end in
+    row on; ``xors`` are running bitwise exclusive ors of longs.  Rows that are equal in keys and order stay in one piece, so ``order`` should end in
     a unique column.  All states of a call share one cut and one exchange; without keys
-    all rows are one key.
+    all rows are one key, which is always cut.
 
     ``ranges`` is the number of pieces that all rows make; by default the shuffle partitions, with at least
     ``PIECE_ROWS`` rows a piece.  Pieces of cut keys, their summaries and their state rows are at most as many.
     """
-    sums, last, lag, following = sums or {}, last or {}, lag or {}, following or {}
-    values = {**sums, **last, **lag, **following}
+    sums, last, lag, following, xors = sums or {}, last or {}, lag or {}, following or {}, xors or {}
+    values = {**sums, **last, **lag, **following, **xors}
     kept = [c for c in df.columns if c != number and c not in values]
     base = df.withColumns({f"_v_{out}": v for out, v in values.items()}) if values else df
     if not keys:
         base, keys = base.withColumn("_all", F.lit(0)), ["_all"]
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(base, keys, order, n, 1 if ranges else PIECE_ROWS)
+    cuts = _cuts(base, keys, order, n, 1 if ranges or keys == ["_all"] else PIECE_ROWS)
     whole = [*keys, "_piece"] if cuts is not None else [*keys]
     if cuts is not None:
         place = F.struct(*order)
@@ -96,18 +97,19 @@ def carry(
     upto, onward = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(0, W.unboundedFollowing)
     local = {"_l_row": F.row_number().over(inside).cast("bigint")}
     local |= {o: F.sum(f"_v_{o}").over(upto) for o in sums}
+    local |= {o: F.bit_xor(f"_v_{o}").over(upto) for o in xors}
     local |= {o: F.last(f"_v_{o}", ignorenulls=True).over(upto) for o in last}
     local |= {o: F.lag(f"_v_{o}").over(inside) for o in lag}
     local |= {o: F.first(f"_v_{o}", ignorenulls=True).over(onward) for o in following}
     rows = base.select(*whole, *[c for c in kept if c not in whole], *[e.alias(f"_l_{o}" if o in values else o) for o, e in local.items()])
     if cuts is None:
         out = [F.col("_l_row").alias(number)] if number else []
-        out += [F.coalesce(f"_l_{o}", F.lit(0)).alias(o) for o in sums]
+        out += [F.coalesce(f"_l_{o}", F.lit(0)).alias(o) for o in (*sums, *xors)]
         return rows.select(*kept, *out, *[F.col(f"_l_{o}").alias(o) for o in (*last, *lag, *following)])
 
     # one row per piece of a cut key: what it holds, then what the pieces before and after it hold
     some = lambda o: F.when(F.col(f"_v_{o}").isNotNull(), place)
-    held = [F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_v_{o}").alias(f"_h_{o}") for o in sums]]
+    held = [F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_v_{o}").alias(f"_h_{o}") for o in sums], *[F.bit_xor(f"_v_{o}").alias(f"_h_{o}") for o in xors]]
     held += [F.max_by(f"_v_{o}", some(o)).alias(f"_h_{o}") for o in last]
     held += [F.max_by(F.struct(f"_v_{o}"), place).alias(f"_h_{o}") for o in lag]
     held += [F.min_by(f"_v_{o}", some(o)).alias(f"_h_{o}") for o in following]
@@ -116,6 +118,7 @@ def carry(
     before, after = along.rowsBetween(W.unboundedPreceding, -1), along.rowsBetween(1, W.unboundedFollowing)
     brought = {"_b_row": F.sum("_rows").over(before)}
     brought |= {f"_b_{o}": F.sum(f"_h_{o}").over(before) for o in sums}
+    brought |= {f"_b_{o}": F.bit_xor(f"_h_{o}").over(before) for o in xors}
     brought |= {f"_b_{o}": F.last(f"_h_{o}", ignorenulls=True).over(before) for o in last}
     brought |= {f"_b_{o}": F.lag(f"_h_{o}").over(along)[f"_v_{o}"] for o in lag}
     brought |= {f"_b_{o}": F.first(f"_h_{o}", ignorenulls=True).over(after) for o in following}
@@ -124,6 +127,7 @@ def carry(
 
     out = [(F.col("_l_row") + F.coalesce("_b_row", F.lit(0))).cast("bigint").alias(number)] if number else []
     out += [(F.coalesce(f"_l_{o}", F.lit(0)) + F.coalesce(f"_b_{o}", F.lit(0))).alias(o) for o in sums]
+    out += [F.coalesce(f"_l_{o}", F.lit(0)).bitwiseXOR(F.coalesce(f"_b_{o}", F.lit(0))).alias(o) for o in xors]
     out += [F.coalesce(f"_l_{o}", f"_b_{o}").alias(o) for o in (*last, *following)]
     out += [F.when(F.col("_l_row") == 1, F.col(f"_b_{o}")).otherwise(F.col(f"_l_{o}")).alias(o) for o in lag]
     return got.select(*kept, *out)

@@ -86,9 +86,11 @@ def test_following_equals_window(data, rows, ranges):
 
 @pytest.mark.parametrize("ranges", [None, 13])
 def test_carry_without_keys_and_of_nothing(data, rows, ranges):
-    got = carry(data, [], ["pos", "id"], number="no", sums={"total": F.col("id")}, ranges=ranges)
+    got = carry(data, [], ["pos", "id"], number="no", sums={"total": F.col("id")}, xors={"signs": F.xxhash64("id")}, ranges=ranges)
     w = W.orderBy("pos", "id")
-    assert rows(got, "id", "no", "total") == rows(data.select("id", F.row_number().over(w).cast("bigint").alias("no"), F.sum("id").over(w.rowsBetween(W.unboundedPreceding, 0))))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    wanted = data.select("id", F.row_number().over(w).cast("bigint").alias("no"), F.sum("id").over(upto), F.bit_xor(F.xxhash64("id")).over(upto))
+    assert rows(got, "id", "no", "total", "signs") == rows(wanted)
     assert carry(data.where("false"), ["k"], ["pos"], number="no", ranges=ranges).count() == 0
 
 
