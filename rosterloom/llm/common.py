@@ -65,6 +65,34 @@ def same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str =
     return cond
 
 
+HOT_ROWS, HOT_KEYS = 10_000, 100_000  # a key of more rows than both allow is hot; so at most HOT_KEYS keys are
+
+
+def hot_limit(total: int) -> int:
+    """Keys with more rows than this number less than ``HOT_KEYS`` among ``total`` rows."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], n: str, total: int, spread: str) -> DataFrame:
+    """Left join of rows with one row per key, where one key may hold a third of all rows.
+
+    ``groups`` (landed) has in ``n`` how many of the ``total`` rows a key has.  Keys above ``hot_limit`` are
+    broadcast, as they are few at any size; the others are shuffled.  Rows of hot keys, which need no partner
+    there, are dealt out by a hash of ``spread``.  Null keys have no partner.
+    """
+    values = [c for c in groups.columns if c not in (*keys, n)]
+    limit = hot_limit(total)
+    side = lambda df, mark: df.select(*[F.col(c).alias(f"{mark}{c}") for c in (*keys, *values)])
+    hot = side(groups.where(F.col(n) > limit), "_h_").withColumn("_hot", F.lit(True))
+    cold = side(groups.where(F.col(n) <= limit), "_c_").withColumn("_c_salt", F.lit(0).cast("bigint"))
+    on = lambda left, right, mark: [left[k] == right[f"{mark}{k}"] for k in keys]
+    settled = rows.join(F.broadcast(hot), on(rows, hot, "_h_"), "left")
+    alone = F.col("_hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    settled = settled.withColumn("_salt", F.when(alone, F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("bigint"))
+    both = settled.join(cold, [*on(settled, cold, "_c_"), settled["_salt"] == cold["_c_salt"]], "left")
+    return both.select(*rows.columns, *[F.coalesce(f"_h_{v}", f"_c_{v}").alias(v) for v in values])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
