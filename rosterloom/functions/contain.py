@@ -5,6 +5,9 @@ longer side is exploded into the substrings whose lengths occur on the short
 side, and the join is an equi join: the work grows with the names, not with
 their pairs, also when a third of them share a prefix.  Names are made distinct
 before and joined back after.
+
+Long texts are looked up by anchors of the terms, which a Bloom filter tests inside the
+scan of the texts, so only hits leave it.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.session import spread
+from rosterloom.functions.bloom import filter_of
+from rosterloom.session import durable, spread
 
 MIN_LENGTH = 4
 
@@ -34,8 +38,15 @@ def contained(
     return parts.join(sh, short_col).select(long_col, short_col)
 
 
+def too_short(df: DataFrame, text: Column, min_length: int = MIN_LENGTH) -> DataFrame:
+    """The rows that a length guard leaves out: their text is not empty, but under ``min_length``; adds ``status``."""
+    return df.where((F.length(text) > 0) & (F.length(text) < min_length)).withColumn("status", F.lit("too short"))
+
+
 # a text is words and the breaks between them
 BREAKS = r"[^\p{L}\p{N}]+"
+GRAM = 4  # signs of an anchor that is looked for inside words
+BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 32 << 20  # terms that may travel with every task
 
 
 def _longest(words: Column) -> Column:
@@ -43,45 +54,72 @@ def _longest(words: Column) -> Column:
     return F.get(F.filter(by_length, lambda w: w != ""), F.lit(0))
 
 
+def _grams(pieces: Column, lengths: list[int], mark: str) -> Column:
+    """The marked substrings of these lengths of every piece."""
+
+    def of_length(piece: Column, n: int) -> Column:
+        starts = F.when(F.length(piece) >= n, F.sequence(F.lit(1), F.length(piece) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(piece, i, F.lit(n))))
+
+    def of(piece: Column) -> Column:
+        return F.concat(*[of_length(piece, n) for n in lengths])
+
+    return F.flatten(F.transform(pieces, of))
+
+
 def terms_in_texts(
-    texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str
+    texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str, broadcast_terms: int = BROADCAST_TERMS
 ) -> DataFrame:
     """(``id_col``, ``term_col``) where the text contains the term, ignoring case.
 
     Long texts are not cut into substrings.  Every term has an anchor: its longest
     inner word, which any text containing the term holds as a whole word, or, if it
-    has none, its longest word, which such a text holds inside a word.  A term
-    without any word is looked up in the same way among the breaks between words.
-    Only texts with an anchor are read in full.
+    has none, the first signs of its longest word, which such a text holds inside a word.  A term
+    without any word is looked up in the same way among the breaks between words.  A Bloom filter of the anchors is tested
+    in the scan of the texts.
+
+    Terms that are few enough travel with the scan, which then confirms its hits itself: one scan, no exchange of texts.
+    Beyond ``broadcast_terms`` the hits (id, anchor) are joined with the terms, and the texts of the ids found are read in a
+    second scan, again behind a filter.
     """
     t = terms.select(term_col, F.lower(term_col).alias("_term")).where(F.length(term_col) > 0).distinct()
     words = F.split("_term", BREAKS)
     inner = _longest(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
-    t = t.withColumns({"_inner": inner, "_outer": _longest(words)})
-    t = t.select(
-        term_col, "_term", F.coalesce("_inner", "_outer", "_term").alias("_anchor"),
-        F.when(F.col("_inner").isNotNull(), "inner").when(F.col("_outer").isNotNull(), "outer").otherwise("break").alias("_kind"),
-    )
-    # the kinds that occur are looked up in the small term table first
-    kinds = {r["_kind"] for r in t.select("_kind").distinct().collect()}
-    low = F.lower(text_col)
-    found = None
-    for group, pieces in (
-        (("inner", "outer"), F.split(low, BREAKS)),
-        (("break",), F.regexp_extract_all(low, F.lit(f"({BREAKS})"), F.lit(1))),
-    ):
-        if not kinds & set(group):
-            continue
-        some = t.where(F.col("_kind").isin(list(group)))
-        postings = texts.select(F.col(id_col), F.explode(F.array_distinct(pieces)).alias("_piece"))
-        near = some.where("_kind = 'inner'").select(F.col("_anchor").alias("_piece"), "_anchor")
-        if kinds & set(group) - {"inner"}:
-            loose = some.where("_kind <> 'inner'")
-            near = near.unionByName(contained(postings.select("_piece"), "_piece", loose, "_anchor", min_length=1))
-        hits = postings.join(near.distinct(), "_piece").select(id_col, "_anchor").distinct().join(some, "_anchor")
-        hits = hits.select(id_col, term_col, "_term")
-        found = hits if found is None else found.unionByName(hits)
-    whole = texts.select(id_col, F.lower(text_col).alias("_text"))
-    if found is None:
+    t = t.withColumns({"_inner": inner, "_outer": F.substring(_longest(words), 1, GRAM)})
+    kind = F.when(F.col("_inner").isNotNull(), "w").when(F.col("_outer").isNotNull(), "g").otherwise("b")
+    t = t.select(term_col, "_term", kind.alias("_kind"), F.concat(kind, F.coalesce("_inner", "_outer", F.substring("_term", 1, GRAM))).alias("_key"))
+    t = durable(t)
+    # what occurs, from the small term table: kinds, lengths of anchors, how much there is
+    some = t.groupBy("_kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_term")).alias("bytes"), F.collect_set(F.least(F.length("_key"), F.lit(GRAM + 1))).alias("lengths")
+    ).collect()
+    found = {r["_kind"]: sorted(x - 1 for x in r["lengths"]) for r in some}
+    n, size = sum(r["n"] for r in some), sum(r["bytes"] for r in some)
+    if not found:
         return texts.select(id_col, F.lit(None).cast("string").alias(term_col)).where(F.lit(False))
-    return whole.join(found.distinct(), id_col).where(F.col("_text").contains(F.col("_term"))).select(id_col, term_col)
+    bits, test = filter_of(t.select("_key").distinct(), "_key", n)
+
+    low = F.lower(text_col)
+    pieces = []
+    if found.keys() & {"w", "g"}:
+        base = texts.select(id_col, low.alias("_text"), F.array_distinct(F.split(low, BREAKS)).alias("_words"), bits.alias("_bits"))
+        pieces += [F.transform("_words", lambda w: F.concat(F.lit("w"), w))] if "w" in found else []
+        pieces += [_grams(F.col("_words"), found["g"], "g")] if "g" in found else []
+    else:
+        base = texts.select(id_col, low.alias("_text"), bits.alias("_bits"))
+    if "b" in found:
+        breaks = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"({BREAKS})"), F.lit(1)))
+        pieces.append(_grams(breaks, found["b"], "b"))
+    hits = F.filter(F.array_distinct(F.concat(*pieces)), lambda k: test(F.col("_bits"), k))
+    keep = n <= broadcast_terms and size <= BROADCAST_BYTES
+    hit = base.select(id_col, *(["_text"] if keep else []), F.explode(hits).alias("_key"))
+    if keep:
+        met = hit.join(F.broadcast(t), "_key")
+    else:
+        met = hit.join(t, "_key").select(id_col, term_col, "_term").distinct()
+        met = durable(met)
+        ids = met.select(F.col(id_col).cast("string").alias("_id")).distinct()
+        bits, test = filter_of(ids, "_id", ids.count())
+        whole = texts.select(id_col, low.alias("_text"), bits.alias("_bits")).where(test(F.col("_bits"), F.col(id_col).cast("string")))
+        met = whole.select(id_col, "_text").join(met, id_col)
+    return met.where(F.col("_text").contains(F.col("_term"))).select(id_col, term_col)

@@ -1,31 +1,34 @@
-"""Near-equal names by edit distance, without comparing all pairs of a block.
+"""Near-equal names, without comparing all pairs of a block.
 
-Similarity is ``1 - levenshtein / greatest(length)``, native in Spark.  Pairs up
-to two edits meet on a shared text that remains after deleting at most two
-characters; pairs further apart meet on one of their rarest character pairs.
-Both are complete: every pair at or above the threshold is found, while the work
-follows how many names really are alike, not how many share a block or a prefix.
+Two scores: by edits, ``1 - levenshtein / greatest(length)``, native in Spark; and by longest matching
+blocks, as ``difflib.SequenceMatcher.ratio`` gives it, in numpy over whole Arrow batches.
+
+Pairs meet on pieces: k edits leave at least one of k + 1 pieces of the shorter name whole, at a place
+that has moved by few positions.  So the shorter name is indexed under its pieces, by block, length, piece number and
+piece, and the longer one asks for the substrings that can be such a piece.  Both grow with the length of a name, not
+with its square, and every pair at or above the threshold is found.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from rosterloom.session import durable, spread
 
-# the one Python function travels by value, so workers need no copy of this package
+# the Python functions travel by value, so workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NEAR = 2  # edits covered by deletion variants
-GRAM = 2
+LONG = 200  # the standard matcher treats frequent signs of longer texts apart
+EPS = 1e-9
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -33,143 +36,228 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def _signs(texts: Sequence[str], pad: int):
+    """A row of code points for each text, filled up with ``pad``."""
+    import numpy as np
+
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    out = np.full((len(texts), lengths.max(initial=0)), pad, dtype=np.int32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<i4")
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return out
+
+
+def block_ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Longest-matching-blocks ratio of each pair, all pairs side by side.
+
+    In a wave, the longest common run of every open segment is found (the first in ``a``, then in ``b``), and what lies
+    left and right of it are the segments of the next wave.
+    """
+    import numpy as np
+
+    sa, sb = _signs(a, -1), _signs(b, -2)
+    la, lb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    matched = np.zeros(len(la), dtype=np.int64)
+    zero = np.zeros(len(la), dtype=np.int64)
+    segments = np.stack([np.arange(len(la)), zero, la, zero, lb], axis=1)
+    while True:
+        segments = segments[(segments[:, 2] > segments[:, 1]) & (segments[:, 4] > segments[:, 3])]
+        if not len(segments):
+            break
+        k, alo, ahi, blo, bhi = segments.T
+        cols = np.arange((bhi - blo).max())
+        at = blo[:, None] + cols
+        right = np.where(at < bhi[:, None], sb[k[:, None], np.minimum(at, sb.shape[1] - 1)], -2)
+        runs = np.zeros((len(k), len(cols) + 1), dtype=np.int16)
+        rows = np.arange(len(k))
+        size, end_a, end_b = np.zeros((3, len(k)), dtype=np.int64)
+        for i in range((ahi - alo).max()):
+            x = alo + i
+            left = np.where(x < ahi, sa[k, np.minimum(x, sa.shape[1] - 1)], -1)
+            here = (runs[:, :-1] + np.int16(1)) * (right == left[:, None])
+            runs[:, 1:] = here
+            j = here.argmax(axis=1)
+            most = here[rows, j]
+            better = np.flatnonzero(most > size)
+            size[better], end_a[better], end_b[better] = most[better], i, j[better]
+        np.add.at(matched, k, size)
+        a0, b0 = alo + end_a + 1 - size, blo + end_b + 1 - size
+        some = size > 0
+        before = np.stack([k, alo, a0, blo, b0], axis=1)[some]
+        after = np.stack([k, a0 + size, ahi, b0 + size, bhi], axis=1)[some]
+        segments = np.concatenate([before, after])
+    both = la + lb
+    return np.where(both > 0, 2.0 * matched / np.maximum(both, 1), 1.0)
+
+
 @F.pandas_udf(DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-blocks ratio, for callers that need it instead of edits."""
+    """Longest-matching-blocks ratio, equal to the standard library's."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    import numpy as np
 
+    long = (a.str.len() >= LONG) | (b.str.len() >= LONG)
+    out = np.zeros(len(a))
+    short = np.flatnonzero(~long.to_numpy())
+    for part in np.array_split(short, max(1, len(short) // 1024)):
+        out[part] = block_ratios(a.iloc[part].tolist(), b.iloc[part].tolist())
+    for i in np.flatnonzero(long.to_numpy()):
+        out[i] = SequenceMatcher(None, a.iloc[i], b.iloc[i]).ratio()
+    return pd.Series(out)
 
-def _shorter_by_one(name: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(name)),
-        lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substr(name, i + 1)),
+
+@dataclass(frozen=True)
+class Measure:
+    """A score with its bounds: the edits a pair whose shorter name has length l may have, and l's least value."""
+
+    score: object
+    edits: object
+    shortest: object
+
+
+def by_edits(threshold: float) -> Measure:
+    """t leaves at most (1 - t) of the longer name as edits."""
+    if threshold <= 0.5:
+        raise ValueError("a threshold above 0.5 is needed")
+    return Measure(
+        similarity,
+        lambda l: F.floor(l * ((1 - threshold) / threshold) + EPS).cast("int"),
+        lambda m: F.ceil(m * threshold - EPS).cast("int"),
     )
 
 
-def variants(name: Column, edits: int) -> Column:
-    """The name with at most ``edits`` characters deleted, distinct."""
-    out = F.array(name)
-    ring = F.array(name)
-    for _ in range(edits):
-        ring = F.array_distinct(
-            F.flatten(F.transform(F.filter(ring, lambda v: F.length(v) > 0), _shorter_by_one))
-        )
-        out = F.array_union(out, ring)
-    return out
+def by_blocks(threshold: float) -> Measure:
+    """A ratio t leaves 1 - t of both lengths together unmatched, each sign of it an edit."""
+    if threshold <= 2 / 3:
+        raise ValueError("a threshold above 2/3 is needed")
+    return Measure(
+        matcher_ratio,
+        lambda l: F.floor(l * (2 * (1 - threshold) / threshold) + EPS).cast("int"),
+        lambda m: F.ceil(m * (threshold / (2 - threshold)) - EPS).cast("int"),
+    )
 
 
-def _names(df: DataFrame, block: Sequence[str], col: str, out: str) -> DataFrame:
-    # checkpointed: every round below reads the distinct names again
-    return durable(spread(df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct(), *block, out))
+def measure(threshold: float, blocks: bool = False) -> Measure:
+    return by_blocks(threshold) if blocks else by_edits(threshold)
 
 
-def _meet(a: DataFrame, b: DataFrame, block: Sequence[str], edits: int) -> DataFrame:
-    left = a.select(*block, "a_name", F.explode(variants(F.col("a_name"), edits)).alias("_v"))
-    right = b.select(*block, "b_name", F.explode(variants(F.col("b_name"), edits)).alias("_v"))
-    return left.join(right, [*block, "_v"]).select(*block, "a_name", "b_name").distinct()
+def _piece(l: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of piece i of k + 1; the last pieces are one longer if need be."""
+    base = F.floor(l / (k + 1)).cast("int")
+    plain = (k + 1) - F.pmod(l, k + 1)  # pieces without the extra sign
+    return i * base + F.greatest(i - plain, F.lit(0)), base + F.when(i >= plain, 1).otherwise(0)
 
 
-def _allowed(name: Column, threshold: float) -> Column:
-    """Most edits a partner of this name can have at the threshold."""
-    return F.floor(F.length(name) * (1 - threshold) / threshold + 1e-9)
+def _indexed(names: DataFrame, block: Sequence[str], name: str, m: Measure) -> DataFrame:
+    """(block, name, _l, _i, _p): a name under each of its pieces."""
+    l = F.length(name)
+    k = m.edits(l)
 
+    def entry(i: Column) -> Column:
+        start, length = _piece(l, k, i)
+        return F.struct(l.alias("_l"), i.alias("_i"), F.substring(F.col(name), start + 1, length).alias("_p"))
 
-def _rare_grams(df: DataFrame, name: str, block: Sequence[str], counts: DataFrame, threshold: float) -> DataFrame:
-    """The rarest grams of each name, enough that near names share one."""
-    grams = _grams(df, name, block).join(counts, [*block, "_g"])
-    need = _allowed(F.col(name), threshold) * GRAM + 1
-    by_rarity = W.partitionBy(*block, name).orderBy("_n", "_g")  # one name's own grams
-    return grams.withColumn("_i", F.row_number().over(by_rarity)).where(F.col("_i") <= need).select(*block, name, "_g")
+    return names.select(*block, name, F.inline(F.transform(F.sequence(F.lit(0), k), entry)))
 
 
-def _grams(df: DataFrame, name: str, block: Sequence[str]) -> DataFrame:
-    # padded, and numbered when repeated, so that the grams of a name form a set
-    padded = F.concat(F.lit("\u0001"), F.col(name), F.lit("\u0001"))
-    pos = F.sequence(F.lit(1), F.length(padded) - 1)
-    raw = df.select(*block, name, F.transform(pos, lambda i: F.substring(padded, i, F.lit(GRAM))).alias("_a"))
-    numbered = F.transform(
-        F.col("_a"),
-        lambda g, i: F.concat(g, F.size(F.filter(F.slice("_a", F.lit(1), i + 1), lambda h: h == g)).cast("string")),
-    )
-    return raw.select(*block, name, F.explode(numbered).alias("_g"))
+def _asked(names: DataFrame, block: Sequence[str], name: str, m: Measure, shorter: bool) -> DataFrame:
+    """(block, name, _l, _i, _p): the substrings that can be a piece of a partner that is not longer (``shorter``: is shorter)."""
+    n = F.length(name)
+    most = n - 1 if shorter else n
+    least = F.greatest(m.shortest(n), F.lit(1))
+
+    def of_length(l: Column) -> Column:
+        k, gap = m.edits(l), n - l
+
+        def of_piece(i: Column) -> Column:
+            start, length = _piece(l, k, i)
+            first = F.greatest(F.lit(0), start - i, start + gap - (k - i))
+            last = F.least(n - length, start + i, start + gap + (k - i))
+            places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda p: F.struct(l.alias("_l"), i.alias("_i"), F.substring(F.col(name), p + 1, length).alias("_p")))
 
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
 
-def _far(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
-    """Candidate pairs that may be more than ``NEAR`` edits apart."""
-    la = a.where(_allowed(F.col("a_name"), threshold) > NEAR)
-    lb = b.where(_allowed(F.col("b_name"), threshold) > NEAR)
-    counts = (
-        _grams(la, "a_name", block).unionAll(_grams(lb, "b_name", block))
-        .groupBy(*block, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    lengths = F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
+    return names.select(*block, name, F.inline(F.array_distinct(F.flatten(F.transform(lengths, of_length)))))
+
+
+def _names(df: DataFrame, block: Sequence[str], col: str, out: str) -> DataFrame:
+    # checkpointed: the steps below read the distinct names again
+    return durable(spread(df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct(), *block, out))
+
+
+def _scored(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float, m: Measure) -> DataFrame:
+    """(block, a_name, b_name, similarity) of all pairs at the threshold; a pair comes once per piece it shares."""
+    side = lambda df, who: df.withColumn("_s", F.lit(who))
+    index = side(_indexed(a, block, "a_name", m), 0).withColumnRenamed("a_name", "_x").unionByName(
+        side(_indexed(b, block, "b_name", m), 1).withColumnRenamed("b_name", "_x")
+    )
+    asks = side(_asked(b, block, "b_name", m, True), 0).withColumnRenamed("b_name", "_y").unionByName(
+        side(_asked(a, block, "a_name", m, False), 1).withColumnRenamed("a_name", "_y")
     )
-    ga = _rare_grams(la, "a_name", block, counts, threshold)
-    gb = _rare_grams(lb, "b_name", block, counts, threshold)
-    gap = F.abs(F.length("a_name") - F.length("b_name"))
-    longest = F.greatest(F.length("a_name"), F.length("b_name"))
-    return (
-        ga.join(gb, [*block, "_g"]).where(gap <= longest * (1 - threshold) + 1e-9)
-        .select(*block, "a_name", "b_name").distinct()
+    met = index.join(asks, [*block, "_s", "_l", "_i", "_p"])
+    first = F.col("_s") == 0
+    pairs = met.select(
+        *block, F.when(first, F.col("_x")).otherwise(F.col("_y")).alias("a_name"), F.when(first, F.col("_y")).otherwise(F.col("_x")).alias("b_name")
     )
+    if m.score is not similarity:  # scoring costs more than making the pairs distinct
+        pairs = pairs.distinct()
+    return pairs.withColumn("similarity", m.score(F.col("a_name"), F.col("b_name"))).where(F.col("similarity") >= threshold)
 
 
 def similar_pairs(
-    a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float
+    a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float, blocks: bool = False
 ) -> DataFrame:
-    """Every distinct pair of names in a block with similarity >= ``threshold``."""
+    """Every distinct pair of names in a block with a similarity of at least ``threshold``, by edits or by matching ``blocks``."""
     na, nb = _names(a, block, a_col, "a_name"), _names(b, block, b_col, "b_name")
-    near = _meet(na, nb, block, NEAR).unionByName(_far(na, nb, block, threshold)).distinct()
-    return near.withColumn("similarity", similarity(F.col("a_name"), F.col("b_name"))).where(
-        F.col("similarity") >= threshold
-    )
+    return _scored(na, nb, block, threshold, measure(threshold, blocks)).distinct()
 
 
 def ratio_pairs(
     a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float
 ) -> DataFrame:
-    """Every distinct pair of names in a block whose longest-matching-blocks ratio is at least ``threshold``.
+    """``similar_pairs`` by the longest-matching-blocks ratio."""
+    return similar_pairs(a, a_col, b, b_col, block, threshold, blocks=True)
 
-    A ratio t leaves 1 - t of both lengths together unmatched, which is at most that many
-    edits, or 2 (1 - t) of the longer name: the pairs of edit similarity 2 t - 1 are
-    complete, and only they are read by the ratio.  ``threshold`` must be above 0.5.
-    """
-    near = similar_pairs(a, a_col, b, b_col, block, 2 * threshold - 1).drop("similarity")
-    return near.withColumn("similarity", matcher_ratio("a_name", "b_name")).where(F.col("similarity") >= threshold)
+
+def _shorter_by_one(name: Column) -> Column:
+    return F.transform(
+        F.sequence(F.lit(1), F.length(name)),
+        lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substr(name, i + 1)),
+    )
+
+
+def _within_one(a: DataFrame, b: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Pairs that share the name or what is left of it without one sign: all within one edit, few others."""
+    forms = lambda name: F.explode(F.array_distinct(F.concat(F.array(name), _shorter_by_one(F.col(name))))).alias("_v")
+    return a.select(*block, "a_name", forms("a_name")).join(b.select(*block, "b_name", forms("b_name")), [*block, "_v"]).select(*block, "a_name", "b_name")
+
+
+def _best(scored: DataFrame, block: Sequence[str]) -> DataFrame:
+    order = F.struct(-F.col("similarity"), F.col("b_name"))
+    return scored.groupBy(*block, "a_name").agg(F.min_by("b_name", order).alias("b_name"), F.max("similarity").alias("similarity"))
 
 
 def nearest(
-    a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float
+    a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float, blocks: bool = False
 ) -> DataFrame:
-    """Best partner of each distinct name of ``a`` in its block, ties by name.
+    """Best partner of each distinct name of ``a`` in its block, ties by name, by edits or by matching ``blocks``.
 
-    Searches by growing distance and drops a name as soon as it has a partner no
-    farther name can beat, so the many names of a dense block stop early.
+    Equal names, and by edits those within one edit that no farther name can beat, are settled first; so the many names
+    of a dense block of like names do not ask for pieces that all of them share.
     """
+    m = measure(threshold, blocks)
     na, nb = _names(a, block, a_col, "a_name"), _names(b, block, b_col, "b_name")
-    found = None
-    left = na
-    for edits in range(NEAR + 1):
-        # checkpointed: each round is read for the result and to shrink the next
-        got = durable(_best(_meet(left, nb, block, edits), block, threshold))
-        found = got if found is None else found.unionByName(got)
-        # all names within these edits were seen; beyond, a longer name only gets worse
-        settled = got.where(
-            (F.levenshtein("a_name", "b_name") <= edits) & (F.length("a_name") > edits * (edits + 1))
-        )
-        left = left.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti")
-    found = found.unionByName(_best(_far(left, nb, block, threshold), block, threshold))
-    order = F.struct(-F.col("similarity"), F.col("b_name"))
-    return found.groupBy(*block, "a_name").agg(
-        F.min_by("b_name", order).alias("b_name"), F.max("similarity").alias("similarity")
-    )
-
-
-def _best(pairs: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
-    scored = pairs.withColumn("similarity", similarity(F.col("a_name"), F.col("b_name"))).where(
-        F.col("similarity") >= threshold
-    )
-    order = F.struct(-F.col("similarity"), F.col("b_name"))
-    return scored.groupBy(*block, "a_name").agg(
-        F.min_by("b_name", order).alias("b_name"), F.max("similarity").alias("similarity")
-    )
+    if blocks:
+        near = na.join(nb.withColumn("a_name", F.col("b_name")), [*block, "a_name"]).select(*block, "a_name", "b_name")
+        near = durable(near.withColumn("similarity", F.lit(1.0)))
+        settled = near
+    else:
+        near = _within_one(na, nb, block).withColumn("similarity", similarity(F.col("a_name"), F.col("b_name")))
+        near = durable(_best(near.where(F.col("similarity") >= threshold), block))
+        edits = F.levenshtein("a_name", "b_name")
+        settled = near.where((edits == 0) | ((edits == 1) & (F.length("a_name") > 2)))
+    left = na.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti")
+    return _best(near.unionByName(_scored(left, nb, block, threshold, m)), block)

@@ -90,8 +90,11 @@ def carry(
         place = F.struct(*order)
         piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0)).alias("_piece")
         copies = [f"_r_{k}" for k in keys]
-        cut_rows = base.join(F.broadcast(cuts), _same_keys(base, cuts, keys)).select(*base.columns, piece)
-        base = base.join(F.broadcast(cuts), _same_keys(base, cuts, keys), "left").select(*base.columns, piece)
+        if keys == ["_all"]:
+            base = cut_rows = base.select("*", cuts.select("_cuts").scalar().alias("_cuts")).select(*base.columns, piece)
+        else:
+            cut_rows = base.join(F.broadcast(cuts), _same_keys(base, cuts, keys)).select(*base.columns, piece)
+            base = base.join(F.broadcast(cuts), _same_keys(base, cuts, keys), "left").select(*base.columns, piece)
 
     inside = W.partitionBy(*whole).orderBy(*order)
     upto, onward = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(0, W.unboundedFollowing)
@@ -133,7 +136,7 @@ def carry(
     return got.select(*kept, *out)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], unique: str, salts: int = 64) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], unique: str, salts: int = 64, how: str = "inner") -> DataFrame:
     """Equi join on keys with few distinct values, such as a status.
 
     Every key of ``big`` is spread over ``salts`` tasks by its unique column; the
@@ -141,7 +144,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], unique: s
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def numbered_by_range(

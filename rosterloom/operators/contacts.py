@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
-from rosterloom.functions.skew import carry, salted_join
+from rosterloom.functions.skew import carry, numbered_by_range, salted_join
+from rosterloom.session import durable
 
 from .standardize import to_contact_rows
 
@@ -63,69 +64,110 @@ def by_category_keywords(places: DataFrame, words: Sequence[str]) -> DataFrame:
     return places.where(F.col("category").isNotNull() & tx.contains_any(F.col("category"), words))
 
 
+WORD = 64  # lists in a word of the index
+
+
+def _bit(number: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col(number), F.lit(WORD)).cast("int"))
+
+
+def _either(*words: Column) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), words)
+
+
+def rule_index(rules: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Inverted index of the lists' rules: (lists, words, scopes).
+
+    Lists are numbered, and 64 of them are a word of bits.  ``words`` has a row per word: the lists of any kind of organization
+    rule, those without a role rule, and by role and by status the lists that ask for it.  ``scopes`` has a row per organization:
+    its words of lists whose organization rules it satisfies.  Both have rows for the words that are used only, so the index
+    grows with the rules that hold, over 64.
+    """
+    lists = rules.groupBy("list_id").agg(
+        F.collect_set(F.when(F.col("filter_type") == "STATUS", F.col("status"))).alias("statuses"),
+        F.collect_set(F.when(F.col("filter_type") == "ROLE", F.col("role"))).alias("wanted"),
+        *[F.max(F.col("filter_type") == kind).alias(f"has_{i}") for i, kind in enumerate(ORG_RULES)],
+    ).withColumn("statuses", F.when(F.size("statuses") == 0, F.array(F.lit("ACTIVE"))).otherwise(F.col("statuses")))
+    lists = numbered_by_range(lists, [], ["list_id"], "number")
+    lists = durable(lists.withColumn("word", F.floor(F.col("number") / WORD)).withColumn("bit", _bit("number")))
+
+    of = lambda flag: F.coalesce(F.bit_or(F.when(flag, F.col("bit"))), F.lit(0))
+    has = [of(F.col(f"has_{i}")).alias(f"has_{i}") for i in range(len(ORG_RULES))]
+    plain = lists.groupBy("word").agg(*has, of(F.size("wanted") == 0).alias("any_role"), F.bit_or("bit").alias("all"))
+
+    def by_value(column: str) -> DataFrame:
+        per = lists.select("word", "bit", F.explode(column).alias("v")).groupBy("word", "v").agg(F.bit_or("bit").alias("b"))
+        return per.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("v", "b"))).alias(column))  # a few values a word
+
+    words = plain.join(by_value("wanted"), "word", "left").join(by_value("statuses"), "word", "left")
+    words = durable(words)
+
+    value = F.lit(None).cast("string")
+    for kind, col in ORG_RULES.items():
+        value = F.when(F.col("filter_type") == kind, F.col(col).cast("string")).otherwise(value)
+    asked = rules.select("list_id", F.col("filter_type").alias("kind"), value.alias("value")).where("value IS NOT NULL").distinct()
+    asked = asked.join(lists.select("list_id", "word", "bit"), "list_id").groupBy("kind", "value", "word").agg(F.bit_or("bit").alias("bit"))
+    facts = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(col).cast("string").alias("value")) for kind, col in ORG_RULES.items()])
+    facts = orgs.select("org_id", F.inline(facts)).where("value IS NOT NULL")
+    met = [of(F.col("kind") == kind).alias(f"met_{i}") for i, kind in enumerate(ORG_RULES)]
+    hits = facts.join(asked, ["kind", "value"]).groupBy("org_id", "word").agg(*met).join(words, "word")
+    wants = _either(*[F.col(f"has_{i}") for i in range(len(ORG_RULES))])
+    unmet = _either(*[F.col(f"has_{i}").bitwiseAND(F.bitwise_not(F.col(f"met_{i}"))) for i in range(len(ORG_RULES))])
+    entry = F.struct("word", wants.bitwiseAND(F.bitwise_not(unmet)).alias("lists"), "any_role", "wanted", "statuses")
+    scopes = hits.select("org_id", entry.alias("e")).where("e.lists <> 0").groupBy("org_id").agg(F.collect_list("e").alias("scope"))
+    return lists, words, scopes
+
+
 def resolve_list(rules: DataFrame, people: DataFrame, orgs: DataFrame, heads: DataFrame, head_ids: DataFrame) -> DataFrame:
     """Members of all dynamic lists at once: (list_id, record_type, record_id).
 
     Rules of one type are alternatives, types combine with AND.  Without a STATUS
     rule only ACTIVE people count.  Standalone role holders join lists that ask for
     the role, within the same organization scope.  Manual excludes, then includes,
-    win over everything.  Organization rules are first settled per (list,
-    organization), so people join a list only through organizations or a status.
-    """
-    of_type = lambda kind, col: F.when(F.col("filter_type") == kind, F.col(col))
-    typed = lambda kind, col: rules.where(F.col("filter_type") == kind).select("list_id", col).distinct()
-    # one row per list; roles and statuses come from small fixed domains
-    lists = rules.groupBy("list_id").agg(
-        F.countDistinct(F.when(F.col("filter_type").isin(list(ORG_RULES)), F.col("filter_type"))).alias("n_org_types"),
-        F.collect_set(of_type("STATUS", "status")).alias("statuses"),
-        F.collect_set(of_type("ROLE", "role")).alias("wanted"),
-    ).withColumn("statuses", F.when(F.size("statuses") == 0, F.array(F.lit("ACTIVE"))).otherwise(F.col("statuses")))
-    hits = reduce(
-        DataFrame.union,
-        [
-            orgs.where(F.col(col).isNotNull()).join(typed(kind, col), col).select("list_id", "org_id", F.lit(kind).alias("kind"))
-            for kind, col in ORG_RULES.items()
-        ],
-    ).distinct()
-    scope = (
-        hits.groupBy("list_id", "org_id").agg(F.count(F.lit(1)).alias("n_org_types"))
-        .join(lists, ["list_id", "n_org_types"])
-        .select("list_id", "org_id", "statuses", "wanted")
-    )
-    open_lists = lists.where("n_org_types = 0").select("list_id", "wanted", F.explode("statuses").alias("status"))
+    win over everything.
 
+    The lists a record is on are bits: those of its organization, and those without an organization rule, AND those of its
+    status AND the OR of those of its roles.  People and role holders are passed over once, 64 lists at a time.
+    """
+    lists, words, scopes = rule_index(rules, orgs)
     active_roles = heads.where("role_category = 'ADMINISTRATIVE_HEAD' AND status = 'ACTIVE'")
     roles = (
         head_ids.select("person_id", F.lit("UTILITY_HEAD").alias("role"))
         .union(active_roles.where("person_id IS NOT NULL").select("person_id", F.lit("ADMINISTRATIVE_HEAD")))
         .groupBy("person_id").agg(F.collect_set("role").alias("held"))
     )
+    none = F.array().cast("array<string>")
+    held = F.concat(F.coalesce("held", none), F.when(F.col("is_kmp"), F.array(F.lit("KMP"))).otherwise(none))
     who = people.join(roles, "person_id", "left").select(
-        "person_id", "org_id", "status",
-        F.concat(
-            F.coalesce("held", F.array().cast("array<string>")),
-            F.when(F.col("is_kmp"), F.array(F.lit("KMP"))).otherwise(F.array().cast("array<string>")),
-        ).alias("held"),
+        F.lit("person").alias("record_type"), F.col("person_id").alias("record_id"), "org_id", "status", held.alias("held")
+    )
+    alone = active_roles.where("person_id IS NULL").select(
+        F.lit("role").alias("record_type"), F.col("head_id").alias("record_id"), "org_id", "status", F.array("role_category").alias("held")
+    )
+    # lists without an organization rule are open to every organization: one row per word
+    wants = _either(*[F.col(f"has_{i}") for i in range(len(ORG_RULES))])
+    free = words.select("word", F.col("all").bitwiseAND(F.bitwise_not(wants)).alias("lists"), "any_role", "wanted", "statuses").where("lists <> 0")
+    free = free.agg(F.collect_list(F.struct(*free.columns)).alias("open")).scalar()
+    found = salted_join(who.unionByName(alone), scopes, ["org_id"], "record_id", 16, "left")
+    found = found.withColumn("open", free).select("record_type", "record_id", "status", "held", F.explode(F.concat(F.coalesce("scope", F.slice("open", 1, 0)), "open")).alias("e"))
+    mask = lambda column, key: F.coalesce(F.try_element_at(F.col(f"e.{column}"), key), F.lit(0))
+    role = F.aggregate("held", F.lit(0).cast("bigint"), lambda acc, r: acc.bitwiseOR(mask("wanted", r)))
+    person = F.col("record_type") == "person"
+    bits = F.col("e.lists").bitwiseAND(
+        F.when(person, F.col("e.any_role").bitwiseOR(role).bitwiseAND(mask("statuses", F.col("status")))).otherwise(role)
     )
-    by_org = salted_join(who, scope, ["org_id"], "person_id", salts=16).where(F.array_contains(F.col("statuses"), F.col("status")))
-    by_status = salted_join(who, open_lists, ["status"], "person_id")
-    cols = ["list_id", "person_id", "held", "wanted"]
-    filtered = by_org.select(*cols).unionByName(by_status.select(*cols)).where(
-        (F.size("wanted") == 0) | F.arrays_overlap("held", "wanted")
-    ).select("list_id", "person_id")
-
-    alone = active_roles.where("person_id IS NULL").select("head_id", "org_id", F.col("role_category").alias("role"))
-    scoped_heads = alone.join(scope, "org_id").where(F.array_contains("wanted", "ADMINISTRATIVE_HEAD")).select("list_id", "head_id")
-    # lists without organization rules take every standalone holder of the role
-    open_wanted = lists.where("n_org_types = 0").select("list_id", F.explode("wanted").alias("role"))
-    open_heads = salted_join(alone, open_wanted, ["role"], "head_id").select("list_id", "head_id")
-
-    out = typed("EXCLUDE_EMPLOYEE", "person_id")
-    into = typed("INCLUDE_EMPLOYEE", "person_id").join(people.select("person_id"), "person_id", "left_semi").select("list_id", "person_id")
-    final = filtered.unionByName(into).distinct().join(out, ["list_id", "person_id"], "left_anti")
-    return final.select("list_id", F.lit("person").alias("record_type"), F.col("person_id").alias("record_id")).unionByName(
-        scoped_heads.unionByName(open_heads).select("list_id", F.lit("role").alias("record_type"), F.col("head_id").alias("record_id"))
+    found = found.select("record_type", "record_id", F.col("e.word").alias("word"), bits.alias("bits")).where("bits <> 0")
+    place = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1)
+    found = found.select("record_type", "record_id", "word", F.explode(place).alias("place"))
+    found = found.withColumn("number", F.col("word") * WORD + F.col("place")).join(lists.select("list_id", "number"), "number").select("list_id", "record_type", "record_id", F.lit(1).alias("_how"))
+
+    # manual changes: excluded wins, then included
+    manual = rules.where(F.col("filter_type").isin("INCLUDE_EMPLOYEE", "EXCLUDE_EMPLOYEE") & F.col("person_id").isNotNull())
+    manual = manual.join(people.select("person_id"), "person_id", "left_semi").select(
+        "list_id", F.lit("person").alias("record_type"), F.col("person_id").alias("record_id"), F.when(F.col("filter_type") == "INCLUDE_EMPLOYEE", 1).otherwise(2).alias("_how")
     )
+    both = found.unionByName(manual).groupBy("list_id", "record_type", "record_id").agg(F.max("_how").alias("_how"))
+    return both.where("_how = 1").drop("_how")
 
 
 def dedupe_addresses(df: DataFrame, email: str, order: str, by: Sequence[str] = ()) -> DataFrame:

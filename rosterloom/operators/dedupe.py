@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
+from rosterloom.functions.contain import too_short
 from rosterloom.functions.joins import join_on
 from rosterloom.functions.rules import Rule, first_match
 from rosterloom.functions.similar import nearest
@@ -113,12 +114,14 @@ def apply_merge(parents: DataFrame, children: DataFrame, merges: DataFrame, key:
 
 
 def backfill(
-    a: DataFrame, b: DataFrame, block: str, name: str, title: str, fields: Sequence[str], a_id: str, b_id: str, threshold: float = 0.82
+    a: DataFrame, b: DataFrame, block: str, name: str, title: str, fields: Sequence[str], a_id: str, b_id: str, threshold: float = 0.82,
+    min_length: int = 4, blocks: bool = False,
 ) -> DataFrame:
     """Values for blanks of ``a`` from a duplicate in ``b`` of the same block.
 
     HIGH only for one exact namesake without a title conflict; several, conflicting
-    or merely similar names need review.
+    or merely similar names (by edits, or by longest matching ``blocks``) need review.  Names under ``min_length``
+    are not compared: ``short_names`` returns those without an exact namesake.
     """
     key = tx.match_key(F.col(name), "person")
     blank_any = reduce(lambda x, y: x | y, [tx.is_blank(F.col(f)) for f in fields])
@@ -131,9 +134,9 @@ def backfill(
         F.max(F.nullif(tx.folded(F.col(title)), F.lit(""))).alias("_t_hi"),
     )
     exact = join_on(need, donors, [block, "_k"]).withColumn("is_exact", F.lit(True))
-    rest = join_on(need, donors, [block, "_k"], "left_anti").where(F.length("_k") >= 4)
+    rest = join_on(need, donors, [block, "_k"], "left_anti").where(F.length("_k") >= min_length)
     in_block = F.struct(block).alias(block)  # a struct of null equals another one
-    close = nearest(rest.select(in_block, "_k"), "_k", have.select(in_block, "_k"), "_k", [block], threshold)
+    close = nearest(rest.select(in_block, "_k"), "_k", have.select(in_block, "_k"), "_k", [block], threshold, blocks)
     close = close.select(f"{block}.{block}", F.col("a_name").alias("_k"), F.col("b_name").alias("_bk"))
     fuzzy = join_on(join_on(rest, close, [block, "_k"]), donors.withColumnRenamed("_k", "_bk"), [block, "_bk"]).withColumn("is_exact", F.lit(False)).drop("_bk")
     both = exact.unionByName(fuzzy)
@@ -154,6 +157,17 @@ def backfill(
     )
 
 
+def short_names(
+    a: DataFrame, b: DataFrame, block: str, name: str, fields: Sequence[str], a_id: str, min_length: int = 4
+) -> DataFrame:
+    """The rows of ``a`` with blanks that ``backfill`` leaves out: no exact namesake, and a name too short to compare."""
+    key = tx.match_key(F.col(name), "person")
+    blank_any = reduce(lambda x, y: x | y, [tx.is_blank(F.col(f)) for f in fields])
+    need = too_short(a.where(blank_any).withColumn("_k", key), F.col("_k"), min_length)
+    exact = b.select(block, key.alias("_k")).distinct()
+    return join_on(need, exact, [block, "_k"], "left_anti").select(a_id, block, name, "status")
+
+
 def relabel_by_signal(df: DataFrame, key: str, id_col: str, label: str, rules: Sequence[Rule]) -> DataFrame:
     """Rows sharing a label that an evidence column tells apart: proposed labels."""
     groups = dup_keys(df.select(key), [key])

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from datetime import datetime
 from itertools import count
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterloom.functions.joins import join_on
 from rosterloom.functions.skew import carry
+from rosterloom.sources import commit
 
 from .stats import STATUSES
 
@@ -93,30 +94,32 @@ def publish_snapshot(rows: DataFrame, path: str, version: str) -> DataFrame:
 
 VERSION_RECORD = "version string, year int, month int, remarks string, generated_by bigint, generated_at timestamp, n_rows bigint, n_orgs bigint, status string"
 AUDIT_RECORD = "record string, action string, field string, old_value string, new_value string, reason string, actor bigint, at timestamp"
+VERSION_MANIFEST = f"rows string, record struct<{VERSION_RECORD}>, audit struct<{AUDIT_RECORD}>"
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An append-only table; empty before the first record."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
-def _append(spark: SparkSession, path: str, schema: str, record: Sequence) -> None:
-    spark.createDataFrame([tuple(record)], schema).coalesce(1).write.mode("append").parquet(path)
+def _fields(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 def version_records(spark: SparkSession, path: str) -> DataFrame:
     """The latest record of every version: a deleted version keeps its number and its record."""
-    stored = _stored(spark, f"{path}/versions", VERSION_RECORD)
+    stored = commit.manifests(spark, path, VERSION_MANIFEST).select("record.*")
     deleted = stored.where("status = 'DELETED'").select("version", F.lit(True).alias("_gone")).distinct()
     status = F.when(F.col("_gone"), "DELETED").otherwise(F.col("status"))
     return stored.where("status <> 'DELETED'").join(deleted, "version", "left").withColumn("status", status).drop("_gone")
 
 
 def version_audit(spark: SparkSession, path: str) -> DataFrame:
-    return _stored(spark, f"{path}/audit", AUDIT_RECORD)
+    return commit.manifests(spark, path, VERSION_MANIFEST).select("audit.*")
+
+
+def version_rows(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """The rows of a published version that is not deleted."""
+    live = version_records(spark, path).where((F.col("version") == version) & (F.col("status") != "DELETED")).select("version")
+    found = commit.manifests(spark, path, VERSION_MANIFEST).where(F.col("rows").isNotNull()).select("rows", "record.version").join(live, "version").head()
+    if found is None:
+        raise ValueError(f"no version {version}")
+    return spark.read.parquet(f"{path}/{found['rows']}")
 
 
 def publish_version(
@@ -125,38 +128,45 @@ def publish_version(
 ) -> str:
     """Publish the rows as the month's version, with a version record and an audit record; returns its number.
 
-    A month that has a version is refused unless ``regenerate`` asks for its next
+    Rows, record and audit become visible by one manifest: a call that stops before leaves no version and blocks no
+    number.  A month that has a version is refused unless ``regenerate`` asks for its next
     revision; no earlier version is touched.  The numbers read are those of one month.
     """
     spark = rows.sparkSession
+    before = commit.latest(spark, path)
     known = {r["version"]: r["status"] for r in version_records(spark, path).where((F.col("year") == year) & (F.col("month") == month)).collect()}
     if not regenerate and any(s != "DELETED" for s in known.values()):
         raise ValueError(f"{year}.{month:02d} has a version; ask for its next revision")
     base = f"{year}.{month:02d}"
     revisions = (base if n == 1 else f"{base}.{n}" for n in count(1))
     version = next(v for v in revisions if v not in known)
-    publish_snapshot(rows, f"{path}/rows", version)
-    sums = spark.read.parquet(f"{path}/rows/version={version}").agg(F.count(F.lit(1)), F.count_distinct("org_name")).head()
-    _append(spark, f"{path}/versions", VERSION_RECORD, (version, year, month, remarks, actor, at, *sums, "GENERATED"))
-    _append(spark, f"{path}/audit", AUDIT_RECORD, (version, "REGENERATE" if regenerate else "GENERATE", "version_number", None, version, remarks, actor, at))
+    staged = commit.stage(rows, path, ["section"])
+    sums = spark.read.parquet(f"{path}/{staged}").agg(F.count(F.lit(1)), F.count_distinct("org_name")).head()
+    when = at.isoformat()
+    record = (version, year, month, remarks, actor, when, *sums, "GENERATED")
+    audit = (version, "REGENERATE" if regenerate else "GENERATE", "version_number", None, version, remarks, actor, when)
+    named = {"record": dict(zip(_fields(VERSION_RECORD), record)), "audit": dict(zip(_fields(AUDIT_RECORD), audit))}
+    commit.publish(spark, path, {"rows": staged, **named}, before)
     return version
 
 
 def delete_version(spark: SparkSession, path: str, version: str, at: datetime, actor: int | None = None) -> None:
     """Mark a version as deleted, with an audit record; its rows stay for the record."""
+    before = commit.latest(spark, path)
     found = version_records(spark, path).where((F.col("version") == version) & (F.col("status") != "DELETED")).head()
     if found is None:
         raise ValueError(f"no version {version}")
-    _append(spark, f"{path}/versions", VERSION_RECORD, (*found[:-1], "DELETED"))
-    _append(spark, f"{path}/audit", AUDIT_RECORD, (version, "DELETE", "version_number", version, None, None, actor, at))
+    record = found.asDict() | {"generated_at": found["generated_at"].isoformat(), "status": "DELETED"}
+    audit = dict(zip(_fields(AUDIT_RECORD), (version, "DELETE", "version_number", version, None, None, actor, at.isoformat())))
+    commit.publish(spark, path, {"record": record, "audit": audit}, before)
 
 
 def snapshot_diff(v1: DataFrame, v2: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Rows added, removed or changed from one version to the next."""
+    """Rows added, removed or changed from one version to the next; null keys are equal."""
     a = v1.select(*keys, F.struct(*cols).alias("_a"))
     b = v2.select(*keys, F.struct(*cols).alias("_b"))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
-    j = a.join(b, list(keys), "full").withColumn("change", change).where(F.col("change").isNotNull())
+    j = join_on(a, b, keys, "full").withColumn("change", change).where(F.col("change").isNotNull())
     pairs = []
     for c in cols:
         pairs += [F.col(f"_a.{c}").alias(f"old_{c}"), F.col(f"_b.{c}").alias(f"new_{c}")]

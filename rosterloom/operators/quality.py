@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
+from rosterloom.session import durable, run_dir
 
 
 def completeness(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -151,21 +152,31 @@ def _row_issues(df: DataFrame, table: str, row: Column, tests: Sequence[tuple[Co
 
 
 def integrity(tables: Mapping[str, tuple[DataFrame, str, str]], fks: Sequence[ForeignKey]) -> DataFrame:
-    """Gate over tables given as name -> (rows, id column, name column)."""
-    parts = []
+    """Gate over tables given as name -> (rows, id column, name column).
+
+    Every table is read twice: once for its ids and how often each occurs, which are kept for the checks of repeated
+    ids and of all references to it, and once for all checks of its rows, in one projection.
+    """
+    parts, ids = [], {}
+    wanted = {(table, key) for table, (_, key, _) in tables.items()} | {(fk.parent, fk.parent_key) for fk in fks}
+    for table, column in sorted(wanted):
+        rows = tables[table][0].where(F.col(column).isNotNull())
+        ids[table, column] = durable(rows.groupBy(F.col(column).alias("_id")).agg(F.count(F.lit(1)).alias("n")))
     for table, (df, key, name) in tables.items():
+        repeated = ids[table, key].where("n > 1")
+        parts.append(_issue(repeated, "duplicate id", table, F.col("_id"), F.concat(F.col("n").cast("string"), F.lit(" rows"))))
         tests = [
             (F.col(key).isNull(), "missing id", F.coalesce(F.col(name), F.lit(""))),
             (tx.is_blank(F.col(name)), "blank name", "name is blank"),
         ]
-        parts.append(_row_issues(df, table, F.col(key), tests))
-        dup = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        parts.append(_issue(dup, "duplicate id", table, F.col(key), F.concat(F.col("n").cast("string"), F.lit(" rows"))))
-    for fk in fks:
-        df, key, _ = tables[fk.table]
-        parent = tables[fk.parent][0].select(F.col(fk.parent_key).alias(fk.column)).distinct()
-        bad = df.where(F.col(fk.column).isNotNull()).join(parent, fk.column, "left_anti")
-        parts.append(_issue(bad, "unknown parent", fk.table, F.col(key), F.concat(F.lit(f"{fk.column}="), F.col(fk.column).cast("string"))))
+        own = [fk for fk in fks if fk.table == table]
+        rows = df.select(*dict.fromkeys([key, name, *[fk.column for fk in own]]))
+        for i, fk in enumerate(own):
+            parent = ids[fk.parent, fk.parent_key].select(F.col("_id").alias(f"_p{i}"))
+            rows = rows.join(parent, F.col(fk.column) == F.col(f"_p{i}"), "left")
+            missing = F.col(fk.column).isNotNull() & F.col(f"_p{i}").isNull()
+            tests.append((missing, "unknown parent", F.concat(F.lit(f"{fk.column}="), F.col(fk.column).cast("string"))))
+        parts.append(_row_issues(rows, table, F.col(key), tests))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -180,18 +191,26 @@ def hierarchy_check(rows: DataFrame, key: str, child: str, parent: str, tree: Da
 
 
 def gate(issues: DataFrame, severity: Mapping[str, str], keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts per check with severity and hidden messages, the first ``keep`` messages per check, one verdict row)."""
+    """(counts per check with severity and hidden messages, the first ``keep`` messages per check, one verdict row).
+
+    All three come from one run: the issues are written once, and the verdict is observed on that write.
+    """
+    spark = issues.sparkSession
     sev = F.lit("WARNING")
     for check, level in severity.items():
         sev = F.when(F.col("check_name") == check, F.lit(level)).otherwise(sev)
-    counts = issues.groupBy("check_name").agg(F.count(F.lit(1)).alias("n_issues")).withColumn("severity", sev)
-    counts = counts.withColumn("n_hidden", F.greatest(F.col("n_issues") - keep, F.lit(0)).cast("bigint"))
+    seen, path = Observation(), run_dir(spark, "gate")
+    graded = issues.withColumn("severity", sev)
+    count = lambda level: F.count_if(F.col("severity") == level)
+    graded.observe(seen, count("ERROR").alias("n_errors"), count("WARNING").alias("n_warnings")).write.parquet(path)
+    graded = spark.read.schema(graded.schema).parquet(path)
+    counts = graded.groupBy("check_name", "severity").agg(F.count(F.lit(1)).alias("n_issues")).select(
+        "check_name", "n_issues", "severity", F.greatest(F.col("n_issues") - keep, F.lit(0)).cast("bigint").alias("n_hidden")
+    )
     first = W.partitionBy("check_name").orderBy("table_name", "row_ref", "message")
-    shown = issues.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= keep)
-    verdict = counts.agg(
-        F.coalesce(F.sum(F.when(F.col("severity") == "ERROR", F.col("n_issues"))), F.lit(0)).alias("n_errors"),
-        F.coalesce(F.sum(F.when(F.col("severity") == "WARNING", F.col("n_issues"))), F.lit(0)).alias("n_warnings"),
-    ).withColumn("passed", F.col("n_errors") == 0)
+    shown = graded.drop("severity").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= keep)
+    found = {n: seen.get.get(n) or 0 for n in ("n_errors", "n_warnings")}
+    verdict = spark.createDataFrame([(found["n_errors"], found["n_warnings"], found["n_errors"] == 0)], "n_errors bigint, n_warnings bigint, passed boolean")
     return counts, shown, verdict
 
 

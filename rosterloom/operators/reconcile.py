@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
-from rosterloom.functions.contain import contained
+from rosterloom.functions.contain import contained, too_short
 from rosterloom.functions.joins import join_on
 from rosterloom.functions.rules import Rule, first_match
-from rosterloom.functions.similar import ratio_pairs, similar_pairs
+from rosterloom.functions.similar import similar_pairs
 from rosterloom.functions.skew import numbered_by_range
 from rosterloom.session import durable
 
@@ -208,13 +208,15 @@ def pair_fuzzy(findings: DataFrame, threshold: float = 0.88, min_length: int = 4
     """Pair remaining Missing and Extra findings of a (station, category) whose
     labels are nearly equal, best first, one partner each.
 
-    Likeness is by edits, or with ``blocks`` by longest matching blocks.
+    Likeness is by edits, or with ``blocks`` by longest matching blocks.  Labels under
+    ``min_length`` take no part: ``short_findings`` returns them.
     """
     block = ["station", "category"]
-    f = findings.withColumn("_k", tx.match_key(F.col("name"))).where(F.length("_k") >= min_length)
+    f = findings.select("finding_id", *block, "issue", tx.match_key(F.col("name")).alias("_k")).where(F.length("_k") >= min_length)
+    f = durable(f)  # slim, read by every step below
     missing = f.where("issue = 'Missing'").withColumnRenamed("finding_id", "missing_id")
     extra = f.where("issue = 'Extra'").withColumnRenamed("finding_id", "extra_id")
-    edges = (ratio_pairs if blocks else similar_pairs)(missing, "_k", extra, "_k", block, threshold)
+    edges = similar_pairs(missing, "_k", extra, "_k", block, threshold, blocks)
     edges = edges.select(*block, "a_name", "b_name", pairing.score_of(F.col("similarity")).alias("score"))
     assigned = pairing.assign_names(
         edges, block, pairing.name_counts(missing, block, "_k"), pairing.name_counts(extra, block, "_k")
@@ -223,6 +225,11 @@ def pair_fuzzy(findings: DataFrame, threshold: float = 0.88, min_length: int = 4
     return pairs.select("missing_id", "extra_id", F.round(1 - F.col("score"), 4).alias("similarity"))
 
 
+def short_findings(findings: DataFrame, min_length: int = 4) -> DataFrame:
+    """The findings that ``pair_fuzzy`` leaves out because their label is too short to compare."""
+    return too_short(findings, tx.match_key(F.col("name")), min_length).select("finding_id", "station", "category", "issue", "name", "status")
+
+
 def format_only(diff: DataFrame, a: str, b: str) -> DataFrame:
     """Add ``format_only``: the two phone texts share a canonical number."""
     numbers = lambda c: F.array_compact(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.functions.contain import MIN_LENGTH, contained, terms_in_texts
+from rosterloom.functions.contain import MIN_LENGTH, contained, terms_in_texts, too_short
 from rosterloom.functions.similar import nearest
 from rosterloom.functions.skew import carry
 from rosterloom.session import durable
@@ -205,11 +205,11 @@ def pair_occurrences(a: DataFrame, b: DataFrame, key: str, title: str, a_id: str
 
 
 def fuzzy_candidates(
-    a: DataFrame, a_id: str, b: DataFrame, b_id: str, name: str, block: str, threshold: float = 0.82
+    a: DataFrame, a_id: str, b: DataFrame, b_id: str, name: str, block: str, threshold: float = 0.82, blocks: bool = False
 ) -> DataFrame:
-    """Most similar name of ``b`` in the same block for each row of ``a``."""
+    """Most similar name of ``b`` in the same block for each row of ``a``, by edits or by longest matching ``blocks``."""
     best = nearest(
-        a.withColumn("_k", folded(F.col(name))), "_k", b.withColumn("_k", folded(F.col(name))), "_k", [block], threshold
+        a.withColumn("_k", folded(F.col(name))), "_k", b.withColumn("_k", folded(F.col(name))), "_k", [block], threshold, blocks
     )
     ids = b.withColumn("b_name", folded(F.col(name))).groupBy(block, "b_name").agg(F.min(b_id).alias(b_id))
     return (
@@ -220,6 +220,11 @@ def fuzzy_candidates(
     )
 
 
+def short_names(df: DataFrame, name: str, min_length: int = MIN_LENGTH) -> DataFrame:
+    """Distinct names that the containment joins leave out because they are too short."""
+    return too_short(df.select(name).distinct(), F.col(name), min_length)
+
+
 def containment_pairs(df: DataFrame, name: str, min_length: int = MIN_LENGTH) -> DataFrame:
     """Pairs of distinct names where one contains the other; the longer is kept."""
     other = df.select(F.col(name).alias("drop_name"))

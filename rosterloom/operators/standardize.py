@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
@@ -18,15 +18,17 @@ from rosterloom.functions.rules import Rule, first_match
 
 @dataclass(frozen=True)
 class Standardized:
+    """``marked`` are the rows with ``changed``, the names of their changed columns; ``tagged`` holds rows and log of one projection."""
+
     rows: DataFrame
     log: DataFrame
     counts: DataFrame
+    marked: DataFrame | None = None
+    tagged: DataFrame | None = None
 
 
-def change_log(
-    df: DataFrame, key: str, changes: Sequence[tuple[str, Column, Column, Column | str]]
-) -> DataFrame:
-    """Long rows (key, field, old_value, new_value, reason) of cells that changed."""
+def _changes(changes: Sequence[tuple[str, Column, Column, Column | str]]) -> Column:
+    """The changed cells of a row, as an array of (field, old_value, new_value, reason)."""
     cells = [
         F.when(
             ~old.eqNullSafe(new),
@@ -39,7 +41,14 @@ def change_log(
         )
         for name, old, new, why in changes
     ]
-    return df.select(key, F.inline(F.array_compact(F.array(*cells))))
+    return F.array_compact(F.array(*cells))
+
+
+def change_log(
+    df: DataFrame, key: str, changes: Sequence[tuple[str, Column, Column, Column | str]]
+) -> DataFrame:
+    """Long rows (key, field, old_value, new_value, reason) of cells that changed."""
+    return df.select(key, F.inline(_changes(changes)))
 
 
 def standardize(
@@ -49,9 +58,33 @@ def standardize(
     why = {c: reason if isinstance(reason, str) else reason[c] for c in new}
     # the new value is a column of its own, so each test reads it instead of computing it
     both = df.withColumns({f"_new_{c}": e for c, e in new.items()})
-    rows = both.select(*[F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in df.columns])
-    log = change_log(both, key, [(c, F.col(c), F.col(f"_new_{c}"), why[c]) for c in new])
+    now = [F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in df.columns]
+    changes = [(c, F.col(c), F.col(f"_new_{c}"), why[c]) for c in new]
+    rows, log = both.select(*now), change_log(both, key, changes)
     counts = log.groupBy("field", "reason").agg(F.count(F.lit(1)).alias("n_changes"))
+    changed = F.array_compact(F.array(*[F.when(~old.eqNullSafe(value), F.lit(c)) for c, old, value, _ in changes]))
+    # the row itself, then each of its changes
+    row = F.struct(*now)
+    cells = F.transform(_changes(changes), lambda x: F.struct(F.lit("log").alias("kind"), F.when(F.lit(False), row).alias("row"), x.alias("change")))
+    itself = F.array(F.struct(F.lit("rows").alias("kind"), row.alias("row"), F.when(F.lit(False), _changes(changes)[0]).alias("change")))
+    tagged = both.select(F.col(key).alias("_key"), F.inline(F.concat(itself, cells)))
+    return Standardized(rows, log, counts, both.select(*now, changed.alias("changed")), tagged)
+
+
+def land(done: Standardized, key: str, path: str) -> Standardized:
+    """Write rows and log in one pass over the source, and read them back.
+
+    One projection makes both, written partitioned by kind.  The numbers of rows and of changes are observed on the
+    write: ``counts`` has them as one row, and nothing is read again for them.
+    """
+    spark, seen = done.rows.sparkSession, Observation()
+    number = lambda kind: F.count_if(F.col("kind") == kind)
+    watched = done.tagged.observe(seen, number("rows").alias("n_rows"), number("log").alias("n_changes"))
+    watched.write.mode("errorifexists").partitionBy("kind").parquet(path)
+    stored = spark.read.schema(done.tagged.schema).parquet(path)
+    rows = stored.where("kind = 'rows'").select("row.*")
+    log = stored.where("kind = 'log'").select(F.col("_key").alias(key), "change.*")
+    counts = spark.createDataFrame([(seen.get.get("n_rows") or 0, seen.get.get("n_changes") or 0)], "n_rows bigint, n_changes bigint")
     return Standardized(rows, log, counts)
 
 

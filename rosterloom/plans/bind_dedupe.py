@@ -132,6 +132,22 @@ def f9(t):
     return dd.backfill(a, b, "org_id", "person_name", "title", ["mobile", "office"], "person_id", "dup_id")
 
 
+SHORT_A = """SELECT person_id, CASE WHEN person_id % 17 <> 0 THEN org_id END AS org_id, CASE WHEN person_id % 5 = 0 THEN 'Mr. ' || substr(person_name, 10, 9) WHEN person_id % 3 = 0 THEN 'Dr. ' || right(person_name, 2) ELSE person_name END AS person_name,
+    CASE WHEN dept = 'BUILDING' THEN NULL ELSE mobile END AS mobile FROM {person}"""
+SHORT_B = """SELECT person_id AS dup_id, CASE WHEN person_id % 17 <> 0 THEN org_id END AS org_id, right(person_name, 2) AS person_name FROM {person} WHERE person_id % 2 = 0"""
+
+
+@query(
+    "f9_short_names",
+    f"""WITH a AS (SELECT *, {PKEY} AS k FROM ({SHORT_A})), b AS (SELECT org_id, {PKEY} AS k FROM ({SHORT_B}))
+        SELECT person_id, org_id, person_name, 'too short' AS status FROM a WHERE trim(COALESCE(mobile, '')) = '' AND length(k) BETWEEN 1 AND 3
+          AND NOT EXISTS (SELECT 1 FROM b WHERE b.org_id IS NOT DISTINCT FROM a.org_id AND b.k = a.k)""",
+)
+def f9_short(t):
+    a, b = t.spark.sql(SHORT_A, person=t.person), t.spark.sql(SHORT_B, person=t.person)
+    return dd.short_names(a, b, "org_id", "person_name", ["mobile"], "person_id")
+
+
 SIGNALS = [
     Rule("Control desk", "email", contains=("@economy", "@medium")),
     Rule("Yard desk", "email", contains=("@promo", "@large")),

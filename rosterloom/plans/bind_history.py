@@ -115,18 +115,29 @@ def m12_audit(t):
     return hs.version_audit(t.spark, _versions(t)).select("record", "action", "old_value", "new_value", "actor")
 
 
-V1 = "SELECT request_id, person_id, status, new_value FROM {request} WHERE field_name <> 'address'"
-V2 = "SELECT request_id, person_id, CASE WHEN person_id < 100 THEN 'CLOSED' ELSE status END AS status, new_value FROM {request} WHERE status <> 'REJECTED'"
+@query(
+    "m12_version_rows",
+    f"SELECT section, org_name, count(*) AS n_rows FROM ({DIRECTORY_SQL}) WHERE org_name <> 'NATION_3' GROUP BY 1, 2",
+)
+def m12_rows(t):
+    rows = hs.version_rows(t.spark, _versions(t), "2024.05.2")
+    return rows.groupBy("section", "org_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+V0 = "SELECT CASE WHEN request_id % 50 <> 7 THEN request_id END AS request_id, CASE WHEN request_id % 50 = 7 THEN new_value || CAST(request_id AS STRING) END AS part, person_id, status, new_value, field_name FROM {request}"
+V1 = f"SELECT request_id, part, person_id, status, new_value FROM ({V0}) WHERE field_name <> 'address'"
+V2 = f"SELECT request_id, part, person_id, CASE WHEN person_id < 100 THEN 'CLOSED' ELSE status END AS status, new_value FROM ({V0}) WHERE status <> 'REJECTED'"
 
 
 @query(
     "m13_snapshot_diff",
-    f"""SELECT COALESCE(a.request_id, b.request_id) AS request_id, CASE WHEN a.request_id IS NULL THEN 'added' WHEN b.request_id IS NULL THEN 'removed' ELSE 'changed' END AS change, a.status AS old_status, b.status AS new_status, a.new_value AS old_new_value, b.new_value AS new_new_value
-        FROM ({V1}) a FULL JOIN ({V2}) b ON a.request_id = b.request_id WHERE a.request_id IS NULL OR b.request_id IS NULL OR a.status IS DISTINCT FROM b.status OR a.new_value IS DISTINCT FROM b.new_value""",
+    f"""SELECT COALESCE(a.request_id, b.request_id) AS request_id, COALESCE(a.part, b.part) AS part, CASE WHEN a.person_id IS NULL THEN 'added' WHEN b.person_id IS NULL THEN 'removed' ELSE 'changed' END AS change, a.status AS old_status, b.status AS new_status, a.new_value AS old_new_value, b.new_value AS new_new_value
+        FROM ({V1}) a FULL JOIN ({V2}) b ON a.request_id IS NOT DISTINCT FROM b.request_id AND a.part IS NOT DISTINCT FROM b.part
+        WHERE a.person_id IS NULL OR b.person_id IS NULL OR a.status IS DISTINCT FROM b.status OR a.new_value IS DISTINCT FROM b.new_value""",
 )
 def m13(t):
     v1, v2 = t.spark.sql(V1, request=t.request), t.spark.sql(V2, request=t.request)
-    return hs.snapshot_diff(v1, v2, ["request_id"], ["status", "new_value"])
+    return hs.snapshot_diff(v1, v2, ["request_id", "part"], ["status", "new_value"])
 
 
 @query("m14_audit_counts", "SELECT user_id, action, count(*) AS n_changes, CAST(min(ts) AS VARCHAR) AS first_at, CAST(max(ts) AS VARCHAR) AS last_at FROM {audit} GROUP BY 1, 2")

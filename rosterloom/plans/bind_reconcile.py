@@ -6,7 +6,7 @@ from rosterloom.functions import text as tx
 from rosterloom.functions.rules import Rule
 from rosterloom.operators import reconcile as rc
 
-from .tables import query
+from .tables import RATIOS_SQL, query
 
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 FOLD = "lower(trim(regexp_replace(COALESCE(%s, ''), '\\s+', ' ', 'g')))"
@@ -224,6 +224,30 @@ def e9(t):
     return rc.pair_fuzzy(t.spark.sql(NEAR, part=t.part))
 
 
+@query(
+    "e9_pair_blocks",
+    f"""WITH RECURSIVE f AS (SELECT finding_id AS id, issue, station || '|' || category AS blk, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS name FROM ({NEAR})),
+    am AS (SELECT * FROM f WHERE issue = 'Missing' AND length(name) >= 4), be AS (SELECT * FROM f WHERE issue = 'Extra' AND length(name) >= 4),
+    pairs AS (SELECT DISTINCT am.name AS a_name, be.name AS b_name FROM am JOIN be ON be.blk = am.blk WHERE levenshtein(am.name, be.name) <= (1 - 0.9) * (length(am.name) + length(be.name)) + 1),
+    {RATIOS_SQL}, ed AS (SELECT DISTINCT am.blk, a_name, b_name, 1 - ratio AS score FROM ratios JOIN am ON am.name = a_name JOIN be ON be.name = b_name AND be.blk = am.blk WHERE ratio >= 0.9),
+    {GREEDY_SQL} SELECT missing_id, extra_id, round(1 - score, 4) AS similarity FROM pr""",
+)
+def e9_blocks(t):
+    return rc.pair_fuzzy(t.spark.sql(NEAR, part=t.part), 0.9, blocks=True)
+
+
+SHORT = """SELECT CAST(p_partkey AS BIGINT) AS finding_id, p_brand AS station, 'Control Room' AS category, CASE WHEN p_size < 25 THEN 'Missing' ELSE 'Extra' END AS issue,
+    CASE WHEN p_size % 5 = 0 THEN ' ' || substr(p_name, 1, 1 + CAST(p_size % 4 AS INT)) || '-' WHEN p_size % 7 = 0 THEN '--' ELSE p_name END AS name FROM {part}"""
+
+
+@query(
+    "e9_short_findings",
+    f"""SELECT finding_id, station, category, issue, name, 'too short' AS status FROM ({SHORT.replace('{part}', 'part')}) WHERE length(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))) BETWEEN 1 AND 3""",
+)
+def e9_short(t):
+    return rc.short_findings(t.spark.sql(SHORT, part=t.part))
+
+
 FORMATS = """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN '+91 ' || CAST(9810000000 + o_custkey AS STRING) ELSE CAST(9810000000 + o_custkey AS STRING) || ' / 22' END AS a_phone,
     CASE o_orderstatus WHEN 'O' THEN '0' || CAST(9810000000 + o_custkey AS STRING) WHEN 'F' THEN CAST(9820000000 + o_custkey AS STRING) || ', 022' ELSE '' END AS b_phone FROM {orders}"""
 

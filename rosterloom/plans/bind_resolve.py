@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rosterloom.functions import text as tx
 from rosterloom.operators import resolve as rs
 
-from .tables import query
+from .tables import RATIOS_SQL, query
 
 STRIP = r"""lower(trim(regexp_replace(CASE WHEN starts_with(raw_label, 'M/s ') THEN substr(raw_label, 5) ELSE raw_label END, '^[0-9]+(\.[0-9]+)*\.?\s*', '')))"""
 
@@ -227,6 +227,30 @@ def d12(t):
     )
 
 
+@query(
+    "d12_fuzzy_blocks",
+    f"""WITH RECURSIVE a AS (SELECT person_id, org_id, lower(person_name) AS a_name FROM ({FUZZY_A})), b AS (SELECT person_id AS match_id, org_id, lower(person_name) AS b_name FROM {{person}}),
+        near AS (SELECT DISTINCT org_id, a_name, b_name FROM a JOIN b USING (org_id)), pairs AS (SELECT DISTINCT a_name, b_name FROM near WHERE levenshtein(a_name, b_name) <= (1 - 0.9) * (length(a_name) + length(b_name)) + 1),
+        {RATIOS_SQL}
+        SELECT person_id, org_id, a_name, match_id, b_name, round(ratio, 4) AS similarity FROM (SELECT a.*, match_id, b.b_name, ratio, row_number() OVER (PARTITION BY person_id ORDER BY ratio DESC, b.b_name, match_id) AS rn
+          FROM a JOIN b USING (org_id) JOIN ratios r ON r.a_name = a.a_name AND r.b_name = b.b_name WHERE ratio >= 0.9) WHERE rn = 1""",
+)
+def d12_blocks(t):
+    a = t.spark.sql(FUZZY_A, person=t.person)
+    b = t.person.selectExpr("person_id AS match_id", "org_id", "person_name")
+    return rs.fuzzy_candidates(a, "person_id", b, "match_id", "person_name", "org_id", 0.9, blocks=True).withColumn(
+        "similarity", F.round("similarity", 4)
+    )
+
+
+SHORT_NAMES = "SELECT substr(lower(person_name), 7, 1 + CAST(person_id % 6 AS INT)) AS name FROM {person} UNION ALL SELECT substr(lower(n_name), 1, CAST(n_nationkey % 7 AS INT)) FROM {nation}"
+
+
+@query("d13_short_names", f"SELECT DISTINCT name, 'too short' AS status FROM ({SHORT_NAMES.replace('{nation}', 'nation')}) WHERE length(name) BETWEEN 1 AND 3")
+def d13_short(t):
+    return rs.short_names(t.spark.sql(SHORT_NAMES, person=t.person, nation=t.nation), "name")
+
+
 @query(
     "d13_containment_pairs",
     """WITH n AS (SELECT DISTINCT 'unit ' || CAST(person_id AS STRING) AS name FROM {person} UNION SELECT lower(n_name) FROM nation)

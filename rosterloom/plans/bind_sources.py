@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions.text import is_blank
 from rosterloom.session import run_dir
-from rosterloom.sources import roster, sinks
+from rosterloom.sources import commit, roster, sinks
 
 from .tables import query
 
@@ -162,6 +162,34 @@ def a8_table(t):
     return t.spark.read.parquet(path)
 
 
+OWNED = "person_id bigint, person_name string, dept string, title string, email string"
+
+
+def _committed(t):
+    """Two loads with one commit each: everybody, then the people of two departments anew."""
+    path = run_dir(t.spark, "committed")
+    cols = ["person_id", "person_name", "dept", "title", "email"]
+    commit.replace_owners(t.person.select(*cols), path, "dept", sinks.run_record(t.person.where("false"), t.person, "person_id", ["title", "email"], "people"))
+    new = t.person.where("dept IN ('BUILDING', 'HOUSEHOLD')").select(*cols).withColumn("title", F.upper("title"))
+    commit.replace_owners(new, path, "dept", sinks.run_record(t.person, new, "person_id", ["title", "email"], "people again"))
+    return path
+
+
+@query("a7_commit", "SELECT person_id, person_name, dept, CASE WHEN dept IN ('BUILDING', 'HOUSEHOLD') THEN upper(title) ELSE title END AS title, email FROM {person}")
+def a7_commit(t):
+    return commit.read_owners(t.spark, _committed(t), OWNED)
+
+
+@query(
+    "a8_committed_runs",
+    """SELECT CAST(1 AS BIGINT) AS number, 'people' AS run_name, count(*) AS inserted, CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS skipped, 'APPLIED' AS status FROM {person}
+       UNION ALL SELECT 2, 'people again', 0, count_if(title IS DISTINCT FROM upper(title)), count_if(title IS NOT DISTINCT FROM upper(title)), CASE WHEN count_if(title IS DISTINCT FROM upper(title)) > 0 THEN 'APPLIED' ELSE 'NO CHANGE' END
+       FROM {person} WHERE dept IN ('BUILDING', 'HOUSEHOLD')""",
+)
+def a8_committed(t):
+    return commit.runs(t.spark, _committed(t))
+
+
 DIM_SQL = "SELECT min(place_id) AS dim_id, station || ' ' || label AS name FROM {place} WHERE category = 'Switchyard' GROUP BY 2"
 
 
@@ -177,14 +205,17 @@ def a9(t):
     return sinks.upsert_dim(dim, named.select("name"), "dim_id", "name")
 
 
+KEYED = "SELECT category, CASE WHEN place_id % 7 <> 0 THEN label END AS label, CASE WHEN place_id % 11 <> 0 THEN station END AS station, place_id FROM {place}"
+
+
 @query(
     "a10_insert_new",
-    """SELECT label, station, place_id FROM (SELECT *, row_number() OVER (PARTITION BY label, station ORDER BY place_id) rn FROM {place}) s
-       WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM {place} p WHERE p.category = 'Hotline' AND p.label = s.label AND p.station = s.station)""",
+    f"""WITH k AS ({KEYED}) SELECT label, station, place_id FROM (SELECT *, row_number() OVER (PARTITION BY label, station ORDER BY place_id) rn FROM k) s
+       WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM k p WHERE p.category = 'Hotline' AND p.label IS NOT DISTINCT FROM s.label AND p.station IS NOT DISTINCT FROM s.station)""",
 )
 def a10(t):
-    src = t.place.select("label", "station", "place_id")
-    return sinks.insert_new(t.place.where("category = 'Hotline'"), src, ["label", "station"], "place_id")
+    rows = t.spark.sql(KEYED, place=t.place)
+    return sinks.insert_new(rows.where("category = 'Hotline'"), rows.select("label", "station", "place_id"), ["label", "station"], "place_id")
 
 
 @query(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
 from rosterloom.operators import standardize as st
+from rosterloom.session import run_dir
 from rosterloom.sources.roster import split_lines
 
 from .tables import query
@@ -19,10 +20,21 @@ EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 )
 def b1(t):
     done = st.clean_text(t.documents.select("doc_id", "text"), "doc_id", ["text"])
-    log = done.log.select("doc_id", F.lit(True).alias("is_changed"))
-    return done.rows.join(log, "doc_id", "left").select(
-        "doc_id", F.md5("text").alias("text_md5"), F.coalesce("is_changed", F.lit(False)).alias("is_changed")
-    )
+    return done.marked.select("doc_id", F.md5("text").alias("text_md5"), (F.size("changed") > 0).alias("is_changed"))
+
+
+@query(
+    "b1_landed",
+    f"""WITH c AS (SELECT doc_id, text, {CLEAN % 'text'} AS new FROM documents), n AS (SELECT count(*) AS n_rows, count_if(new <> text) AS n_changes FROM c)
+        SELECT 'rows' AS kind, doc_id, md5(new) AS new_md5, NULL AS old_md5, n_rows, n_changes FROM c, n
+        UNION ALL SELECT 'log', doc_id, md5(new), md5(text), n_rows, n_changes FROM c, n WHERE new <> text""",
+)
+def b1_landed(t):
+    done = st.land(st.clean_text(t.documents.select("doc_id", "text"), "doc_id", ["text"]), "doc_id", run_dir(t.spark, "cleaned"))
+    rows = done.rows.select(F.lit("rows").alias("kind"), "doc_id", F.md5("text").alias("new_md5"), F.lit(None).cast("string").alias("old_md5"))
+    log = done.log.select(F.lit("log").alias("kind"), "doc_id", F.md5("new_value").alias("new_md5"), F.md5("old_value").alias("old_md5"))
+    n = done.counts.head()
+    return rows.unionByName(log).withColumns({"n_rows": F.lit(n.n_rows), "n_changes": F.lit(n.n_changes)})
 
 
 KEY_IN = "'Dr. ' || raw_label || ' & Sons, ' || station"
@@ -181,10 +193,7 @@ def b11(t):
 )
 def b12(t):
     done = st.repair_text(t.documents.select("doc_id", "text"), "doc_id", ["text"])
-    changed = done.log.select("doc_id", F.lit(True).alias("is_changed"))
-    return done.rows.join(changed, "doc_id", "left").select(
-        "doc_id", F.md5("text").alias("text_md5"), F.coalesce("is_changed", F.lit(False)).alias("is_changed")
-    )
+    return done.marked.select("doc_id", F.md5("text").alias("text_md5"), (F.size("changed") > 0).alias("is_changed"))
 
 
 HEADER_RULES = (("name", ("the", "der")), ("phone", ("in",)), ("email", ("on",)), ("address", ("an",)))

@@ -182,3 +182,18 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+# Longest-matching-blocks ratio of pairs (a_name, b_name), as CTEs of a recursive WITH: the longest common run of an open
+# segment, the first in a_name, then in b_name, and what lies left and right of it.
+RATIOS_SQL = """seg(a_name, b_name, al, ah, bl, bh, got) AS (
+      SELECT a_name, b_name, CAST(0 AS BIGINT), length(a_name), CAST(0 AS BIGINT), length(b_name), CAST(0 AS BIGINT) FROM pairs
+      UNION ALL
+      SELECT a_name, b_name, CASE side WHEN 0 THEN al ELSE i + n END, CASE side WHEN 0 THEN i ELSE ah END,
+             CASE side WHEN 0 THEN bl ELSE j + n END, CASE side WHEN 0 THEN j ELSE bh END, CASE side WHEN 0 THEN n ELSE 0 END
+      FROM (SELECT *, bl + instr(substr(b_name, bl + 1, bh - bl), substr(a_name, i + 1, n)) - 1 AS j
+            FROM (SELECT *, n * 1000 - k AS i FROM (SELECT *, (k + 999) // 1000 AS n FROM (
+              SELECT a_name, b_name, al, ah, bl, bh, max(size * 1000 - start) AS k FROM (
+                SELECT seg.*, start, size FROM seg, unnest(range(al, ah)) s(start), unnest(range(1, ah - start + 1)) z(size)
+                WHERE contains(substr(b_name, bl + 1, bh - bl), substr(a_name, start + 1, size))) GROUP BY ALL)))), (VALUES (0), (1)) sides(side)),
+    ratios AS (SELECT a_name, b_name, CAST(2 * sum(got) AS DOUBLE) / (length(a_name) + length(b_name)) AS ratio FROM seg GROUP BY a_name, b_name)"""

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.functions.joins import join_on
 from rosterloom.functions.skew import numbered_by_range
 from rosterloom.functions.text import is_blank
 
@@ -31,7 +32,11 @@ def replace_load(target: DataFrame, new: DataFrame, owned: Column) -> DataFrame:
 
 
 def replace_partitions(new: DataFrame, path: str, owner: str) -> None:
-    """Replace only the owners present in ``new`` in a table partitioned by owner."""
+    """Replace only the owners present in ``new`` in a table partitioned by owner.
+
+    Spark swaps the partitions one after another; where a stopped load must never be seen in part, and a run is to be
+    recorded with its rows, use ``commit.replace_owners``.
+    """
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(owner).parquet(path)
 
 
@@ -70,10 +75,10 @@ def upsert_dim(dim: DataFrame, names: DataFrame, id_col: str, name_col: str) ->
 
 
 def insert_new(target: DataFrame, src: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Source rows whose natural key is not stored yet, the first of each key."""
+    """Source rows whose natural key is not stored yet, the first of each key; nulls in a key are equal."""
     rest = [c for c in src.columns if c not in keys]
     first = src.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r"))
-    return first.join(target.select(*keys).distinct(), list(keys), "left_anti").select(
+    return join_on(first, target.select(*keys).distinct(), keys, "left_anti").select(
         *keys, *[F.col(f"_r.{c}").alias(c) for c in rest]
     )
 

@@ -3,12 +3,14 @@
 import hashlib
 import itertools
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from rosterloom.functions.bloom import filter_of
 from rosterloom.functions.contain import contained, terms_in_texts
-from rosterloom.functions.similar import matcher_ratio, nearest, ratio_pairs, similar_pairs
+from rosterloom.functions.similar import block_ratios, matcher_ratio, nearest, ratio_pairs, similar_pairs
 from rosterloom.operators import pairing
 from rosterloom.operators import reconcile as rc
 from rosterloom.operators import resolve as rs
@@ -74,9 +76,39 @@ def test_nearest_is_the_best(sides, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.82])
+def test_nearest_by_blocks(sides, threshold):
+    a, b, da, db = sides
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    got = {(r.g, r.a_name): (r.b_name, r.similarity) for r in nearest(da, "x", db, "y", ["g"], threshold, blocks=True).collect()}
+    want = {}
+    for g, x in a:
+        best = min(((-ratio(x, y), y) for h, y in b if h == g and ratio(x, y) >= threshold), default=None)
+        if best:
+            want[(g, x)] = (best[1], -best[0])
+    assert got == want and want
+
+
+def test_block_ratios_equal_the_standard_library():
+    rng = random.Random(2)
+    pairs = [("", ""), ("", "a"), ("a" * 30, "a" * 7), ("日本語😀x", "x😀本")]
+    pairs += [tuple("".join(rng.choice("ab c") for _ in range(rng.randrange(30))) for _ in "xy") for _ in range(3000)]
+    pairs += list(itertools.product(noisy_names(3, 40), noisy_names(4, 40)))
+    a, b = zip(*pairs)
+    assert block_ratios(a, b).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+
+
+def test_low_thresholds_are_refused(sides):
+    _, _, da, db = sides
+    for threshold, blocks in ((0.5, False), (0.66, True)):
+        with pytest.raises(ValueError):
+            similar_pairs(da, "x", db, "y", ["g"], threshold, blocks)
+
+
 def test_matcher_ratio(spark):
-    df = spark.createDataFrame([("abcd", "bcde"), ("x", "x")], "a string, b string")
-    assert [r[0] for r in df.select(matcher_ratio("a", "b")).collect()] == [0.75, 1.0]
+    long = ["abc" * 90 + "d", "ab cd" * 60]
+    df = spark.createDataFrame([("abcd", "bcde"), ("x", "x"), tuple(long)], "a string, b string")
+    assert [r[0] for r in df.select(matcher_ratio("a", "b")).collect()] == [0.75, 1.0, SequenceMatcher(None, *long).ratio()]
 
 
 def test_contained(spark):
@@ -86,15 +118,36 @@ def test_contained(spark):
     assert got == {(x, y) for x in names for y in names if y in x and len(y) >= 3}
 
 
-def test_terms_in_texts(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_terms_in_texts(spark, most):
     texts = ["The quick, brown fox", "quicker than a fox - or not", "", "foxes;;run", "Über quick brownies", "no ; ; here", "a,b"]
-    terms = ["quick", "QUICK, brown", "fox - or", "fox", "than a fox - or not", ";;", "brown fox jumps", "ü", " ; ", "r than a f", ", b", "k, b"]
+    terms = ["e", "ow", "nie", "quic", "foxes", "es;;r", "quick", "QUICK, brown", "fox - or", "fox", "than a fox - or not", ";;", "brown fox jumps", "ü", " ; ", "r than a f", ", b", "k, b"]
     dt = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     dq = spark.createDataFrame([(q,) for q in terms], "term string")
-    got = {tuple(r) for r in terms_in_texts(dt, "id", "text", dq, "term").collect()}
+    got = {tuple(r) for r in terms_in_texts(dt, "id", "text", dq, "term", most).collect()}
     assert got == {(i, q) for i, x in enumerate(texts) for q in terms if q.lower() in x.lower()}
 
 
+def test_texts_are_scanned_once_and_not_exchanged(spark):
+    dt = spark.createDataFrame([(i, f"text {i} of many words") for i in range(50)], "id long, text string")
+    terms = spark.createDataFrame([("xt 7",), ("of many words",), ("nothing of it",)], "term string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = terms_in_texts(dt, "id", "text", terms, "term")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 51 and "SortMergeJoin" not in plan.split("Subquery")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bloom_filter(spark):
+    keys = spark.range(500).selectExpr("CAST(id * 7 AS STRING) AS k")
+    bits, test = filter_of(keys, "k", 500)
+    other = spark.range(20000).selectExpr("CAST(id AS STRING) AS v").select("v", bits.alias("f"))
+    passed = {int(r.v) for r in other.where(test(F.col("f"), F.col("v"))).collect()}
+    assert set(range(0, 3500, 7)) <= passed and len(passed) < 500 + 0.02 * 20000
+
+
 def test_match_contains_prefers_close_length(spark, rows):
     d = spark.createDataFrame([(1, "north"), (2, "north yard"), (3, "north yard two"), (4, "abc")], "id long, n string")
     k = spark.createDataFrame([("north yard tw",), ("orth",), ("abcd",), ("zzz",)], "k string")
