@@ -6,18 +6,26 @@ side, and the join is an equi join: the work grows with the names, not with
 their pairs, also when a third of them share a prefix.  Names are made distinct
 before and joined back after.
 
-Long texts are looked up by anchors of the terms, which a Bloom filter tests inside the
-scan of the texts, so only hits leave it.
+Long texts are looked up for many terms inside their scan, so only hits leave it: by an automaton of all terms over Arrow
+batches, or, where the terms are too many to travel, by anchors behind a Bloom filter.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.bloom import filter_of
 from rosterloom.session import durable, spread
 
+# the one Python function travels by value, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MIN_LENGTH = 4
 
 
@@ -46,7 +54,8 @@ def too_short(df: DataFrame, text: Column, min_length: int = MIN_LENGTH) -> Data
 # a text is words and the breaks between them
 BREAKS = r"[^\p{L}\p{N}]+"
 GRAM = 4  # signs of an anchor that is looked for inside words
-BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 32 << 20  # terms that may travel with every task
+TERMS, TERM_SIGNS = 200_000, 4 << 20  # terms, and signs of all of them, that may travel with every task
+SHORT = 2  # terms up to this length are looked for one by one
 
 
 def _longest(words: Column) -> Column:
@@ -68,33 +77,71 @@ def _grams(pieces: Column, lengths: list[int], mark: str) -> Column:
 
 
 def terms_in_texts(
-    texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str, broadcast_terms: int = BROADCAST_TERMS
+    texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str, most: int = TERMS
 ) -> DataFrame:
-    """(``id_col``, ``term_col``) where the text contains the term, ignoring case.
+    """(``id_col``, ``term_col``) where the text contains the term, ignoring case; texts are not cut into substrings.
 
-    Long texts are not cut into substrings.  Every term has an anchor: its longest
-    inner word, which any text containing the term holds as a whole word, or, if it
-    has none, the first signs of its longest word, which such a text holds inside a word.  A term
-    without any word is looked up in the same way among the breaks between words.  A Bloom filter of the anchors is tested
-    in the scan of the texts.
-
-    Terms that are few enough travel with the scan, which then confirms its hits itself: one scan, no exchange of texts.
-    Beyond ``broadcast_terms`` the hits (id, anchor) are joined with the terms, and the texts of the ids found are read in a
-    second scan, again behind a filter.
+    Up to ``most`` terms (and ``TERM_SIGNS`` signs) travel with the tasks, and one scan of the texts finds them all without an
+    exchange.  Beyond, hits of the terms' anchors leave a scan that tests them in a Bloom filter, meet their terms, and
+    a second scan, again behind a filter, reads the texts of the ids found.
     """
     t = terms.select(term_col, F.lower(term_col).alias("_term")).where(F.length(term_col) > 0).distinct()
+    t = durable(t)
+    n, signs = t.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_term")), F.lit(0))).head()
+    if n <= most and signs <= TERM_SIGNS:
+        return _scanned(texts, id_col, text_col, t, term_col)
+    return _anchored(texts, id_col, text_col, t, term_col, n)
+
+
+def _scanned(texts: DataFrame, id_col: str, text_col: str, t: DataFrame, term_col: str) -> DataFrame:
+    """All terms by an Aho-Corasick automaton that every task builds once."""
+    spellings: dict[str, list[str]] = {}
+    for original, term in t.collect():  # bounded by the caller
+        spellings.setdefault(term, []).append(original)
+    sent = t.sparkSession.sparkContext.broadcast(spellings)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        import pyarrow as pa
+
+        terms = sent.value
+        short = [term for term in terms if len(term) <= SHORT]
+        automaton = ahocorasick.Automaton()
+        for term in terms:
+            if len(term) > SHORT:
+                automaton.add_word(term, term)
+        automaton.make_automaton()
+        for rows in batches:
+            at, found = [], []
+            for i, text in enumerate(rows["text"].to_pylist()):
+                if not text:
+                    continue
+                hits = {term for term in short if term in text}
+                if len(automaton):
+                    hits.update(term for _, term in automaton.iter(text))
+                for term in hits:
+                    at += [i] * len(terms[term])
+                    found += terms[term]
+            yield pa.record_batch([rows["id"].take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=["id", "term"])
+
+    kind = dict(texts.dtypes)[id_col]
+    low = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    return low.mapInArrow(scan, f"id {kind}, term string").select(F.col("id").alias(id_col), F.col("term").alias(term_col))
+
+
+def _anchored(texts: DataFrame, id_col: str, text_col: str, t: DataFrame, term_col: str, n: int) -> DataFrame:
+    """Every term has an anchor: its longest inner word, which any text containing the term holds as a whole word, or, if it
+    has none, the first signs of its longest word, which such a text holds inside a word.  A term without any word is looked
+    up in the same way among the breaks between words.
+    """
     words = F.split("_term", BREAKS)
     inner = _longest(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
     t = t.withColumns({"_inner": inner, "_outer": F.substring(_longest(words), 1, GRAM)})
     kind = F.when(F.col("_inner").isNotNull(), "w").when(F.col("_outer").isNotNull(), "g").otherwise("b")
     t = t.select(term_col, "_term", kind.alias("_kind"), F.concat(kind, F.coalesce("_inner", "_outer", F.substring("_term", 1, GRAM))).alias("_key"))
-    t = durable(t)
-    # what occurs, from the small term table: kinds, lengths of anchors, how much there is
-    some = t.groupBy("_kind").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_term")).alias("bytes"), F.collect_set(F.least(F.length("_key"), F.lit(GRAM + 1))).alias("lengths")
-    ).collect()
+    # what occurs, from the term table: kinds and lengths of anchors
+    some = t.groupBy("_kind").agg(F.collect_set(F.least(F.length("_key"), F.lit(GRAM + 1))).alias("lengths")).collect()
     found = {r["_kind"]: sorted(x - 1 for x in r["lengths"]) for r in some}
-    n, size = sum(r["n"] for r in some), sum(r["bytes"] for r in some)
     if not found:
         return texts.select(id_col, F.lit(None).cast("string").alias(term_col)).where(F.lit(False))
     bits, test = filter_of(t.select("_key").distinct(), "_key", n)
@@ -111,15 +158,9 @@ def terms_in_texts(
         breaks = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"({BREAKS})"), F.lit(1)))
         pieces.append(_grams(breaks, found["b"], "b"))
     hits = F.filter(F.array_distinct(F.concat(*pieces)), lambda k: test(F.col("_bits"), k))
-    keep = n <= broadcast_terms and size <= BROADCAST_BYTES
-    hit = base.select(id_col, *(["_text"] if keep else []), F.explode(hits).alias("_key"))
-    if keep:
-        met = hit.join(F.broadcast(t), "_key")
-    else:
-        met = hit.join(t, "_key").select(id_col, term_col, "_term").distinct()
-        met = durable(met)
-        ids = met.select(F.col(id_col).cast("string").alias("_id")).distinct()
-        bits, test = filter_of(ids, "_id", ids.count())
-        whole = texts.select(id_col, low.alias("_text"), bits.alias("_bits")).where(test(F.col("_bits"), F.col(id_col).cast("string")))
-        met = whole.select(id_col, "_text").join(met, id_col)
-    return met.where(F.col("_text").contains(F.col("_term"))).select(id_col, term_col)
+    hit = base.select(id_col, F.explode(hits).alias("_key"))
+    met = durable(hit.join(t, "_key").select(id_col, term_col, "_term").distinct())
+    ids = met.select(F.col(id_col).cast("string").alias("_id")).distinct()
+    bits, test = filter_of(ids, "_id", ids.count())
+    whole = texts.select(id_col, low.alias("_text"), bits.alias("_bits")).where(test(F.col("_bits"), F.col(id_col).cast("string")))
+    return whole.select(id_col, "_text").join(met, id_col).where(F.col("_text").contains(F.col("_term"))).select(id_col, term_col)

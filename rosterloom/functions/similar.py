@@ -109,21 +109,30 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class Measure:
-    """A score with its bounds: the edits a pair whose shorter name has length l may have, and l's least value."""
+    """A score with its bounds: the edits that a pair may have whose shorter name has length l (``edits``) or whose lengths
+    are n and l (``between``), l's least value, and whether two sets of signs (see ``_signature``) allow a pair."""
 
     score: object
     edits: object
+    between: object
     shortest: object
+    allows: object
+
+
+def _only_in(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
 
 
 def by_edits(threshold: float) -> Measure:
-    """t leaves at most (1 - t) of the longer name as edits."""
+    """t leaves at most (1 - t) of the longer name as edits; an edit takes one sign from each set at most."""
     if threshold <= 0.5:
         raise ValueError("a threshold above 0.5 is needed")
     return Measure(
         similarity,
         lambda l: F.floor(l * ((1 - threshold) / threshold) + EPS).cast("int"),
+        lambda n, l: F.floor(n * (1 - threshold) + EPS).cast("int"),
         lambda m: F.ceil(m * threshold - EPS).cast("int"),
+        lambda a, b, la, lb: F.greatest(_only_in(a, b), _only_in(b, a)) <= F.floor(F.greatest(la, lb) * (1 - threshold) + EPS),
     )
 
 
@@ -134,7 +143,9 @@ def by_blocks(threshold: float) -> Measure:
     return Measure(
         matcher_ratio,
         lambda l: F.floor(l * (2 * (1 - threshold) / threshold) + EPS).cast("int"),
+        lambda n, l: F.floor((n + l) * (1 - threshold) + EPS).cast("int"),
         lambda m: F.ceil(m * (threshold / (2 - threshold)) - EPS).cast("int"),
+        lambda a, b, la, lb: _only_in(a, b) + _only_in(b, a) <= F.floor((la + lb) * (1 - threshold) + EPS),
     )
 
 
@@ -142,67 +153,87 @@ def measure(threshold: float, blocks: bool = False) -> Measure:
     return by_blocks(threshold) if blocks else by_edits(threshold)
 
 
-def _piece(l: Column, k: Column, i: Column) -> tuple[Column, Column]:
-    """Start (from 0) and length of piece i of k + 1; the last pieces are one longer if need be."""
-    base = F.floor(l / (k + 1)).cast("int")
-    plain = (k + 1) - F.pmod(l, k + 1)  # pieces without the extra sign
-    return i * base + F.greatest(i - plain, F.lit(0)), base + F.when(i >= plain, 1).otherwise(0)
+def _signature(name: str) -> Column:
+    """A long in which every sign of the name, a repeated one with its number, sets one bit.
 
+    A bit that one name has and another lacks is a sign that only the one has, so the bits in which two names
+    differ never exceed the signs in which they do.
+    """
+    signs = F.split(name, "")
+    nth = F.transform(signs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(signs, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))
+    return F.aggregate(nth, F.lit(0).cast("bigint"), lambda acc, g: acc.bitwiseOR(bit(g)))
 
-def _indexed(names: DataFrame, block: Sequence[str], name: str, m: Measure) -> DataFrame:
-    """(block, name, _l, _i, _p): a name under each of its pieces."""
-    l = F.length(name)
-    k = m.edits(l)
 
-    def entry(i: Column) -> Column:
-        start, length = _piece(l, k, i)
-        return F.struct(l.alias("_l"), i.alias("_i"), F.substring(F.col(name), start + 1, length).alias("_p"))
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Adds ``_i``, ``_start`` (from 0) and ``_size`` of the ``_k`` + 1 pieces of length ``_l``; the last are one longer if need be."""
+    plain = (F.col("_k") + 1) - F.pmod(F.col("_l"), F.col("_k") + 1)  # pieces without the extra sign
+    base = F.floor(F.col("_l") / (F.col("_k") + 1)).cast("int")
+    rows = rows.select("*", base.alias("_base"), plain.alias("_plain"), F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_i"))
+    start = F.col("_i") * F.col("_base") + F.greatest(F.col("_i") - F.col("_plain"), F.lit(0))
+    return rows.withColumns({"_start": start, "_size": F.col("_base") + F.when(F.col("_i") >= F.col("_plain"), 1).otherwise(0)}).drop("_base", "_plain")
 
-    return names.select(*block, name, F.inline(F.transform(F.sequence(F.lit(0), k), entry)))
 
+def _key(block: Sequence[str], side: int, piece: Column) -> Column:
+    """One long for block, side, length, piece number and piece; two that meet by chance fail the score."""
+    return F.xxhash64(*block, F.lit(side), "_l", "_i", piece).alias("_key")
 
-def _asked(names: DataFrame, block: Sequence[str], name: str, m: Measure, shorter: bool) -> DataFrame:
-    """(block, name, _l, _i, _p): the substrings that can be a piece of a partner that is not longer (``shorter``: is shorter)."""
-    n = F.length(name)
-    most = n - 1 if shorter else n
-    least = F.greatest(m.shortest(n), F.lit(1))
 
-    def of_length(l: Column) -> Column:
-        k, gap = m.edits(l), n - l
+def _indexed(names: DataFrame, block: Sequence[str], name: str, m: Measure, side: int) -> DataFrame:
+    """(key, block, _x, _x_sig): a name under each of its pieces."""
+    l = F.length(name)
+    rows = _pieces(names.select(*block, name, "_sig", l.alias("_l"), m.edits(l).alias("_k")))
+    piece = F.substring(F.col(name), F.col("_start") + 1, F.col("_size"))
+    return rows.select(_key(block, side, piece), *[F.col(c).alias(f"_b_{c}") for c in block], F.col(name).alias("_x"), F.col("_sig").alias("_x_sig"), F.lit(side).alias("_s"))
 
-        def of_piece(i: Column) -> Column:
-            start, length = _piece(l, k, i)
-            first = F.greatest(F.lit(0), start - i, start + gap - (k - i))
-            last = F.least(n - length, start + i, start + gap + (k - i))
-            places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda p: F.struct(l.alias("_l"), i.alias("_i"), F.substring(F.col(name), p + 1, length).alias("_p")))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
+def _asked(names: DataFrame, block: Sequence[str], name: str, m: Measure, side: int) -> DataFrame:
+    """(key, block, _y, _y_sig): the substrings that can be a piece of a partner that is not longer (side 0: is shorter).
 
-    lengths = F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
-    return names.select(*block, name, F.inline(F.array_distinct(F.flatten(F.transform(lengths, of_length)))))
+    A pair of these lengths has at most ``e`` edits, fewer perhaps than the shorter name has pieces for, so its last e + 1
+    pieces are enough: names that differ begin alike more often than they end alike.  Piece r of these has moved by at
+    most r edits before it, and by at most e - r after it.
+    """
+    n = F.length(name)
+    rows = names.select(*block, name, "_sig", n.alias("_n"), F.greatest(m.shortest(n), F.lit(1)).alias("_least"), (n - int(side == 0)).alias("_most"))
+    rows = rows.where(F.col("_least") <= F.col("_most")).select("*", F.explode(F.sequence("_least", "_most")).alias("_l"))
+    rows = rows.withColumns({"_k": m.edits(F.col("_l")), "_e": m.between(F.col("_n"), F.col("_l"))})
+    gap = F.col("_n") - F.col("_l")
+    rows = _pieces(rows.where(gap <= F.col("_e"))).withColumn("_r", F.col("_i") - (F.col("_k") - F.least("_k", "_e"))).where("_r >= 0")
+    after = F.least("_k", "_e") - F.col("_r")
+    first = F.greatest(F.lit(0), F.col("_start") - F.col("_r"), F.col("_start") + gap - after)
+    last = F.least(F.col("_n") - F.col("_size"), F.col("_start") + F.col("_r"), F.col("_start") + gap + after)
+    rows = rows.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
+    rows = rows.select(*block, name, "_sig", "_l", "_i", "_size", F.explode(F.sequence("_first", "_last")).alias("_at"))
+    piece = F.substring(F.col(name), F.col("_at") + 1, F.col("_size"))
+    return rows.select(_key(block, side, piece), *block, F.col(name).alias("_y"), F.col("_sig").alias("_y_sig"))
 
 
 def _names(df: DataFrame, block: Sequence[str], col: str, out: str) -> DataFrame:
     # checkpointed: the steps below read the distinct names again
-    return durable(spread(df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct(), *block, out))
+    names = spread(df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct(), *block, out)
+    return durable(names.withColumn("_sig", _signature(out)))
 
 
 def _scored(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float, m: Measure) -> DataFrame:
     """(block, a_name, b_name, similarity) of all pairs at the threshold; a pair comes once per piece it shares."""
-    side = lambda df, who: df.withColumn("_s", F.lit(who))
-    index = side(_indexed(a, block, "a_name", m), 0).withColumnRenamed("a_name", "_x").unionByName(
-        side(_indexed(b, block, "b_name", m), 1).withColumnRenamed("b_name", "_x")
-    )
-    asks = side(_asked(b, block, "b_name", m, True), 0).withColumnRenamed("b_name", "_y").unionByName(
-        side(_asked(a, block, "a_name", m, False), 1).withColumnRenamed("a_name", "_y")
-    )
-    met = index.join(asks, [*block, "_s", "_l", "_i", "_p"])
+    index = _indexed(a, block, "a_name", m, 0).unionByName(_indexed(b, block, "b_name", m, 1))
+    asks = _asked(b, block, "b_name", m, 0).unionByName(_asked(a, block, "a_name", m, 1))
+    # dealt over all tasks: a small input can have many candidates
+    met = spread(index, "_key").join(spread(asks, "_key"), "_key")
+    for c in block:
+        met = met.where(F.col(c) == F.col(f"_b_{c}"))
+    # names that differ in too many signs are left out before anything is computed from both
+    met = met.where(m.allows(F.col("_x_sig"), F.col("_y_sig"), F.length("_x"), F.length("_y")))
     first = F.col("_s") == 0
     pairs = met.select(
         *block, F.when(first, F.col("_x")).otherwise(F.col("_y")).alias("a_name"), F.when(first, F.col("_y")).otherwise(F.col("_x")).alias("b_name")
     )
-    if m.score is not similarity:  # scoring costs more than making the pairs distinct
+    if m.score is similarity:  # within a band about the diagonal first
+        longest = F.greatest(F.length("a_name"), F.length("b_name"))
+        most = F.floor(longest * (1 - threshold) + EPS).cast("int")
+        pairs = pairs.where(F.call_function("levenshtein", F.col("a_name"), F.col("b_name"), most) >= 0)
+    else:  # scoring costs more than making the pairs distinct
         pairs = pairs.distinct()
     return pairs.withColumn("similarity", m.score(F.col("a_name"), F.col("b_name"))).where(F.col("similarity") >= threshold)
 
@@ -259,5 +290,5 @@ def nearest(
         near = durable(_best(near.where(F.col("similarity") >= threshold), block))
         edits = F.levenshtein("a_name", "b_name")
         settled = near.where((edits == 0) | ((edits == 1) & (F.length("a_name") > 2)))
-    left = na.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti")
+    left = durable(na.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti"))
     return _best(near.unionByName(_scored(left, nb, block, threshold, m)), block)

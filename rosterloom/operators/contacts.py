@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text as tx
-from rosterloom.functions.skew import carry, numbered_by_range, salted_join
+from rosterloom.functions.skew import carry, salted_join
 from rosterloom.session import durable
 
 from .standardize import to_contact_rows
@@ -88,8 +88,9 @@ def rule_index(rules: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame,
         F.collect_set(F.when(F.col("filter_type") == "ROLE", F.col("role"))).alias("wanted"),
         *[F.max(F.col("filter_type") == kind).alias(f"has_{i}") for i, kind in enumerate(ORG_RULES)],
     ).withColumn("statuses", F.when(F.size("statuses") == 0, F.array(F.lit("ACTIVE"))).otherwise(F.col("statuses")))
-    lists = numbered_by_range(lists, [], ["list_id"], "number")
-    lists = durable(lists.withColumn("word", F.floor(F.col("number") / WORD)).withColumn("bit", _bit("number")))
+    # numbers without gaps inside a partition, so words are full but for the last of each
+    lists = lists.withColumn("number", F.monotonically_increasing_id())
+    lists = durable(lists.withColumn("word", F.shiftright("number", WORD.bit_length() - 1)).withColumn("bit", _bit("number")))
 
     of = lambda flag: F.coalesce(F.bit_or(F.when(flag, F.col("bit"))), F.lit(0))
     has = [of(F.col(f"has_{i}")).alias(f"has_{i}") for i in range(len(ORG_RULES))]
@@ -157,17 +158,19 @@ def resolve_list(rules: DataFrame, people: DataFrame, orgs: DataFrame, heads: Da
         F.when(person, F.col("e.any_role").bitwiseOR(role).bitwiseAND(mask("statuses", F.col("status")))).otherwise(role)
     )
     found = found.select("record_type", "record_id", F.col("e.word").alias("word"), bits.alias("bits")).where("bits <> 0")
-    place = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1)
-    found = found.select("record_type", "record_id", "word", F.explode(place).alias("place"))
-    found = found.withColumn("number", F.col("word") * WORD + F.col("place")).join(lists.select("list_id", "number"), "number").select("list_id", "record_type", "record_id", F.lit(1).alias("_how"))
+    found = found.select("record_type", "record_id", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))).alias("place"))
+    found = found.where(F.call_function("shiftrightunsigned", F.col("bits"), F.col("place")).bitwiseAND(F.lit(1)) == 1)
+    found = found.withColumn("number", F.col("word") * WORD + F.col("place")).join(lists.select("list_id", "number"), "number")
+    found = found.select("list_id", "record_type", "record_id")
 
-    # manual changes: excluded wins, then included
+    # manual changes: excluded wins, then included, if there is such a person
     manual = rules.where(F.col("filter_type").isin("INCLUDE_EMPLOYEE", "EXCLUDE_EMPLOYEE") & F.col("person_id").isNotNull())
-    manual = manual.join(people.select("person_id"), "person_id", "left_semi").select(
-        "list_id", F.lit("person").alias("record_type"), F.col("person_id").alias("record_id"), F.when(F.col("filter_type") == "INCLUDE_EMPLOYEE", 1).otherwise(2).alias("_how")
+    manual = manual.join(people.select("person_id"), "person_id", "left_semi")
+    manual = manual.groupBy("list_id", F.lit("person").alias("record_type"), F.col("person_id").alias("record_id")).agg(
+        F.max(F.col("filter_type") == "EXCLUDE_EMPLOYEE").alias("excluded")
     )
-    both = found.unionByName(manual).groupBy("list_id", "record_type", "record_id").agg(F.max("_how").alias("_how"))
-    return both.where("_how = 1").drop("_how")
+    both = found.join(manual, ["list_id", "record_type", "record_id"], "full")
+    return both.where(~F.coalesce("excluded", F.lit(False))).drop("excluded")
 
 
 def dedupe_addresses(df: DataFrame, email: str, order: str, by: Sequence[str] = ()) -> DataFrame:
