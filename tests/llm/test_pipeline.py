@@ -61,6 +61,27 @@ def test_mixed_documents(odd, spark):
     assert all(abs(times.get(i, 0) - r["taken"] / r["size"]) <= 0.5 for i, r in plan.items())
 
 
+@pytest.mark.parametrize("few", [mixing.FEW, 3])
+def test_null_and_repeated_ids_meet_the_target(spark, monkeypatch, few):
+    """Sources of rows without ids, of one text, of one id: each is taken within one document of its target."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rows = [(None, "none", "one") for _ in range(900)] + [(None, "texts", prose(i, 3 + i % 5)) for i in range(500)]
+    rows += [(7, "same", prose(i % 3, 4)) for i in range(400)] + [(i, "plain", prose(i, 6)) for i in range(2000)] + [(None, None, None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(5)
+    got = mixing.mix(docs).collect()
+    _, target = brute_mix([(r["doc_id"], r["source"], r["size"]) for r in got])
+    taken, out = {}, {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(taken[s] == int(t + 1e-9) for s, t in target.items())
+    for r in mixing.mixed_documents(docs).collect():
+        out[r["source"]] = out.get(r["source"], 0) + len((r["text"] or "").split())
+    assert all(abs(out.get(s, 0) - t) <= 7 for s, t in target.items())
+    again = mixing.mix(docs.repartition(9)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_block_pairs_meet_once(spark):
     rows = spark.createDataFrame([(b, m) for b, n in ((1, 1), (2, 5), (3, 40)) for m in range(n)], "bucket int, m int")
     met, sizes = {}, []
