@@ -165,7 +165,7 @@ def forest(a, b, matches, labels: list):
 
 
 def shingled(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, n_shingles, cls (digest of the set, null if it is empty), sig."""
+    """Per document: id, text_hash, n_shingles, cls (digest of the set, null if it is empty), sig."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, offsets = multipliers(PLACES)
         for batch in batches:
@@ -176,14 +176,19 @@ def shingled(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     n.append(len(s))
                     cls.append(digest_of(s))
                     sig.append(signature(s, factors, offsets).tobytes() if len(s) else None)
-            yield pa.record_batch([batch["id"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n_shingles", "cls", "sig"])
+            columns = [batch["id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())]
+            yield pa.record_batch(columns, names=["id", "text_hash", "n_shingles", "cls", "sig"])
 
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, cls binary, sig binary")
+    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, n_shingles bigint, cls binary, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(cls, shingles) of the wanted classes, from the text of one document of each."""
+    """(cls, shingles) of the wanted classes, from the text of one document of each.
+
+    It is found by id and hash of the text, so that rows without id, or with an id that repeats, each meet
+    their own class alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -197,8 +202,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.record_batch([pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "shingles"])
 
-    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    rows = texts.join(wanted, texts["id"].eqNullSafe(wanted["first_id"])).select("text", "cls")
+    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = texts.join(wanted, texts["id"].eqNullSafe(wanted["pick.id"]) & (texts["text_hash"] == wanted["pick.text_hash"])).select("text", "cls")
     sets = rows.mapInArrow(run, "cls binary, shingles array<bigint>").where(F.size("shingles") > 0)
     return sets.dropDuplicates(["cls"])
 
@@ -357,13 +362,16 @@ def near_duplicates(
     bands, rows = banding(percent / 100)
     signed = landed(shingled(docs, width, id_col, text_col), "signatures")
     classes = landed(
-        signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig")), "classes"
+        signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(
+            F.min("id").alias("first_id"), F.min(F.struct("id", "text_hash")).alias("pick"), F.first("sig").alias("sig")
+        ),
+        "classes",
     )
     members = landed(buckets(classes, bands, rows), "buckets")
     signatures = classes.select("cls", "sig")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = landed(wanted.join(classes.select("cls", "first_id"), "cls"), "wanted")
+        wanted = landed(wanted.join(classes.select("cls", "pick"), "cls"), "wanted")
         return landed(full_sets(docs, small(wanted), width, id_col, text_col), "sets")
 
     first = grouped(members.withColumn("label", F.col("cls")), True).join(signatures, "cls")
