@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 from itertools import combinations
@@ -8,6 +9,7 @@ from conftest_llm import prose, texts_of
 from pyspark.sql import functions as F
 
 from rosterloom.llm import itq, minhash, simhash
+from rosterloom.llm.common import forget, landed
 from rosterloom.llm.components import components
 from rosterloom.llm.minhash import BATCH, least_matches
 
@@ -73,6 +75,20 @@ def test_minhash_against_brute_force(spark, monkeypatch, block, miss):
     assert found(minhash.near_duplicates(docs, miss=miss)) == brute_components(texts_of(docs))
 
 
+def test_rows_without_ids_join_once(spark):
+    """Classes whose first row has no id are looked up by text as well, so such rows do not all meet each other."""
+    rows = [(None if i % 4 else 5, prose(i // 2, 30) + (" more" if i % 2 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = minhash.shingled(docs, 3, "doc_id", "text").where("cls IS NOT NULL")
+    wanted = signed.groupBy("cls").agg(F.min(F.struct("id", "text_hash")).alias("pick"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    met = texts.join(wanted, texts["id"].eqNullSafe(wanted["pick.id"]) & (texts["text_hash"] == wanted["pick.text_hash"]))
+    assert met.count() <= 2 * len(rows)
+    assert minhash.full_sets(docs, wanted, 3, "doc_id", "text").count() == wanted.count() == 600
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == {None, 5}
+
+
 def test_least_matches_bound_the_miss():
     """The dropping bound is the largest m whose posterior tail is below the miss probability."""
     t, miss = 0.85, 1e-6
@@ -139,6 +155,18 @@ def test_components(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_forget_removes_landed_copies_alone(spark, tmp_path):
+    kept = spark.range(5)
+    kept.write.parquet(f"{tmp_path}/own")
+    own, made = spark.read.parquet(f"{tmp_path}/own"), landed(spark.range(7), "forget-test")
+    assert made.count() == 7
+    folder = made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(folder)
+    forget(made)
+    forget(own)
+    assert not os.path.isdir(folder) and own.count() == 5
+
+
 def vectors(seed=1):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(60, 24))
@@ -184,6 +212,30 @@ def test_embeddings_recall(spark):
     assert all(g <= n for g, n in zip(got, near)) and sum(got) >= 0.9 * near.sum()
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.7, 0.9])
+def test_embeddings_recall_with_a_common_direction(spark, mean):
+    """Pairs just above the threshold, around a mean of this length."""
+    rng = np.random.default_rng(8)
+    away = rng.normal(size=(600, 48))
+    away[:, 0] = 0
+    x = np.sqrt(1 - mean * mean) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    x[:, 0] = mean
+    pairs = [itq.partners_at(x, c, 21) for c in (0.952, 0.96, 0.97)]
+    rows = np.concatenate([x, *pairs])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>").repartition(4)
+    near = (rows @ rows.T >= 0.95).sum(axis=1) - 1
+    got = [r["n_links"] for r in itq.near_vectors(df).orderBy("vec_id").collect()]
+    assert all(g <= n for g, n in zip(got, near)) and sum(got) >= 0.9 * near.sum() > 0
+
+
+def test_wide_vectors_are_learned_from_fewer_rows(spark, monkeypatch):
+    monkeypatch.setattr(itq, "SAMPLE_NUMBERS", 24 * 30)
+    seen, learn = [], itq.tables_for
+    monkeypatch.setattr(itq, "tables_for", lambda x, *a: (seen.append(x.shape), learn(x, *a))[1])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors())], "vec_id bigint, embedding array<float>")
+    assert itq.near_vectors(df).count() == len(vectors()) and seen == [(30, 24)]
+
+
 def test_simhash_odd_rows(odd, empty):
     import hashlib
 
