@@ -9,9 +9,10 @@ max-pooled over the chunks, and one logistic unit combines them into a probabili
 The network is fitted by gradient descent on a bounded sample of labelled texts, in one task;
 its weights (a few thousand numbers) travel with the scoring tasks.
 
-Defined cases: a null text is an empty one; an empty text has one chunk of one padded block; a
-document is scored by itself, whatever it is batched with; rows that repeat an id have a result
-each; an unlabelled corpus or one with a single label gives the constant rate of the sample
+Defined cases: a null text is an empty one; an empty text has one chunk of one padded block; very long texts are scored
+whole, a slice of blocks at a time, in about 15 bytes of memory per byte of text, and are not learned from; a
+document is scored by itself, whatever it is batched with; rows that repeat an id, or have none, have a result
+each, and ids do not matter to a score; an empty table gives no rows; an unlabelled corpus or one with a single label gives the constant rate of the sample
 (0.5 without any); further columns are kept out of the result.
 """
 
@@ -37,6 +38,7 @@ CHUNK = 32  # blocks; chunks begin every half of it
 ECHO = 16  # bytes
 NEAR = 64  # bytes
 KEEP = 0.3
+SLICE = 1 << 14  # blocks
 
 
 def blocks_of(texts: list[str]):
@@ -52,9 +54,10 @@ def blocks_of(texts: list[str]):
     starts = np.concatenate([[0], np.cumsum(counts + ECHO // BLOCK)])
     total = int(starts[-1]) * BLOCK
     data = np.frombuffer(b"".join([r.ljust((int(c) + ECHO // BLOCK) * BLOCK, b"\0") for r, c in zip(raws, counts)]), dtype=np.uint8)
+    del raws
     codes = data.astype(np.int16)
-    owner = np.repeat(np.arange(len(raws)), (counts + ECHO // BLOCK) * BLOCK)
-    codes[np.arange(total) - starts[owner] * BLOCK >= sizes[owner]] = 256
+    for begin, size, end in zip((starts * BLOCK).tolist(), sizes.tolist(), (starts[1:] * BLOCK).tolist()):
+        codes[begin + size : end] = 256
 
     space = (data <= 32) | (codes == 256)
     begins = np.flatnonzero(~space[1:] & space[:-1]) + 1
@@ -64,7 +67,7 @@ def blocks_of(texts: list[str]):
     halves = np.ascontiguousarray(ahead).view(np.uint64).reshape(-1, 2)
     with np.errstate(over="ignore"):
         mixed = (halves[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (halves[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + owner[begins].astype(np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (np.searchsorted(starts * BLOCK, begins, side="right") - 1).astype(np.uint64)
     order = np.argsort(mixed, kind="stable")
     again = np.flatnonzero(mixed[order[1:]] == mixed[order[:-1]])
     later, earlier = begins[order[again + 1]], begins[order[again]]
@@ -91,8 +94,8 @@ def responses(x, net):
     return np.maximum(y, 0, out=y)
 
 
-def chunks_of(y, starts, counts):
-    """(chunk averages, first chunk of each text, (first block, blocks) of each chunk)."""
+def chunk_places(starts, counts):
+    """(first chunk of each text, first block of each chunk, blocks of each chunk)."""
     import numpy as np
 
     half = CHUNK // 2
@@ -100,21 +103,47 @@ def chunks_of(y, starts, counts):
     firsts = np.concatenate([[0], np.cumsum(n)])
     owner = np.repeat(np.arange(len(n)), n)
     at = (np.arange(firsts[-1]) - firsts[owner]) * half
-    length = np.minimum(CHUNK, counts[owner] - at)
-    begin = starts[owner] + at
+    return firsts[:-1], starts[owner] + at, np.minimum(CHUNK, counts[owner] - at)
+
+
+def chunk_averages(y, begin, length):
+    import numpy as np
+
     sums = np.add.reduceat(y, np.stack([begin, begin + length], axis=1).ravel(), axis=0)[::2]
-    return sums / length[:, None].astype(np.float32), firsts[:-1], begin, length
+    return sums / length[:, None].astype(np.float32)
+
+
+def chunks_of(y, starts, counts):
+    """(chunk averages, first chunk of each text, first block of each chunk, blocks of each chunk)."""
+    firsts, begin, length = chunk_places(starts, counts)
+    return chunk_averages(y, begin, length), firsts, begin, length
 
 
 def forward(texts: list[str], net):
-    """Probability of each text."""
+    """Probability of each text.
+
+    The responses are computed for ``SLICE`` blocks at a time, cut where chunks begin, and only the greatest average
+    of each filter is kept, so a long text needs little more memory than its bytes.
+    """
     import numpy as np
 
     if "rate" in net:
         return [net["rate"]] * len(texts)
     codes, echoes, starts, counts = blocks_of(texts)
-    averages, firsts, _, _ = chunks_of(responses(inputs_of(codes, echoes, net["vectors"]), net), starts, counts)
-    pooled = np.maximum.reduceat(averages, firsts, axis=0)
+    firsts, begin, length = chunk_places(starts, counts)
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(firsts, len(begin))))
+    pooled = np.full((len(starts), FILTERS), -np.inf, dtype=np.float32)
+    c = 0
+    while c < len(begin):
+        stop = max(c + 1, int(np.searchsorted(begin, begin[c] + SLICE)))
+        low, high = begin[c], int((begin[c:stop] + length[c:stop]).max()) + 1  # a block sees the one after it
+        y = responses(inputs_of(codes[low:high], echoes[low:high], net["vectors"]), net)
+        averages = chunk_averages(y, begin[c:stop] - low, length[c:stop])
+        own = owner[c:stop]
+        here = slice(own[0], own[-1] + 1)  # every text has a chunk
+        best = np.maximum.reduceat(averages, np.searchsorted(own, np.arange(own[0], own[-1] + 1)), axis=0)
+        pooled[here] = np.maximum(pooled[here], best)
+        c = stop
     return (1 / (1 + np.exp(-(pooled.astype(np.float64) @ net["out"].astype(np.float64) + net["level"])))).tolist()
 
 
