@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.session import run_dir
+from rosterloom.session import run_dir, shared_dir
 
 BROADCAST_ROWS = 200_000  # a side is hinted for broadcast only when it was counted and is not above this
 
@@ -53,6 +53,18 @@ def landed(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a landed copy that nothing reads any more; only folders that ``landed`` has made are touched."""
+    spark = df.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    home = fs.makeQualified(top).toUri().getPath().rstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if place.toUri().getPath().rsplit("/", 1)[0].rstrip("/") == home:
+            fs.delete(place, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (landed, so counting reads no data) with a broadcast hint when its counted rows allow it."""
     return F.broadcast(df) if df.count() <= rows else df
