@@ -89,7 +89,8 @@ def trie_nodes(steps: DataFrame, members: DataFrame) -> DataFrame:
 
 def tour(nodes: DataFrame) -> DataFrame:
     """The arcs of the Euler tour: c, d, out and the arc before (p_c, p_d, p_out; null for the first)."""
-    sides = carry(nodes, ["parent_conv_id", "depth"], ["conv_id"], lag={"sibling": F.col("conv_id")})
+    n = shuffle_partitions(nodes.sparkSession)
+    sides = carry(nodes, ["parent_conv_id", "depth"], ["conv_id"], lag={"sibling": F.col("conv_id")}, ranges=n)
     enter = sides.select(
         F.col("conv_id").alias("c"), F.col("depth").alias("d"), F.lit(False).alias("out"),
         F.coalesce("sibling", "parent_conv_id").alias("p_c"),
@@ -302,7 +303,8 @@ WITH RECURSIVE ids AS (
     SELECT CAST(conv_id AS VARCHAR) AS s FROM ids
 ), {CRC_CTES}, hashed AS (
     SELECT conv_id, turn, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
-           CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS words
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS words
     FROM conversations WHERE conv_id IS NOT NULL
 ), turns AS (
     SELECT conv_id, t, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS pos FROM hashed
