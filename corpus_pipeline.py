@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterloom.llm import bpe, minhash, mixing, quality, toxicity
-from rosterloom.llm.common import landed, table
+from rosterloom.llm.common import forget, landed, table
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = landed(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)  # the next stage's copy is written
+        before = docs
     return docs
