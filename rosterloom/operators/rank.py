@@ -159,10 +159,11 @@ def page(df: DataFrame, order: Sequence[str | Column], k: int, n: int, shallow:
     """Page ``k`` (1-based) of ``n`` rows, with the total row count on each row.
 
     A page that ends within ``shallow`` rows is a distributed top-k.  For a deeper one the rows are
-    numbered by range, so that no task is handed all rows before it.  ``order`` should end in
-    a unique column; then both give the same rows.
+    numbered by range, so that no task is handed all rows before it.  Rows equal in ``order`` go by a hash of
+    all their columns, so both give the same rows.
     """
     total = df.agg(F.count(F.lit(1))).scalar()
+    order = [*order, F.xxhash64(*df.columns)]
     if k * n <= shallow:
         rows = df.orderBy(*order).offset((k - 1) * n).limit(n)
     else:

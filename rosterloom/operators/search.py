@@ -175,7 +175,7 @@ def search_tokens(index: DataFrame, id_col: str, words: Sequence[str], n: int) -
     )
 
 
-def search_text(df: DataFrame, id_col: str, cols: Sequence[str], q: str, n: int = 20) -> DataFrame:
+def search_text(df: DataFrame, id_col: str, cols: Sequence[str], q: str, n: int) -> DataFrame:
     """First ``n`` rows by id containing the text in any column."""
     return df.where(text_match(q, cols)).orderBy(id_col).limit(n)
 

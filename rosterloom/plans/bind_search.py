@@ -130,7 +130,7 @@ def k9_search(t):
 
 @query("k9_search_text", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license') OR contains(lower(lang), 'license') ORDER BY doc_id LIMIT 20")
 def k9_text(t):
-    return se.search_text(t.documents, "doc_id", ["text", "source", "lang"], "License").select("doc_id", "source")
+    return se.search_text(t.documents, "doc_id", ["text", "source", "lang"], "License", n=20).select("doc_id", "source")
 
 
 TERMS = "SELECT DISTINCT split_part(text, '.', 1) AS term FROM {benchmark} UNION SELECT DISTINCT text FROM {benchmark} UNION SELECT DISTINCT split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) FROM {benchmark}"
