@@ -15,8 +15,10 @@ one another.
 
 Words are lower-cased (A-Z) runs of letters, digits and bytes above 127.
 
+The index knows the licences of ``TEMPLATES``, by a notice or a passage of the body; a caller passes others.
+
 Defined cases: a null text is an empty one, without words, places and labels (score 0); rows that
-repeat an id have a result each; an empty table gives no rows; further columns are not looked at.
+repeat an id, or have none, have a result each; very long texts are scanned whole; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -85,6 +87,83 @@ TEMPLATES = (
         "this file, You can obtain one at",
         ("subject to the terms of the mozilla public license",),
     ),
+    # passages of the licences' bodies
+    (
+        "apache-2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, "
+        "royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and "
+        "distribute the Work and such Derivative Works in Source or Object form",
+        ("publicly perform sublicense and distribute the work and such derivative works in source or object form",),
+    ),
+    (
+        "gpl-2",
+        "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously "
+        "and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty",
+        ("copy and distribute verbatim copies of the program s source code as you receive it",),
+    ),
+    (
+        "gpl-3",
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and "
+        "appropriately publish on each copy an appropriate copyright notice",
+        ("convey verbatim copies of the program s source code as you receive it",),
+    ),
+    (
+        "lgpl-2.1",
+        "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free "
+        "Software Foundation and other authors who decide to use it",
+        ("applies to some specially designated software packages typically libraries",),
+    ),
+    (
+        "lgpl-3",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, "
+        "supplemented by the additional permissions listed below",
+        ("of version 3 of the gnu general public license supplemented by the additional permissions",),
+    ),
+    (
+        "agpl-3",
+        "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users "
+        "interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the "
+        "Corresponding Source of your version",
+        ("users interacting with it remotely through a computer network",),
+    ),
+    (
+        "mpl-2.0",
+        "under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, "
+        "display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a "
+        "Larger Work",
+        ("licensable by such contributor to use reproduce make available modify display perform distribute",),
+    ),
+    (
+        "bsd-2",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+        ("materials provided with the distribution this software is provided by the copyright holders",),  # no third clause between
+    ),
+    (
+        "bsd-3",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission",
+        ("be used to endorse or promote products derived from this software without specific prior written permission",),
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    (
+        "cc0-1.0",
+        "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the "
+        "creator and subsequent owner(s) of an original work of authorship and/or a database",
+        ("automatically confer exclusive copyright and related rights",),
+    ),
+    ("cc-by-4.0", "this Creative Commons Attribution 4.0 International Public License", ("creative commons attribution 4 0 international public license",)),
+    ("cc-by-sa-4.0", "this Creative Commons Attribution-ShareAlike 4.0 International Public License", ("creative commons attribution sharealike 4 0 international public license",)),
+    ("cc-by-nc-4.0", "this Creative Commons Attribution-NonCommercial 4.0 International Public License", ("creative commons attribution noncommercial 4 0 international public license",)),
+    ("cc-by-nd-4.0", "this Creative Commons Attribution-NoDerivatives 4.0 International Public License", ("creative commons attribution noderivatives 4 0 international public license",)),
+    ("cc-by-nc-sa-4.0", "this Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License", ("creative commons attribution noncommercial sharealike 4 0 international public license",)),
+    ("cc-by-nc-nd-4.0", "this Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International Public License", ("creative commons attribution noncommercial noderivatives 4 0 international public license",)),
+    # short licence lines
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
     ("cc-by-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
