@@ -1,10 +1,9 @@
 """Containment joins without a nested loop.
 
-A name contains another exactly when one of its substrings equals it.  So the
-longer side is exploded into the substrings whose lengths occur on the short
-side, and the join is an equi join: the work grows with the names, not with
-their pairs, also when a third of them share a prefix.  Names are made distinct
-before and joined back after.
+A name contains another only if it holds every run of signs of it.  So the longer side sends its runs of ``GRAM`` signs, the
+shorter side asks for its rarest one, and the few that meet are compared whole: the rows grow with the length of
+the names, neither with the lengths that occur nor with pairs, also when a third of the names share a prefix.
+Names are made distinct before and joined back after.
 
 Long texts are looked up for many terms inside their scan, so only hits leave it: by an automaton of all terms over Arrow
 batches, or, where the terms are too many to travel, by anchors behind a Bloom filter.
@@ -27,6 +26,7 @@ from rosterloom.session import durable, spread
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_LENGTH = 4
+GRAM = 4  # signs of a run, and of an anchor that is looked for inside words
 
 
 def contained(
@@ -37,13 +37,22 @@ def contained(
     Equal texts count as contained.  Texts under ``min_length`` are left out.
     """
     lo = longer.select(F.col(long_col)).where(F.length(long_col) >= min_length).distinct()
-    sh = shorter.select(F.col(short_col)).where(F.length(short_col) >= min_length).distinct()
-    lengths = sh.agg(F.sort_array(F.collect_set(F.length(short_col)))).scalar()
-    sized = spread(lo, long_col).select(long_col, F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length(long_col))
-    starts = F.sequence(F.lit(1), F.length(long_col) - F.col("_n") + 1)
-    cuts = F.transform(starts, lambda i: F.substring(F.col(long_col), i, F.col("_n")))
-    parts = sized.select(long_col, F.explode(F.array_distinct(cuts)).alias(short_col))
-    return parts.join(sh, short_col).select(long_col, short_col)
+    sh = durable(shorter.select(F.col(short_col)).where(F.length(short_col) >= min_length).distinct())
+    size = F.least(F.length(short_col), F.lit(GRAM))
+    sizes = sh.agg(F.sort_array(F.collect_set(size))).scalar()  # at most GRAM numbers
+
+    def runs(df: DataFrame, col: str, n: Column) -> DataFrame:
+        sized = df.select(col, n.alias("_n")).where(F.col("_n") <= F.length(col))
+        starts = F.sequence(F.lit(1), F.length(col) - F.col("_n") + 1)
+        return sized.select(col, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(col), i, F.col("_n"))))).alias("_g"))
+
+    held = runs(spread(lo, long_col), long_col, F.explode(sizes))
+    often = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
+    asked = runs(sh, short_col, size).join(often, "_g", "left").groupBy(short_col).agg(
+        F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), F.col("_g").alias("g"))).alias("_r")
+    )
+    asked = asked.where("_r.often > 0").select(short_col, F.col("_r.g").alias("_g"))
+    return held.join(asked, "_g").where(F.col(long_col).contains(F.col(short_col))).select(long_col, short_col)
 
 
 def too_short(df: DataFrame, text: Column, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -53,7 +62,6 @@ def too_short(df: DataFrame, text: Column, min_length: int = MIN_LENGTH) -> Data
 
 # a text is words and the breaks between them
 BREAKS = r"[^\p{L}\p{N}]+"
-GRAM = 4  # signs of an anchor that is looked for inside words
 TERMS, TERM_SIGNS = 200_000, 4 << 20  # terms, and signs of all of them, that may travel with every task
 SHORT = 2  # terms up to this length are looked for one by one
 
