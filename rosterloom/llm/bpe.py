@@ -11,7 +11,8 @@ once in every tree that still has a pair.  Long pre-tokens have a tree of their
 two parts merge is looked up by their ids among all splits of a vocabulary entry into two entries.
 
 Defined cases: a null text is an empty one without ids (and the digest of nothing); special tokens are not
-known; rows that repeat an id have a result each; further columns are kept out of the result.
+known; very long texts are encoded whole, and a very long match of the pattern by one segment tree; rows that repeat an
+id, or have none, have a result each; an empty table gives no rows; further columns are kept out of the result.
 """
 
 from __future__ import annotations

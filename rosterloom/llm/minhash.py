@@ -21,7 +21,7 @@ members outside the bucket's largest component with all blocks.  A task holds tw
 Defined cases: a null text is an empty one; texts without words have an empty set and link with nothing; texts
 with fewer words than a shingle have the whole sequence as their only shingle; equal sets are linked
 whatever their ids; a null id is never the smallest of its component unless all are null; rows
-that repeat an id are looked at each by its own text; an empty table gives no rows; further columns are not
+that repeat an id are looked at each by its own text; very long texts are reduced to their whole sets, one text at a time; an empty table gives no rows; further columns are not
 looked at.  A pair at the threshold t misses all bands with probability (1 - t ** rows) ** bands, which
 ``banding`` holds below ``BAND_MISS``.
 """

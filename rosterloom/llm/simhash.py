@@ -15,7 +15,7 @@ Defined cases: a null text is an empty one; a text without words has the fingerp
 all zeros; equal texts have equal fingerprints; a null id is an id of its own; rows that
 repeat an id are ordered by a hash of their text, and rows that also repeat the text
 are one document in the order, with a result row each; a single document is its own
-next; an empty table gives no rows; further columns are not looked at.
+next; very long texts vote in runs whose sums cannot overflow; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ add up, as the pattern never joins them across a space.
 
 Defined cases: a null text is an empty one with no tokens; texts with characters outside the range for
 which the cutting is proved, or with the text of a special token, are given to the library
-whole; rows that repeat an id have a result each; further columns are kept out of the result.
+whole; very long texts are counted whole, a text of their own at a time; rows that repeat an id, or have none, have a
+result each; an empty table gives no rows; further columns are kept out of the result.
 """
 
 from __future__ import annotations

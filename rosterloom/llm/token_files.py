@@ -15,6 +15,7 @@ its own (one row per file) and its offset.
 
 Defined cases: a null text is an empty one, of the end id alone; null ids come first; rows that repeat an
 id are ordered by a hash of their text; an empty table gives no files and no rows;
+very long texts are one document that spans sequences, and a file ends after the document that fills it;
 special strings inside a text are what the library makes of them; further columns are not looked at.
 The folder must be one that pyarrow can write to (local and shared mounts, hdfs, s3, gs).
 """

@@ -8,9 +8,10 @@ tasks.  Scoring sums the weights of the features present.
 
 Words are runs of letters, digits and bytes above 127, lower-cased (A-Z), as bytes.
 
-Defined cases: a null text is an empty one; an empty text has the score of the bias alone; rows
-that repeat an id have a result each; a corpus without labels gives 0.5; further columns are
-kept out of the result.
+Defined cases: a null text is an empty one; an empty text has the score of the bias alone; very long
+texts are scored whole, and are not learned from above ``labelled.SAMPLE_BYTES``; rows that repeat an id, or have none, have a
+result each, and ids do not matter to a score; an empty table gives no rows; a corpus without labels gives 0.5; further
+columns are kept out of the result.
 """
 
 from __future__ import annotations
