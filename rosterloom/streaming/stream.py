@@ -6,8 +6,11 @@ Each function takes a streaming DataFrame with an event time of type TIMESTAMP.
 
 from __future__ import annotations
 
+import pickle
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from heapq import merge
+from itertools import chain, islice
 from typing import Any
 
 import pandas as pd
@@ -133,33 +136,83 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HISTORY = "event_id bigint, person_id bigint, ts timestamp, old_status string, new_status string, ends_role boolean"
 
 
+CHUNK = 256  # rows of one stored value
+FAN = 64  # runs that are merged at once
+OUT = 4096  # rows of one result frame
+
+
 class StatusMachine(StatefulProcessor):
     """Per person: the current status and whether the roles are still open.
 
-    Rows of a batch come unordered and are sorted by time; the source's rate limit
-    bounds what one batch can hold for one person.  Where that is still too much,
-    ``status_batches`` gives the same rows.
+    Rows of a batch come unordered, in frames.  One frame is sorted as it is.  Of a person with several, every frame is sorted
+    and put into the state as a run of chunks; the runs are merged ``FAN`` at a time, a chunk of each held, and the
+    status is carried along the merged rows.  So a person with all rows of a batch needs the memory of a frame.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("status", StringType()), StructField("roles", StringType())])
         self._state = handle.getValueState("status", schema)
+        self._runs = handle.getMapState("runs", "run int, chunk int", "rows binary")
+
+    def _put(self, run: int, rows: Iterable[tuple]) -> int:
+        rows, n = iter(rows), 0
+        while part := list(islice(rows, CHUNK)):
+            self._runs.updateValue((run, n), (pickle.dumps(part),))
+            n += 1
+        return n
+
+    def _take(self, run: int, chunks: int) -> Iterator[tuple]:
+        for c in range(chunks):
+            (rows,) = self._runs.getValue((run, c))
+            self._runs.removeKey((run, c))
+            yield from pickle.loads(rows)
+
+    def _ordered(self, frames: Iterator[pd.DataFrame], first: pd.DataFrame) -> Iterator[tuple]:
+        """(time, event_id, status) of all frames in order; statuses that are none are left out."""
+
+        def rows_of(frame: pd.DataFrame) -> list[tuple]:
+            valid = frame[frame["new_status"].isin(STATUSES)]
+            return sorted(zip(valid["ts"].astype("int64").tolist(), valid["event_id"].tolist(), valid["new_status"].tolist()))
+
+        second = next(frames, None)
+        if second is None:
+            yield from rows_of(first)
+            return
+        runs, number = [], 0
+        for frame in chain((first, second), frames):
+            if len(runs) == FAN:
+                merged = self._put(number, merge(*[self._take(*r) for r in runs]))
+                runs, number = [(number, merged)], number + 1
+            runs.append((number, self._put(number, rows_of(frame))))
+            number += 1
+        yield from merge(*[self._take(*r) for r in runs])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        frames = iter(rows)
+        first = next(frames)
         if self._state.exists():
             status, roles = self._state.get()
         else:
-            status, roles = batch["start_status"].iloc[0], "open"
-        out = []
-        for event_id, ts, new in zip(batch["event_id"], batch["ts"], batch["new_status"]):
-            if new not in STATUSES or new == status:
+            status, roles = first["start_status"].iloc[0], "open"
+        kind, out = first["ts"].dtype, []
+        names = ["event_id", "person_id", "ts", "old_status", "new_status", "ends_role"]
+
+        def frame() -> pd.DataFrame:
+            done = pd.DataFrame(out, columns=names)
+            done["ts"] = pd.Series([r[2] for r in out], dtype="int64").astype(kind)
+            return done
+
+        for ts, event_id, new in self._ordered(frames, first):
+            if new == status:
                 continue
             ends = roles == "open" and new != "ACTIVE"
             out.append((event_id, key[0], ts, status, new, ends))
             status, roles = new, "ended" if ends else roles
+            if len(out) == OUT:
+                yield frame()
+                out = []
         self._state.update((status, roles))
-        yield pd.DataFrame(out, columns=["event_id", "person_id", "ts", "old_status", "new_status", "ends_role"])
+        yield frame()
 
     def close(self) -> None:
         pass

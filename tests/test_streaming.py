@@ -37,6 +37,31 @@ def test_status_machine_equals_batch(spark, rows, tmp_path):
     assert rows(got.where("ends_role"), "person_id", "event_id") == rows(first)
 
 
+def test_a_hot_person_is_sorted_in_runs(spark, rows, tmp_path, monkeypatch):
+    """One person with all rows of a batch, out of order, in many frames: runs are merged several times, results stay."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sm.ROCKSDB)
+    for name, value in (("CHUNK", 2), ("FAN", 3), ("OUT", 5)):
+        monkeypatch.setattr(sm, name, value)
+    rng = random.Random(6)
+    data = [(i, 1 if i % 10 else 2, START + dt.timedelta(minutes=i), rng.choice(["ACTIVE", "RETIRED", "ON LEAVE", "what"])) for i in range(240)]
+    rng.shuffle(data)
+    events = spark.createDataFrame(data, "event_id long, person_id long, ts timestamp, new_status string")
+    for late in (False, True):  # two batches, the second later in time
+        events.where((F.col("event_id") >= 150) == F.lit(late)).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    people = spark.createDataFrame([(1, "ACTIVE"), (2, "RETIRED")], "person_id long, status string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        log = sm.read_log(spark, str(tmp_path / "log"), files_per_batch=1)
+        got = sm.land(sm.status_machine(log, people), str(tmp_path / "out"), str(tmp_path / "state"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = hs.apply_status(events, people)
+    cols = ["event_id", "person_id", "ts", "old_status", "new_status"]
+    assert rows(got, *cols) == rows(want, *cols)
+    first = want.where("new_status <> 'ACTIVE'").groupBy("person_id").agg(F.min("event_id"))
+    assert rows(got.where("ends_role"), "person_id", "event_id") == rows(first)
+
+
 @pytest.mark.parametrize("fold", [2, 16])
 def test_status_batches_equal_the_machine(spark, rows, tmp_path, fold):
     events = write_log(spark, str(tmp_path / "log"))
