@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rosterloom.llm.common import by_value, whole, worker_store
@@ -15,7 +16,8 @@ by_value(__name__)
 
 FOLDS = 5
 RUN = 1 << 19  # bytes of text scored together
-SAMPLE_BYTES = 1 << 20  # labelled texts above this size are not learned from
+SAMPLE_BYTES = 1 << 18  # labelled texts above this size are not learned from
+ALL_BYTES = 1 << 28  # bytes of all texts learned from, at most
 
 
 def held_out(id_col: str) -> Column:
@@ -24,17 +26,20 @@ def held_out(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y): the labelled rows outside the held-out fold, at most ``rows`` of them, by a hash of the id.
+    """(id, text, y): the labelled rows outside the held-out fold, at most ``rows`` and ``ALL_BYTES`` of them, by a hash of the id.
 
-    Ids are chosen from the labels alone; only the chosen texts are moved.  Rows without id or
-    label, and texts above ``SAMPLE_BYTES``, are not learned from; an id labelled
-    twice has the larger label.
+    Ids are chosen from the labels alone; these are at most ``rows``, so they are broadcast and no text is moved but
+    the chosen ones.  Rows without id or label, and texts above ``SAMPLE_BYTES``, are not learned from; an id labelled
+    twice has the larger label, an id with several texts the first of them in their order.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.md5(F.col("id").cast("string")), "id").limit(rows)
+    place = [F.md5(F.col("id").cast("string")), F.col("id")]
+    chosen = known.orderBy(*place).limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    return texts.join(chosen, "id")
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text").cast("bigint")).over(W.orderBy(*place).rowsBetween(W.unboundedPreceding, 0))
+    return one.select("id", "text", "y", upto.alias("_bytes")).where(F.col("_bytes") <= ALL_BYTES).drop("_bytes")
 
 
 def fitted(train: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest_llm import prose, texts_of
 
-from rosterloom.llm import licenses, quality, toxicity
+from rosterloom.llm import labelled, licenses, quality, toxicity
 from rosterloom.llm.common import table
 
 SF = "/root/testdata/sf0.1"
@@ -108,7 +108,7 @@ def test_licenses_against_brute_force(odd, empty, rows):
 
 def test_license_templates_in_long_files(spark):
     """A held template tolerates a changed word; without its mandatory phrase it does not hold."""
-    text = {label: passage for label, passage, _ in licenses.TEMPLATES}
+    text = {label: passage for label, passage, _ in reversed(licenses.TEMPLATES)}
     changed = text["bsd"].replace("conditions", "terms")
     broken = text["bsd"].replace("source and binary", "object")
     rows = [(1, prose(1, 700) + " " + changed + " " + prose(2, 300)), (2, prose(3, 50) + " " + broken), (3, prose(4, 400)), (4, prose(5, 90) + " " + text["mit-text"])]
@@ -116,3 +116,43 @@ def test_license_templates_in_long_files(spark):
     assert got[1]["labels"] == "bsd" and 0.8 < got[1]["score"] < 1
     assert got[2]["labels"] == got[3]["labels"] == "" and got[4]["labels"] == "mit-text" and got[4]["score"] == 1
     assert got[4]["base_labels"] == ""
+
+
+def test_every_license_passage_is_known_by_itself(spark):
+    """Each passage inside other words has its own label alone (and those of lines within it); BSD-3 is not BSD-2."""
+    rows = [(i, f"{prose(i, 40)} {passage} {prose(i + 50, 40)}") for i, (_, passage, _) in enumerate(licenses.TEMPLATES)]
+    text = {label: passage for label, passage, _ in licenses.TEMPLATES}
+    third = text["bsd-2"].replace("THIS SOFTWARE", text["bsd-3"] + ". THIS SOFTWARE")
+    rows += [(100, text["bsd"] + " " + text["bsd-2"]), (101, text["bsd"] + " " + third), (102, "x " * (3 << 20) + text["agpl-3"])]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    own = {"apache", "gpl", "apache-2.0"}  # phrases and the line that a longer notice holds
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[i] and set(got[i]) <= {label} | own, (label, got[i])
+    assert "bsd-2" in got[100] and "bsd-3" not in got[100] and "bsd-3" in got[101] and "bsd-2" not in got[101] and got[102] == ["agpl-3"]
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Ids with many texts give one each; rows and bytes in all are bounded; no text goes through a shuffle but the chosen."""
+    rows = [(i % 40, f"text {i} " * (1 + i % 7)) for i in range(2000)] + [(None, "no id"), (3, None), (5, "x" * (labelled.SAMPLE_BYTES + 1))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (None, 1), (4, None)], "doc_id bigint, toxic int")
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    got = labelled.sample(docs, labels, "toxic", 1000).collect()
+    assert sorted(r["id"] for r in got) == learned and all(r["y"] == (1 if r["id"] == 3 else r["id"] % 2) for r in got)
+    assert labelled.sample(docs, labels, "toxic", 7).count() <= 7
+    plan = labelled.sample(docs, labels, "toxic", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(labelled, "ALL_BYTES", 100)
+    few = labelled.sample(docs, labels, "toxic", 1000).collect()
+    assert 0 < len(few) < len(learned) and sum(len(r["text"]) for r in few) <= 100
+
+
+def test_quality_of_long_texts_in_slices(monkeypatch):
+    """Slices of any size give the same scores; a text of many slices, empty ones and its neighbours."""
+    texts = ["", "a", prose(1, 40), prose(2, 9000), "é" * 3000, prose(3, 30), "x y " * 200000]
+    net = pickle.loads(quality.fit([prose(i, 30 + i) for i in range(40)] + ["!! " * i for i in range(40)], [1] * 40 + [0] * 40, epochs=1))
+    whole = quality.forward(texts, net)
+    for size in (1, 64, 1 << 40):
+        monkeypatch.setattr(quality, "SLICE", size)
+        assert np.allclose(quality.forward(texts, net), whole, atol=1e-6)
+    assert np.allclose([quality.forward([t], net)[0] for t in texts], whole, atol=1e-6)
