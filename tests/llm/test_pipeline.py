@@ -137,15 +137,15 @@ def test_pipeline_of_odd_rows(spark, odd, empty, labels, tmp_path):
 
 def test_registered():
     ops = [q for q in contract.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in ops) == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in ops) == list(range(1, 14)) and "pipeline" in contract.queries()
 
 
-@pytest.mark.parametrize("name", ["op3_simhash", "op6_embedding_dedup", "op9_mix_sources", "op10_minhash"])
+@pytest.mark.parametrize("name", ["op3_simhash", "op6_embedding_dedup", "op9_mix_sources", "op10_minhash", "op11_warc", "op12_prefix_trie", "op13_conversation_repair"])
 def test_results_do_not_change_with_the_cut(spark, name, tmp_path):
     """Reruns on differently dealt input agree."""
     from rosterloom.llm.common import table
 
-    tables = {"op6_embedding_dedup": "embeddings"}.get(name, "documents")
+    tables = {"op6": "embeddings", "op11": "pages", "op12": "conversations", "op13": "conversations"}.get(name.split("_")[0], "documents")
     folder = str(tmp_path)
     table(spark, "/root/testdata/sf0.001", tables).repartition(5).write.parquet(f"{folder}/{tables}.parquet")
     a, b = (sorted(map(str, contract.queries()[name](spark, d).collect())) for d in ("/root/testdata/sf0.001", folder))
