@@ -79,9 +79,13 @@ def orphan_dups(df: DataFrame, key: str, ref: str, id_col: str) -> DataFrame:
     return df.where(F.col(ref).isNull()).join(n, key).select(id_col, key, "n_valid", "n_orphan", action.alias("action"))
 
 
-def shared_values(contacts: DataFrame, owner: str, text: str, min_digits: int = 8) -> DataFrame:
-    """Numbers and emails held by more than one owner: one row per value and owner."""
-    values = F.array_union(tx.phone_set(F.col(text), min_digits=min_digits), tx.email_set(F.col(text)))
+def shared_values(contacts: DataFrame, owner: str, text: str, min_digits: int = 8, email: str | None = None) -> DataFrame:
+    """Numbers and emails held by more than one owner: one row per value and owner.
+
+    ``email`` is a column of addresses: digits inside one are no number of its owner.
+    """
+    mails = tx.email_set(F.col(text)) if email is None else tx.email_set(F.col(text), F.col(email))
+    values = F.array_union(tx.phone_set(F.col(text), min_digits=min_digits), mails)
     held = contacts.select(owner, F.explode(values).alias("value")).distinct()
     shared = held.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners")).where("n_owners > 1")
     return held.join(shared, "value")

@@ -71,8 +71,9 @@ EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
         SELECT h.doc_id AS owner, h.value, n AS n_owners FROM h JOIN (SELECT value, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1) s ON s.value = h.value""",
 )
 def f6(t):
-    held = t.documents.selectExpr("doc_id AS owner", "text").union(t.person.selectExpr("1000000 + person_id", "email"))
-    return dd.shared_values(held, "owner", "text")
+    people = t.person.selectExpr("1000000 + person_id", "CAST(NULL AS STRING)", "email")
+    held = t.documents.selectExpr("doc_id AS owner", "text", "CAST(NULL AS STRING) AS email").union(people)
+    return dd.shared_values(held, "owner", "text", email="email")
 
 
 MERGES = "SELECT org_id AS loser, org_id - 5 AS winner FROM {org} WHERE org_id BETWEEN 15 AND 30 OR org_id = 2 OR org_id = 11"

@@ -340,3 +340,12 @@ def test_address_lines(spark):
     got = {r["t"]: r["a"] for r in df.select("t", sg.address_like(F.col("t"), places=places).alias("a")).collect()}
     assert got == lines
     assert not df.where(sg.address_like(F.col("t"), words=["nowhere"])).where("t LIKE '%Floor%'").count()
+
+
+def test_digits_inside_an_address_are_no_shared_number(spark):
+    from rosterloom.operators import dedupe
+
+    rows = [(1, "call 12345678", None), (2, "12345678", "a.00000001@x.org"), (3, None, "b.00000001@x.org"), (4, None, "B.00000001@x.org")]
+    held = spark.createDataFrame(rows, "owner int, text string, email string")
+    got = {(r.value, r.owner, r.n_owners) for r in dedupe.shared_values(held, "owner", "text", email="email").collect()}
+    assert got == {("12345678", 1, 2), ("12345678", 2, 2), ("b.00000001@x.org", 3, 2), ("b.00000001@x.org", 4, 2)}
