@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,21 +91,45 @@ def block_ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return np.where(both > 0, 2.0 * matched / np.maximum(both, 1), 1.0)
 
 
-@F.pandas_udf(DoubleType())
-def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-blocks ratio, equal to the standard library's."""
+def ratios(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Longest-matching-blocks ratios, equal to the standard library's."""
     from difflib import SequenceMatcher
 
     import numpy as np
 
-    long = (a.str.len() >= LONG) | (b.str.len() >= LONG)
+    long = np.array([len(x) >= LONG or len(y) >= LONG for x, y in zip(a, b)], dtype=bool)
     out = np.zeros(len(a))
-    short = np.flatnonzero(~long.to_numpy())
+    short = np.flatnonzero(~long)
     for part in np.array_split(short, max(1, len(short) // 1024)):
-        out[part] = block_ratios(a.iloc[part].tolist(), b.iloc[part].tolist())
-    for i in np.flatnonzero(long.to_numpy()):
-        out[i] = SequenceMatcher(None, a.iloc[i], b.iloc[i]).ratio()
-    return pd.Series(out)
+        out[part] = block_ratios([a[i] for i in part], [b[i] for i in part])
+    for i in np.flatnonzero(long):
+        out[i] = SequenceMatcher(None, a[i], b[i]).ratio()
+    return out
+
+
+def edit_similarities(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``similarity`` of each pair, all pairs side by side, a row of the table of edits at a time."""
+    import numpy as np
+
+    sa, sb = _signs(a, -1), _signs(b, -2)
+    la, lb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    cols = np.arange(sb.shape[1] + 1, dtype=np.int32)
+    row = np.repeat(cols[None, :], len(la), axis=0)
+    edits = row[np.arange(len(la)), lb].astype(np.int64)  # of an empty a
+    for i in range(sa.shape[1]):
+        new = row + 1
+        np.minimum(new[:, 1:], row[:, :-1] + (sb != sa[:, i : i + 1]), out=new[:, 1:])
+        row = np.minimum.accumulate(new - cols, axis=1) + cols
+        ends = np.flatnonzero(la == i + 1)
+        edits[ends] = row[ends, lb[ends]]
+    longest = np.maximum(la, lb)
+    return np.where(longest > 0, 1 - edits / np.maximum(longest, 1), 1.0)
+
+
+@F.pandas_udf(DoubleType())
+def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest-matching-blocks ratio, equal to the standard library's."""
+    return pd.Series(ratios(a.tolist(), b.tolist()))
 
 
 @dataclass(frozen=True)
@@ -153,13 +178,15 @@ def measure(threshold: float, blocks: bool = False) -> Measure:
     return by_blocks(threshold) if blocks else by_edits(threshold)
 
 
-def _signature(name: str) -> Column:
-    """A long in which every sign of the name, a repeated one with its number, sets one bit.
+def _signature(name: str, n: int = 1) -> Column:
+    """A long in which every sign of the name (or run of ``n``), a repeated one with its number, sets one bit.
 
     A bit that one name has and another lacks is a sign that only the one has, so the bits in which two names
     differ never exceed the signs in which they do.
     """
-    signs = F.split(name, "")
+    signs = F.split(name, "") if n == 1 else F.when(
+        F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(F.col(name), i, F.lit(n)))
+    ).otherwise(F.array().cast("array<string>"))
     nth = F.transform(signs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(signs, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
     bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))
     return F.aggregate(nth, F.lit(0).cast("bigint"), lambda acc, g: acc.bitwiseOR(bit(g)))
@@ -271,13 +298,99 @@ def _best(scored: DataFrame, block: Sequence[str]) -> DataFrame:
     return scored.groupBy(*block, "a_name").agg(F.min_by("b_name", order).alias("b_name"), F.max("similarity").alias("similarity"))
 
 
+CELL = 16384  # names of a side that are compared with as many of the other in one group
+
+
+def _cells(rows: DataFrame, name: str, block: Sequence[str], own: str, other: str, sizes: DataFrame) -> DataFrame:
+    """The names of one side with their signatures, by the cells (_i, _j) of their block that they take part in."""
+    rows = rows.join(sizes, list(block))
+    cut = F.pmod(F.xxhash64(F.lit(7), name), F.col(own)).cast("int")
+    places = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+    i, j = (cut, places) if own == "_ci" else (places, cut)
+    rows = rows.select(*block, F.col(name), F.length(name).alias("_n"), "_sig", _signature(name, 2).alias("_runs"), i.alias("_i"), j.alias("_j"))
+    return spread(rows, *block, "_i", "_j")
+
+
+def _nearest_in_cells(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float, blocks: bool) -> DataFrame:
+    """(block, a_name, b_name, similarity): for each name the best of each cell, of all pairs of a block.
+
+    Every pair is looked at, but nearly all by two longs of signs and runs of two only, a few nanoseconds each; what
+    these allow is scored in the same task and the best alone leave it.  So memory and shuffle follow the names, also where all
+    names of a block share most of their pieces.
+    """
+    count = lambda df, out: df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(out))
+    sizes = count(a, "_ci").join(count(b, "_cj"), list(block))
+    left, right = _cells(a, "a_name", block, "_ci", "_cj", sizes), _cells(b, "b_name", block, "_cj", "_ci", sizes)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in a.select(*block).schema]
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        names = [t[c].to_pylist() for t, c in ((x, "a_name"), (y, "b_name"))]
+        (n, sx, rx), (l, sy, ry) = [
+            (t["_n"].to_numpy().astype(np.int64), t["_sig"].to_numpy().view(np.uint64), t["_runs"].to_numpy().view(np.uint64)) for t in (x, y)
+        ]
+        # names in order, so the first of the best has the least name
+        order = np.array(sorted(range(len(l)), key=lambda k: names[1][k].encode("utf-8")), dtype=np.int64)
+        l, sy, ry = l[order], sy[order], ry[order]
+        bits = np.bitwise_count
+        share = lambda edits, m, l: 1 - edits / np.maximum(m + l if blocks else np.maximum(m, l), 1)
+        at, to, score = [], [], []
+        for k in range(0, len(n), 128):
+            own = np.arange(k, min(k + 128, len(n)))
+            p, r = sx[own, None], rx[own, None]
+            if blocks:  # least number of signs left unmatched; each changes three runs at most
+                least = np.maximum(bits(p ^ sy), (bits(r ^ ry) + 2) // 3)
+            else:  # least number of edits; each takes a sign and two runs from a side at most
+                least = np.maximum(np.maximum(bits(p & ~sy), bits(sy & ~p)), (np.maximum(bits(r & ~ry), bits(ry & ~r)) + 1) // 2)
+            best, best_j = np.full(len(own), -1.0), np.zeros(len(own), dtype=np.int64)
+            longest = l.max(initial=0)
+            for level in range(int(least.max(initial=0)) + 1):
+                # the likeliest first: a name whose best no farther pair can reach is done
+                could = share(level, n[own], longest) + EPS
+                open_ = np.flatnonzero((could >= threshold) & (could >= best))
+                if not len(open_):
+                    break
+                i, j = np.nonzero(least[open_] == level)
+                i = open_[i]
+                for s in range(0, len(i), 16384):
+                    some_i, some_j = i[s : s + 16384], j[s : s + 16384]
+                    could = share(level, n[own[some_i]], l[some_j]) + EPS
+                    some = (could >= threshold) & (could >= best[some_i])
+                    some_i, some_j = some_i[some], some_j[some]
+                    pairs = [names[0][own[q]] for q in some_i], [names[1][order[q]] for q in some_j]
+                    if not len(some_i):
+                        continue
+                    got = ratios(*pairs) if blocks else edit_similarities(*pairs)
+                    fine = np.flatnonzero(got >= threshold)
+                    rank = fine[np.lexsort((some_j[fine], -got[fine], some_i[fine]))]
+                    rank = rank[np.unique(some_i[rank], return_index=True)[1]]
+                    was = best[some_i[rank]]
+                    rank = rank[(got[rank] > was) | ((got[rank] == was) & (some_j[rank] < best_j[some_i[rank]]))]
+                    best[some_i[rank]], best_j[some_i[rank]] = got[rank], some_j[rank]
+            hit = np.flatnonzero(best >= 0)
+            at.append(own[hit])
+            to.append(order[best_j[hit]])
+            score.append(best[hit])
+        none = np.zeros(0, dtype=np.int64)
+        at, to = np.concatenate([none, *at]), np.concatenate([none, *to])
+        out = x.select([*block, "a_name"]).take(pa.array(at))
+        out = out.append_column("b_name", y["b_name"].take(pa.array(to)))
+        return out.append_column("similarity", pa.array(np.concatenate([np.zeros(0), *score])))
+
+    keys = [*block, "_i", "_j"]
+    schema = ", ".join([*kinds, "a_name string", "b_name string", "similarity double"])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
+
+
 def nearest(
     a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float, blocks: bool = False
 ) -> DataFrame:
     """Best partner of each distinct name of ``a`` in its block, ties by name, by edits or by matching ``blocks``.
 
-    Equal names, and by edits those within one edit that no farther name can beat, are settled first; so the many names
-    of a dense block of like names do not ask for pieces that all of them share.
+    Equal names, and by edits those within one edit that no farther name can beat, are settled first; the others are
+    compared in cells, as the names of a dense block of like names share their pieces.
     """
     m = measure(threshold, blocks)
     na, nb = _names(a, block, a_col, "a_name"), _names(b, block, b_col, "b_name")
@@ -291,4 +404,4 @@ def nearest(
         edits = F.levenshtein("a_name", "b_name")
         settled = near.where((edits == 0) | ((edits == 1) & (F.length("a_name") > 2)))
     left = durable(na.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti"))
-    return _best(near.unionByName(_scored(left, nb, block, threshold, m)), block)
+    return _best(near.unionByName(_nearest_in_cells(left, nb, block, threshold, blocks)), block)

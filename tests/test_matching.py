@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions.bloom import filter_of
 from rosterloom.functions.contain import contained, terms_in_texts
-from rosterloom.functions.similar import block_ratios, matcher_ratio, nearest, ratio_pairs, similar_pairs
+from rosterloom.functions.similar import block_ratios, edit_similarities, matcher_ratio, nearest, ratio_pairs, similar_pairs
 from rosterloom.operators import pairing
 from rosterloom.operators import reconcile as rc
 from rosterloom.operators import resolve as rs
@@ -89,6 +89,37 @@ def test_nearest_by_blocks(sides, threshold):
     assert got == want and want
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_nearest_of_a_dense_block_leaves_only_the_best(spark, blocks, monkeypatch):
+    """Names of one block that begin alike: what meets does not leave the tasks, and cells of any size give the same."""
+    from rosterloom.functions import similar
+
+    met = []
+    monkeypatch.setattr(similar, "_scored", lambda *args: met.append(args))
+    monkeypatch.setattr(similar, "CELL", 50)
+    a = [f"customer#{i:06d}".replace("tomer", "tmoer") if i % 2 else f"customer#{i:06d}".replace("0", "O") for i in range(0, 1000, 7)]
+    b = [f"customer#{i:06d}" for i in range(0, 1000, 3)]
+    threshold = 0.9 if blocks else 0.78
+    da = spark.createDataFrame([(1, x) for x in a] + [(None, "customer#000001")], "g int, x string")
+    db = spark.createDataFrame([(1, x) for x in b] + [(None, "customer#000002")], "g int, y string")
+    got = {r.a_name: (r.b_name, r.similarity) for r in nearest(da, "x", db, "y", ["g"], threshold, blocks).collect()}
+    score = (lambda x, y: SequenceMatcher(None, x, y).ratio()) if blocks else sim
+    want = {}
+    for x in a:
+        best = min(((-score(x, y), y) for y in b if score(x, y) >= threshold), default=None)
+        if best:
+            want[x] = (best[1], -best[0])
+    assert got == want and want and not met
+
+
+def test_edit_similarities():
+    rng = random.Random(3)
+    pairs = [("", "a"), ("abc", "")] + [tuple("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in "xy") for _ in range(400)]
+    a, b = zip(*[(x, y) for x, y in pairs if x or y])
+    pairs = list(zip(a, b))
+    assert edit_similarities(a, b).tolist() == pytest.approx([sim(x, y) for x, y in pairs])
+
+
 def test_block_ratios_equal_the_standard_library():
     rng = random.Random(2)
     pairs = [("", ""), ("", "a"), ("a" * 30, "a" * 7), ("日本語😀x", "x😀本")]
