@@ -60,6 +60,18 @@ def unit_vectors(rows: list, width: int):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def unit_matrix(vectors: pa.ChunkedArray, width: int):
+    """``unit_vectors`` of an Arrow column, without a Python object for each number."""
+    import numpy as np
+
+    lists = vectors.combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    x = np.zeros((len(lists), width))
+    x[np.arange(width) < lengths[:, None]] = lists.flatten().to_numpy()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
 def learn_rotation(x, bits: int = BITS, rounds: int = ROUNDS, seed: int = 5):
     """(mean, projection): the sign of ``(x - mean) @ projection`` is the code."""
     import numpy as np
@@ -293,8 +305,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     if width is None:
         return out.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     sample = max(2, min(sample, SAMPLE_NUMBERS // width))
-    chosen = classes.orderBy(F.xxhash64(F.lit(3), "vector"), "vector").limit(sample).select("vector").collect()
-    sets, radius = tables_for(unit_vectors([r[0] for r in chosen], width), cosine)
+    chosen = classes.orderBy(F.xxhash64(F.lit(3), "vector"), "vector").limit(sample).select("vector")
+    sets, radius = tables_for(unit_matrix(chosen.toArrow()["vector"], width), cosine)
     codes = landed(coded(classes, width, sets), "codes")
     members = block_pairs(bucket_rows(codes, len(sets)), ["t", "key"], "cls", BLOCK)
     members = landed(partnered(members, radius), "partners").join(classes.select("cls", "vector", "copies"), "cls")

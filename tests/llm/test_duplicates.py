@@ -310,3 +310,23 @@ def test_block_tables_find_all(spark, radius, blocks):
     want = {(a, b): ((a ^ b) & (2**64 - 1)).bit_count() for a in prints for b in prints}
     assert got == {k: d for k, d in want.items() if d <= radius}
     assert simhash.within_radius(df, df, radius, blocks).count() == len(got)
+
+
+def test_the_sample_of_vectors_is_a_matrix_at_once():
+    """No Python object for each number: the driver holds the matrix and little else."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from rosterloom.llm import itq
+
+    rng = np.random.default_rng(1)
+    rows = [rng.normal(size=rng.integers(1, 64)).tolist() for _ in range(3000)] + [[3.0, 4.0]]
+    column = pa.chunked_array([pa.array(rows[:1000], pa.list_(pa.float64())), pa.array(rows[1000:], pa.list_(pa.float64()))])
+    want = itq.unit_vectors(rows, 64)
+    tracemalloc.start()
+    got = itq.unit_matrix(column, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want) and peak < 4 * got.nbytes
