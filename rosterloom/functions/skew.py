@@ -97,13 +97,15 @@ def carry(
             base = base.join(F.broadcast(cuts), _same_keys(base, cuts, keys), "left").select(*base.columns, piece)
 
     inside = W.partitionBy(*whole).orderBy(*order)
-    upto, onward = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(0, W.unboundedFollowing)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    # from the end backwards: a frame that reaches to the last row is computed anew for every row, the square of a piece
+    onward = W.partitionBy(*whole).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(W.unboundedPreceding, 0)
     local = {"_l_row": F.row_number().over(inside).cast("bigint")}
     local |= {o: F.sum(f"_v_{o}").over(upto) for o in sums}
     local |= {o: F.bit_xor(f"_v_{o}").over(upto) for o in xors}
     local |= {o: F.last(f"_v_{o}", ignorenulls=True).over(upto) for o in last}
     local |= {o: F.lag(f"_v_{o}").over(inside) for o in lag}
-    local |= {o: F.first(f"_v_{o}", ignorenulls=True).over(onward) for o in following}
+    local |= {o: F.last(f"_v_{o}", ignorenulls=True).over(onward) for o in following}
     rows = base.select(*whole, *[c for c in kept if c not in whole], *[e.alias(f"_l_{o}" if o in values else o) for o, e in local.items()])
     if cuts is None:
         out = [F.col("_l_row").alias(number)] if number else []

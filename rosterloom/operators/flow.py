@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rosterloom.functions import text as tx
 from rosterloom.functions.joins import join_on
 from rosterloom.functions.skew import numbered_by_range
-from rosterloom.session import durable
+from rosterloom.session import durable, spread
 from rosterloom.sources import commit, sinks
 
 from . import reconcile, segment
@@ -48,14 +48,15 @@ def directory_entries(
 
     The first filled cell is a name; a second that is one of ``places`` is its category, any other makes it an Employee.
     """
-    marked = segment.mark_sections(rows, doc, order, cells, tree, "org_name")
+    # one step reads the rows of the one before again and again, so each is settled; the cells are read by all tasks
+    marked = durable(segment.mark_sections(spread(rows, doc, order), doc, order, cells, tree, "org_name"))
     numbered = segment.segments(marked, doc, order).where("row_kind = 'data' AND segment_title IS NOT NULL")
     filled = F.filter(F.transform(cells, tx.clean), lambda c: c != "")
     kind = F.get(filled, F.lit(1))
-    read = numbered.select(
+    read = durable(numbered.select(
         F.lower(F.trim("segment_title")).alias("title"), F.get(filled, F.lit(0)).alias("name"),
         F.when(kind.isin(list(places)), kind).otherwise("Employee").alias("category"),
-    )
+    ))
     names = tree.select("org_id", "org_name", "parent_id", F.lower(F.trim("org_name")).alias("key"))
     titles = read.select("title").distinct()
     found = match_station(titles, "title", names.where("parent_id IS NOT NULL"), names.where("parent_id IS NULL"), "org_id", "key")

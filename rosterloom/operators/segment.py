@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rosterloom.functions import text as tx
 from rosterloom.functions.contain import contained
 from rosterloom.functions.skew import carry
+from rosterloom.session import durable
 
 # Fixed values.
 NUMBERED_TITLE = r"^[0-9]+(\.[0-9]+)*\.\s*[A-Za-z]"
@@ -66,11 +67,14 @@ def mark_sections(rows: DataFrame, doc: str, order: str, cells: str, names: Data
     text resolves to a known name (equal, or one inside the other).
     """
     filled = F.filter(F.transform(cells, tx.clean), lambda c: c != "")
-    first = F.coalesce(F.get("_cells", F.lit(0)), F.lit(""))
-    header = is_header_row(F.col("_cells"))
-    repeats = (F.size("_cells") >= 2) & (F.size(F.array_distinct("_cells")) == 1) & ~header
-    rows = rows.withColumn("_cells", filled)
-    rows = rows.withColumn("_key", F.when(repeats, F.lower(tx.strip_serial(first))))
+    # what the cells say is settled once: every count, sample and window below reads the rows again
+    read = F.transform(F.array(filled), lambda c: F.struct(
+        F.coalesce(F.get(c, F.lit(0)), F.lit("")).alias("first"), F.size(c).alias("n"), is_header_row(c).alias("header"), F.size(F.array_distinct(c)).alias("kinds"),
+    ))
+    rows = rows.withColumn("_read", F.get(read, F.lit(0)))
+    first, header = F.col("_read.first"), F.col("_read.header")
+    repeats = (F.col("_read.n") >= 2) & (F.col("_read.kinds") == 1) & ~header
+    rows = durable(rows.withColumn("_key", F.when(repeats, F.lower(tx.strip_serial(first)))))
 
     # banner texts that resolve to a known name
     keys = rows.where(F.col("_key").isNotNull()).select("_key").distinct()
@@ -84,12 +88,12 @@ def mark_sections(rows: DataFrame, doc: str, order: str, cells: str, names: Data
     )
 
     # both windows run in the document's own partition: one exchange unless a document is cut
-    rows = carry(rows, [doc], [order], number="_no")
+    rows = durable(carry(rows, [doc], [order], number="_no"))
     rows = carry(rows, [doc], ["_no"], following={"_next_header": F.when(header, F.col("_no"))})
     rows = rows.join(known, "_key", "left")
     confirmed = F.coalesce((F.col("_next_header") - F.col("_no")) <= 2, F.lit(False)) & F.coalesce("_known", F.lit(False))
     kind = (
-        F.when(F.size("_cells") == 0, "blank")
+        F.when(F.col("_read.n") == 0, "blank")
         .when(first.rlike(NUMBERED_TITLE), "title")
         .when(repeats & confirmed, "banner")
         .when(repeats, "noise_banner")
@@ -98,7 +102,7 @@ def mark_sections(rows: DataFrame, doc: str, order: str, cells: str, names: Data
     )
     out = rows.withColumn("row_kind", kind).withColumn("is_break", F.col("row_kind").isin("title", "banner"))
     return out.withColumn("section_title", F.when(F.col("is_break"), tx.strip_serial(first))).drop(
-        "_cells", "_no", "_next_header", "_key", "_known"
+        "_read", "_no", "_next_header", "_key", "_known"
     )
 
 

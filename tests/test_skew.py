@@ -84,6 +84,15 @@ def test_following_equals_window(data, rows, ranges):
     assert rows(carry(data, ["k"], ["pos", "id"], following={"next": F.col("v")}, ranges=ranges), "id", "next") == wanted
 
 
+@pytest.mark.parametrize("ranges", [None, 9])
+def test_following_is_linear(data, ranges):
+    """A frame from a row to the end of its piece is computed anew for every row; only the summaries, a row a piece, may have one."""
+    got = carry(data, ["k"], ["pos", "id"], number="no", following={"next": F.col("v")}, ranges=ranges)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    inside = [line for line in plan.splitlines() if "_l_next" in line and "Window" in line]
+    assert inside and not any("unboundedfollowing" in line for line in inside)
+
+
 @pytest.mark.parametrize("ranges", [None, 13])
 def test_carry_without_keys_and_of_nothing(data, rows, ranges):
     got = carry(data, [], ["pos", "id"], number="no", sums={"total": F.col("id")}, xors={"signs": F.xxhash64("id")}, ranges=ranges)
