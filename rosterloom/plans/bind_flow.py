@@ -16,7 +16,7 @@ DOCUMENT = """
       FROM (SELECT person_id, person_name, title, mobile, CASE WHEN balance BETWEEN 7000 AND 7400 THEN (org_id + 1) % 25 ELSE org_id END AS listed FROM {person} WHERE balance > 300)
     UNION ALL SELECT org_id % 5, org_id * 1000000000 + 500000000 + place_id, label || '|Control Room|' || phone FROM {place} WHERE category = 'Control Room' AND org_id < 25 AND place_id % 4 <> 0
     UNION ALL SELECT 0, 900000000000, '99. Vendors and others'
-    UNION ALL SELECT 0, 900000000000 + head_id, role_title || ' of ' || CAST(head_id AS STRING) || '|Agent|' || mobile FROM {head}"""
+    UNION ALL SELECT 0, 900000000001 + head_id, role_title || ' of ' || CAST(head_id AS STRING) || '|Agent|' || mobile FROM {head}"""
 STORED = """
     SELECT o.org_name AS station, 'Employee' AS category, p.person_name AS name FROM {person} p JOIN {org} o ON o.org_id = p.org_id
     UNION ALL SELECT o.org_name, 'Control Room', CASE WHEN p.place_id % 3 = 0 THEN replace(p.label, ' ', '-') ELSE p.label END FROM {place} p JOIN {org} o ON o.org_id = p.org_id WHERE p.category = 'Control Room' AND p.org_id < 25"""

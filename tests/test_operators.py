@@ -349,3 +349,17 @@ def test_digits_inside_an_address_are_no_shared_number(spark):
     held = spark.createDataFrame(rows, "owner int, text string, email string")
     got = {(r.value, r.owner, r.n_owners) for r in dedupe.shared_values(held, "owner", "text", email="email").collect()}
     assert got == {("12345678", 1, 2), ("12345678", 2, 2), ("b.00000001@x.org", 3, 2), ("b.00000001@x.org", 4, 2)}
+
+
+def test_rows_of_the_directory_document_have_places_of_their_own(spark):
+    """Also with keys from 0: else the first vendor may come before the title of the vendors."""
+    from rosterloom.plans.bind_flow import DOCUMENT
+
+    tables = {
+        "org": "SELECT id AS org_id, 'N' || id AS org_name FROM range(3)",
+        "person": "SELECT id AS person_id, 'p' AS person_name, 't' AS title, 'm' AS mobile, 400.0 + 6650 * id AS balance, id AS org_id FROM range(2)",
+        "place": "SELECT id AS place_id, 'l' AS label, '1' AS phone, 'Control Room' AS category, 0L AS org_id FROM range(3)",
+        "head": "SELECT id AS head_id, 'Agent' AS role_title, '1' AS mobile FROM range(2)",
+    }
+    rows = spark.sql(DOCUMENT, **{n: spark.sql(q) for n, q in tables.items()})
+    assert rows.count() == rows.select("doc_id", "row_no").distinct().count() == 13
