@@ -10,7 +10,8 @@ import pickle
 import sys
 from collections.abc import Iterable, Iterator, Sequence
 from heapq import merge
-from itertools import chain, islice
+from itertools import chain, groupby, islice
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -139,19 +140,25 @@ HISTORY = "event_id bigint, person_id bigint, ts timestamp, old_status string, n
 CHUNK = 256  # rows of one stored value
 FAN = 64  # runs that are merged at once
 OUT = 4096  # rows of one result frame
+BUCKETS = 256  # groups of persons that share a call; a running stream keeps its number
+
+
+def _at(row: tuple) -> tuple:
+    return row[:4]
 
 
 class StatusMachine(StatefulProcessor):
     """Per person: the current status and whether the roles are still open.
 
-    Rows of a batch come unordered, in frames.  One frame is sorted as it is.  Of a person with several, every frame is sorted
+    A key is a bucket of persons, so calls and frames follow the rows and not the persons; the state is a map by person.
+    Rows of a batch come unordered, in frames.  One frame is sorted as it is.  Of a bucket with several, every frame is sorted
     and put into the state as a run of chunks; the runs are merged ``FAN`` at a time, a chunk of each held, and the
     status is carried along the merged rows.  So a person with all rows of a batch needs the memory of a frame.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("status", StringType()), StructField("roles", StringType())])
-        self._state = handle.getValueState("status", schema)
+        self._state = handle.getMapState("status", "person bigint", schema)
         self._runs = handle.getMapState("runs", "run int, chunk int", "rows binary")
 
     def _put(self, run: int, rows: Iterable[tuple]) -> int:
@@ -167,33 +174,30 @@ class StatusMachine(StatefulProcessor):
             self._runs.removeKey((run, c))
             yield from pickle.loads(rows)
 
-    def _ordered(self, frames: Iterator[pd.DataFrame], first: pd.DataFrame) -> Iterator[tuple]:
-        """(time, event_id, status) of all frames in order; statuses that are none are left out."""
+    def _ordered(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """(person, time, event_id, status, start) of all frames in order; a status that is none is empty."""
 
         def rows_of(frame: pd.DataFrame) -> list[tuple]:
-            valid = frame[frame["new_status"].isin(STATUSES)]
-            return sorted(zip(valid["ts"].astype("int64").tolist(), valid["event_id"].tolist(), valid["new_status"].tolist()))
+            new = frame["new_status"].where(frame["new_status"].isin(STATUSES), "")
+            ids = frame["person_id"].tolist(), frame["ts"].astype("int64").tolist(), frame["event_id"].tolist()
+            return sorted(zip(*ids, new.tolist(), frame["start_status"].tolist()), key=_at)
 
-        second = next(frames, None)
+        first, second = next(frames), next(frames, None)
         if second is None:
             yield from rows_of(first)
             return
         runs, number = [], 0
         for frame in chain((first, second), frames):
             if len(runs) == FAN:
-                merged = self._put(number, merge(*[self._take(*r) for r in runs]))
+                merged = self._put(number, merge(*[self._take(*r) for r in runs], key=_at))
                 runs, number = [(number, merged)], number + 1
             runs.append((number, self._put(number, rows_of(frame))))
             number += 1
-        yield from merge(*[self._take(*r) for r in runs])
+        yield from merge(*[self._take(*r) for r in runs], key=_at)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         frames = iter(rows)
         first = next(frames)
-        if self._state.exists():
-            status, roles = self._state.get()
-        else:
-            status, roles = first["start_status"].iloc[0], "open"
         kind, out = first["ts"].dtype, []
         names = ["event_id", "person_id", "ts", "old_status", "new_status", "ends_role"]
 
@@ -202,28 +206,35 @@ class StatusMachine(StatefulProcessor):
             done["ts"] = pd.Series([r[2] for r in out], dtype="int64").astype(kind)
             return done
 
-        for ts, event_id, new in self._ordered(frames, first):
-            if new == status:
-                continue
-            ends = roles == "open" and new != "ACTIVE"
-            out.append((event_id, key[0], ts, status, new, ends))
-            status, roles = new, "ended" if ends else roles
-            if len(out) == OUT:
-                yield frame()
-                out = []
-        self._state.update((status, roles))
+        for person, changes in groupby(self._ordered(chain((first,), frames)), key=itemgetter(0)):
+            known = self._state.getValue((person,))
+            status, roles = known or (None, "open")
+            for n, (_, ts, event_id, new, start) in enumerate(changes):
+                if n == 0 and known is None:
+                    status = start
+                if new in ("", status):
+                    continue
+                ends = roles == "open" and new != "ACTIVE"
+                out.append((event_id, person, ts, status, new, ends))
+                status, roles = new, "ended" if ends else roles
+                if len(out) == OUT:
+                    yield frame()
+                    out = []
+            if known is None or (status, roles) != tuple(known):
+                self._state.updateValue((person,), (status, roles))
         yield frame()
 
     def close(self) -> None:
         pass
 
 
-def status_machine(stream: DataFrame, people: DataFrame) -> DataFrame:
+def status_machine(stream: DataFrame, people: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Valid status changes of a stream (event_id, person_id, ts, new_status), and
     which one ends the person's open roles.  Needs the RocksDB state store."""
     start = people.select("person_id", F.col("status").alias("start_status"))
     rows = stream.join(start, "person_id").select("person_id", "event_id", "ts", "new_status", "start_status")
-    return rows.groupBy("person_id").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("person_id"), F.lit(buckets)).alias("_bucket")
+    return rows.select(bucket, "*").groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=StatusMachine(), outputStructType=HISTORY, outputMode="append", timeMode="none"
     )
 

@@ -62,6 +62,21 @@ def test_a_hot_person_is_sorted_in_runs(spark, rows, tmp_path, monkeypatch):
     assert rows(got.where("ends_role"), "person_id", "event_id") == rows(first)
 
 
+def test_a_call_covers_a_bucket_of_persons(spark, rows, tmp_path):
+    """Calls follow buckets, not persons; the state is told apart by person, over batches and between buckets of any number."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sm.ROCKSDB)
+    events = write_log(spark, str(tmp_path / "log"))
+    people = spark.createDataFrame([(i, "ACTIVE" if i % 2 else "RETIRED") for i in range(5)], "person_id long, status string")
+    log = sm.read_log(spark, str(tmp_path / "log"), files_per_batch=1)
+    want = hs.apply_status(events, people)
+    cols = ["event_id", "person_id", "ts", "old_status", "new_status"]
+    first = want.where("new_status <> 'ACTIVE'").groupBy("person_id").agg(F.min("event_id"))
+    for buckets in (1, 3):
+        got = sm.land(sm.status_machine(log, people, buckets), str(tmp_path / f"out{buckets}"), str(tmp_path / f"state{buckets}"))
+        assert rows(got, *cols) == rows(want, *cols)
+        assert rows(got.where("ends_role"), "person_id", "event_id") == rows(first)
+
+
 @pytest.mark.parametrize("fold", [2, 16])
 def test_status_batches_equal_the_machine(spark, rows, tmp_path, fold):
     events = write_log(spark, str(tmp_path / "log"))
