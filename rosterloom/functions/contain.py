@@ -1,9 +1,10 @@
 """Containment joins without a nested loop.
 
-A name contains another only if it holds every run of signs of it.  So the longer side sends its runs of ``GRAM`` signs, the
-shorter side asks for its rarest one, and the few that meet are compared whole: the rows grow with the length of
-the names, neither with the lengths that occur nor with pairs, also when a third of the names share a prefix.
-Names are made distinct before and joined back after.
+A name contains another only if it holds every run of signs of it.  So the longer side sends its runs, the shorter side
+asks for its rarest one, and the few that meet are compared whole.  A name asks by the longest runs of ``RUNS`` signs that it
+has: the more names of digits there are, the more share a run of four, but few share one nearly as long as the
+name.  The rows grow with the length of the names, neither with the lengths that occur nor with pairs, also when a third of
+the names share a prefix.  Names are made distinct before and joined back after.
 
 Long texts are looked up for many terms inside their scan, so only hits leave it: by an automaton of all terms over Arrow
 batches, or, where the terms are too many to travel, by anchors behind a Bloom filter.
@@ -26,7 +27,8 @@ from rosterloom.session import durable, spread
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_LENGTH = 4
-GRAM = 4  # signs of a run, and of an anchor that is looked for inside words
+GRAM = 4  # signs of an anchor that is looked for inside words
+RUNS = (1, 2, 3, 4, 8, 16)  # signs of a run
 
 
 def contained(
@@ -36,15 +38,24 @@ def contained(
 
     Equal texts count as contained.  Texts under ``min_length`` are left out.
     """
+    met = _met(longer, long_col, shorter, short_col, min_length)
+    return met.where(F.col(long_col).contains(F.col(short_col)))
+
+
+def _met(longer: DataFrame, long_col: str, shorter: DataFrame, short_col: str, min_length: int) -> DataFrame:
+    """(``long_col``, ``short_col``) of the texts where the longer holds the rarest run of the shorter."""
     lo = longer.select(F.col(long_col)).where(F.length(long_col) >= min_length).distinct()
-    sh = durable(shorter.select(F.col(short_col)).where(F.length(short_col) >= min_length).distinct())
-    size = F.least(F.length(short_col), F.lit(GRAM))
-    sizes = sh.agg(F.sort_array(F.collect_set(size))).scalar()  # at most GRAM numbers
+    longest = lo.agg(F.max(F.length(long_col))).scalar()
+    sh = shorter.select(F.col(short_col)).where((F.length(short_col) >= min_length) & (F.length(short_col) <= longest))
+    sh = durable(sh.distinct())
+    size = F.greatest(*[F.when(F.length(short_col) >= n, n) for n in RUNS])
+    sizes = sh.agg(F.sort_array(F.collect_set(size))).scalar()  # some of RUNS
 
     def runs(df: DataFrame, col: str, n: Column) -> DataFrame:
         sized = df.select(col, n.alias("_n")).where(F.col("_n") <= F.length(col))
         starts = F.sequence(F.lit(1), F.length(col) - F.col("_n") + 1)
-        return sized.select(col, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(col), i, F.col("_n"))))).alias("_g"))
+        # a long for a run; two that meet by chance fail the comparison
+        return sized.select(col, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(col), i, F.col("_n")))))).alias("_g"))
 
     held = runs(spread(lo, long_col), long_col, F.explode(sizes))
     often = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
@@ -52,7 +63,7 @@ def contained(
         F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), F.col("_g").alias("g"))).alias("_r")
     )
     asked = asked.where("_r.often > 0").select(short_col, F.col("_r.g").alias("_g"))
-    return held.join(asked, "_g").where(F.col(long_col).contains(F.col(short_col))).select(long_col, short_col)
+    return held.join(asked, "_g").select(long_col, short_col)
 
 
 def too_short(df: DataFrame, text: Column, min_length: int = MIN_LENGTH) -> DataFrame:

@@ -5,11 +5,12 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.functions.bloom import filter_of
-from rosterloom.functions.contain import contained, terms_in_texts
+from rosterloom.functions.contain import _met, contained, terms_in_texts
 from rosterloom.functions.similar import block_ratios, edit_similarities, matcher_ratio, nearest, ratio_pairs, similar_pairs
 from rosterloom.operators import pairing
 from rosterloom.operators import reconcile as rc
@@ -149,6 +150,16 @@ def test_contained(spark):
     assert got == {(x, y) for x in names for y in names if y in x and len(y) >= 3}
 
 
+def test_names_of_digits_meet_few(spark):
+    """Names that share all their runs of four with many others meet by longer runs; no pair is lost."""
+    short = ["unit " + np.base_repr(i * 7 % 6561, 3).zfill(8) for i in range(2000)] + ["unit 1", "unit 12", "nit", "9999"]
+    long = [f"{s}{i % 3}" for i, s in enumerate(short[:2000])] + ["unit", "a unit 12 of a long name, longer than all runs"]
+    lo, sh = (spark.createDataFrame([(x,) for x in side], f"{c} string") for side, c in ((long, "l"), (short, "s")))
+    want = {(x, y) for x in long for y in short if y in x}
+    assert {tuple(r) for r in contained(lo, "l", sh, "s", 3).collect()} == want
+    assert _met(lo, "l", sh, "s", 3).count() < 2 * len(want)
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_terms_in_texts(spark, most):
     texts = ["The quick, brown fox", "quicker than a fox - or not", "", "foxes;;run", "Über quick brownies", "no ; ; here", "a,b"]
