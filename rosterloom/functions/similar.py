@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from rosterloom.session import durable, spread
 
@@ -293,6 +293,61 @@ def _within_one(a: DataFrame, b: DataFrame, block: Sequence[str]) -> DataFrame:
     return a.select(*block, "a_name", forms("a_name")).join(b.select(*block, "b_name", forms("b_name")), [*block, "_v"]).select(*block, "a_name", "b_name")
 
 
+TWO = 32  # signs of the longest names that are looked up without two of them: half the square of the length each
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _two_less(names: pd.Series, block: pd.Series) -> pd.Series:
+    """A long for each distinct form of a name without two signs at most, and its ``block``.
+
+    A form is the sum of its signs times powers of an odd number by their places, so that of the signs behind one that is left
+    out is divided by it: all forms of a name come from its running sums.  Two that meet by chance fail the edits.
+    """
+    import numpy as np
+    import pandas as pd
+
+    base, mix = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+    less = np.array([1, pow(base, -1, 1 << 64), pow(base, -2, 1 << 64)], dtype=np.uint64)
+    lengths, own = names.str.len().to_numpy(), block.to_numpy().view(np.uint64)
+    out = np.empty(len(names), dtype=object)
+    for n in np.unique(lengths).tolist():
+        i, j = np.triu_indices(n, 1)
+        powers = np.array([pow(base, k, 1 << 64) for k in range(n)], dtype=np.uint64)
+        rows = np.flatnonzero(lengths == n)
+        for part in np.array_split(rows, -(-len(rows) // 1024)):
+            signs = (_signs(names.iloc[part].tolist(), 0).astype(np.uint64) + np.uint64(1)) * np.uint64(mix)
+            signs ^= signs >> np.uint64(29)
+            sums = np.zeros((len(part), n + 1), dtype=np.uint64)
+            np.cumsum(signs * powers, axis=1, out=sums[:, 1:])
+            whole, behind = sums[:, -1:], sums[:, 1:]
+            one = sums[:, :-1] + (whole - behind) * less[1]
+            two = sums[:, i] + (sums[:, j] - behind[:, i]) * less[1] + (whole - behind[:, j]) * less[2]
+            keys = np.concatenate([whole, one + np.uint64(mix), two + np.uint64(2 * mix % (1 << 64))], axis=1) - np.uint64(n * mix % (1 << 64))
+            keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(base) + own[part, None]
+            keys.sort(axis=1)
+            new = np.ones(keys.shape, dtype=bool)
+            new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            for at, k, some in zip(part, keys.view(np.int64), new):
+                out[at] = k[some]
+    return pd.Series(out)
+
+
+def _within_two(a: DataFrame, b: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Pairs within two edits, of the names of ``a`` up to ``TWO`` signs: they share what is left without two signs of either.
+
+    Names of a dense block differ in few signs that stand anywhere, so this meets few others where pieces meet all.
+    """
+    forms = lambda df, name, longest: df.where(F.length(name) <= longest).select(
+        *block, name, F.explode(_two_less(F.col(name), F.xxhash64(*block))).alias("_key")
+    )
+    asked = forms(b, "b_name", TWO + 2).select("_key", "b_name", *[F.col(c).alias(f"_b_{c}") for c in block])
+    met = forms(a, "a_name", TWO).join(asked.hint("merge"), "_key")  # a few hundred rows a name, not to be broadcast
+    for c in block:
+        met = met.where(F.col(c) == F.col(f"_b_{c}"))
+    # a pair comes once per form it shares
+    return met.where(F.call_function("levenshtein", F.col("a_name"), F.col("b_name"), F.lit(2)) >= 0).select(*block, "a_name", "b_name")
+
+
 def _best(scored: DataFrame, block: Sequence[str]) -> DataFrame:
     order = F.struct(-F.col("similarity"), F.col("b_name"))
     return scored.groupBy(*block, "a_name").agg(F.min_by("b_name", order).alias("b_name"), F.max("similarity").alias("similarity"))
@@ -389,7 +444,7 @@ def nearest(
 ) -> DataFrame:
     """Best partner of each distinct name of ``a`` in its block, ties by name, by edits or by matching ``blocks``.
 
-    Equal names, and by edits those within one edit that no farther name can beat, are settled first; the others are
+    Equal names, and by edits those within one edit, then two, that no farther name can beat, are settled first; the others are
     compared in cells, as the names of a dense block of like names share their pieces.
     """
     m = measure(threshold, blocks)
@@ -397,11 +452,18 @@ def nearest(
     if blocks:
         near = na.join(nb.withColumn("a_name", F.col("b_name")), [*block, "a_name"]).select(*block, "a_name", "b_name")
         near = durable(near.withColumn("similarity", F.lit(1.0)))
-        settled = near
+        left = durable(na.join(near.select(*block, "a_name"), [*block, "a_name"], "left_anti"))
     else:
-        near = _within_one(na, nb, block).withColumn("similarity", similarity(F.col("a_name"), F.col("b_name")))
-        near = durable(_best(near.where(F.col("similarity") >= threshold), block))
-        edits = F.levenshtein("a_name", "b_name")
-        settled = near.where((edits == 0) | ((edits == 1) & (F.length("a_name") > 2)))
-    left = durable(na.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti"))
+        scored = lambda pairs: pairs.withColumn("similarity", similarity(F.col("a_name"), F.col("b_name"))).where(F.col("similarity") >= threshold)
+        edits, n = F.levenshtein("a_name", "b_name"), F.length("a_name")
+        near = durable(_best(scored(_within_one(na, nb, block)), block))
+        settled = near.where((edits == 0) | ((edits == 1) & (n > 2)))
+        left = durable(spread(na.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti"), *block, "a_name"))
+        if not left.isEmpty():
+            two = durable(_best(scored(_within_two(left, nb, block)), block))
+            near = near.unionByName(two)
+            settled = two.where((edits <= 2) & (n > 6))
+            # all within two edits are found: of the others only those count that three may leave at the threshold
+            farther = (n <= 6) | (n > TWO) | (1 - 3 / (n + 3) >= threshold - EPS)
+            left = durable(left.where(farther).join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti"))
     return _best(near.unionByName(_nearest_in_cells(left, nb, block, threshold, blocks)), block)

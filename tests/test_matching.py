@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rosterloom.functions import similar
 from rosterloom.functions.bloom import filter_of
 from rosterloom.functions.contain import _met, contained, terms_in_texts
 from rosterloom.functions.similar import block_ratios, edit_similarities, matcher_ratio, nearest, ratio_pairs, similar_pairs
@@ -143,6 +144,33 @@ def test_matcher_ratio(spark):
     assert [r[0] for r in df.select(matcher_ratio("a", "b")).collect()] == [0.75, 1.0, SequenceMatcher(None, *long).ratio()]
 
 
+def test_names_within_two_edits_are_settled_before_the_cells(spark, monkeypatch):
+    """Of a dense block only names without a partner within two edits are compared with all; ties, short and long names too."""
+    rng = random.Random(11)
+    right = sorted({f"customer {rng.randrange(2000):09d}" for _ in range(150)} | {"ab", "abcdef", "abcxyz", "x" * 40, "y" * 33})
+    swapped = [n.replace("tomer", "tmoer") for n in right[:60] if "tomer" in n]
+    left = [*swapped, "cusztomeq 000000100", "customer 99999", "abcdxf", "ba", "é𝄞customer 000000100", "x" * 38 + "yy", "q" * 32]
+    da, db = (spark.createDataFrame([(g, n) for g in (None, 1) for n in side], f"g int, {c} string") for side, c in ((left, "x"), (right, "y")))
+    compared, cells = [], similar._nearest_in_cells
+
+    def seen(a, *rest):
+        compared.extend(r.a_name for r in a.collect())
+        return cells(a, *rest)
+
+    monkeypatch.setattr(similar, "_nearest_in_cells", seen)
+    block = F.struct("g").alias("g")
+    got = {(r.g.g, r.a_name): (r.b_name, r.similarity) for r in nearest(da.select(block, "x"), "x", db.select(block, "y"), "y", ["g"], 0.82).collect()}
+    want = {}
+    for a in left:
+        best = min(((-sim(a, b), b) for b in right if sim(a, b) >= 0.82), default=None)
+        if best:
+            want |= {(g, a): (best[1], -best[0]) for g in (None, 1)}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert not set(compared) & set(swapped)  # all of them before
+    assert "x" * 38 + "yy" in compared
+
+
 def test_contained(spark):
     names = noisy_names(5, 80) + ["gas", "gas yard", "north yard gas yard"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
