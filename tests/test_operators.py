@@ -389,3 +389,38 @@ def test_list_totals_are_those_of_the_members(spark):
     want = {(x.list_id, x.n, x.a, x.e or 0) for x in counts.join(mails, "list_id", "left").collect()}
     got = {tuple(x) for x in ct.list_totals(*given, contacts).collect()}
     assert got == want and len(want) > 100
+
+
+def test_list_members_are_written_once(spark):
+    """Members by the rules and manual changes, against a loop over lists and people; and no join moves the members again."""
+    r = "list_id long, filter_type string, org_id long, category string, state string, role string, status string, person_id long"
+    kinds = {"ORGANIZATION": 0, "ORGANIZATION_CATEGORY": 1, "ORGANIZATION_SUBCATEGORY": 2, "ROLE": 3, "STATUS": 4, "INCLUDE_EMPLOYEE": 5, "EXCLUDE_EMPLOYEE": 5}
+    rules = [(l, "ORGANIZATION", 1 + l % 3) for l in range(0, 150, 2)] + [(l, "ORGANIZATION_CATEGORY", "G") for l in range(0, 150, 11)]
+    rules += [(l, "ORGANIZATION_SUBCATEGORY", "N") for l in range(0, 150, 13)] + [(l, "ROLE", "KMP") for l in range(0, 150, 5)]
+    rules += [(l, "ROLE", "ADMINISTRATIVE_HEAD") for l in range(0, 150, 9)] + [(l, "STATUS", "RETIRED") for l in range(0, 150, 7)]
+    rules += [(l, ["INCLUDE_EMPLOYEE", "EXCLUDE_EMPLOYEE"][l * p % 2], p) for l in range(150) for p in range(14) if (l + p) % 3 == 0]
+    rules += [(3, "INCLUDE_EMPLOYEE", 6), (3, "EXCLUDE_EMPLOYEE", 6)] + [(l, "EXCLUDE_EMPLOYEE", 1) for l in range(150)]
+    people = [(p, [1, 2, 3, None][p % 4], ["ACTIVE", "RETIRED"][p % 5 == 0], p % 3 == 0) for p in range(12)]
+    orgs = [(1, "G", "N"), (2, "T", "N"), (3, "G", "S")]
+    heads = [(1, 1, None), (2, 2, 4), (3, 3, None)]
+    found = ct.resolve_list(
+        spark.createDataFrame([(l, k, *[v if i == kinds[k] else None for i in range(6)]) for l, k, v in rules], r),
+        spark.createDataFrame(people, "person_id long, org_id long, status string, is_kmp boolean"),
+        spark.createDataFrame(orgs, "org_id long, category string, state string"),
+        spark.createDataFrame(heads, "head_id long, org_id long, person_id long").selectExpr("*", "'ADMINISTRATIVE_HEAD' AS role_category", "'ACTIVE' AS status"),
+        spark.createDataFrame([(1,), (6,)], "person_id long"),
+    )
+    assert "FullOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    facts, want = {o: dict(zip(list(kinds)[:3], (o, c, s))) for o, c, s in orgs}, set()
+    for l in {x[0] for x in rules}:
+        of = lambda kind: {v for m, k, v in rules if m == l and k == kind}
+        fits = lambda org: all(not of(k) or facts.get(org, {}).get(k) in of(k) for k in list(kinds)[:3])
+        for p, org, status, kmp in people:
+            held = {"KMP"} if kmp else set()
+            held |= {"ADMINISTRATIVE_HEAD"} if p == 4 else set()
+            on = fits(org) and status in (of("STATUS") or {"ACTIVE"}) and (not of("ROLE") or of("ROLE") & held)
+            if p not in of("EXCLUDE_EMPLOYEE") and (on or p in of("INCLUDE_EMPLOYEE")):
+                want.add((l, "person", p))
+        want |= {(l, "role", h) for h, org, linked in heads if linked is None and fits(org) and "ADMINISTRATIVE_HEAD" in of("ROLE")}
+    got = [tuple(x) for x in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 400
