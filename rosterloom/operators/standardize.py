@@ -271,7 +271,8 @@ def repair_text(df: DataFrame, key: str, cols: Sequence[str]) -> Standardized:
     """One dash character, no replacement characters, split capitals rejoined."""
     def fixed(c: str) -> Column:
         out = tx.unify_dashes(F.col(c))
-        out = F.regexp_replace(out, r"\b([A-Z])\s+([A-Z]{2,})\b", "$1$2")
+        # the capitals it goes with may have accents
+        out = F.regexp_replace(out, r"\b([A-Z])\s+(\p{Lu}{2,})\b", "$1$2")
         return F.regexp_replace(out, r"\b([A-Z])\s+([a-z])", "$1$2")
 
     return standardize(df, key, {c: fixed(c) for c in cols}, "Repaired text")

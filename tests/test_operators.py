@@ -278,6 +278,13 @@ def test_standardizers_are_idempotent_and_order_independent(spark, rows):
         assert rows(job(df.repartition(3)).rows) == rows(job(df.coalesce(1)).rows)
 
 
+def test_split_capitals_with_accents(spark, rows):
+    """A split capital is rejoined to capitals with accents as to others; the end of a word is no split capital."""
+    given = [(1, "A BCÉ und"), (2, "N TPC"), (3, "LYCÉE de"), (4, "G adarwara"), (5, "A BCé"), (6, "D ÉLÉ")]
+    done = st.repair_text(spark.createDataFrame(given, "id long, t string"), "id", ["t"])
+    assert rows(done.rows, "id", "t") == [(1, "ABCÉ und"), (2, "NTPC"), (3, "LYCÉE de"), (4, "Gadarwara"), (5, "A BCé"), (6, "DÉLÉ")]
+
+
 def test_triage_first_rule_wins(spark, rows):
     df = spark.createDataFrame([(1, "ring"), (2, "hot ring"), (3, None)], "id long, name string")
     rules = [rc.Triage(Rule("False Positive", "name", contains=("hot",)), "High"), rc.Triage(Rule("Warning", "name", contains=("ring",)), "Medium")]
