@@ -132,6 +132,56 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(ratios(a.tolist(), b.tolist()))
 
 
+WORD = 64  # signs of the longest names of which a table of common signs is a word a row
+
+
+def common_signs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, of which ``a`` has ``WORD`` signs at most, all pairs side by side.
+
+    A row of the table is a word of bits, in which a zero is a sign more in common.
+    """
+    import numpy as np
+
+    sa, sb = _signs(a, -1), _signs(b, -2)
+    equal = np.zeros((len(sa), sb.shape[1], WORD), dtype=bool)
+    equal[:, :, : sa.shape[1]] = sb[:, :, None] == sa[:, None, :]
+    masks = np.packbits(equal, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    row = np.full(len(sa), ~np.uint64(0))
+    for j in range(masks.shape[1]):
+        hit = row & masks[:, j]
+        row = (row + hit) | (row - hit)
+    return np.bitwise_count(~row).astype(np.int64)
+
+
+def ratios_from(a: Sequence[str], b: Sequence[str], threshold: float) -> np.ndarray:
+    """``ratios`` of the pairs that reach the threshold, 0 for others that their common signs rule out.
+
+    Matching blocks are a common subsequence, so no ratio exceeds that of the longest.
+    """
+    import numpy as np
+
+    la, lb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    may = np.ones(len(la), dtype=bool)
+    short = np.flatnonzero((la <= WORD) & (lb <= WORD) & (la + lb > 0))
+    for part in np.array_split(short, max(1, len(short) // 1024)):
+        common = common_signs([a[i] for i in part], [b[i] for i in part])
+        may[part] = 2.0 * common / (la[part] + lb[part]) >= threshold
+    out = np.zeros(len(la))
+    rest = np.flatnonzero(may)
+    out[rest] = ratios([a[i] for i in rest], [b[i] for i in rest])
+    return out
+
+
+def matcher_ratio_from(threshold: float):
+    """``matcher_ratio`` of the pairs that reach the threshold; others may get 0."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio_from(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(ratios_from(a.tolist(), b.tolist(), threshold))
+
+    return ratio_from
+
+
 @dataclass(frozen=True)
 class Measure:
     """A score with its bounds: the edits that a pair may have whose shorter name has length l (``edits``) or whose lengths
@@ -166,7 +216,7 @@ def by_blocks(threshold: float) -> Measure:
     if threshold <= 2 / 3:
         raise ValueError("a threshold above 2/3 is needed")
     return Measure(
-        matcher_ratio,
+        matcher_ratio_from(threshold),
         lambda l: F.floor(l * (2 * (1 - threshold) / threshold) + EPS).cast("int"),
         lambda n, l: F.floor((n + l) * (1 - threshold) + EPS).cast("int"),
         lambda m: F.ceil(m * (threshold / (2 - threshold)) - EPS).cast("int"),
@@ -265,12 +315,34 @@ def _scored(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float,
     return pairs.withColumn("similarity", m.score(F.col("a_name"), F.col("b_name"))).where(F.col("similarity") >= threshold)
 
 
+def _met(a: DataFrame, b: DataFrame, block: Sequence[str], m: Measure) -> DataFrame:
+    """(block, met): how often names of a block meet on pieces."""
+    index = _indexed(a, block, "a_name", m, 0).unionByName(_indexed(b, block, "b_name", m, 1))
+    index = index.groupBy(*[F.col(f"_b_{c}").alias(c) for c in block], "_key").agg(F.count(F.lit(1)).alias("_in"))
+    asks = _asked(b, block, "b_name", m, 0).unionByName(_asked(a, block, "a_name", m, 1))
+    asks = asks.groupBy(*block, "_key").agg(F.count(F.lit(1)).alias("_out"))
+    return index.join(asks, [*block, "_key"]).groupBy(*block).agg(F.sum(F.col("_in").cast("double") * F.col("_out")).alias("_met"))
+
+
 def similar_pairs(
     a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float, blocks: bool = False
 ) -> DataFrame:
-    """Every distinct pair of names in a block with a similarity of at least ``threshold``, by edits or by matching ``blocks``."""
+    """Every distinct pair of names in a block with a similarity of at least ``threshold``, by edits or by matching ``blocks``.
+
+    Names meet on pieces where these tell them apart; a block that is small, or whose names share most of their pieces, is
+    compared in cells, where looking at a pair costs about a hundredth of a meeting.
+    """
     na, nb = _names(a, block, a_col, "a_name"), _names(b, block, b_col, "b_name")
-    return _scored(na, nb, block, threshold, measure(threshold, blocks)).distinct()
+    m = measure(threshold, blocks)
+    count = lambda df, out: df.groupBy(*block).agg(F.count(F.lit(1)).cast("double").alias(out))
+    large = durable(count(na, "_a").join(count(nb, "_b"), list(block)).where(F.col("_a") * F.col("_b") > ASKED * (F.col("_a") + F.col("_b"))))
+    if large.isEmpty():
+        return _pairs_in_cells(na, nb, block, threshold, blocks)
+    within = lambda df, some, how: df.join(some.select(*block), list(block), how)
+    met = _met(within(na, large, "left_semi"), within(nb, large, "left_semi"), block, m)
+    told = durable(large.join(met, list(block), "left").where(F.coalesce("_met", F.lit(0.0)) * MEETING < F.col("_a") * F.col("_b")))
+    pieces = _scored(within(na, told, "left_semi"), within(nb, told, "left_semi"), block, threshold, m).distinct()
+    return pieces.unionByName(_pairs_in_cells(within(na, told, "left_anti"), within(nb, told, "left_anti"), block, threshold, blocks))
 
 
 def ratio_pairs(
@@ -356,13 +428,18 @@ def _best(scored: DataFrame, block: Sequence[str]) -> DataFrame:
 CELL = 16384  # names of a side that are compared with as many of the other in one group
 
 
+PAIRS = 4096  # the same where all pairs at the threshold leave the group
+ASKED = 10000  # pairs that are looked at in cells in the time that a name takes to ask by its pieces
+MEETING = 100  # and in that of a meeting
+
+
 def _cells(rows: DataFrame, name: str, block: Sequence[str], own: str, other: str, sizes: DataFrame) -> DataFrame:
     """The names of one side with their signatures, by the cells (_i, _j) of their block that they take part in."""
-    rows = rows.join(sizes, list(block))
+    rows = rows.withColumn("_runs", _signature(name, 2)).join(sizes, list(block))
     cut = F.pmod(F.xxhash64(F.lit(7), name), F.col(own)).cast("int")
     places = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
     i, j = (cut, places) if own == "_ci" else (places, cut)
-    rows = rows.select(*block, F.col(name), F.length(name).alias("_n"), "_sig", _signature(name, 2).alias("_runs"), i.alias("_i"), j.alias("_j"))
+    rows = rows.select(*block, F.col(name), F.length(name).alias("_n"), "_sig", "_runs", i.alias("_i"), j.alias("_j"))
     return spread(rows, *block, "_i", "_j")
 
 
@@ -439,6 +516,57 @@ def _nearest_in_cells(a: DataFrame, b: DataFrame, block: Sequence[str], threshol
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
 
 
+def _pairs_in_cells(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float, blocks: bool) -> DataFrame:
+    """(block, a_name, b_name, similarity) of all pairs at the threshold, looked at as in ``_nearest_in_cells``."""
+    # columns of their own, as both sides may come from one table
+    a, b = [df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (a, b)]
+    count = lambda df, out: df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias(out))
+    sizes = count(a, "_ci").join(count(b, "_cj"), list(block))
+    left, right = _cells(a, "a_name", block, "_ci", "_cj", sizes), _cells(b, "b_name", block, "_cj", "_ci", sizes)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in a.select(*block).schema]
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        names = [t[c].to_pylist() for t, c in ((x, "a_name"), (y, "b_name"))]
+        (n, sx, rx), (l, sy, ry) = [
+            (t["_n"].to_numpy().astype(np.int64), t["_sig"].to_numpy().view(np.uint64), t["_runs"].to_numpy().view(np.uint64)) for t in (x, y)
+        ]
+        bits = np.bitwise_count
+        at, to, score = [], [], []
+        for k in range(0, len(n), 128):
+            own = np.arange(k, min(k + 128, len(n)))
+            p = sx[own, None]
+            # signs that are left unmatched, or edits: each takes a sign from a side at most
+            least = bits(p ^ sy) if blocks else np.maximum(bits(p & ~sy), bits(sy & ~p))
+            both = n[own, None] + l if blocks else np.maximum(n[own, None], l)
+            i, j = np.nonzero(least <= np.floor(both * (1 - threshold) + EPS))
+            r, q = rx[own[i]], ry[j]
+            if blocks:  # and changes three runs of two at most
+                some = (bits(r ^ q) + 2) // 3 <= np.floor(both[i, j] * (1 - threshold) + EPS)
+            else:  # or two of a side
+                some = (np.maximum(bits(r & ~q), bits(q & ~r)) + 1) // 2 <= np.floor(both[i, j] * (1 - threshold) + EPS)
+            i, j = own[i[some]], j[some]
+            for s in range(0, len(i), 16384):
+                some_i, some_j = i[s : s + 16384], j[s : s + 16384]
+                pairs = [names[0][v] for v in some_i], [names[1][v] for v in some_j]
+                got = ratios_from(*pairs, threshold) if blocks else edit_similarities(*pairs)
+                fine = got >= threshold
+                at.append(some_i[fine])
+                to.append(some_j[fine])
+                score.append(got[fine])
+        none = np.zeros(0, dtype=np.int64)
+        at, to = np.concatenate([none, *at]), np.concatenate([none, *to])
+        out = x.select([*block, "a_name"]).take(pa.array(at))
+        out = out.append_column("b_name", y["b_name"].take(pa.array(to)))
+        return out.append_column("similarity", pa.array(np.concatenate([np.zeros(0), *score])))
+
+    keys = [*block, "_i", "_j"]
+    schema = ", ".join([*kinds, "a_name string", "b_name string", "similarity double"])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
+
+
 def nearest(
     a: DataFrame, a_col: str, b: DataFrame, b_col: str, block: Sequence[str], threshold: float, blocks: bool = False
 ) -> DataFrame:

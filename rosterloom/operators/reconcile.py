@@ -18,7 +18,7 @@ from rosterloom.functions.joins import join_on
 from rosterloom.functions.rules import Rule, first_match
 from rosterloom.functions.similar import similar_pairs
 from rosterloom.functions.skew import numbered_by_range
-from rosterloom.session import durable
+from rosterloom.session import durable, spread
 
 from . import pairing
 
@@ -212,8 +212,9 @@ def pair_fuzzy(findings: DataFrame, threshold: float = 0.88, min_length: int = 4
     ``min_length`` take no part: ``short_findings`` returns them.
     """
     block = ["station", "category"]
-    f = findings.select("finding_id", *block, "issue", tx.match_key(F.col("name")).alias("_k")).where(F.length("_k") >= min_length)
-    f = durable(f)  # slim, read by every step below
+    # dealt over all tasks, as a small file is one split; slim, read by every step below
+    f = spread(findings.select("finding_id", *block, "issue", "name"), "finding_id")
+    f = durable(f.withColumn("_k", tx.match_key(F.col("name"))).drop("name")).where(F.length("_k") >= min_length)
     missing = f.where("issue = 'Missing'").withColumnRenamed("finding_id", "missing_id")
     extra = f.where("issue = 'Extra'").withColumnRenamed("finding_id", "extra_id")
     edges = similar_pairs(missing, "_k", extra, "_k", block, threshold, blocks)

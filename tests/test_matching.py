@@ -293,3 +293,35 @@ def test_pair_artifacts_one_partner_each(spark, rows):
     ]
     df = spark.createDataFrame(data, "finding_id long, station string, category string, issue string, name string")
     assert rows(rc.pair_artifacts(df)) == [(1, 2, "equal label"), (4, 5, "generic label")]
+
+
+def test_pairs_of_a_dense_block_are_compared_in_cells(spark, monkeypatch):
+    """By either score, whichever way a block goes, the pairs are those of a loop; names that share their pieces go through cells."""
+    from rosterloom.functions import similar
+
+    a = [(g, f"hot bolt {i:03x} bay {i % 7}") for g in ("x", "y") for i in range(0, 300, 3)] + [(None, "hot bolt 001 bay 1")]
+    b = [(g, f"hat bolt {i:03x} bay {i % 5}") for g in ("x", "z", "y") for i in range(0, 300, 5)] + [(None, "hot bolt 001 bay 1")]
+    da, db = spark.createDataFrame(a, "g string, x string"), spark.createDataFrame(b, "g string, y string")
+    kept = similar._scored
+    for blocks in (False, True):
+        score = (lambda p, q: SequenceMatcher(None, p, q).ratio()) if blocks else (lambda p, q: edit_similarities([p], [q])[0])
+        want = sorted((g, p, q) for g, p in a for h, q in b if g is not None and g == h and score(p, q) >= 0.9)
+        assert want
+        for asked, meeting in ((10000, 100), (0, 100), (0, 0)):  # small, dense, told apart
+            monkeypatch.setattr(similar, "ASKED", asked)
+            monkeypatch.setattr(similar, "MEETING", meeting)
+            sent = []
+            monkeypatch.setattr(similar, "_scored", lambda na, *rest: sent.append(na.count()) or kept(na, *rest))
+            got = sorted((r.g, r.a_name, r.b_name) for r in similar.similar_pairs(da, "x", db, "y", ["g"], 0.9, blocks).collect())
+            assert got == want and sum(sent) == (200 if meeting == 0 else 0)
+
+
+def test_common_signs_rule_out_no_pair():
+    """No pair at the threshold is left out before its ratio, and few others get one."""
+    from rosterloom.functions.similar import ratios, ratios_from
+
+    a = [f"large ring {i % 251:03x} bay {i % 19}" for i in range(3000)] + ["", "x" * 64, "y" * 65, "é" * 3]
+    b = [f"larga rong {i * 7 % 251:03x} bay {i % 17}" for i in range(3000)] + ["", "x" * 63, "y" * 70, "é" * 3]
+    all_, some = ratios(a, b), ratios_from(a, b, 0.85)
+    assert ((all_ >= 0.85) == (some >= 0.85)).all() and (all_ >= 0.85).sum() > 10
+    assert (some[all_ >= 0.85] == all_[all_ >= 0.85]).all() and (some > 0).sum() < 0.2 * len(a)
