@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.bloom import filter_of
+from rosterloom.functions.joins import shuffled
 from rosterloom.session import durable, spread
 
 # the one Python function travels by value, so workers need no copy of this package
@@ -59,11 +60,11 @@ def _met(longer: DataFrame, long_col: str, shorter: DataFrame, short_col: str, m
 
     held = runs(spread(lo, long_col), long_col, F.explode(sizes))
     often = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
-    asked = runs(sh, short_col, size).join(often, "_g", "left").groupBy(short_col).agg(
+    asked = runs(sh, short_col, size).join(shuffled(often), "_g", "left").groupBy(short_col).agg(
         F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("often"), F.col("_g").alias("g"))).alias("_r")
     )
     asked = asked.where("_r.often > 0").select(short_col, F.col("_r.g").alias("_g"))
-    return held.join(asked, "_g").select(long_col, short_col)
+    return shuffled(held).join(asked, "_g").select(long_col, short_col)
 
 
 def too_short(df: DataFrame, text: Column, min_length: int = MIN_LENGTH) -> DataFrame:

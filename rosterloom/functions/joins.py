@@ -1,4 +1,4 @@
-"""Joins on keys in which null equals null, as in the tuples that reconciliation compares."""
+"""Joins on keys in which null equals null, as in the tuples that reconciliation compares; sides that are not broadcast."""
 
 from __future__ import annotations
 
@@ -22,3 +22,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: s
     key = (lambda k: F.coalesce(k, f"_r_{k}").alias(k)) if how == "full" else F.col
     rest = [c for c in left.columns if c not in keys]
     return joined.select(*map(key, keys), *rest, *[F.col(f"_r_{c}").alias(c) for c in right.columns if c not in keys])
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that meets the other by a shuffle, never whole in the driver.
+
+    Spark tells the size of checkpointed, exploded or grouped rows from the compressed files they came from, so millions of names
+    pass for a table small enough to be broadcast.
+    """
+    return df.hint("merge")

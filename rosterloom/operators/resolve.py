@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.contain import MIN_LENGTH, contained, terms_in_texts, too_short
+from rosterloom.functions.joins import shuffled
 from rosterloom.functions.similar import nearest
 from rosterloom.functions.skew import carry
 from rosterloom.session import durable
@@ -29,7 +30,7 @@ def match_contains(keys: DataFrame, key: str, dictionary: DataFrame, d_id: str,
     names = durable(dictionary.groupBy(F.col(d_key).alias("_name")).agg(F.min(d_id).alias(d_id)))
     inside = contained(keys, key, names, "_name")
     around = contained(names, "_name", keys, key).select(key, "_name")
-    pairs = inside.unionByName(around).join(names, "_name")
+    pairs = inside.unionByName(around).join(shuffled(names), "_name")
     gap = F.abs(F.length(key) - F.length("_name"))
     best = F.min(F.struct(gap.alias("gap"), F.col(d_id), F.col("_name").alias("name"))).alias("b")
     return pairs.groupBy(key).agg(best).select(key, f"b.{d_id}", "b.name", "b.gap")
