@@ -7,6 +7,8 @@ Pairs meet on pieces: k edits leave at least one of k + 1 pieces of the shorter
 that has moved by few positions.  So the shorter name is indexed under its pieces, by block, length, piece number and
 piece, and the longer one asks for the substrings that can be such a piece.  Both grow with the length of a name, not
 with its square, and every pair at or above the threshold is found.
+
+The best partner of a name alone is looked for in prefix trees of the names of its block.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import DoubleType
 
+from rosterloom.functions.joins import shuffled
 from rosterloom.session import durable, spread
 
 # the Python functions travel by value, so workers need no copy of this package
@@ -286,10 +289,10 @@ def _asked(names: DataFrame, block: Sequence[str], name: str, m: Measure, side:
     return rows.select(_key(block, side, piece), *block, F.col(name).alias("_y"), F.col("_sig").alias("_y_sig"))
 
 
-def _names(df: DataFrame, block: Sequence[str], col: str, out: str) -> DataFrame:
+def _names(df: DataFrame, block: Sequence[str], col: str, out: str, signed: bool = True) -> DataFrame:
     # checkpointed: the steps below read the distinct names again
     names = spread(df.where(F.length(col) > 0).select(*block, F.col(col).alias(out)).distinct(), *block, out)
-    return durable(names.withColumn("_sig", _signature(out)))
+    return durable(names.withColumn("_sig", _signature(out)) if signed else names)
 
 
 def _scored(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float, m: Measure) -> DataFrame:
@@ -352,77 +355,178 @@ def ratio_pairs(
     return similar_pairs(a, a_col, b, b_col, block, threshold, blocks=True)
 
 
-def _shorter_by_one(name: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(name)),
-        lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substr(name, i + 1)),
-    )
+def _best(scored: DataFrame, block: Sequence[str]) -> DataFrame:
+    order = F.struct(-F.col("similarity"), F.col("b_name"))
+    return scored.groupBy(*block, "a_name").agg(F.min_by("b_name", order).alias("b_name"), F.max("similarity").alias("similarity"))
+
+
+BLOCKS = 100_000  # blocks whose sizes may be sent to all tasks
+
+
+def _sizes(a: DataFrame, b: DataFrame, block: Sequence[str], size_a: int, size_b: int) -> DataFrame:
+    """(block, _ci, _cj): in how many parts of so many names the sides of each block are cut; few blocks are broadcast, and never the names."""
+    count = lambda df, size, out: df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(out))
+    sizes = durable(count(a, size_a, "_ci").join(shuffled(count(b, size_b, "_cj")), list(block)))
+    return F.broadcast(sizes) if sizes.count() <= BLOCKS else shuffled(sizes)
 
 
-def _within_one(a: DataFrame, b: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Pairs that share the name or what is left of it without one sign: all within one edit, few others."""
-    forms = lambda name: F.explode(F.array_distinct(F.concat(F.array(name), _shorter_by_one(F.col(name))))).alias("_v")
-    return a.select(*block, "a_name", forms("a_name")).join(b.select(*block, "b_name", forms("b_name")), [*block, "_v"]).select(*block, "a_name", "b_name")
+def _dealt(rows: DataFrame, name: str, block: Sequence[str], own: str, other: str, sizes: DataFrame) -> DataFrame:
+    """The rows of one side, by the cells (_i, _j) of their block that they take part in."""
+    cut = F.pmod(F.xxhash64(F.lit(7), name), F.col(own)).cast("int")
+    places = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+    i, j = (cut, places) if own == "_ci" else (places, cut)
+    return spread(rows.join(sizes, list(block)).select(*rows.columns, i.alias("_i"), j.alias("_j")), *block, "_i", "_j")
 
 
-TWO = 32  # signs of the longest names that are looked up without two of them: half the square of the length each
+SHORT = 32  # signs of the longest names that are looked up in a tree
+TREE = 262144  # names of a tree
+ASKING = 32768  # names that are looked up in a tree in one group
+FRONT = 1 << 20  # nodes that are looked at side by side
+FEW = 2048  # pairs of a block that are compared at once
+LOOKS = 4096  # nodes that a name may look at in any tree; in a large one, as many as a quarter of its names
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _two_less(names: pd.Series, block: pd.Series) -> pd.Series:
-    """A long for each distinct form of a name without two signs at most, and its ``block``.
+def _tree(names: Sequence[str]):
+    """The levels of the prefix tree of distinct names in order: for each node of the level above its first child and the one
+    after its last, and of each child its sign, its first name, and whether that ends there."""
+    import numpy as np
 
-    A form is the sum of its signs times powers of an odd number by their places, so that of the signs behind one that is left
-    out is divided by it: all forms of a name come from its running sums.  Two that meet by chance fail the edits.
+    signs, lengths = _signs(names, -1), np.array([len(t) for t in names], dtype=np.int64)
+    levels, differs = [], np.arange(len(names)) == 0
+    low, high = np.zeros(1, dtype=np.int64), np.array([len(names)])
+    for d in range(signs.shape[1]):
+        differs[1:] |= signs[1:, d] != signs[:-1, d]
+        at = np.flatnonzero(differs)
+        end = np.append(at[1:], len(names))
+        deep = lengths[at] > d
+        at, end = at[deep], end[deep]
+        levels.append((np.searchsorted(at, low), np.searchsorted(at, high), signs[at, d], at, lengths[at] == d + 1))
+        low, high = at, end
+    return levels
+
+
+def _in_tree(levels, signs, lengths, pad: int, k: int, blocks: bool, most: int):
+    """(name, row, edits) of all names of the tree within ``k`` edits (or, by ``blocks``, signs that only one of two has), and which
+    names were given up, as they would look at over ``most`` nodes; nothing if too many are looked at side by side.
+
+    ``signs`` have ``pad`` signs before and after them that no name has.  A node has a row of the table of edits, as far as
+    ``k`` from the diagonal, and is left once none of it is within ``k``.
     """
     import numpy as np
-    import pandas as pd
-
-    base, mix = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-    less = np.array([1, pow(base, -1, 1 << 64), pow(base, -2, 1 << 64)], dtype=np.uint64)
-    lengths, own = names.str.len().to_numpy(), block.to_numpy().view(np.uint64)
-    out = np.empty(len(names), dtype=object)
-    for n in np.unique(lengths).tolist():
-        i, j = np.triu_indices(n, 1)
-        powers = np.array([pow(base, k, 1 << 64) for k in range(n)], dtype=np.uint64)
-        rows = np.flatnonzero(lengths == n)
-        for part in np.array_split(rows, -(-len(rows) // 1024)):
-            signs = (_signs(names.iloc[part].tolist(), 0).astype(np.uint64) + np.uint64(1)) * np.uint64(mix)
-            signs ^= signs >> np.uint64(29)
-            sums = np.zeros((len(part), n + 1), dtype=np.uint64)
-            np.cumsum(signs * powers, axis=1, out=sums[:, 1:])
-            whole, behind = sums[:, -1:], sums[:, 1:]
-            one = sums[:, :-1] + (whole - behind) * less[1]
-            two = sums[:, i] + (sums[:, j] - behind[:, i]) * less[1] + (whole - behind[:, j]) * less[2]
-            keys = np.concatenate([whole, one + np.uint64(mix), two + np.uint64(2 * mix % (1 << 64))], axis=1) - np.uint64(n * mix % (1 << 64))
-            keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(base) + own[part, None]
-            keys.sort(axis=1)
-            new = np.ones(keys.shape, dtype=bool)
-            new[:, 1:] = keys[:, 1:] != keys[:, :-1]
-            for at, k, some in zip(part, keys.view(np.int64), new):
-                out[at] = k[some]
-    return pd.Series(out)
-
-
-def _within_two(a: DataFrame, b: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Pairs within two edits, of the names of ``a`` up to ``TWO`` signs: they share what is left without two signs of either.
-
-    Names of a dense block differ in few signs that stand anywhere, so this meets few others where pieces meet all.
+
+    far, band = 100, 2 * k + 1
+    row = np.arange(len(lengths))
+    node = np.zeros(len(lengths), dtype=np.int64)
+    edits = np.repeat(np.array([o - k if o >= k else far for o in range(band)], dtype=np.int8)[:, None], len(row), axis=1)
+    seen, given = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=bool)
+    found = []
+    for d, (first, last, sign, at, ends) in enumerate(levels):
+        children = last[node] - first[node]
+        seen += np.bincount(row, children, minlength=len(seen)).astype(np.int64)
+        if (seen > most).any():
+            given |= seen > most
+            stay = np.flatnonzero(~given[row])
+            row, node, edits, children = row[stay], node[stay], edits[:, stay], children[stay]
+        total = int(children.sum())
+        if not total:
+            break
+        if total > FRONT and len(lengths) > 1:
+            return None
+        which = np.repeat(np.arange(len(row)), children)
+        node = (first[node] - (np.cumsum(children) - children))[which] + np.arange(total)
+        row, old = row[which], edits[:, which]
+        here = np.ascontiguousarray(signs[:, pad + d - k : pad + d + k + 1].T)[:, row] == sign[node]
+        edits = np.where(here, old, np.int8(far) if blocks else old + np.int8(1))
+        np.minimum(edits[:-1], old[1:] + np.int8(1), out=edits[:-1])
+        for o in range(1, band):
+            np.minimum(edits[o], edits[o - 1] + np.int8(1), out=edits[o])
+        np.minimum(edits, np.int8(far), out=edits)
+        near = np.flatnonzero(edits.min(axis=0) <= k)
+        row, node, edits = row[near], node[near], edits[:, near]
+        whole = np.flatnonzero(ends[node])
+        o = lengths[row[whole]] - (d + 1) + k
+        whole, o = whole[(o >= 0) & (o < band)], o[(o >= 0) & (o < band)]
+        got = edits[o, whole]
+        hit = whole[got <= k]
+        found.append((row[hit], at[node[hit]], got[got <= k].astype(np.int64)))
+    found = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 3
+    stay = ~given[found[0]]
+    return tuple(c[stay] for c in found), given
+
+
+def _nearest_in_trees(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float, blocks: bool) -> DataFrame:
+    """(block, a_name, b_name, similarity): for each name of up to ``SHORT`` signs the best of each tree; without ``b_name`` if it was given up.
+
+    The names of a block are a prefix tree, which is walked with a row of the table of edits as long as that is within some edits:
+    one, then two, as far as they can give the best.  So the time of a name follows the names near it and not its block, also where
+    all names begin alike; one that would look at a quarter of them is given up.
     """
-    forms = lambda df, name, longest: df.where(F.length(name) <= longest).select(
-        *block, name, F.explode(_two_less(F.col(name), F.xxhash64(*block))).alias("_key")
-    )
-    asked = forms(b, "b_name", TWO + 2).select("_key", "b_name", *[F.col(c).alias(f"_b_{c}") for c in block])
-    met = forms(a, "a_name", TWO).join(asked.hint("merge"), "_key")  # a few hundred rows a name, not to be broadcast
-    for c in block:
-        met = met.where(F.col(c) == F.col(f"_b_{c}"))
-    # a pair comes once per form it shares
-    return met.where(F.call_function("levenshtein", F.col("a_name"), F.col("b_name"), F.lit(2)) >= 0).select(*block, "a_name", "b_name")
+    sizes = _sizes(a, b, block, ASKING, TREE)
+    left, right = _dealt(a, "a_name", block, "_ci", "_cj", sizes), _dealt(b, "b_name", block, "_cj", "_ci", sizes)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in a.select(*block).schema]
 
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names = x["a_name"].to_pylist()
+        order = pc.sort_indices(y["b_name"])  # the first of the best has the least name
+        others = y["b_name"].take(order).to_pylist()
+        n, l = [np.array([len(t) for t in side], dtype=np.int64) for side in (names, others)]
+        whole = (lambda m, l: m + l) if blocks else np.maximum
+        fit = np.flatnonzero(l <= n.max(initial=0) * ((2 - threshold) if blocks else 1) / threshold + EPS)  # longer ones are too far
+        others, l = [others[i] for i in fit], l[fit]
+        top = int(whole(n.max(initial=0), l.max(initial=0)) * (1 - threshold) + EPS)
+        best, best_j = np.full(len(n), -1.0), np.zeros(len(n), dtype=np.int64)
+        given = np.zeros(len(n), dtype=bool)
+
+        def take(i, j, score):
+            fine = np.flatnonzero(score >= threshold)
+            rank = fine[np.lexsort((j[fine], -score[fine], i[fine]))]
+            rank = rank[np.unique(i[rank], return_index=True)[1]]
+            was = best[i[rank]]
+            rank = rank[(score[rank] > was) | ((score[rank] == was) & (j[rank] < best_j[i[rank]]))]
+            best[i[rank]], best_j[i[rank]] = score[rank], j[rank]
+
+        if 0 < len(n) * len(l) <= FEW:
+            i, j = np.divmod(np.arange(len(n) * len(l)), len(l))
+            pairs = [names[q] for q in i], [others[q] for q in j]
+            take(i, j, ratios_from(*pairs, threshold) if blocks else edit_similarities(*pairs))
+        elif len(l) and len(n):
+            levels = _tree(others)
+            signs = np.full((len(n), max(n.max(), l.max()) + 2 * top + 1), -2, dtype=np.int32)
+            own = _signs(names, -2)
+            signs[:, top : top + own.shape[1]] = own
+            for k in range(1, top + 1):
+                # the most that a pair can score that is k apart, by the length of the name
+                could = np.full(n.max() + 1, -1.0)
+                for m in np.unique(n).tolist():
+                    fits = np.unique(l[(abs(l - m) <= k) & (((l + m - k) % 2 == 0) | (not blocks))])
+                    could[m] = (1 - k / whole(m, fits)).max(initial=-1.0) + EPS
+                ask = np.flatnonzero((could[n] >= threshold) & (could[n] >= best) & ~given)
+                todo = [ask[s : s + 2048] for s in range(0, len(ask), 2048)]
+                while todo:
+                    some = todo.pop()
+                    got = _in_tree(levels, signs[some], n[some], top, k, blocks, max(LOOKS, len(l) // 4))
+                    if got is None:
+                        todo += np.array_split(some, 2)
+                        continue
+                    (i, j, edits), up = got
+                    given[some[up]] = True
+                    i = some[i]
+                    score = 1 - edits / whole(n[i], l[j])
+                    likely = np.flatnonzero((score >= threshold - EPS) & (score + EPS >= best[i]))
+                    i, j, score = i[likely], j[likely], score[likely]
+                    take(i, j, ratios([names[q] for q in i], [others[q] for q in j]) if blocks else score)
+        at = np.flatnonzero((best >= 0) | given)
+        out = x.select([*block, "a_name"]).take(pa.array(at))
+        out = out.append_column("b_name", pa.array([None if given[q] else others[best_j[q]] for q in at], pa.string()))
+        return out.append_column("similarity", pa.array(best[at]))
 
-def _best(scored: DataFrame, block: Sequence[str]) -> DataFrame:
-    order = F.struct(-F.col("similarity"), F.col("b_name"))
-    return scored.groupBy(*block, "a_name").agg(F.min_by("b_name", order).alias("b_name"), F.max("similarity").alias("similarity"))
+    keys = [*block, "_i", "_j"]
+    schema = ", ".join([*kinds, "a_name string", "b_name string", "similarity double"])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
 
 
 CELL = 16384  # names of a side that are compared with as many of the other in one group
@@ -435,12 +539,8 @@ MEETING = 100  # and in that of a meeting
 
 def _cells(rows: DataFrame, name: str, block: Sequence[str], own: str, other: str, sizes: DataFrame) -> DataFrame:
     """The names of one side with their signatures, by the cells (_i, _j) of their block that they take part in."""
-    rows = rows.withColumn("_runs", _signature(name, 2)).join(sizes, list(block))
-    cut = F.pmod(F.xxhash64(F.lit(7), name), F.col(own)).cast("int")
-    places = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-    i, j = (cut, places) if own == "_ci" else (places, cut)
-    rows = rows.select(*block, F.col(name), F.length(name).alias("_n"), "_sig", "_runs", i.alias("_i"), j.alias("_j"))
-    return spread(rows, *block, "_i", "_j")
+    rows = rows.select(*block, name, F.length(name).alias("_n"), "_sig", _signature(name, 2).alias("_runs"))
+    return _dealt(rows, name, block, own, other, sizes)
 
 
 def _nearest_in_cells(a: DataFrame, b: DataFrame, block: Sequence[str], threshold: float, blocks: bool) -> DataFrame:
@@ -450,8 +550,7 @@ def _nearest_in_cells(a: DataFrame, b: DataFrame, block: Sequence[str], threshol
     these allow is scored in the same task and the best alone leave it.  So memory and shuffle follow the names, also where all
     names of a block share most of their pieces.
     """
-    count = lambda df, out: df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(out))
-    sizes = count(a, "_ci").join(count(b, "_cj"), list(block))
+    sizes = _sizes(a, b, block, CELL, CELL)
     left, right = _cells(a, "a_name", block, "_ci", "_cj", sizes), _cells(b, "b_name", block, "_cj", "_ci", sizes)
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in a.select(*block).schema]
 
@@ -520,8 +619,7 @@ def _pairs_in_cells(a: DataFrame, b: DataFrame, block: Sequence[str], threshold:
     """(block, a_name, b_name, similarity) of all pairs at the threshold, looked at as in ``_nearest_in_cells``."""
     # columns of their own, as both sides may come from one table
     a, b = [df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (a, b)]
-    count = lambda df, out: df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias(out))
-    sizes = count(a, "_ci").join(count(b, "_cj"), list(block))
+    sizes = _sizes(a, b, block, PAIRS, PAIRS)
     left, right = _cells(a, "a_name", block, "_ci", "_cj", sizes), _cells(b, "b_name", block, "_cj", "_ci", sizes)
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in a.select(*block).schema]
 
@@ -572,26 +670,19 @@ def nearest(
 ) -> DataFrame:
     """Best partner of each distinct name of ``a`` in its block, ties by name, by edits or by matching ``blocks``.
 
-    Equal names, and by edits those within one edit, then two, that no farther name can beat, are settled first; the others are
-    compared in cells, as the names of a dense block of like names share their pieces.
+    Equal names are settled first, then others in the trees of their blocks; those that are long or would look at much of a tree
+    are compared in cells.
     """
-    m = measure(threshold, blocks)
-    na, nb = _names(a, block, a_col, "a_name"), _names(b, block, b_col, "b_name")
-    if blocks:
-        near = na.join(nb.withColumn("a_name", F.col("b_name")), [*block, "a_name"]).select(*block, "a_name", "b_name")
-        near = durable(near.withColumn("similarity", F.lit(1.0)))
-        left = durable(na.join(near.select(*block, "a_name"), [*block, "a_name"], "left_anti"))
-    else:
-        scored = lambda pairs: pairs.withColumn("similarity", similarity(F.col("a_name"), F.col("b_name"))).where(F.col("similarity") >= threshold)
-        edits, n = F.levenshtein("a_name", "b_name"), F.length("a_name")
-        near = durable(_best(scored(_within_one(na, nb, block)), block))
-        settled = near.where((edits == 0) | ((edits == 1) & (n > 2)))
-        left = durable(spread(na.join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti"), *block, "a_name"))
-        if not left.isEmpty():
-            two = durable(_best(scored(_within_two(left, nb, block)), block))
-            near = near.unionByName(two)
-            settled = two.where((edits <= 2) & (n > 6))
-            # all within two edits are found: of the others only those count that three may leave at the threshold
-            farther = (n <= 6) | (n > TWO) | (1 - 3 / (n + 3) >= threshold - EPS)
-            left = durable(left.where(farther).join(settled.select(*block, "a_name"), [*block, "a_name"], "left_anti"))
-    return _best(near.unionByName(_nearest_in_cells(left, nb, block, threshold, blocks)), block)
+    measure(threshold, blocks)  # refuses low thresholds
+    na, nb = _names(a, block, a_col, "a_name", False), _names(b, block, b_col, "b_name", False)
+    equal = na.join(shuffled(nb.select(*block, F.col("b_name").alias("a_name"))), [*block, "a_name"], "left_semi")
+    near = durable(equal.select(*block, "a_name", F.col("a_name").alias("b_name"), F.lit(1.0).alias("similarity")))
+    left = durable(na.join(shuffled(near.select(*block, "a_name")), [*block, "a_name"], "left_anti"))
+    found = durable(_nearest_in_trees(left.where(F.length("a_name") <= SHORT), nb, block, threshold, blocks))
+    given = found.where("b_name IS NULL").select(*block, "a_name").distinct()
+    left = durable(left.where(F.length("a_name") > SHORT).unionByName(left.join(shuffled(given), [*block, "a_name"], "left_semi")))
+    near = near.unionByName(found.where("b_name IS NOT NULL"))
+    if not left.isEmpty():
+        left, nb = [df.withColumn("_sig", _signature(name)) for df, name in ((left, "a_name"), (nb, "b_name"))]
+        near = near.unionByName(_nearest_in_cells(left, nb, block, threshold, blocks))
+    return _best(near, block)

@@ -215,8 +215,8 @@ def fuzzy_candidates(
     ids = b.withColumn("b_name", folded(F.col(name))).groupBy(block, "b_name").agg(F.min(b_id).alias(b_id))
     return (
         a.select(a_id, block, folded(F.col(name)).alias("a_name"))
-        .join(best, [block, "a_name"])
-        .join(ids, [block, "b_name"])
+        .join(shuffled(best), [block, "a_name"])
+        .join(shuffled(ids), [block, "b_name"])
         .select(a_id, block, "a_name", b_id, "b_name", "similarity")
     )
 
