@@ -381,7 +381,7 @@ def _dealt(rows: DataFrame, name: str, block: Sequence[str], own: str, other: st
 SHORT = 32  # signs of the longest names that are looked up in a tree
 TREE = 262144  # names of a tree
 ASKING = 32768  # names that are looked up in a tree in one group
-FRONT = 1 << 20  # nodes that are looked at side by side
+FRONT = 1 << 18  # nodes that are looked at side by side
 FEW = 2048  # pairs of a block that are compared at once
 LOOKS = 4096  # nodes that a name may look at in any tree; in a large one, as many as a quarter of its names
 
